@@ -35,19 +35,19 @@ def assign_row_ids(df: DataFrame, order: list, group: list[str] | None = None,
     keys = _as_cols(group) + _as_cols(order)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys) \
-        .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    pid = F.shiftright(F.col("_mid"), 33).alias("_pid")
-    pos = (F.col("_mid").bitwiseAND(F.lit(_POS_MASK))).alias("_pos")
+        .withColumn("__rid_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    pid = F.shiftright(F.col("__rid_mid"), 33).alias("__rid_pid")
+    pos = (F.col("__rid_mid").bitwiseAND(F.lit(_POS_MASK))).alias("__rid_pos")
     tagged = ordered.select("*", pid, pos)
-    stats = tagged.groupBy("_pid", *group).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    stats = tagged.groupBy("__rid_pid", *group).agg(F.min("__rid_pos").alias("__rid_first"), F.count(F.lit(1)).alias("__rid_n"))
+    w = Window.partitionBy(*group).orderBy("__rid_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = stats.withColumn("__rid_off", F.coalesce(F.sum("__rid_n").over(w), F.lit(0)))
     if not group:
         # one row per partition: bounded by the partition count
         offs = F.broadcast(offs)
-    res = tagged.join(offs, ["_pid", *group])
-    return res.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first")).cast("long")) \
-        .drop("_mid", "_pid", "_pos", "_first", "_n", "_off")
+    res = tagged.join(offs, ["__rid_pid", *group])
+    return res.withColumn(out, (F.col("__rid_off") + F.col("__rid_pos") - F.col("__rid_first")).cast("long")) \
+        .drop("__rid_mid", "__rid_pid", "__rid_pos", "__rid_first", "__rid_n", "__rid_off")
 
 
 def split_round_robin(df: DataFrame, rank: int, world: int, row_id: str = "row_id") -> DataFrame:
