@@ -180,11 +180,11 @@ def margin_mse(pairs: DataFrame) -> DataFrame:
 
 def listwise_margin_mse(ts: DataFrame) -> DataFrame:
     """Per query, mean over all ordered candidate pairs (a, b) of
-    ``((s_a - s_b) - (t_a - t_b))^2``, computed as ``2 (E[d^2] - E[d]^2)``
-    with ``d = s - t`` — one aggregation instead of a self join; then the
-    mean over queries."""
+    ``((s_a - s_b) - (t_a - t_b))^2``, which equals ``2 var_pop(d)`` with
+    ``d = s - t`` — one (numerically stable) aggregation instead of a self
+    join; then the mean over queries."""
     d = F.col("student") - F.col("teacher")
-    per = ts.groupBy("qid").agg((2 * (F.avg(d * d) - F.avg(d) * F.avg(d))).alias("_l"))
+    per = ts.groupBy("qid").agg((2 * F.var_pop(d)).alias("_l"))
     return per.agg(F.avg("_l").alias("listwise_margin_mse"), F.count(F.lit(1)).alias("n_queries"))
 
 

@@ -16,9 +16,14 @@ SKIP, TAKE = 10, 950
 VEC_K, VEC_NEG, VEC_SEED, BATCH = 20, 3, 7, 8
 
 
+def _thousands(run):
+    return run.withColumn("score", F.col("score") / 1000.0)
+
+
 def _ts(spark, sf):
-    """Teacher = lineitem run one, student = run two, common candidates."""
-    return D.teacher_student(fx.lineitem_run(spark, sf), fx.lineitem_run2(spark, sf))
+    """Teacher = lineitem run one, student = run two (scores in thousands),
+    common candidates."""
+    return D.teacher_student(_thousands(fx.lineitem_run(spark, sf)), _thousands(fx.lineitem_run2(spark, sf)))
 
 
 def _samples(spark, sf):
@@ -37,7 +42,7 @@ def _md5(seed, a, b):
 
 
 _BASE = f"""WITH {RUN_CTE}, {RUN2_CTE}, {QRELS_CTE},
-ts AS (SELECT r.qid, r.did, r.score AS teacher, r2.score AS student
+ts AS (SELECT r.qid, r.did, r.score / 1000.0 AS teacher, r2.score / 1000.0 AS student
        FROM run r JOIN run2 r2 ON r.qid = r2.qid AND r.did = r2.did),
 samples AS (SELECT qid, did, teacher AS score FROM ts),
 pos AS (SELECT qid, did FROM qrels WHERE rel >= 1),
