@@ -128,7 +128,7 @@ def read_turns_context(spark: SparkSession, path: str) -> DataFrame:
     as_list = F.from_json(tp, "array<string>")
     arr = F.when(tp.isNull() | (tp == "") | (tp == "[]"), F.array().cast("array<string>")) \
         .when(tp.startswith("["), as_list).otherwise(F.array(tp))
-    return df.withColumn("truth_passages", arr).drop("Truth_passages")
+    return df.select(*[c for c in df.columns if c != "Truth_passages"], arr.alias("passages"))
 
 
 def read_trec_qrels(spark: SparkSession, path: str) -> DataFrame:
