@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import SCORE_DIGITS, rounded
+from .layout import cluster
 from .sparse import l2_normalize
 
 # Query-term rows below which the query side is broadcast.  A term row is a
@@ -43,17 +44,25 @@ def choose_strategy(q_terms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) ->
 
 def score(q_terms: DataFrame, postings: DataFrame, qid: str = "qid", did: str = "did",
           strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS,
-          salts: int = DEFAULT_SALTS, extra_keys: list[str] | None = None) -> DataFrame:
+          salts: int = DEFAULT_SALTS, extra_keys: list[str] | None = None,
+          cluster_postings: bool = True) -> DataFrame:
     """J1 + A1: ``(qid, did, score)`` for every pair sharing a dimension.
 
     ``q_terms(qid, dim, weight)``, ``postings(did, dim, weight)``;
-    ``extra_keys`` are further equi-join columns (the shard in X11)."""
+    ``extra_keys`` are further equi-join columns (the shard in X11).
+
+    On the broadcast path the postings are clustered by document first
+    (free for a bucketed index, one shuffle of the postings otherwise), so
+    join, aggregate and the partial top-k run in one stage and only the
+    top-k rows per task cross the network — never the candidate pairs."""
     keys = ["dim"] + list(extra_keys or [])
     q = q_terms.select(qid, *keys, F.col("weight").cast("double").alias("_qw"))
     p = postings.select(did, *keys, F.col("weight").cast("double").alias("_dw"))
     if strategy == "auto":
         strategy = choose_strategy(q, broadcast_rows)
     if strategy == "broadcast":
+        if cluster_postings:
+            p = cluster(p, [did])
         j = p.join(F.broadcast(q), keys)
     elif strategy == "salted":
         p = p.withColumn("_salt", F.pmod(F.xxhash64(F.col(did)), F.lit(salts)).cast("int"))
