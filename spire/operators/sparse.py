@@ -152,16 +152,19 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def sparsity_stats(vec: DataFrame, ids: DataFrame, id_col: str, dim_voc: int = DEFAULT_DIM_VOC) -> DataFrame:
+def sparsity_stats(vec: DataFrame, ids: DataFrame, id_col: str, dim_voc: int = DEFAULT_DIM_VOC,
+                   keys: list[str] | None = None) -> DataFrame:
     """Exact per-document mean of L0 (non-zeros), L1 (sum |w|) and the
-    sparsity ratio ``1 - L0 / dim_voc``.  Documents without any non-zero
-    weight count as 0: the id map, not the postings, defines N."""
-    per_doc = vec.groupBy(id_col).agg(F.count(F.lit(1)).alias("l0"), F.sum(F.abs("weight")).alias("l1"))
-    full = ids.select(id_col).join(per_doc, id_col, "left") \
-        .select(F.coalesce("l0", F.lit(0)).alias("l0"), F.coalesce("l1", F.lit(0.0)).alias("l1"))
-    return full.agg(F.avg("l0").alias("l0"), F.avg("l1").alias("l1"),
-                    (1 - F.avg("l0") / F.lit(float(dim_voc))).alias("sparsity"),
-                    F.count(F.lit(1)).alias("n_docs"))
+    sparsity ratio ``1 - L0 / dim_voc`` (per ``keys`` group, e.g. shard).
+    Documents without any non-zero weight count as 0: the id map, not the
+    postings, defines N."""
+    keys = list(keys or [])
+    per_doc = vec.groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("l0"), F.sum(F.abs("weight")).alias("l1"))
+    full = ids.select(*keys, id_col).join(per_doc, keys + [id_col], "left") \
+        .select(*keys, F.coalesce("l0", F.lit(0)).alias("l0"), F.coalesce("l1", F.lit(0.0)).alias("l1"))
+    return full.groupBy(*keys).agg(F.avg("l0").alias("l0"), F.avg("l1").alias("l1"),
+                                   (1 - F.avg("l0") / F.lit(float(dim_voc))).alias("sparsity"),
+                                   F.count(F.lit(1)).alias("n_docs"))
 
 
 def flops_regularizer(vec: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
