@@ -196,3 +196,53 @@ def needs_retry(spark, sf):
     t = fx.table(spark, sf, "conversations").where(F.col("role") == "user")
     return t.select("conv_id", "turn", T.needs_retry("text").alias("needs_retry"),
                     T.word_count("text").alias("n_words"))
+
+
+# -- X15: rewriting with generator callables ----------------------------------
+
+_Q_HEAD = "# Please rewrite the following user question: \n"
+_Q_TAIL = "\n\n# Re-written query:"
+
+
+DECODE_BUDGET = 5  # space-separated tokens a first-pass continuation may use
+
+
+def echo_decoder(retry: bool = False):
+    """Deterministic stand-in for a causal language model: echoes the
+    prompt and continues it with the prompt's own question — labelled,
+    quoted and cut to a budget of 5 tokens on the first pass (so short
+    questions come out too short), in full with a context note on the
+    retry pass."""
+    def fn(batches):
+        for pdf in batches:
+            prompts = pdf["prompt"].fillna("")
+            qs = prompts.map(lambda p: p.split(_Q_HEAD)[-1].split(_Q_TAIL)[0])
+            if retry:
+                gen = prompts + qs + " (in context)"
+            else:
+                cont = ('Re-written query: "' + qs + '"').map(
+                    lambda c: " ".join(c.split(" ")[:DECODE_BUDGET]))
+                gen = prompts + cont
+            yield pdf[["row_id"]].assign(generated=gen)
+    return fn
+
+
+@register("rewrite_queries", _prompt_ctes() + f""",
+ids AS (SELECT r.*, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id FROM r),
+g AS (SELECT row_id, question, prompt || array_to_string(
+        string_split('Re-written query: "' || question || '"', ' ')[1:{DECODE_BUDGET}], ' ') AS generated FROM ids),
+e AS (SELECT row_id, question, {_extract_sql('generated')} AS rewrite FROM g),
+c AS (SELECT *, ({tw('rewrite')} = '' OR len(list_filter(regexp_split_to_array({tw('rewrite')}, '\\s+'),
+                 lambda z: z <> '')) < 3) AS needs FROM e),
+g2 AS (SELECT ids.row_id, ids.prompt || ids.question || ' (in context)' AS generated
+       FROM ids JOIN c ON ids.row_id = c.row_id WHERE c.needs)
+SELECT CAST(row_id AS BIGINT) AS row_id, rewrite, false AS retried FROM c WHERE NOT needs
+UNION ALL
+SELECT CAST(row_id AS BIGINT) AS row_id, {_extract_sql('generated')} AS rewrite, true AS retried FROM g2""")
+def rewrite_queries(spark, sf):
+    """Prompts of every user turn -> decoder -> extraction -> one
+    retry for empty/short rewrites, ids in conversation order."""
+    from ..operators.rewrite import rewrite_queries as rq
+    from ..operators.rowids import assign_row_ids
+    p = assign_row_ids(C.rewrite_prompts(fx.turns(spark, sf)), ["conv_id", "turn"])
+    return rq(p, echo_decoder(), echo_decoder(retry=True)).select("row_id", "rewrite", "retried")
