@@ -94,13 +94,40 @@ def turn_id(conv, turn) -> Column:
     return F.concat_ws("_", _c(conv).cast("string"), _c(turn).cast("string"))
 
 
-def dataset_label(col, labels: list[tuple[str, str]]) -> Column:
-    """label of the first (substring, label) pair contained in the path."""
+# The reference's dataset-name rules, in its order.  A rule
+# fires when the path contains every listed substring (case-sensitive).
+DATASET_RULES = [
+    (("TREC_DL_2019",), "TREC_DL_2019"),
+    (("trec2020",), "TREC_DL_2020"),
+    (("TREC_DL_2020",), "TREC_DL_2020"),
+    (("msmarco", "train_queries"), "MSMARCO_TRAIN"),
+    (("msmarco",), "MSMARCO"),
+    (("MSMarco-v2", "dev_1"), "MSMARCO_v2_dev1"),
+    (("MSMarco-v2", "dev_2"), "MSMARCO_v2_dev2"),
+    (("toy",), "TOY"),
+    (("topiocqa",), "TOPIOCQA"),
+    (("ikat24",), "ikat24"),
+    (("ikat",), "ikat"),
+    (("cast22",), "cast22"),
+    (("cast20",), "cast20"),
+    (("ultrachat",), "ultrachat"),
+    (("qrecc",), "QRECC"),
+]
+DATASET_DEFAULT = "other_dataset"
+
+
+def dataset_label(col, rules=DATASET_RULES, default: str | None = DATASET_DEFAULT) -> Column:
+    """label of the first rule whose substrings all occur in the path."""
     out = None
-    for needle, label in labels:
-        cond = F.instr(_c(col), needle) > 0
+    for needles, label in rules:
+        needles = (needles,) if isinstance(needles, str) else needles
+        cond = None
+        for n in needles:
+            c = F.instr(_c(col), n) > 0
+            cond = c if cond is None else cond & c
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
-    return out.otherwise(F.lit(None)) if out is not None else F.lit(None)
+    fallback = F.lit(default)
+    return out.otherwise(fallback) if out is not None else fallback
 
 
 def history_block(q, a) -> Column:

@@ -75,6 +75,8 @@ def align_by_position(left: DataFrame, right: DataFrame, order_left: list, order
     return a.join(b, "_i")
 
 
-def first_entries(rewrites: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-    """Row id and the trimmed current question (the first [SEP] part)."""
-    return rewrites.select(id_col, strip_ws(F.element_at(F.split(text_col, r"\[SEP\]"), 1)).alias(text_col))
+def first_entries(rewrites: DataFrame, keys: list[str] | str = "row_id", text_col: str = "text",
+                  out: str = "text") -> DataFrame:
+    """Ids and the trimmed current question (the first [SEP] part)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return rewrites.select(*keys, strip_ws(F.element_at(F.split(text_col, r"\[SEP\]"), 1)).alias(out))

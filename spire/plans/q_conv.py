@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import conv as C
 from . import fixtures as fx
-from .registry import TURNS_CTE, register
+from .registry import ORACLE, TURNS_CTE, register
 
 
 def tw(x: str) -> str:
@@ -246,3 +246,14 @@ def rewrite_queries(spark, sf):
     from ..operators.rowids import assign_row_ids
     p = assign_row_ids(C.rewrite_prompts(fx.turns(spark, sf)), ["conv_id", "turn"])
     return rq(p, echo_decoder(), echo_decoder(retry=True)).select("row_id", "rewrite", "retried")
+
+
+ORACLE_RW = ORACLE["rewritten_history"]
+
+
+@register("first_entries", f"""SELECT conv_id, turn, {tw("string_split(history, '[SEP]')[1]")} AS text FROM (
+{ORACLE_RW})""")
+def first_entries(spark, sf):
+    """X16 on W5 output: the trimmed current question of every chained history."""
+    from ..operators.prep import first_entries as fe
+    return fe(rewritten_history(spark, sf), ["conv_id", "turn"], "history")

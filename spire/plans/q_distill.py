@@ -281,3 +281,54 @@ def in_batch_nll(spark, sf):
     r = D.in_batch_nll(_batch_rows(spark, sf), v.withColumnRenamed("vec_id", "qid"),
                        v.withColumnRenamed("vec_id", "did"))
     return r.select(rounded("in_batch_nll").alias("in_batch_nll"), F.col("n_queries").cast("long"))
+
+
+@register("softmax_scores", f"""{_BASE},
+m AS (SELECT qid, max(teacher) AS m FROM ts GROUP BY qid),
+l AS (SELECT ts.qid, first(m.m) + ln(sum(exp(teacher - m.m))) AS l FROM ts JOIN m ON ts.qid = m.qid GROUP BY ts.qid)
+SELECT ts.qid, ts.did, round(exp(teacher - l.l), 6) AS p FROM ts JOIN l ON ts.qid = l.qid""")
+def softmax_scores(spark, sf):
+    """Per-query softmax of the teacher scores over the candidates."""
+    s = D.softmax(_ts(spark, sf), "teacher", "p")
+    return s.select("qid", "did", rounded("p").alias("p"))
+
+
+LOSS_W, LAMBDA_D, LAMBDA_Q = 0.5, 1e-3, 5e-3
+
+
+def _scalar(name: str, col: str) -> str:
+    from .registry import ORACLE
+    return f"(SELECT {col} FROM ({ORACLE[name]}))"
+
+
+@register("combined_loss", f"""WITH {VEC_CTE},
+qv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY weight DESC, dim ASC) AS r FROM vec)
+       WHERE r <= 8),
+l1q AS (SELECT avg(l1) AS l1 FROM (SELECT e.vec_id, coalesce(sum(abs(q.weight)), 0) AS l1
+        FROM embeddings e LEFT JOIN qv q ON e.vec_id = q.vec_id GROUP BY e.vec_id)),
+az AS (SELECT 1 / (sum(weight) * sum(weight)) + 1 / (sum(weight) * sum(weight)) AS a FROM vec),
+parts AS (SELECT {_scalar("infonce", "infonce")} AS contrastive, {_scalar("kl_divergence", "kl_divergence")} AS kl,
+                 {_scalar("margin_mse", "margin_mse")} AS margin_mse, {_scalar("flops_regularizer", "flops")} AS flops_d,
+                 (SELECT l1 FROM l1q) AS l1_q, (SELECT a FROM az) AS anti_zero)
+SELECT round(contrastive, 6) AS contrastive, round(kl, 6) AS kl, round(margin_mse, 6) AS margin_mse,
+       round(flops_d, 6) AS flops_d, round(l1_q, 6) AS l1_q,
+       round({LOSS_W} * contrastive + {1 - LOSS_W} * kl + 0.05 * margin_mse + {LAMBDA_D} * flops_d
+             + {LAMBDA_Q} * l1_q + anti_zero, 6) AS loss
+FROM parts""")
+def combined_loss(spark, sf):
+    """L14 (+ A6, A7, A18): weighted sum of InfoNCE, KL, margin MSE, the
+    document FLOPS and query L1 regularisers and the anti-zero term."""
+    from ..operators import sparse as S
+    from ..operators.sparse import _one_row_join
+    v = fx.vectors(spark, sf)
+    ids = fx.vector_ids(spark, sf)
+    c = infonce(spark, sf).select(F.col("infonce").alias("contrastive"))
+    k = D.kl_divergence(_ts(spark, sf)).select(F.col("kl_divergence").alias("kl"))
+    m = D.margin_mse(_pairs(spark, sf))
+    f = S.flops_regularizer(v, ids, "vec_id").select(F.col("flops").alias("flops_d"))
+    lq = S.sparsity_stats(S.encode_topk(v, "vec_id", 8), ids, "vec_id").select(F.col("l1").alias("l1_q"))
+    az = S.anti_zero(v, v)
+    parts = _one_row_join(_one_row_join(_one_row_join(c, k), _one_row_join(m, f)), _one_row_join(lq, az))
+    total = D.combined_loss(parts, LOSS_W, LAMBDA_D, LAMBDA_Q)
+    return _one_row_join(parts, total).select(
+        *[rounded(x).alias(x) for x in ("contrastive", "kl", "margin_mse", "flops_d", "l1_q", "loss")])

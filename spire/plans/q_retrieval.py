@@ -268,3 +268,13 @@ def merge_index(spark, sf):
     parts = ix.local_indexes(v, shards, "vec_id")
     merged = ix.merge_index(parts, "vec_id")
     return merged.select(F.col("row_id").cast("long"), "vec_id", "dim", rounded("weight").alias("weight"))
+
+
+@register("score_pairs", f"""WITH {VEC_CTE}
+SELECT vec_id AS qid, vec_id AS did, round(sum(weight * weight), 6) AS score FROM vec GROUP BY vec_id""")
+def score_pairs(spark, sf):
+    """J14 (pair mode): scores of given (query, document) pairs only — here
+    every vector with itself (known-item pairs)."""
+    pairs = fx.known_item_qrels(spark, sf).select("qid", "did")
+    s = R.score_pairs(pairs, fx.query_terms(spark, sf), fx.postings(spark, sf))
+    return s.select("qid", "did", rounded("score").alias("score"))

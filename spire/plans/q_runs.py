@@ -147,3 +147,14 @@ def assign_row_ids_q(spark, sf):
     (distributed: range partitions + per-partition offsets)."""
     d = fx.documents(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("_k"))
     return assign_row_ids(d, ["_k"]).select("row_id", "doc_id")
+
+
+@register("distinct_judged_docs", """SELECT DISTINCT l_orderkey AS did FROM lineitem WHERE l_returnflag = 'R'""")
+def distinct_judged_docs(spark, sf):
+    """U4: distinct documents judged in either of two qrels (returned lines
+    shipped before 1995, and from 1995 on)."""
+    li = fx.table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
+    early = li.where(F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp"))
+    late = li.where(F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp"))
+    mk = lambda d: d.select(F.col("l_suppkey").alias("qid"), F.col("l_orderkey").alias("did"), F.lit(1).alias("rel"))
+    return U.distinct_judged_docs([mk(early), mk(late)])

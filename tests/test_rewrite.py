@@ -28,3 +28,12 @@ def test_extract_rewrite_cases(spark):
                                                        T.needs_retry(T.extract_rewrite("g")).alias("n"))
     got = [(r["r"], r["n"]) for r in df.collect()]
     assert got == [("tell me more", False), ("no marker here", False), ("", True), ("", True)]
+
+
+def test_dataset_label(spark):
+    paths = ["/data/msmarco/train_queries/raw.tsv", "/data/msmarco/dev/raw.tsv", "/x/MSMarco-v2/dev_2/q.tsv",
+             "/x/ikat24/q.tsv", "/x/ikat23/q.tsv", "/x/trec2020/q", "/x/qrecc/q", "/x/other"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = [r["l"] for r in df.select(T.dataset_label("p").alias("l")).collect()]
+    assert got == ["MSMARCO_TRAIN", "MSMARCO", "MSMARCO_v2_dev2", "ikat24", "ikat", "TREC_DL_2020", "QRECC",
+                   "other_dataset"]
