@@ -73,8 +73,10 @@ def choose_positives(qrels: DataFrame, samples: DataFrame, n: int, seed: int = 0
     others = exclude_positives(samples.join(npos, "qid", "left"), pos) \
         .withColumn("_np", F.coalesce("_np", F.lit(0))).where(F.col("_np") < n)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("did").asc())
-    pad = others.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.lit(n) - F.col("_np")) \
-        .select("qid", "did")
+    # the literal bound lets Spark plan a window group limit (partial top-n
+    # per task before the exchange); the per-query bound is applied after
+    pad = others.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n) \
+        .where(F.col("_r") <= F.lit(n) - F.col("_np")).select("qid", "did")
     pool = pos.unionByName(pad)
     wc = Window.partitionBy("qid").orderBy(_md5_key(seed, "qid", "did"), F.col("did"))
     chosen = pool.withColumn("slot", F.row_number().over(wc) - 1).where(F.col("slot") < n)

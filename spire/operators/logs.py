@@ -90,25 +90,37 @@ def moving_average(log: DataFrame, run: str, step: str = "step", value: str = "v
 
 
 def early_stop(log: DataFrame, run: str, patience: int, mode: str = "metric", step: str = "step",
-               value: str = "value") -> DataFrame:
+               value: str = "value", chunk: int = EMA_CHUNK) -> DataFrame:
     """Best-so-far, improvement flag, steps since the last improvement
     (the counter) and the stop flag (counter > patience) at every step.
     ``mode='loss'`` improves on a strictly smaller value (best starts at
-    +inf), ``'metric'`` on a strictly larger one (best starts at 0)."""
-    w_prev = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    w_cur = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    if mode == "loss":
-        prev = F.coalesce(F.min(value).over(w_prev), F.lit(float("inf")))
-        better = F.col(value) < F.col("_prev")
-        best = F.least(F.col("_prev"), F.col(value))
-    else:
-        prev = F.greatest(F.coalesce(F.max(value).over(w_prev), F.lit(0.0)), F.lit(0.0))
-        better = F.col(value) > F.col("_prev")
-        best = F.greatest(F.col("_prev"), F.col(value))
-    t = log.withColumn("_prev", prev).withColumn("improved", better).withColumn("best", best)
-    last = F.last(F.when(F.col("improved"), F.col(step)), ignorenulls=True).over(w_cur)
-    t = t.withColumn("counter", F.when(last.isNull(), F.col(step) + 1).otherwise(F.col(step) - last))
-    return t.withColumn("stop", F.col("counter") > patience).drop("_prev")
+    +inf), ``'metric'`` on a strictly larger one (best starts at 0).
+
+    Prefix maxima are associative, so this is a two-level scan like W14:
+    running maxima inside chunks of ``chunk`` steps (bounded windows) plus
+    the maxima of all earlier chunks from the per-run chunk table."""
+    sign = -1.0 if mode == "loss" else 1.0
+    floor = float("-inf") if mode == "loss" else 0.0
+    t = log.withColumn("_v", F.col(value) * F.lit(sign)).withColumn("_c", F.floor(F.col(step) / chunk))
+    w_in_prev = Window.partitionBy(run, "_c").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    w_in_cur = Window.partitionBy(run, "_c").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    w_chunks = Window.partitionBy(run).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    cmax = t.groupBy(run, "_c").agg(F.max("_v").alias("_cm")) \
+        .withColumn("_carry", F.max("_cm").over(w_chunks)).drop("_cm")
+    t = t.join(cmax, [run, "_c"])
+    prev = F.greatest(F.coalesce(F.max("_v").over(w_in_prev), F.lit(floor)),
+                      F.coalesce(F.col("_carry"), F.lit(floor)), F.lit(floor))
+    t = t.withColumn("_prev", prev).withColumn("improved", F.col("_v") > F.col("_prev")) \
+        .withColumn("best", F.greatest("_prev", "_v") * F.lit(sign))
+    imp_step = F.when(F.col("improved"), F.col(step))
+    t = t.withColumn("_li", F.max(imp_step).over(w_in_cur))
+    clast = t.groupBy(run, "_c").agg(F.max(imp_step).alias("_cl")) \
+        .withColumn("_carry_last", F.max("_cl").over(w_chunks)).drop("_cl")
+    t = t.join(clast, [run, "_c"]).withColumn("_last", F.coalesce("_li", "_carry_last"))
+    t = t.withColumn("counter", F.when(F.col("_last").isNull(), F.col(step) + 1)
+                     .otherwise(F.col(step) - F.col("_last")))
+    return t.withColumn("stop", F.col("counter") > patience) \
+        .drop("_v", "_c", "_carry", "_prev", "_li", "_carry_last", "_last")
 
 
 def append_metrics(metrics: DataFrame, path: str, run: str = "run") -> None:

@@ -167,3 +167,22 @@ def test_max_relevance_earliest_wins(spark):
                               "qid string, did long, rel int")
     r = U.max_relevance(q, "did").collect()
     assert [(x["qid"], x["did"], x["rel"]) for x in r] == [("a", 3, 1)]
+
+
+@pytest.mark.parametrize("mode", ["metric", "loss"])
+def test_early_stop_across_chunks(spark, mode):
+    e = fx.table(spark, SF_SMALL, "events").select(F.col("user_id").alias("run"), "event_id", "ts", "value")
+    log = L.log_steps(e, "run", ["ts", "event_id"])
+    got = {(r["run"], r["step"]): (r["improved"], r["counter"], r["stop"], r["best"])
+           for r in L.early_stop(log, "run", 3, mode=mode, chunk=4).collect()}
+    want = {}
+    for run, rows in _group(log.select("run", "step", "value").collect()).items():
+        best, counter = (float("inf") if mode == "loss" else 0.0), 0
+        for r in sorted(rows, key=lambda x: x["step"]):
+            better = r["value"] < best if mode == "loss" else r["value"] > best
+            if better:
+                best, counter = r["value"], 0
+            else:
+                counter += 1
+            want[(run, r["step"])] = (better, counter, counter > 3, best)
+    assert got == want
