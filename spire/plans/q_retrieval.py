@@ -125,7 +125,7 @@ def evaluate_retrieval(spark, sf):
     """X7 + M1-M3: retrieve the top 1000 for every vector and score the run
     against known-item qrels (each vector's own id)."""
     run = R.retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=DEEP_K, threshold=0.0)
-    pq = M.per_query(run.select("qid", "did", "score"), fx.known_item_qrels(spark, sf), cutoffs=[10])
+    pq = M.per_query(run, fx.known_item_qrels(spark, sf), cutoffs=[10], rank_col="rank")
     return pq.select("qid", *[rounded(c).alias(c) for c in ("mrr_10", "recall_10", "ndcg_cut_10")])
 
 
