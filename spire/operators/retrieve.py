@@ -6,12 +6,16 @@ One set-oriented plan answers every query at once (X7/X8/X14):
       ->  threshold  ->  row_number() <= k per qid
 
 Join strategy (J1).  The query side is counted first; if its term rows fit
-``broadcast_rows`` it is broadcast, the postings are scanned once and never
-shuffled on ``dim`` (a hot dimension — a stop word with a third of all
-postings — then costs nothing extra).  Above the bound both sides are
-spread over ``(dim, salt)``: postings get a salt from a hash of the
-document id and query terms are replicated once per salt, so a hot
-dimension is split over ``salts`` tasks instead of landing in one.
+``broadcast_rows`` (session setting ``spark.spire.broadcastRows``) it is
+broadcast, the postings are scanned once and never shuffled on ``dim`` (a
+hot dimension — a stop word with a third of all postings — then costs
+nothing extra).  Above the bound the join is shuffled on ``(dim, salt)``
+and only hot dimensions are salted: postings per dimension are counted,
+a dimension with more than ``salt_rows`` postings gets
+``ceil(count / salt_rows)`` salts (postings pick one by a hash of the
+document id, its query terms are replicated once per salt), every other
+dimension keeps salt 0.  The hot-dimension table is broadcast: it has at
+most ``total postings / salt_rows`` rows by construction.
 
 Aggregation (A1) is map-side partial then final; when the postings come
 from a table bucketed by document id, the join output is already clustered
@@ -34,17 +38,32 @@ from .sparse import l2_normalize
 # (long, int/short string, double) triple, well under 64 bytes once in the
 # broadcast hash relation, so the bound keeps the relation below ~128 MB.
 BROADCAST_ROWS = 2_000_000
-DEFAULT_SALTS = 32
+# postings per task for one hot dimension on the salted path
+SALT_ROWS = 1_000_000
 
 
-def choose_strategy(q_terms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> str:
+def broadcast_limit(spark, default: int = BROADCAST_ROWS) -> int:
+    return int(spark.conf.get("spark.spire.broadcastRows", str(default)))
+
+
+def choose_strategy(q_terms: DataFrame, broadcast_rows: int | None = None) -> str:
     """Size check for the broadcast side: an exact row count."""
-    return "broadcast" if q_terms.count() <= broadcast_rows else "salted"
+    limit = broadcast_rows if broadcast_rows is not None else broadcast_limit(q_terms.sparkSession)
+    return "broadcast" if q_terms.count() <= limit else "salted"
+
+
+def hot_dims(postings: DataFrame, salt_rows: int = SALT_ROWS, extra_keys: list[str] | None = None) -> DataFrame:
+    """Dimensions with more than ``salt_rows`` postings and their salt
+    count; at most ``count(postings) / salt_rows`` rows."""
+    keys = ["dim"] + list(extra_keys or [])
+    return postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
+        .where(F.col("_n") > salt_rows) \
+        .select(*keys, F.ceil(F.col("_n") / F.lit(salt_rows)).cast("int").alias("_ns"))
 
 
 def score(q_terms: DataFrame, postings: DataFrame, qid: str = "qid", did: str = "did",
-          strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS,
-          salts: int = DEFAULT_SALTS, extra_keys: list[str] | None = None,
+          strategy: str = "auto", broadcast_rows: int | None = None,
+          salt_rows: int = SALT_ROWS, extra_keys: list[str] | None = None,
           cluster_postings: bool = True) -> DataFrame:
     """J1 + A1: ``(qid, did, score)`` for every pair sharing a dimension.
 
@@ -65,8 +84,12 @@ def score(q_terms: DataFrame, postings: DataFrame, qid: str = "qid", did: str =
             p = cluster(p, [did])
         j = p.join(F.broadcast(q), keys)
     elif strategy == "salted":
-        p = p.withColumn("_salt", F.pmod(F.xxhash64(F.col(did)), F.lit(salts)).cast("int"))
-        q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hot = F.broadcast(hot_dims(p, salt_rows, extra_keys))
+        p = p.join(hot, keys, "left").withColumn(
+            "_salt", F.when(F.col("_ns").isNull(), F.lit(0))
+            .otherwise(F.pmod(F.xxhash64(F.col(did)), F.col("_ns")).cast("int"))).drop("_ns")
+        q = q.join(hot, keys, "left").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ns"), F.lit(1)) - 1))).drop("_ns")
         j = p.join(q, keys + ["_salt"])
     elif strategy == "shuffle":
         j = p.join(q, keys)

@@ -27,9 +27,11 @@ def _scores(df):
 def test_join_strategies_agree(spark):
     q, p = fx.query_terms(spark, SF_SMALL), fx.postings(spark, SF_SMALL)
     b = _scores(R.score(q, p, strategy="broadcast"))
-    assert b == _scores(R.score(q, p, strategy="salted", salts=5))
+    hot = R.hot_dims(p, salt_rows=50)
+    assert hot.count() > 0 and hot.agg(F.max("_ns")).first()[0] > 1   # salting really happens
+    assert b == _scores(R.score(q, p, strategy="salted", salt_rows=50))
     assert b == _scores(R.score(q, p, strategy="shuffle"))
-    assert b == _scores(R.score(q, p, broadcast_rows=10))  # auto falls back to salted
+    assert b == _scores(R.score(q, p, broadcast_rows=10, salt_rows=50))  # auto falls back to salted
 
 
 def test_topk_is_prefix(spark):
