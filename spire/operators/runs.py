@@ -7,10 +7,10 @@ group limit, so a query with a huge candidate list is never shipped whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import minmax_rescale, rounded
+from ..functions.scalar import minmax_rescale
 from .retrieve import topk
 
 
@@ -96,11 +96,3 @@ def distinct_judged_docs(qrels_list: list[DataFrame]) -> DataFrame:
         t = q.select("did")
         out = t if out is None else out.unionByName(t)
     return out.distinct()
-
-
-def rounded_run(run: DataFrame) -> DataFrame:
-    return run.withColumn("score", rounded("score"))
-
-
-def per_query_window(col: str = "qid") -> Window:
-    return Window.partitionBy(col)
