@@ -23,7 +23,7 @@ SPLIT = r"[^\p{L}\p{N}]+"
 _DOC_TERMS = f"""dt AS (SELECT doc_id, token AS dim, ln(1 + count(*)) AS weight
   FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '{SPLIT}')) AS token FROM documents)
   WHERE token <> '' GROUP BY doc_id, token)"""
-_Q_TERMS = f"""qt AS (SELECT DISTINCT item_id, token AS dim, 1.0 AS weight
+_Q_TERMS = f"""qt AS (SELECT DISTINCT item_id, token AS dim, CAST(1.0 AS DOUBLE) AS weight
   FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '{SPLIT}')) AS token FROM benchmark)
   WHERE token <> '')"""
 _LEX_RETRIEVE = f"""WITH {_DOC_TERMS}, {_Q_TERMS},

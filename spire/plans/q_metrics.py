@@ -97,7 +97,7 @@ def judged_at_10(spark, sf):
 @register("precision_map", _pq_sql([10], """SELECT qid, round(hits_10 / 10.0, 6) AS P_10,
   round(CASE WHEN num_rel > 0 THEN coalesce(ap_sum, 0) / num_rel ELSE 0 END, 6) AS map,
   round(CASE WHEN num_rel > 0 THEN rprec_hits / num_rel ELSE 0 END, 6) AS Rprec,
-  round(CASE WHEN hits_10 > 0 THEN 1.0 ELSE 0.0 END, 6) AS success_10,
+  CAST(CASE WHEN hits_10 > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS success_10,
   CAST(num_ret AS BIGINT) AS num_ret, CAST(num_rel AS BIGINT) AS num_rel,
   CAST(num_rel_ret AS BIGINT) AS num_rel_ret FROM pq"""))
 def precision_map(spark, sf):

@@ -15,12 +15,22 @@ def test_every_query_has_sql():
     assert missing == [], f"queries without oracle SQL: {missing}"
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, name):
-    got = QUERIES[name](spark, SF_SMALL).toPandas()
+    df = QUERIES[name](spark, SF_SMALL)
+    got = df.toPandas()
     want = duck(SQL[name], SF_SMALL)
     ok, msg = compare(got, want)
     assert ok, msg
+    types = duck(f"DESCRIBE {SQL[name]}", SF_SMALL)
+    duck_types = dict(zip(types["column_name"], types["column_type"]))
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types
 
 
 def test_entry_smoke(spark):
