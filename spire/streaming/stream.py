@@ -12,7 +12,9 @@ Both are file-source streams processed with ``foreachBatch``:
   a static postings table (top-k windows are not allowed directly on a
   stream) and appended the same idempotent way.
 
-The checkpoint location lives in the shared folder.
+The stream's checkpoint lives inside the output table
+(``<out>/_checkpoint``; readers skip ``_`` folders), so running the job
+again over the same output processes only files that arrived since.
 """
 
 from __future__ import annotations
@@ -34,11 +36,11 @@ def _idempotent_writer(out: str, transform: Callable[[DataFrame], DataFrame]):
     return write
 
 
-def _run(spark: SparkSession, source: str, schema: StructType, writer, name: str,
+def _run(spark: SparkSession, source: str, schema: StructType, writer, out: str,
          files_per_batch: int) -> None:
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     q = stream.writeStream.foreachBatch(writer) \
-        .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")) \
+        .option("checkpointLocation", f"{out}/_checkpoint") \
         .trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
@@ -50,7 +52,7 @@ def stream_index(spark: SparkSession, source: str, schema: StructType, out: str,
     """Append lexical postings of newly arrived documents; returns the
     postings written so far ``(doc_id, dim, weight, batch_id)``."""
     writer = _idempotent_writer(out, lambda b: S.lexical_encode(b, id_col, text_col))
-    _run(spark, source, schema, writer, "stream-index", files_per_batch)
+    _run(spark, source, schema, writer, out, files_per_batch)
     return spark.read.parquet(out)
 
 
@@ -60,14 +62,15 @@ def stream_retrieve(spark: SparkSession, source: str, schema: StructType, postin
     """Each micro-batch of queries -> terms -> top-k against the static
     postings; returns the accumulated run ``(qid, did, score, rank, batch_id)``."""
     writer = _idempotent_writer(out, lambda b: R.retrieve(to_terms(b), postings, k=k, threshold=threshold))
-    _run(spark, source, schema, writer, "stream-retrieve", files_per_batch)
+    _run(spark, source, schema, writer, out, files_per_batch)
     return spark.read.parquet(out)
 
 
-def split_into_files(df: DataFrame, key: str, n_files: int, path: str) -> str:
+def split_into_files(df: DataFrame, key: str, n_files: int, path: str, mode: str = "overwrite") -> str:
     """Lay a table out as ``n_files`` parquet files (rows by ``key mod n``)
-    so that a file-source stream sees several arrivals."""
-    df.repartition(n_files, F.pmod(F.col(key), F.lit(n_files))).write.mode("overwrite").parquet(path)
+    so that a file-source stream sees several arrivals; ``mode='append'``
+    adds files next to earlier arrivals."""
+    df.repartition(n_files, F.pmod(F.col(key), F.lit(n_files))).write.mode(mode).parquet(path)
     return path
 
 

@@ -188,3 +188,20 @@ def test_early_stop_across_chunks(spark, mode):
                 counter += 1
             want[(run, r["step"])] = (better, counter, counter > 3, best)
     assert got == want
+
+
+def test_stream_index_is_incremental(spark):
+    from spire.streaming import stream as Z
+    docs = fx.documents(spark, SF_SMALL)
+    src = Z.fresh_dir(spark, "t-inc-src")
+    out = Z.fresh_dir(spark, "t-inc-out")
+    Z.split_into_files(docs.where(F.col("doc_id") % 3 != 0), "doc_id", 3, src)
+    first = Z.stream_index(spark, src, docs.schema, out)
+    seen = {r["batch_id"] for r in first.select("batch_id").distinct().collect()}
+    Z.split_into_files(docs.where(F.col("doc_id") % 3 == 0), "doc_id", 2, src, mode="append")
+    got = Z.stream_index(spark, src, docs.schema, out)
+    new_docs = {r["doc_id"] for r in got.where(~F.col("batch_id").isin(list(seen))).select("doc_id").distinct().collect()}
+    arrived = {r["doc_id"] for r in docs.where(F.col("doc_id") % 3 == 0).select("doc_id").collect()}
+    assert new_docs == arrived            # the rerun processed only the new files
+    batch = S.lexical_encode(docs, "doc_id", "text")
+    assert _rows(got, ["doc_id", "dim", "weight"]) == _rows(batch, ["doc_id", "dim", "weight"])
