@@ -205,3 +205,22 @@ def test_stream_index_is_incremental(spark):
     assert new_docs == arrived            # the rerun processed only the new files
     batch = S.lexical_encode(docs, "doc_id", "text")
     assert _rows(got, ["doc_id", "dim", "weight"]) == _rows(batch, ["doc_id", "dim", "weight"])
+
+
+def test_row_ids_with_a_hot_group(spark):
+    from spire.operators.rowids import assign_row_ids
+    n = 3000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot"))
+                               .otherwise(F.concat(F.lit("g"), (F.col("id") % 97).cast("string"))).alias("g"),
+                               F.col("id").alias("k"))
+    r = assign_row_ids(df, ["k"], group=["g"], partitions=8)
+    per = {}
+    for row in r.collect():
+        per.setdefault(row["g"], []).append((row["k"], row["row_id"]))
+    for g, rows in per.items():
+        rows.sort()
+        assert [x[1] for x in rows] == list(range(len(rows))), g
+    assert len(per["hot"]) == n // 3
+    # the hot group is spread over several range partitions
+    spread = r.where(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread > 1
