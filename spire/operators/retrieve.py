@@ -15,7 +15,10 @@ a dimension with more than ``salt_rows`` postings gets
 ``ceil(count / salt_rows)`` salts (postings pick one by a hash of the
 document id, its query terms are replicated once per salt), every other
 dimension keeps salt 0.  The hot-dimension table is broadcast: it has at
-most ``total postings / salt_rows`` rows by construction.
+most ``total postings / salt_rows`` rows by construction.  When the
+postings are a bucketed (document-clustered) index and a few query blocks
+of checked size suffice, the queries are processed block by block instead
+(``blocks``): the index is rescanned per block but never shuffled.
 
 Aggregation (A1) is map-side partial then final; when the postings come
 from a table bucketed by document id, the join output is already clustered
@@ -27,11 +30,13 @@ ships more than ``k`` rows per task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import SCORE_DIGITS, rounded
-from .layout import cluster
+from .layout import cluster, clustered_on
 from .sparse import l2_normalize
 
 # Query-term rows below which the query side is broadcast.  A term row is a
@@ -46,10 +51,37 @@ def broadcast_limit(spark, default: int = BROADCAST_ROWS) -> int:
     return int(spark.conf.get("spark.spire.broadcastRows", str(default)))
 
 
-def choose_strategy(q_terms: DataFrame, broadcast_rows: int | None = None) -> str:
-    """Size check for the broadcast side: an exact row count."""
+# largest number of query blocks worth a rescan of a clustered index each
+MAX_BLOCKS = 8
+
+
+def choose_strategy(q_terms: DataFrame, broadcast_rows: int | None = None,
+                    postings: DataFrame | None = None, did: str = "did") -> tuple[str, int]:
+    """Size check for the broadcast side (an exact row count) and the
+    strategy: ``broadcast``; else ``blocks`` when the postings are already
+    clustered by document (a bucketed index: rescanning it a few times is
+    cheaper than shuffling it) and few blocks suffice; else ``salted``.
+    Returns (strategy, number of query rows)."""
     limit = broadcast_rows if broadcast_rows is not None else broadcast_limit(q_terms.sparkSession)
-    return "broadcast" if q_terms.count() <= limit else "salted"
+    n = q_terms.count()
+    if n <= limit:
+        return "broadcast", n
+    if postings is not None and clustered_on(postings, [did]) and math.ceil(n / limit) <= MAX_BLOCKS:
+        return "blocks", n
+    return "salted", n
+
+
+def query_blocks(q: DataFrame, qid: str, n_rows: int, limit: int) -> list[DataFrame]:
+    """Split the query terms into blocks of whole queries by a hash of the
+    query id; every block's size is checked against ``limit`` (one small
+    count per block) and the split doubles until all fit."""
+    blocks = max(1, math.ceil(n_rows / limit))
+    while True:
+        tagged = q.withColumn("_blk", F.pmod(F.xxhash64(F.col(qid)), F.lit(blocks)))
+        sizes = tagged.groupBy("_blk").count().collect()  # one row per block
+        if all(r["count"] <= limit for r in sizes):
+            return [tagged.where(F.col("_blk") == b).drop("_blk") for b in range(blocks)]
+        blocks *= 2
 
 
 def hot_dims(postings: DataFrame, salt_rows: int = SALT_ROWS, extra_keys: list[str] | None = None) -> DataFrame:
@@ -77,8 +109,20 @@ def score(q_terms: DataFrame, postings: DataFrame, qid: str = "qid", did: str =
     keys = ["dim"] + list(extra_keys or [])
     q = q_terms.select(qid, *keys, F.col("weight").cast("double").alias("_qw"))
     p = postings.select(did, *keys, F.col("weight").cast("double").alias("_dw"))
+    n_rows = None
     if strategy == "auto":
-        strategy = choose_strategy(q, broadcast_rows)
+        strategy, n_rows = choose_strategy(q, broadcast_rows, p, did)
+    if strategy == "blocks":
+        # each block: broadcast join + aggregate on the clustered index, no
+        # exchange; blocks hold disjoint queries, so their union is final
+        limit = broadcast_rows if broadcast_rows is not None else broadcast_limit(q.sparkSession)
+        n_rows = n_rows if n_rows is not None else q.count()
+        out = None
+        for qb in query_blocks(q, qid, n_rows, limit):
+            part = p.join(F.broadcast(qb), keys).groupBy(qid, did) \
+                .agg(F.sum(F.col("_qw") * F.col("_dw")).alias("score"))
+            out = part if out is None else out.unionByName(part)
+        return out
     if strategy == "broadcast":
         if cluster_postings:
             p = cluster(p, [did])

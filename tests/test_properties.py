@@ -224,3 +224,18 @@ def test_row_ids_with_a_hot_group(spark):
     # the hot group is spread over several range partitions
     spread = r.where(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
     assert spread > 1
+
+
+def test_query_blocks_on_bucketed_index(spark):
+    import uuid
+    from spire.session import scratch_path
+    q = fx.query_terms(spark, SF_SMALL)
+    name = f"pb_{uuid.uuid4().hex[:8]}"
+    ix.write_postings(fx.postings(spark, SF_SMALL), scratch_path(spark, name), name, 4)
+    p = ix.read_postings(spark, name)
+    n = q.count()
+    assert R.choose_strategy(q, n // 3, p) == ("blocks", n)
+    assert R.choose_strategy(q, n // 3, fx.postings(spark, SF_SMALL))[0] == "salted"
+    b = _scores(R.score(q, p, strategy="broadcast"))
+    assert b == _scores(R.score(q, p, broadcast_rows=n // 3))
+    assert len(R.query_blocks(q, "qid", n, n // 3)) >= 3
