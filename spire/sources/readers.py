@@ -139,22 +139,26 @@ def read_trec_qrels(spark: SparkSession, path: str) -> DataFrame:
                                         F.col("p")[3].cast("int").alias("rel"))
 
 
-def _nested_json(spark: SparkSession, path: str, mtype: T.MapType, value_name: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path)
-    m = whole.select(F.from_json("value", mtype).alias("m"))
+def _nested_json(spark: SparkSession, path: str, mtype: T.MapType, value_name: str,
+                 whole_file: bool = False) -> DataFrame:
+    """One ``{qid: {did: value}}`` object per line (the reference writes
+    its file as a single line; our writers write one object per query), or
+    with ``whole_file=True`` one pretty-printed object per file (which
+    cannot be split: convert such a file to parquet once)."""
+    src = spark.read.text(path, wholetext=True) if whole_file else spark.read.text(path)
+    m = src.where(F.length(strip_ws("value")) > 0).select(F.from_json("value", mtype).alias("m"))
     a = m.select(F.explode("m").alias("qid", "inner"))
     return a.select(F.col("qid").cast("string"), F.explode("inner").alias("did", value_name))
 
 
-def read_nested_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """``{qid: {did: rel}}`` JSON -> rows.  One JSON object cannot be
-    split, so a large one should be converted once to parquet."""
-    return _nested_json(spark, path, QRELS_JSON, "rel")
+def read_nested_qrels(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """``{qid: {did: rel}}`` JSON -> rows."""
+    return _nested_json(spark, path, QRELS_JSON, "rel", whole_file)
 
 
-def read_nested_run(spark: SparkSession, path: str) -> DataFrame:
+def read_nested_run(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """``{qid: {did: score}}`` JSON -> rows."""
-    return _nested_json(spark, path, RUN_JSON, "score")
+    return _nested_json(spark, path, RUN_JSON, "score", whole_file)
 
 
 def read_trec_run(spark: SparkSession, path: str) -> DataFrame:

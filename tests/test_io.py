@@ -82,6 +82,13 @@ def test_qrels_and_runs_round_trip(spark):
     _write(f"{d}/qrels.json", json.dumps({"q1": {"d1": 1, "d2": 0}, "7": {"d3": 2}}))
     nq = sorted((r["qid"], r["did"], r["rel"]) for r in S.read_nested_qrels(spark, f"{d}/qrels.json").collect())
     assert nq == [("7", "d3", 2), ("q1", "d1", 1), ("q1", "d2", 0)]
+    _write(f"{d}/pretty.json", json.dumps({"q1": {"d1": 1}, "q2": {"d2": 3}}, indent=2))
+    pq = sorted((r["qid"], r["did"], r["rel"]) for r in S.read_nested_qrels(spark, f"{d}/pretty.json", True).collect())
+    assert pq == [("q1", "d1", 1), ("q2", "d2", 3)]
+    many = spark.createDataFrame([(f"q{i}", f"d{j}", float(i * j)) for i in range(20) for j in range(3)],
+                                 "qid string, did string, score double")
+    K.write_run(many.coalesce(1), f"{d}/many_json", fmt="json")   # many objects in one file
+    assert S.read_nested_run(spark, f"{d}/many_json").count() == 60
     run = spark.createDataFrame([("q1", "d1", 1.5), ("q1", "d2", 0.5), ("q2", "d3", 2.0)],
                                 "qid string, did string, score double")
     K.write_run(run, f"{d}/run_json", fmt="json")
