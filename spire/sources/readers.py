@@ -22,8 +22,9 @@ RUN_JSON = T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))
 
 
 def resolve_collection_path(path: str) -> str:
-    """A path that is not a ``.tsv`` file names a folder with ``raw.tsv``."""
-    return path if path.endswith(".tsv") else os.path.join(path, "raw.tsv")
+    """A path that is not a ``.tsv`` file (nor a glob pattern) names a
+    folder with ``raw.tsv``."""
+    return path if path.endswith(".tsv") or "*" in path else os.path.join(path, "raw.tsv")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

@@ -39,7 +39,8 @@ def write_queries_tsv(df: DataFrame, path: str, id_col: str = "row_id", text_col
     df.select(F.col(id_col).cast("string"), F.col(text_col)) \
         .orderBy(F.col(id_col).cast("long")) \
         .write.mode("overwrite").option("sep", "\t").option("quote", "").option("escape", "") \
-        .csv(path)
+        .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
