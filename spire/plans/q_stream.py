@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
+from ..operators import index as ix
+from ..operators import retrieve as R
 from ..operators import sparse as S
+from ..session import scratch_path
 from ..streaming import stream as Z
 from . import fixtures as fx
-from .q_lexical import _DOC_TERMS
-from .q_retrieval import TOP_K, _SCORE_CTE, _topk_sql
-from .registry import register
+from .q_lexical import BUCKETS, _DOC_TERMS
+from .q_retrieval import TOP_K, _topk_sql
+from .registry import VEC_CTE, register
 
 N_FILES = 8
 
@@ -26,16 +31,24 @@ def stream_index(spark, sf):
     return out.select("doc_id", "dim", rounded("weight").alias("weight"))
 
 
-@register("stream_retrieve", _topk_sql(_SCORE_CTE, TOP_K))
+@register("stream_retrieve", _topk_sql(f"""WITH {VEC_CTE},
+vf AS (SELECT vec_id, dim, CAST(CAST(weight AS FLOAT) AS DOUBLE) AS weight FROM vec),
+s AS (SELECT q.vec_id AS qid, d.vec_id AS did, sum(q.weight * d.weight) AS score
+      FROM vec q JOIN vf d ON q.dim = d.dim GROUP BY 1, 2)""", TOP_K))
 def stream_retrieve(spark, sf):
-    """Embedding queries arrive as 8 files; each micro-batch is encoded
-    and retrieved (top 10) against the static postings."""
+    """The documents are indexed once into a bucketed table (X5 + K4);
+    embedding queries then arrive as 8 files and each micro-batch is
+    encoded and retrieved (top 10) against the bucketed index, which is
+    never reshuffled per batch; row ids are mapped back (R9)."""
     emb = fx.table(spark, sf, "embeddings")
+    postings, id_map, _ = ix.build_index(fx.vectors(spark, sf), fx.vector_ids(spark, sf), "vec_id")
+    name = f"stream_postings_{uuid.uuid4().hex[:10]}"
+    ix.write_postings(postings, scratch_path(spark, name), name, BUCKETS)
+    index = ix.read_postings(spark, name)
     src = Z.split_into_files(emb, "vec_id", N_FILES, Z.fresh_dir(spark, "query-stream"))
 
     def to_terms(batch):
         return S.dense_to_sparse(batch, "vec_id", "embedding", out_id="qid")
 
-    out = Z.stream_retrieve(spark, src, emb.schema, fx.postings(spark, sf), to_terms,
-                            Z.fresh_dir(spark, "run-stream"), k=TOP_K)
-    return out.select("qid", "did", "score", F.col("rank").cast("int"))
+    out = Z.stream_retrieve(spark, src, emb.schema, index, to_terms, Z.fresh_dir(spark, "run-stream"), k=TOP_K)
+    return R.translate_ids(out, id_map, "did").select("qid", "did", "score", F.col("rank").cast("int"))

@@ -10,7 +10,9 @@ Both are file-source streams processed with ``foreachBatch``:
   dense on a stream, so postings keep the content id.
 * Z2 ``stream_retrieve``: every micro-batch of queries is retrieved against
   a static postings table (top-k windows are not allowed directly on a
-  stream) and appended the same idempotent way.
+  stream) and appended the same idempotent way.  Give it a bucketed index
+  (``index.read_postings``): its scan is already clustered by document, so
+  a batch never reshuffles the index.
 
 The stream's checkpoint lives inside the output table
 (``<out>/_checkpoint``; readers skip ``_`` folders), so running the job
