@@ -101,3 +101,15 @@ def test_top_k_uses_group_limit(spark):
     run = R.retrieve(fx.query_terms(spark, SF_SMALL), fx.postings(spark, SF_SMALL), k=10, threshold=None)
     names = [n for n, _ in _nodes(_plan(run))]
     assert names.count("WindowGroupLimit") == 2
+
+
+def test_lexical_retrieval_shuffles_text_once_and_never_tokens(spark):
+    import __spark_entry__ as E
+    df = E.queries()["lexical_retrieve"](spark, SF_SMALL)
+    exchanges = [node.toString() for name, node in _nodes(_plan(df)) if name == "Exchange"]
+    keys = [e for e in exchanges if "hashpartitioning" in e]
+    # documents by id, queries by id, top-k rows by qid — never by token/dim,
+    # never by (qid, did) candidate pairs
+    assert len(keys) == 3, keys
+    assert not any("token" in e or "dim" in e for e in keys), keys
+    assert not any("qid" in e and "did" in e for e in keys), keys
