@@ -8,6 +8,7 @@ from ..functions.scalar import rounded
 from ..operators import distill as D
 from ..operators import retrieve as R
 from ..operators.rowids import assign_row_ids
+from ..session import shared_dir
 from . import fixtures as fx
 from .registry import QRELS_CTE, RUN2_CTE, RUN_CTE, VEC_CTE, register
 
@@ -22,8 +23,12 @@ def _thousands(run):
 
 def _ts(spark, sf):
     """Teacher = lineitem run one, student = run two (scores in thousands),
-    common candidates."""
-    return D.teacher_student(_thousands(fx.lineitem_run(spark, sf)), _thousands(fx.lineitem_run2(spark, sf)))
+    common candidates.  Stored once (like the reference's teacher-run files)
+    in the shared folder, since every distillation plan reads it from
+    several branches."""
+    shared_dir(spark)
+    ts = D.teacher_student(_thousands(fx.lineitem_run(spark, sf)), _thousands(fx.lineitem_run2(spark, sf)))
+    return ts.checkpoint(eager=True)
 
 
 def _samples(spark, sf):
