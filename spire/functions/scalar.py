@@ -29,5 +29,9 @@ def minmax_rescale(score, t_min, t_max, s_min, s_max, eps: float = MINMAX_EPS) -
 
 def rounded(col, digits: int = SCORE_DIGITS) -> Column:
     """Scores are compared and ordered on 6 decimals so float summation
-    order never changes a rank."""
-    return F.round(_c(col).cast("double"), digits)
+    order never changes a rank.  Computed as ``round(x * 10^d) / 10^d`` on
+    the binary value: ``round(x, d)`` would round the shortest decimal
+    string of x half-up, which differs from SQL engines that scale first
+    whenever x sits on a tie (e.g. 32.0415625)."""
+    scale = float(10 ** digits)
+    return F.round(_c(col).cast("double") * F.lit(scale)) / F.lit(scale)

@@ -17,17 +17,19 @@ SKIP, TAKE = 10, 950
 VEC_K, VEC_NEG, VEC_SEED, BATCH = 20, 3, 7, 8
 
 
-def _thousands(run):
-    return run.withColumn("score", F.col("score") / 1000.0)
+def _scaled(run):
+    """Prices scaled by 2^-10: exact in binary, and means of the scaled
+    values never land exactly on a 6-decimal rounding tie."""
+    return run.withColumn("score", F.col("score") / 1024.0)
 
 
 def _ts(spark, sf):
-    """Teacher = lineitem run one, student = run two (scores in thousands),
+    """Teacher = lineitem run one, student = run two (scores scaled by 2^-10),
     common candidates.  Stored once (like the reference's teacher-run files)
     in the shared folder, since every distillation plan reads it from
     several branches."""
     shared_dir(spark)
-    ts = D.teacher_student(_thousands(fx.lineitem_run(spark, sf)), _thousands(fx.lineitem_run2(spark, sf)))
+    ts = D.teacher_student(_scaled(fx.lineitem_run(spark, sf)), _scaled(fx.lineitem_run2(spark, sf)))
     return ts.checkpoint(eager=True)
 
 
@@ -47,7 +49,7 @@ def _md5(seed, a, b):
 
 
 _BASE = f"""WITH {RUN_CTE}, {RUN2_CTE}, {QRELS_CTE},
-ts AS (SELECT r.qid, r.did, r.score / 1000.0 AS teacher, r2.score / 1000.0 AS student
+ts AS (SELECT r.qid, r.did, r.score / 1024.0 AS teacher, r2.score / 1024.0 AS student
        FROM run r JOIN run2 r2 ON r.qid = r2.qid AND r.did = r2.did),
 samples AS (SELECT qid, did, teacher AS score FROM ts),
 pos AS (SELECT qid, did FROM qrels WHERE rel >= 1),

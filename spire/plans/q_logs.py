@@ -67,7 +67,8 @@ def normalise_by_log(spark, sf):
 
 
 @register("metric_by_checkpoint", """WITH e AS (
-  SELECT event_type AS run_name, CAST(dayofmonth(ts) AS BIGINT) AS checkpoint, value FROM events
+  SELECT event_type AS run_name, CAST(dayofmonth(ts) AS BIGINT) AS checkpoint,
+         CAST(value AS DECIMAL(12, 2)) AS value FROM events
   WHERE strpos(event_type, 'error') = 0),
 f AS (SELECT run_name, CASE WHEN strpos(run_name, '_0') > 0 THEN checkpoint * 2 ELSE checkpoint END AS checkpoint,
              value FROM e),
@@ -79,9 +80,10 @@ def metric_by_checkpoint(spark, sf):
     """R8 + F16 + A15: runs named by event type (error runs excluded),
     checkpoint = day of month, mean and sample std over users."""
     e = fx.table(spark, sf, "events").select(
-        F.col("event_type").alias("run_name"), F.dayofmonth("ts").cast("long").alias("checkpoint"), "value")
+        F.col("event_type").alias("run_name"), F.dayofmonth("ts").cast("long").alias("checkpoint"),
+        F.col("value").cast("decimal(12,2)").alias("value"))   # cent-valued metric stored exactly
     m = L.metric_by_checkpoint(L.filter_metric_runs(e, exclude=["error"]))
-    return m.select("run_name", F.col("checkpoint").cast("long"), rounded("mean").alias("mean"),
+    return m.select("run_name", F.col("checkpoint").cast("long"), rounded(F.col("mean").cast("double")).alias("mean"),
                     rounded("std").alias("std"), F.col("n").cast("long"))
 
 
