@@ -82,8 +82,15 @@ def shard_top_dims(vec: DataFrame, shards: DataFrame, id_col: str, topk_dims: in
 
 def route(q_terms: DataFrame, shard_dims: DataFrame, m: int, qid: str = "qid") -> DataFrame:
     """J12 + U5 + T4: overlap of a query's dims with each shard's top dims;
-    the best ``m`` shards with overlap > 0 (ties by shard id)."""
+    the best ``m`` shards with overlap > 0 (ties by shard id).
+
+    The (shard, dim) table has at most shards x vocabulary rows; after a
+    row-count check it is broadcast, so query terms are never shuffled on a
+    (hot) dimension.  Above the bound the join is left to AQE's skew
+    handling."""
     sd = shard_dims.select("shard", F.explode("top_dims").alias("dim"))
+    if sd.count() <= R.broadcast_limit(sd.sparkSession):
+        sd = F.broadcast(sd)
     ov = q_terms.select(qid, "dim").join(sd, "dim").groupBy(qid, "shard") \
         .agg(F.count(F.lit(1)).cast("long").alias("overlap"))
     w = Window.partitionBy(qid).orderBy(F.col("overlap").desc(), F.col("shard").asc())
