@@ -148,3 +148,16 @@ def evaluate_summary(spark, sf):
 def _per_dataset(qrels):
     """The same qrels apply to both datasets."""
     return qrels.withColumn("dataset", F.explode(F.array(F.lit("teacher1"), F.lit("teacher2"))))
+
+
+@register("map_distributed_ranking", _pq_sql([10], """SELECT qid,
+  round(CASE WHEN num_rel > 0 THEN coalesce(ap_sum, 0) / num_rel ELSE 0 END, 6) AS map,
+  round(CASE WHEN num_rel > 0 THEN rprec_hits / num_rel ELSE 0 END, 6) AS Rprec,
+  round(recip_rank, 6) AS recip_rank, CAST(num_ret AS BIGINT) AS num_ret FROM pq"""))
+def map_distributed_ranking(spark, sf):
+    """M6 full depth with ``ranking='distributed'``: the run is ranked by a
+    global range sort with per-partition offsets, so a query holding a
+    third of the run is split over many tasks instead of one window."""
+    pq = M.per_query(fx.lineitem_run(spark, sf), fx.lineitem_qrels(spark, sf), cutoffs=[10],
+                     ranking="distributed")
+    return _round(pq, ["map", "Rprec", "recip_rank"], ["num_ret"])
