@@ -113,3 +113,18 @@ def test_lexical_retrieval_shuffles_text_once_and_never_tokens(spark):
     assert len(keys) == 3, keys
     assert not any("token" in e or "dim" in e for e in keys), keys
     assert not any("qid" in e and "did" in e for e in keys), keys
+
+
+def test_query_blocks_never_shuffle_the_bucketed_index(spark):
+    docs_q = fx.query_terms(spark, SF_SMALL)
+    name = f"pb_{uuid.uuid4().hex[:10]}"
+    ix.write_postings(fx.postings(spark, SF_SMALL), scratch_path(spark, name), name, 4)
+    p = ix.read_postings(spark, name)
+    n = docs_q.count()
+    scores = R.score(docs_q, p, broadcast_rows=n // 3)       # forces the block strategy
+    nodes = _nodes(_plan(scores))
+    aggs = [node for name_, node in nodes if name_ == "HashAggregate"]
+    assert len(aggs) >= 3                                     # one final aggregate per block (and partials)
+    for agg in aggs:
+        path = _path_to_scan(agg)
+        assert "Exchange" not in path, path
