@@ -109,3 +109,53 @@ def components(edges: DataFrame) -> DataFrame:
             return small.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         e = small
+
+
+def id_crc(doc_id: Column) -> Column:
+    """crc32 of an id as text (unsigned); null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def sample_labels(labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
+    """At most ``rows`` labelled ids per class, the first in hash order:
+    (doc_id, y, h).  Null ids and labels other than 0 and 1 are left out; of
+    conflicting labels of an id the higher holds."""
+    one = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+           .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
+    picks = [one.where(F.col("y") == y).orderBy("h", "doc_id").limit(rows) for y in (0, 1)]
+    return picks[0].unionByName(picks[1])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Ridge logistic regression by damped Newton steps; column 0 is the intercept."""
+    w = np.zeros(x.shape[1])
+    c = np.ones(len(y)) if weight is None else weight
+    pen = np.full(x.shape[1], ridge)
+    pen[0] = 1e-6
+
+    def loss(v):
+        z = x @ v
+        return float((c * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (pen * v * v).sum())
+
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        g = x.T @ (c * (p - y)) + pen * w
+        h = (x * (c * p * (1 - p))[:, None]).T @ x + np.diag(pen + 1e-9)
+        d = np.linalg.solve(h, g)
+        t = 1.0
+        while t > 1e-6 and loss(w - t * d) > now:
+            t /= 2
+        new = loss(w - t * d)
+        if now - new < 1e-9 * (1 + abs(now)):
+            break
+        w, now = w - t * d, new
+    return w
+
+
+def spread(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features, their squares and products, and an intercept."""
+    z = np.clip((x - mean) / scale, -8, 8)
+    k = z.shape[1]
+    both = [z[:, i] * z[:, j] for i in range(k) for j in range(i, k)]
+    return np.column_stack([np.ones(len(z)), z, *both])
