@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprint import fingerprint_documents
 from .mixing import mix_sources
 from .quality import score_quality
 from .sharding import shard_documents
@@ -71,3 +72,8 @@ def op2_quality(spark, sf_dir):
 @register("op7_toxicity")
 def op7_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_fingerprints")
+def op4_fingerprints(spark, sf_dir):
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
