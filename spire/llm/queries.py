@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprint import fingerprint_documents
 from .mixing import mix_sources
 from .quality import score_quality
 from .sharding import shard_documents
+from .substrings import remove_repeats
 from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +79,21 @@ def op7_toxicity(spark, sf_dir):
 @register("op4_fingerprints")
 def op4_fingerprints(spark, sf_dir):
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS s, w FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY array_to_string(w[s:s+12], ' ')) AS m FROM win),
+hit AS (SELECT doc_id, list(s) AS ss FROM (SELECT DISTINCT doc_id, s FROM g WHERE m < doc_id) GROUP BY doc_id),
+cov AS (SELECT doc_id, list_distinct(flatten(list_transform(ss, lambda x: range(x, x + 13)))) AS gone FROM hit),
+k AS (SELECT d.doc_id, d.w, coalesce(cov.gone, []) AS gone FROM d LEFT JOIN cov USING (doc_id))
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM k"""
+
+
+@register("op10_substrings", OP10_SQL)
+def op10_substrings(spark, sf_dir):
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
