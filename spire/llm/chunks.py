@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -32,21 +32,33 @@ _REPLY = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("mask", pa.b
 NO_ID = (1 << 63) - 1
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = 8 << 20) -> tuple[DataFrame, int]:
-    """Store ``docs(doc_id, text)`` as (chunk, key, no_id, z), bucketed by chunk,
-    and say how many chunks there are; a chunk holds about ``chunk_bytes`` of
-    text.  Reading the table back grouped by chunk needs no shuffle."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / chunk_bytes))
-    files = min(max(1, math.ceil(n / 3)), 50_000)  # Spark allows 100,000 buckets a table
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), key.alias("key"),
-                       F.col("doc_id").isNull().alias("no_id"), packed("text").alias("z"))
+def bucketed(rows: DataFrame, chunks: int) -> DataFrame:
+    """Store ``rows(chunk, ...)`` bucketed by chunk; reading the table back
+    grouped by chunk needs no shuffle."""
+    spark = rows.sparkSession
+    files = min(max(1, math.ceil(chunks / 3)), 50_000)  # Spark allows 100,000 buckets a table
     name = f"llm_chunks_{uuid.uuid4().hex[:12]}"
     (rows.repartition(files, "chunk").write.bucketBy(files, "chunk")
      .option("path", scratch_path(spark, "llm-chunks")).saveAsTable(name))
-    return spark.table(name), n
+    return spark.table(name)
+
+
+def chunk_count(docs: DataFrame, chunk_bytes: int = 8 << 20) -> int:
+    """How many chunks of about ``chunk_bytes`` of text the documents make."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, math.ceil(total / chunk_bytes))
+
+
+def key_of(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+
+
+def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs(doc_id, text)`` as a stored (chunk, key, no_id, z), and the number of chunks."""
+    n = chunk_count(docs)
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), key_of().alias("key"),
+                       F.col("doc_id").isNull().alias("no_id"), packed("text").alias("z"))
+    return bucketed(rows, n), n
 
 
 @dataclass
@@ -54,7 +66,7 @@ class Words:
     """The texts of a chunk in order of their keys, as one run of words."""
 
     keys: np.ndarray      # of each text, ascending
-    no_id: np.ndarray
+    order: np.ndarray     # rows of the chunk in this order
     texts: list[list[bytes]]
     hashes: np.ndarray    # of each word
     text: np.ndarray      # its text
@@ -66,13 +78,17 @@ class Words:
         keys = table.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
         raw = unpacked(table.column("z"))
-        texts = [((raw[i] or b"").lower() if lower else (raw[i] or b"")).split() for i in order]
+        return Words.split([raw[i] or b"" for i in order], keys[order], order, lower)
+
+    @staticmethod
+    def split(raw: list[bytes], keys: np.ndarray, order: np.ndarray, lower: bool = False) -> Words:
+        texts = [(t.lower() if lower else t).split() for t in raw]
         sizes = np.array([len(t) for t in texts], np.int64)
         n = int(sizes.sum())
         hashes = hash_words([w for t in texts for w in t])
         text = np.repeat(np.arange(len(texts)), sizes)
         at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return Words(keys[order], table.column("no_id").to_numpy(zero_copy_only=False)[order], texts, hashes, text, at, sizes[text] - at)
+        return Words(keys, order, texts, hashes, text, at, sizes[text] - at)
 
     def runs(self, width: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (of the whole run) in ``where`` that start ``width`` words of

@@ -17,6 +17,7 @@ from .fingerprint import fingerprint_documents
 from .mixing import mix_sources
 from .quality import score_quality
 from .sharding import shard_documents
+from .similar import similar_documents
 from .substrings import remove_repeats
 from .toxicity import score_toxicity
 
@@ -97,3 +98,8 @@ FROM k"""
 def op10_substrings(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op5_ngram_join")
+def op5_ngram_join(spark, sf_dir):
+    return similar_documents(table(spark, sf_dir, "documents"), width=3, num=90, den=100)

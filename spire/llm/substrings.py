@@ -62,7 +62,8 @@ class _Cover:
         keep = np.cumsum(edge)[:-1] == 0
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": []}
         start = 0
-        for k, none, text in zip(words.keys.tolist(), words.no_id.tolist(), words.texts):
+        no_id = table.column("no_id").to_numpy(zero_copy_only=False)[words.order]
+        for k, none, text in zip(words.keys.tolist(), no_id.tolist(), words.texts):
             mine = keep[start:start + len(text)]
             start += len(text)
             kept = text if mine.all() else [text[i] for i in np.flatnonzero(mine)]
