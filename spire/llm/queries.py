@@ -20,6 +20,7 @@ from .sharding import shard_documents
 from .similar import similar_documents
 from .substrings import remove_repeats
 from .toxicity import score_toxicity
+from .vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +104,21 @@ def op10_substrings(spark, sf_dir):
 @register("op5_ngram_join")
 def op5_ngram_join(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id JOIN c ON c.x = vec_id"""
+
+
+@register("op9_vectors", OP9_SQL)
+def op9_vectors(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
