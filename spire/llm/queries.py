@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprint import fingerprint_documents
 from .mixing import mix_sources
+from .pii import replace_private
 from .quality import score_quality
 from .sharding import shard_documents
 from .similar import similar_documents
@@ -122,3 +123,8 @@ FROM embeddings LEFT JOIN n ON n.x = vec_id JOIN c ON c.x = vec_id"""
 @register("op9_vectors", OP9_SQL)
 def op9_vectors(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op8_pii")
+def op8_pii(spark, sf_dir):
+    return replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
