@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprint import fingerprint_documents
 from .mixing import mix_sources
+from .pieces import decoder, encode_documents
 from .pii import replace_private
 from .quality import score_quality
 from .sharding import shard_documents
@@ -128,3 +129,10 @@ def op9_vectors(spark, sf_dir):
 @register("op8_pii")
 def op8_pii(spark, sf_dir):
     return replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op3_pieces")
+def op3_pieces(spark, sf_dir):
+    """Ids of every text, and a digest of the text decoded from them."""
+    out = encode_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(decoder()("ids"), 256).alias("decoded_sha256"))
