@@ -19,6 +19,18 @@ def _per_shard(df: DataFrame, col: str, n_shards: int) -> list[int]:
     return [int(found.get(s, 0)) for s in range(n_shards)]
 
 
+def _admission(flow: list[list[int]], load: list[int], quota: int, steps: int = 60) -> list[float]:
+    """Share of its callers that each shard admits so that none goes over its
+    quota, counting the room that those leave who are admitted elsewhere."""
+    n = len(load)
+    callers = [sum(flow[s][t] for s in range(n)) for t in range(n)]
+    admit = [1.0] * n
+    for _ in range(steps):
+        room = [quota - load[s] + sum(flow[s][t] * admit[t] for t in range(n)) for s in range(n)]
+        admit = [min(1.0, max(0.0, room[t] / callers[t])) if callers[t] else 0.0 for t in range(n)]
+    return admit
+
+
 def propagate(members: DataFrame, n_shards: int, rows: int, rounds: int) -> DataFrame:
     """Label propagation over ``members(rid, link, shard)``.
 
@@ -26,8 +38,8 @@ def propagate(members: DataFrame, n_shards: int, rows: int, rounds: int) -> Data
     round, a hub ranks shards by how many of its members they hold, passing
     over full shards unless they hold half of the hub already, and calls its
     members to the first of them (to the first few, if the hub is larger than
-    a shard).  A shard admits callers only up to its free quota; who is
-    admitted is drawn by a keyed hash, so no task orders a whole shard.
+    a shard).  A shard admits callers only up to its quota, less who stays;
+    who is admitted is drawn by a keyed hash, so no task orders a whole shard.
     Tallies are combined before the shuffle and a hub is at most n_shards
     rows.
     """
@@ -37,7 +49,7 @@ def propagate(members: DataFrame, n_shards: int, rows: int, rounds: int) -> Data
         full = [x >= quota for x in load]
         tally = members.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
         hubs = tally.groupBy("link").agg(F.sum("n").alias("size"), F.collect_list(F.struct("shard", "n")).alias("held"))
-        span = F.greatest(F.lit(1), F.ceil(F.col("size") * n_shards / F.lit(rows))).cast("int")
+        span = F.greatest(F.lit(1), F.ceil(F.col("size") * n_shards * 1.15 / F.lit(rows))).cast("int")
         passed = F.transform("held", lambda x: F.struct(
             (_at(full, x["shard"]) & (x["n"] * 2 * F.col("span") < F.col("size"))).alias("skip"),
             (-x["n"]).alias("less"), F.xxhash64("link", x["shard"]).alias("tie"), x["shard"].alias("shard")))
@@ -46,16 +58,18 @@ def propagate(members: DataFrame, n_shards: int, rows: int, rounds: int) -> Data
         pick = F.element_at("targets", (F.pmod(F.xxhash64("rid", F.lit(turn)), F.size("targets")) + 1).cast("int"))
         asked = stored(members.join(hubs, "link").select(
             "rid", "link", "shard", F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(pick).alias("want")), "asked")
-        callers = _per_shard(asked.where("want <> shard"), "want", n_shards)
-        if not any(callers):
+        flow = [[0] * n_shards for _ in range(n_shards)]
+        for r in asked.where("want <> shard").groupBy("shard", "want").count().collect():  # n_shards squared at most
+            flow[r["shard"]][r["want"]] = r["count"]
+        if not any(map(any, flow)):
             return asked.select("rid", "link", "shard")
-        admit = [min(1.0, max(0, quota - x) / c) if c else 0.0 for x, c in zip(load, callers)]
+        admit = _admission(flow, load, quota)
         draw = F.pmod(F.xxhash64("rid", F.lit(turn + 1000)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         members = asked.select("rid", "link", F.when(draw < _at(admit, F.col("want")), F.col("want")).otherwise(F.col("shard")).alias("shard"))
     return stored(members, "settled")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 4, seed: int = 29) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 6, seed: int = 29) -> DataFrame:
     """Put ``docs(doc_id, text)`` into shards 0 to n_shards - 1 under the law
     ``rows``: counts per shard differ by at most one.
 
