@@ -10,6 +10,8 @@ scan and aggregate.  It is never shuffled on ``dim`` (hot dimensions).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ def build_index(vectors: DataFrame, ids: DataFrame, id_col: str, order: list | N
                 dim_voc: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Encoded vectors -> (postings on dense row ids, id map, stats).
 
-    ``ids`` lists every document (also those without non-zero weight);
-    row ids follow ``order`` (default: the id)."""
+    ``ids`` lists every document (also those without non-zero weight) once: a
+    repeated id is an error that names some.  Row ids follow ``order``
+    (default: the id)."""
+    check_unique(ids, id_col)
     id_map = assign_row_ids(ids.select(id_col), order or [id_col])
     postings = vectors.where(F.col("weight") > 0).join(id_map, id_col) \
         .select(F.col("row_id").alias("did"), "dim", F.col("weight").cast("float").alias("weight"))
@@ -34,10 +38,18 @@ def build_index(vectors: DataFrame, ids: DataFrame, id_col: str, order: list | N
     return postings, id_map.select("row_id", F.col(id_col).alias("id")), stats
 
 
+def check_unique(ids: DataFrame, id_col: str, show: int = 10) -> None:
+    """SURVEY 2.0: ids of a collection are unique; raises with examples."""
+    twice = [r[0] for r in ids.groupBy(id_col).count().where("count > 1").select(id_col).limit(show).collect()]
+    if twice:
+        raise ValueError(f"repeated ids in {id_col}: {twice}")
+
+
 def write_postings(postings: DataFrame, path: str, table: str, buckets: int = DEFAULT_BUCKETS) -> None:
     """K4: bucketed by document, sorted by dim inside a bucket.  Bucketing
     needs a catalog entry; the files live at ``path`` (shared storage)."""
-    postings.write.mode("overwrite").bucketBy(buckets, "did").sortBy("dim") \
+    # one task per bucket, so one file per bucket
+    postings.repartition(buckets, "did").write.mode("overwrite").bucketBy(buckets, "did").sortBy("dim") \
         .option("path", path).saveAsTable(table)
 
 
@@ -46,6 +58,16 @@ def read_postings(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
 
 
+def reload_postings(spark: SparkSession, path: str, table: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """S18 in a later application: name the files at ``path`` (written by
+    `write_postings` with the same number of buckets) in this session's catalog
+    again, buckets included, so that scans stay clustered by document."""
+    schema = spark.read.parquet(path).schema
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet CLUSTERED BY (did) SORTED BY (dim) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def write_id_map(id_map: DataFrame, path: str) -> None:
     """K5: internal row id -> external id."""
     id_map.write.mode("overwrite").parquet(path)
@@ -67,10 +89,17 @@ def posting_distribution(lengths: DataFrame) -> DataFrame:
     return r.select(F.col("rank").cast("long"), "dim", F.col("df").cast("long"))
 
 
-def shard_documents(vec: DataFrame, id_col: str, n_shards: int, topk_dims: int = 100) -> DataFrame:
-    """shard = (sum of the ids of the ``topk_dims`` strongest dims) mod n."""
+def shard_documents(vec: DataFrame, id_col: str, n_shards: int, topk_dims: int = 100,
+                    ids: DataFrame | None = None) -> DataFrame:
+    """shard = (sum of the ids of the ``topk_dims`` strongest dims) mod n.
+    Token dimensions count by their crc32.  With ``ids`` (all documents) those
+    without weights go to shard 0."""
     top = prune_topk(vec, topk_dims, id_col)
-    return top.groupBy(id_col).agg(F.pmod(F.sum("dim"), F.lit(n_shards)).cast("int").alias("shard"))
+    number = F.col("dim") if dict(vec.dtypes)["dim"] != "string" else F.crc32(F.col("dim").cast("binary"))
+    found = top.groupBy(id_col).agg(F.pmod(F.sum(number), F.lit(n_shards)).cast("int").alias("shard"))
+    if ids is None:
+        return found
+    return ids.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("shard", F.lit(0)).alias("shard"))
 
 
 def shard_top_dims(vec: DataFrame, shards: DataFrame, id_col: str, topk_dims: int = 100) -> DataFrame:
@@ -84,15 +113,12 @@ def route(q_terms: DataFrame, shard_dims: DataFrame, m: int, qid: str = "qid") -
     """J12 + U5 + T4: overlap of a query's dims with each shard's top dims;
     the best ``m`` shards with overlap > 0 (ties by shard id).
 
-    The (shard, dim) table has at most shards x vocabulary rows; after a
-    row-count check it is broadcast, so query terms are never shuffled on a
-    (hot) dimension.  Above the bound the join is left to AQE's skew
-    handling."""
-    sd = shard_dims.select("shard", F.explode("top_dims").alias("dim"))
-    if sd.count() <= R.broadcast_limit(sd.sparkSession):
-        sd = F.broadcast(sd)
-    ov = q_terms.select(qid, "dim").join(sd, "dim").groupBy(qid, "shard") \
-        .agg(F.count(F.lit(1)).cast("long").alias("overlap"))
+    Overlap is the dot product of presence weights, so shards are scored like
+    documents: the shard sets are the postings, clustered by shard, and the
+    queries go over them in measured blocks, never shuffled on a dimension."""
+    sd = shard_dims.select("shard", F.explode("top_dims").alias("dim"), F.lit(1.0).alias("weight"))
+    q = q_terms.select(qid, "dim", F.lit(1.0).alias("weight"))
+    ov = R.score(q, sd, qid, "shard").select(qid, "shard", F.col("score").cast("long").alias("overlap"))
     w = Window.partitionBy(qid).orderBy(F.col("overlap").desc(), F.col("shard").asc())
     return ov.where(F.col("overlap") > 0).withColumn("srank", F.row_number().over(w)) \
         .where(F.col("srank") <= m)
@@ -111,14 +137,13 @@ def write_sharded_postings(tagged: DataFrame, path: str) -> None:
 
 def retrieve_sharded(q_terms: DataFrame, routed: DataFrame, tagged_postings: DataFrame,
                      k: int = 1000, threshold: float | None = 0.0, qid: str = "qid",
-                     did: str = "did") -> DataFrame:
+                     did: str = "did", digits: int | None = None) -> DataFrame:
     """X11: each query term is expanded to the query's routed shards and
     joined on (dim, shard): a document outside those shards is never
     scored.  With postings partitioned by shard on disk the join prunes
     whole folders."""
     qs = q_terms.join(routed.select(qid, "shard"), qid)
-    s = R.score(qs, tagged_postings, qid, did, extra_keys=["shard"])
-    return R.topk(s, k, qid, did, threshold)
+    return R.retrieve(qs, tagged_postings, k, threshold, qid, did, digits=digits, extra_keys=["shard"])
 
 
 def shard_offsets(sizes: DataFrame) -> DataFrame:
@@ -135,15 +160,38 @@ def local_indexes(vec: DataFrame, shards: DataFrame, id_col: str) -> DataFrame:
     return vec.join(ids, id_col)
 
 
-def merge_index(parts: DataFrame, id_col: str) -> DataFrame:
+def merge_index(parts: DataFrame, id_col: str, id_maps: DataFrame | None = None) -> DataFrame:
     """X6 = W13 + U2: local ids shifted by the shard offsets into one global
-    id space; shard size = number of documents in the shard's id map."""
-    sizes = parts.groupBy("shard").agg(F.countDistinct(id_col).alias("n"))
-    offs = F.broadcast(shard_offsets(sizes).select("shard", "offset"))  # one row per shard
+    id space.  A shard is as large as its id map, ``id_maps(shard, local_id,
+    ...)``, which also lists documents without postings; without it, as its
+    largest local id says."""
+    sizes = (id_maps if id_maps is not None else parts).groupBy("shard").agg((F.max("local_id") + 1).alias("n"))
+    offs = shard_offsets(sizes).select("shard", "offset")  # one row per shard
     return parts.join(offs, "shard").select(
         (F.col("local_id") + F.col("offset")).alias("row_id"), id_col, "dim", "weight")
 
 
+def write_shard_index(vec: DataFrame, ids: DataFrame, path: str, id_col: str) -> None:
+    """One shard indexed on its own: ``path/postings`` and ``path/ids`` with
+    local row ids 0.. (all documents, also those without weights)."""
+    postings, id_map, _ = build_index(vec, ids, id_col)
+    write_id_map(id_map.select(F.col("row_id").alias("local_id"), "id"), f"{path}/ids")
+    postings.select(F.col("did").alias("local_id"), "dim", "weight").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def merge_written(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Separately written shard indexes -> (postings, id map) with global
+    row ids, shards in the order of ``paths``."""
+    def read(part):
+        frames = [spark.read.parquet(f"{p}/{part}").withColumn("shard", F.lit(i)) for i, p in enumerate(paths)]
+        return reduce(DataFrame.unionByName, frames)
+    ids, posts = read("ids"), read("postings")
+    offs = shard_offsets(ids.groupBy("shard").agg((F.max("local_id") + 1).alias("n"))).select("shard", "offset")
+    moved = (F.col("local_id") + F.col("offset")).alias
+    return (posts.join(offs, "shard").select(moved("did"), "dim", "weight"),
+            ids.join(offs, "shard").select(moved("row_id"), "id"))
+
+
 def merge_stats(stats: DataFrame) -> DataFrame:
     """Document-weighted mean of the per-shard L0/L1 statistics (the
     exact whole-index value, unlike an unweighted mean of means)."""

@@ -5,20 +5,14 @@ One set-oriented plan answers every query at once (X7/X8/X14):
     postings ⋈ query terms on dim  ->  sum(qw * dw) by (qid, did)
       ->  threshold  ->  row_number() <= k per qid
 
-Join strategy (J1).  The query side is counted first; if its term rows fit
-``broadcast_rows`` (session setting ``spark.spire.broadcastRows``) it is
-broadcast, the postings are scanned once and never shuffled on ``dim`` (a
-hot dimension — a stop word with a third of all postings — then costs
-nothing extra).  Above the bound the join is shuffled on ``(dim, salt)``
-and only hot dimensions are salted: postings per dimension are counted,
-a dimension with more than ``salt_rows`` postings gets
-``ceil(count / salt_rows)`` salts (postings pick one by a hash of the
-document id, its query terms are replicated once per salt), every other
-dimension keeps salt 0.  The hot-dimension table is broadcast: it has at
-most ``total postings / salt_rows`` rows by construction.  When the
-postings are a bucketed (document-clustered) index and a few query blocks
-of checked size suffice, the queries are processed block by block instead
-(``blocks``): the index is rescanned per block but never shuffled.
+Join strategy (J1), the same at every size: the postings are clustered by
+document (a bucketed index already is; anything else is shuffled once, or
+written bucketed once if several blocks have to scan it), and the queries go
+over them in blocks.  A block holds whole queries, its size in bytes is
+measured and stays under ``spark.spire.broadcastBytes``, and it is broadcast:
+a hot dimension — a stop word with a third of all postings — costs nothing
+extra, and candidate pairs never cross the network.  Only a block that a
+single query makes larger than the limit is joined without broadcast.
 
 Aggregation (A1) is map-side partial then final; when the postings come
 from a table bucketed by document id, the join output is already clustered
@@ -31,126 +25,108 @@ ships more than ``k`` rows per task.
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import SCORE_DIGITS, rounded
+from ..functions.scalar import rounded
+from ..session import scratch_path
 from .layout import cluster, clustered_on
 from .sparse import l2_normalize
 
-# Query-term rows below which the query side is broadcast.  A term row is a
-# (long, int/short string, double) triple, well under 64 bytes once in the
-# broadcast hash relation, so the bound keeps the relation below ~128 MB.
-BROADCAST_ROWS = 2_000_000
-# postings per task for one hot dimension on the salted path
-SALT_ROWS = 1_000_000
+# bytes of one broadcast block of query terms
+BROADCAST_BYTES = 128 << 20
+# a term row of the hash relation besides its strings: two 8-byte values, header, slot
+ROW_BYTES = 48
+# blocks that go into one plan; more are run one after another into scratch storage
+PLAN_BLOCKS = 8
 
 
-def broadcast_limit(spark, default: int = BROADCAST_ROWS) -> int:
-    return int(spark.conf.get("spark.spire.broadcastRows", str(default)))
+def broadcast_limit(spark, default: int = BROADCAST_BYTES) -> int:
+    return int(spark.conf.get("spark.spire.broadcastBytes", str(default)))
 
 
-# largest number of query blocks worth a rescan of a clustered index each
-MAX_BLOCKS = 8
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row once broadcast: a fixed part plus its strings (numbers
+    count as their text, an upper bound that also holds for struct keys)."""
+    return F.lit(ROW_BYTES) + sum((F.octet_length(F.col(c).cast("string")) for c in df.columns), F.lit(0))
 
 
-def choose_strategy(q_terms: DataFrame, broadcast_rows: int | None = None,
-                    postings: DataFrame | None = None, did: str = "did") -> tuple[str, int]:
-    """Size check for the broadcast side (an exact row count) and the
-    strategy: ``broadcast``; else ``blocks`` when the postings are already
-    clustered by document (a bucketed index: rescanning it a few times is
-    cheaper than shuffling it) and few blocks suffice; else ``salted``.
-    Returns (strategy, number of query rows)."""
-    limit = broadcast_rows if broadcast_rows is not None else broadcast_limit(q_terms.sparkSession)
-    n = q_terms.count()
-    if n <= limit:
-        return "broadcast", n
-    if postings is not None and clustered_on(postings, [did]) and math.ceil(n / limit) <= MAX_BLOCKS:
-        return "blocks", n
-    return "salted", n
-
-
-def query_blocks(q: DataFrame, qid: str, n_rows: int, limit: int) -> list[DataFrame]:
-    """Split the query terms into blocks of whole queries by a hash of the
-    query id; every block's size is checked against ``limit`` (one small
-    count per block) and the split doubles until all fit."""
-    blocks = max(1, math.ceil(n_rows / limit))
+def query_blocks(q: DataFrame, qid: str, limit: int | None = None) -> list[tuple[DataFrame, bool]]:
+    """Split query terms into blocks of whole queries by a hash of the query
+    id: (block, whether it fits ``limit`` bytes).  The driver sees one size per
+    block.  Blocks double until all fit or none can get smaller: a block that
+    holds a query larger than the limit stays as it is."""
+    limit = limit or broadcast_limit(q.sparkSession)
+    per = q.groupBy(qid).agg(F.sum(row_bytes(q)).alias("_b"))
+    total, largest = per.agg(F.sum("_b"), F.max("_b")).first()
+    if (total or 0) <= limit:
+        return [(q, True)]
+    blocks = max(2, math.ceil(total / limit))
     while True:
-        tagged = q.withColumn("_blk", F.pmod(F.xxhash64(F.col(qid)), F.lit(blocks)))
-        sizes = tagged.groupBy("_blk").count().collect()  # one row per block
-        if all(r["count"] <= limit for r in sizes):
-            return [tagged.where(F.col("_blk") == b).drop("_blk") for b in range(blocks)]
+        blk = F.pmod(F.xxhash64(F.col(qid)), F.lit(blocks))
+        sizes = {r["_k"]: r["_s"] for r in per.groupBy(blk.alias("_k")).agg(F.sum("_b").alias("_s")).collect()}
+        if max(sizes.values()) <= max(limit, 2 * largest):
+            return [(q.where(blk == k), sizes[k] <= limit) for k in sorted(sizes)]
         blocks *= 2
 
 
-def hot_dims(postings: DataFrame, salt_rows: int = SALT_ROWS, extra_keys: list[str] | None = None) -> DataFrame:
-    """Dimensions with more than ``salt_rows`` postings and their salt
-    count; at most ``count(postings) / salt_rows`` rows."""
-    keys = ["dim"] + list(extra_keys or [])
-    return postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
-        .where(F.col("_n") > salt_rows) \
-        .select(*keys, F.ceil(F.col("_n") / F.lit(salt_rows)).cast("int").alias("_ns"))
+def clustered(postings: DataFrame, did: str, blocks: int) -> DataFrame:
+    """Postings clustered by document; several blocks scan them, so then an
+    unclustered input is written bucketed once."""
+    if clustered_on(postings, [did]):
+        return postings
+    if blocks == 1:
+        return cluster(postings, [did])
+    spark = postings.sparkSession
+    name = f"spire_postings_{uuid.uuid4().hex[:12]}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    (postings.repartition(n, did).write.bucketBy(n, did).option("path", scratch_path(spark, "postings")).saveAsTable(name))
+    return spark.table(name)
 
 
-def score(q_terms: DataFrame, postings: DataFrame, qid: str = "qid", did: str = "did",
-          strategy: str = "auto", broadcast_rows: int | None = None,
-          salt_rows: int = SALT_ROWS, extra_keys: list[str] | None = None,
-          cluster_postings: bool = True) -> DataFrame:
-    """J1 + A1: ``(qid, did, score)`` for every pair sharing a dimension.
+def score_block(q: DataFrame, p: DataFrame, qid: str, did: str, keys: list[str], fits: bool) -> DataFrame:
+    """Dot products of one block with clustered postings."""
+    j = p.join(F.broadcast(q) if fits else q, keys)
+    return j.groupBy(qid, did).agg(F.sum(F.col("_qw") * F.col("_dw")).alias("score"))
 
-    ``q_terms(qid, dim, weight)``, ``postings(did, dim, weight)``;
-    ``extra_keys`` are further equi-join columns (the shard in X11).
 
-    On the broadcast path the postings are clustered by document first
-    (free for a bucketed index, one shuffle of the postings otherwise), so
-    join, aggregate and the partial top-k run in one stage and only the
-    top-k rows per task cross the network — never the candidate pairs."""
+def _sides(q_terms, postings, qid, did, extra_keys, limit):
     keys = ["dim"] + list(extra_keys or [])
     q = q_terms.select(qid, *keys, F.col("weight").cast("double").alias("_qw"))
     p = postings.select(did, *keys, F.col("weight").cast("double").alias("_dw"))
-    n_rows = None
-    if strategy == "auto":
-        strategy, n_rows = choose_strategy(q, broadcast_rows, p, did)
-    if strategy == "blocks":
-        # each block: broadcast join + aggregate on the clustered index, no
-        # exchange; blocks hold disjoint queries, so their union is final
-        limit = broadcast_rows if broadcast_rows is not None else broadcast_limit(q.sparkSession)
-        n_rows = n_rows if n_rows is not None else q.count()
-        out = None
-        for qb in query_blocks(q, qid, n_rows, limit):
-            part = p.join(F.broadcast(qb), keys).groupBy(qid, did) \
-                .agg(F.sum(F.col("_qw") * F.col("_dw")).alias("score"))
-            out = part if out is None else out.unionByName(part)
-        return out
-    if strategy == "broadcast":
-        if cluster_postings:
-            p = cluster(p, [did])
-        j = p.join(F.broadcast(q), keys)
-    elif strategy == "salted":
-        hot = F.broadcast(hot_dims(p, salt_rows, extra_keys))
-        p = p.join(hot, keys, "left").withColumn(
-            "_salt", F.when(F.col("_ns").isNull(), F.lit(0))
-            .otherwise(F.pmod(F.xxhash64(F.col(did)), F.col("_ns")).cast("int"))).drop("_ns")
-        q = q.join(hot, keys, "left").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ns"), F.lit(1)) - 1))).drop("_ns")
-        j = p.join(q, keys + ["_salt"])
-    elif strategy == "shuffle":
-        j = p.join(q, keys)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return j.groupBy(qid, did).agg(F.sum(F.col("_qw") * F.col("_dw")).alias("score"))
+    blocks = query_blocks(q, qid, limit)
+    return keys, blocks, clustered(p, did, len(blocks))
+
+
+def score(q_terms: DataFrame, postings: DataFrame, qid: str = "qid", did: str = "did",
+          extra_keys: list[str] | None = None, block_bytes: int | None = None) -> DataFrame:
+    """J1 + A1: ``(qid, did, score)`` for every pair sharing a dimension.
+
+    ``q_terms(qid, dim, weight)``, ``postings(did, dim, weight)``;
+    ``extra_keys`` are further equi-join columns (the shard in X11).  Join and
+    sum run in the stage that scans the clustered postings; blocks hold
+    disjoint queries, so their union is final."""
+    keys, blocks, p = _sides(q_terms, postings, qid, did, extra_keys, block_bytes)
+    parts = [score_block(b, p, qid, did, keys, fits) for b, fits in blocks]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def topk(scores: DataFrame, k: int | None, qid: str = "qid", did: str = "did",
-         threshold: float | None = None, tie: str = "asc", score_col: str = "score") -> DataFrame:
+         threshold: float | None = None, tie: str = "asc", score_col: str = "score",
+         digits: int | None = None) -> DataFrame:
     """R5 + W1: strict ``score > threshold``, then the k best per query in a
-    total order (rounded score desc, document id asc, or desc with
-    ``tie='desc'``); adds ``rank`` (1-based) and rounds the score."""
+    total order (score desc, document id asc, or desc with ``tie='desc'``);
+    adds ``rank`` (1-based).  ``digits`` rounds the scores first, for
+    comparison with an engine that adds in another order; the default keeps
+    them as they are."""
     s = scores
     if threshold is not None:
         s = s.where(F.col(score_col) > F.lit(threshold))
-    s = s.withColumn(score_col, rounded(score_col, SCORE_DIGITS))
+    if digits is not None:
+        s = s.withColumn(score_col, rounded(score_col, digits))
     order_did = F.col(did).asc() if tie == "asc" else F.col(did).desc()
     w = Window.partitionBy(qid).orderBy(F.col(score_col).desc(), order_did)
     s = s.withColumn("rank", F.row_number().over(w))
@@ -159,11 +135,22 @@ def topk(scores: DataFrame, k: int | None, qid: str = "qid", did: str = "did",
     return s
 
 
-def retrieve(q_terms: DataFrame, postings: DataFrame, k: int = 1000, threshold: float | None = 0.0,
-             qid: str = "qid", did: str = "did", **kw) -> DataFrame:
-    """Every query in one plan -> ``(qid, did, score, rank)``."""
-    tie = kw.pop("tie", "asc")
-    return topk(score(q_terms, postings, qid, did, **kw), k, qid, did, threshold, tie)
+def retrieve(q_terms: DataFrame, postings: DataFrame, k: int | None = 1000, threshold: float | None = 0.0,
+             qid: str = "qid", did: str = "did", tie: str = "asc", digits: int | None = None,
+             extra_keys: list[str] | None = None, block_bytes: int | None = None) -> DataFrame:
+    """Every query -> ``(qid, did, score, rank)``.
+
+    Each block of queries is scored and cut to its top k.  Up to
+    ``PLAN_BLOCKS`` blocks are one plan; more run one after another, and only
+    their top k rows are kept in scratch storage."""
+    keys, blocks, p = _sides(q_terms, postings, qid, did, extra_keys, block_bytes)
+    runs = [topk(score_block(b, p, qid, did, keys, fits), k, qid, did, threshold, tie, digits=digits) for b, fits in blocks]
+    if len(runs) <= PLAN_BLOCKS:
+        return reduce(DataFrame.unionByName, runs)
+    path = scratch_path(q_terms.sparkSession, "blocks")
+    for i, run in enumerate(runs):
+        run.write.parquet(f"{path}/block={i}")
+    return q_terms.sparkSession.read.parquet(path).select(*runs[0].columns)
 
 
 def cosine_retrieve(q_terms: DataFrame, postings: DataFrame, k: int = 1000, threshold: float | None = None,
@@ -177,9 +164,10 @@ def dense_retrieve(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid"
     """Exact dot product of dense vectors: positions become dimensions,
     then the sparse plan (every position is a "term")."""
     # dense values may be negative or zero: every position is kept
+    digits = kw.pop("digits", None)
     q = queries.select(F.col(qid), F.posexplode(vec_col).alias("dim", "weight"))
     d = docs.select(F.col(did), F.posexplode(vec_col).alias("dim", "weight"))
-    return topk(score(q, d, qid, did, **kw), k, qid, did)
+    return retrieve(q, d, k, None, qid, did, digits=digits, **kw)
 
 
 def retrieve_many(query_sets: DataFrame, postings: DataFrame, k: int = 1000,

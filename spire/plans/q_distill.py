@@ -226,7 +226,7 @@ def _batch_rows(spark, sf):
     are sampled from its top-20 retrieval; batches of 8 consecutive
     queries (dense row ids)."""
     q = fx.query_terms(spark, sf)
-    samples = R.retrieve(q, fx.postings(spark, sf), k=VEC_K, threshold=None).select("qid", "did", "score")
+    samples = R.retrieve(q, fx.postings(spark, sf), k=VEC_K, threshold=None, digits=6).select("qid", "did", "score")
     chosen, pool = D.choose_positives(fx.known_item_qrels(spark, sf), samples, 1, VEC_SEED)
     negs = D.sample_negatives(samples, pool, VEC_NEG, VEC_SEED)
     rows = chosen.unionByName(negs.select("qid", (F.col("slot") + 1).alias("slot"), "did"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections import Counter
 
 import pandas as pd
@@ -17,7 +18,8 @@ from ..operators import sparse as S
 from ..operators.rowids import assign_row_ids
 from . import fixtures as fx
 from .q_retrieval import N_SHARDS, QUERY_TOP_DIMS, SHARD_TOP_DIMS, TOP_K, _topk_sql
-from .registry import QRELS_CTE, VEC_CTE, register
+from ..session import scratch_path
+from .registry import ORACLE, QRELS_CTE, VEC_CTE, register
 
 HASH_DIMS = 30522
 BLOCK = 100
@@ -145,7 +147,7 @@ def index_and_retrieve(spark, sf):
     postings, id_map, _ = ix.build_index(v, fx.vector_ids(spark, sf), "vec_id")
     q = postings.join(id_map.withColumnRenamed("row_id", "did"), "did") \
         .select(F.col("id").alias("qid"), "dim", "weight")
-    run = R.retrieve(q, postings, k=TOP_K, threshold=None)
+    run = R.retrieve(q, postings, k=TOP_K, threshold=None, digits=6)
     return R.translate_ids(run, id_map, "did").select("qid", "did", "score", "rank")
 
 
@@ -167,7 +169,7 @@ def retrieve_many(spark, sf):
     v = fx.query_terms(spark, sf)
     sets = v.withColumn("query_set", F.lit("full")).unionByName(
         S.encode_topk(v, "qid", QUERY_TOP_DIMS).withColumn("query_set", F.lit("pruned")))
-    return R.retrieve_many(sets, fx.postings(spark, sf), k=TOP_K, threshold=None)
+    return R.retrieve_many(sets, fx.postings(spark, sf), k=TOP_K, threshold=None, digits=6)
 
 
 @register("map_qrels_to_rows", f"""WITH {QRELS_CTE},
@@ -181,3 +183,45 @@ def map_qrels_to_rows(spark, sf):
     qm = assign_row_ids(fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), ["id"])
     dm = assign_row_ids(fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), ["id"])
     return P.map_qrels_to_rows(fx.lineitem_qrels(spark, sf), qm, dm)
+
+
+@register("retrieve_blocks", ORACLE["retrieve_topk"])
+def retrieve_blocks(spark, sf):
+    """J1 + X7 in many query blocks: the block limit is a twelfth of the
+    queries' size, so the blocks go one after another over postings written
+    bucketed once."""
+    q = fx.query_terms(spark, sf)
+    size = q.agg(F.sum(R.row_bytes(q.select("qid", "dim", F.col("weight").cast("double").alias("_qw"))
+                                   .toDF("qid", "dim", "weight")))).first()[0]
+    return R.retrieve(q, fx.postings(spark, sf), k=TOP_K, threshold=None, digits=6, block_bytes=max(1, size // 12))
+
+
+@register("merge_written_shards", f"""WITH {_VEC_F32},
+shard AS (SELECT vec_id, CAST(label % {N_SHARDS} AS INTEGER) AS shard FROM embeddings),
+ids AS (SELECT vec_id, row_number() OVER (ORDER BY shard, vec_id) - 1 AS did FROM shard)
+SELECT CAST(ids.did AS BIGINT) AS did, CAST(vec.dim AS INTEGER) AS dim, round(vec.weight, 6) AS weight FROM vec JOIN ids USING (vec_id)""")
+def merge_written_shards(spark, sf):
+    """U2 + X6: one index per label group, each written on its own, read back
+    and united under global row ids."""
+    v, e = fx.vectors(spark, sf), fx.table(spark, sf, "embeddings")
+    of = e.select("vec_id", (F.col("label") % N_SHARDS).alias("shard"))
+    paths = []
+    for i in range(N_SHARDS):
+        mine = of.where(F.col("shard") == i).select("vec_id")
+        paths.append(scratch_path(spark, f"shard-index-{i}"))
+        ix.write_shard_index(v.join(mine, "vec_id"), mine, paths[-1], "vec_id")
+    postings, _ = ix.merge_written(spark, paths)
+    return postings.select("did", F.col("dim").cast("int").alias("dim"), rounded(F.col("weight").cast("double")).alias("weight"))
+
+
+@register("reload_index", ORACLE["index_and_retrieve"])
+def reload_index(spark, sf):
+    """K4 + S18: the bucketed postings are written, forgotten by the catalog
+    and named again from their path, then answer every vector."""
+    postings, id_map, _ = ix.build_index(fx.vectors(spark, sf), fx.vector_ids(spark, sf), "vec_id")
+    path, name = scratch_path(spark, "reload"), f"reload_{uuid.uuid4().hex[:10]}"
+    ix.write_postings(postings, path, name, 8)
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    index = ix.reload_postings(spark, path, f"{name}_again", 8)
+    q = index.join(id_map.withColumnRenamed("row_id", "did"), "did").select(F.col("id").alias("qid"), "dim", "weight")
+    return R.translate_ids(R.retrieve(q, index, k=TOP_K, threshold=None, digits=6), id_map, "did").select("qid", "did", "score", "rank")

@@ -59,7 +59,7 @@ def lexical_retrieve(spark, sf):
     q = S.lexical_encode(fx.benchmark(spark, sf), "item_id", "text", kind="query") \
         .withColumnRenamed("item_id", "qid")
     d = S.lexical_encode(fx.documents(spark, sf), "doc_id", "text").withColumnRenamed("doc_id", "did")
-    return R.retrieve(q, d, k=TOP_K, threshold=0.0)
+    return R.retrieve(q, d, k=TOP_K, threshold=0.0, digits=6)
 
 
 @register("index_retrieve", _LEX_RETRIEVE.replace("ln(1 + count(*)) AS weight",
@@ -77,7 +77,7 @@ def index_retrieve(spark, sf):
     ix.write_postings(postings, scratch_path(spark, name), name, BUCKETS)
     q = S.lexical_encode(fx.benchmark(spark, sf), "item_id", "text", kind="query") \
         .withColumnRenamed("item_id", "qid")
-    run = R.retrieve(q, ix.read_postings(spark, name), k=TOP_K, threshold=0.0)
+    run = R.retrieve(q, ix.read_postings(spark, name), k=TOP_K, threshold=0.0, digits=6)
     return R.translate_ids(run, id_map, "did").select("qid", "did", "score", "rank")
 
 

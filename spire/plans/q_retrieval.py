@@ -65,13 +65,13 @@ s AS (SELECT q.vec_id AS qid, d.vec_id AS did, sum(q.weight * d.weight) AS score
 @register("retrieve_topk", _topk_sql(_SCORE_CTE, TOP_K))
 def retrieve_topk(spark, sf):
     """Every vector as a query against every vector as a document, top 10."""
-    return R.retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=TOP_K, threshold=None)
+    return R.retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=TOP_K, threshold=None, digits=6)
 
 
 @register("retrieve_threshold", _topk_sql(_SCORE_CTE, DEEP_K, f"WHERE score > {THRESHOLD}"))
 def retrieve_threshold(spark, sf):
     """R5 + W1: strict score threshold, then top 1000 per query."""
-    return R.retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=DEEP_K, threshold=THRESHOLD)
+    return R.retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=DEEP_K, threshold=THRESHOLD, digits=6)
 
 
 _COS_CTE = f"""WITH {VEC_CTE},
@@ -84,7 +84,7 @@ s AS (SELECT q.vec_id AS qid, d.vec_id AS did, sum(q.weight * d.weight) AS score
 @register("cosine_retrieve", _topk_sql(_COS_CTE, TOP_K))
 def cosine_retrieve(spark, sf):
     """L2-normalised vectors on both sides, then top 10."""
-    return R.cosine_retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=TOP_K)
+    return R.cosine_retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=TOP_K, digits=6)
 
 
 _DENSE_CTE = """WITH d0 AS (
@@ -99,7 +99,7 @@ def dense_retrieve(spark, sf):
     e = fx.table(spark, sf, "embeddings")
     q = e.select(F.col("vec_id").alias("qid"), "embedding")
     d = e.select(F.col("vec_id").alias("did"), "embedding")
-    return R.dense_retrieve(q, d, TOP_K)
+    return R.dense_retrieve(q, d, TOP_K, digits=6)
 
 
 @register("retrieve_pruned_queries", _topk_sql(f"""WITH {VEC_CTE},
@@ -110,7 +110,7 @@ s AS (SELECT q.vec_id AS qid, d.vec_id AS did, sum(q.weight * d.weight) AS score
 def retrieve_pruned_queries(spark, sf):
     """X4 + X7: queries pruned to their 8 strongest dimensions, top 10."""
     q = S.encode_topk(fx.query_terms(spark, sf), "qid", QUERY_TOP_DIMS)
-    return R.retrieve(q, fx.postings(spark, sf), k=TOP_K, threshold=None)
+    return R.retrieve(q, fx.postings(spark, sf), k=TOP_K, threshold=None, digits=6)
 
 
 @register("evaluate_retrieval", f"""{_SCORE_CTE},
@@ -124,7 +124,7 @@ FROM r WHERE rank <= 1000 GROUP BY qid""")
 def evaluate_retrieval(spark, sf):
     """X7 + M1-M3: retrieve the top 1000 for every vector and score the run
     against known-item qrels (each vector's own id)."""
-    run = R.retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=DEEP_K, threshold=0.0)
+    run = R.retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=DEEP_K, threshold=0.0, digits=6)
     pq = M.per_query(run, fx.known_item_qrels(spark, sf), cutoffs=[10], rank_col="rank")
     return pq.select("qid", *[rounded(c).alias(c) for c in ("mrr_10", "recall_10", "ndcg_cut_10")])
 
@@ -250,7 +250,7 @@ def retrieve_sharded(spark, sf):
     q = fx.query_terms(spark, sf)
     routed = ix.route(S.encode_topk(q, "qid", QUERY_TOP_DIMS), sd, ROUTE_M)
     post = ix.shard_postings(fx.postings(spark, sf), shards.withColumnRenamed("vec_id", "did"), "did")
-    return ix.retrieve_sharded(q, routed, post, k=TOP_K, threshold=None)
+    return ix.retrieve_sharded(q, routed, post, k=TOP_K, threshold=None, digits=6)
 
 
 @register("merge_index", f"""{_SHARD_CTE},

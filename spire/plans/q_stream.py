@@ -50,5 +50,5 @@ def stream_retrieve(spark, sf):
     def to_terms(batch):
         return S.dense_to_sparse(batch, "vec_id", "embedding", out_id="qid")
 
-    out = Z.stream_retrieve(spark, src, emb.schema, index, to_terms, Z.fresh_dir(spark, "run-stream"), k=TOP_K)
+    out = Z.stream_retrieve(spark, src, emb.schema, index, to_terms, Z.fresh_dir(spark, "run-stream"), k=TOP_K, digits=6)
     return R.translate_ids(out, id_map, "did").select("qid", "did", "score", F.col("rank").cast("int"))

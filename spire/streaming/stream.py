@@ -60,10 +60,10 @@ def stream_index(spark: SparkSession, source: str, schema: StructType, out: str,
 
 def stream_retrieve(spark: SparkSession, source: str, schema: StructType, postings: DataFrame,
                     to_terms: Callable[[DataFrame], DataFrame], out: str, k: int = 10,
-                    threshold: float | None = None, files_per_batch: int = 1) -> DataFrame:
+                    threshold: float | None = None, files_per_batch: int = 1, digits: int | None = None) -> DataFrame:
     """Each micro-batch of queries -> terms -> top-k against the static
     postings; returns the accumulated run ``(qid, did, score, rank, batch_id)``."""
-    writer = _idempotent_writer(out, lambda b: R.retrieve(to_terms(b), postings, k=k, threshold=threshold))
+    writer = _idempotent_writer(out, lambda b: R.retrieve(to_terms(b), postings, k=k, threshold=threshold, digits=digits))
     _run(spark, source, schema, writer, out, files_per_batch)
     return spark.read.parquet(out)
 

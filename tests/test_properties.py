@@ -24,14 +24,18 @@ def _scores(df):
     return sorted((r["qid"], r["did"], round(r["score"], 9)) for r in df.collect())
 
 
-def test_join_strategies_agree(spark):
+def test_blocks_agree(spark):
     q, p = fx.query_terms(spark, SF_SMALL), fx.postings(spark, SF_SMALL)
-    b = _scores(R.score(q, p, strategy="broadcast"))
-    hot = R.hot_dims(p, salt_rows=50)
-    assert hot.count() > 0 and hot.agg(F.max("_ns")).first()[0] > 1   # salting really happens
-    assert b == _scores(R.score(q, p, strategy="salted", salt_rows=50))
-    assert b == _scores(R.score(q, p, strategy="shuffle"))
-    assert b == _scores(R.score(q, p, broadcast_rows=10, salt_rows=50))  # auto falls back to salted
+    one = _scores(R.score(q, p))
+    assert one == _scores(R.score(q, p, block_bytes=5_000))    # several blocks
+    assert one == _scores(R.score(q, p, block_bytes=10))       # below one query: no broadcast, and it ends
+    assert not any(fits for _, fits in R.query_blocks(q, "qid", 10))
+
+
+def test_tiny_scores_keep_their_order(spark):
+    q = spark.createDataFrame([(1, 0, 1.0)], "qid long, dim int, weight double")
+    p = spark.createDataFrame([(1, 0, 1e-7), (2, 0, 2e-7), (3, 0, 3e-7)], "did long, dim int, weight double")
+    assert _rows(R.retrieve(q, p, k=2), ["rank", "did", "score"]) == [(1, 3, 3e-7), (2, 2, 2e-7)]
 
 
 def test_topk_is_prefix(spark):
@@ -233,9 +237,5 @@ def test_query_blocks_on_bucketed_index(spark):
     name = f"pb_{uuid.uuid4().hex[:8]}"
     ix.write_postings(fx.postings(spark, SF_SMALL), scratch_path(spark, name), name, 4)
     p = ix.read_postings(spark, name)
-    n = q.count()
-    assert R.choose_strategy(q, n // 3, p) == ("blocks", n)
-    assert R.choose_strategy(q, n // 3, fx.postings(spark, SF_SMALL))[0] == "salted"
-    b = _scores(R.score(q, p, strategy="broadcast"))
-    assert b == _scores(R.score(q, p, broadcast_rows=n // 3))
-    assert len(R.query_blocks(q, "qid", n, n // 3)) >= 3
+    assert _scores(R.score(q, fx.postings(spark, SF_SMALL))) == _scores(R.score(q, p, block_bytes=5_000))
+    assert len(R.query_blocks(q, "qid", 5_000)) >= 3
