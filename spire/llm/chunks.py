@@ -129,15 +129,16 @@ class Distinct:
         return pa.Table.from_arrays([pa.array(np.full(len(buckets), chunk, np.int64)), pa.array(buckets), pa.array(blobs, pa.binary()),
                                      pa.array(more, pa.binary())], schema=_MESSAGE)
 
-    def answered(self, replies: pa.Table) -> np.ndarray:
-        """The bit of each value; a bucket without a reply says no."""
-        out = np.zeros(len(self.values), bool)
+    def answered(self, replies: pa.Table, graded: bool = False) -> np.ndarray:
+        """The bit (or the grade) of each value; a bucket without a reply says no."""
+        out = np.zeros(len(self.values), np.uint8 if graded else bool)
         buckets, starts = np.unique(self.bucket, return_index=True)
         ends = np.append(starts[1:], len(self.bucket))
         span = {int(b): (s, e) for b, s, e in zip(buckets, starts, ends)}
         for b, mask in zip(replies.column("bucket").to_pylist(), replies.column("mask").to_pylist()):
             s, e = span[b]
-            out[s:e] = np.unpackbits(np.frombuffer(mask, np.uint8), count=e - s).astype(bool)
+            got = np.frombuffer(mask, np.uint8)
+            out[s:e] = got if graded else np.unpackbits(got, count=e - s).astype(bool)
         return out
 
 
@@ -153,6 +154,18 @@ def _answer(table: pa.Table, judge) -> pa.Table:
     return pa.Table.from_arrays([pa.array([t[i] for t in told], f.type) for i, f in enumerate(_REPLY)], schema=_REPLY)
 
 
+def _grade(table):
+    """How often each hash occurs in all chunks, one byte a hash: 0 for once,
+    else a step of the logarithm; ``keys`` are the counts of the chunks."""
+    blobs = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
+    flat, n = np.concatenate(blobs), np.concatenate([np.frombuffer(k, np.int64) for k in table.column("keys").to_pylist()])
+    _, of = np.unique(flat, return_inverse=True)
+    total = np.bincount(of, weights=n)[of]
+    grade = np.where(total < 2, 0, np.minimum(255, 1 + 4 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
+    parts = np.split(grade, np.cumsum([len(b) for b in blobs])[:-1])
+    return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), pa.array([g.tobytes() for g in parts], pa.binary())], schema=_REPLY)
+
+
 def _elsewhere(hashes: np.ndarray, _) -> np.ndarray:
     order = np.argsort(hashes)
     h = hashes[order]
@@ -184,3 +197,8 @@ def seen_elsewhere(messages: DataFrame) -> DataFrame:
 def seen_smaller(messages: DataFrame) -> DataFrame:
     """For which of the hashes another chunk has sent a smaller key."""
     return messages.groupBy("bucket").applyInArrow(lambda t: _answer(t, _smaller), REPLY)
+
+
+def seen_often(messages: DataFrame) -> DataFrame:
+    """How often each of the hashes occurs, by the counts sent as keys."""
+    return messages.groupBy("bucket").applyInArrow(_grade, REPLY)

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import MESSAGE, NO_ID, Distinct, Words, bucketed, chunk_count, key_of, seen_elsewhere
+from .chunks import MESSAGE, NO_ID, Distinct, Words, chunk_count, key_of, seen_elsewhere, seen_often
 from .common import components, hash_words, packed, rolled, stored, unpacked
 
 #: the screen looks at one of so many tokens first
 SAMPLE = 4
-#: posting lists up to this length give pairs, longer ones blocks of this size
-BLOCK = 64
+#: posting lists up to this length give pairs, the classes of longer ones go to blocks of this size
+FEW, BLOCK = 16, 256
 
 
 def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
@@ -76,10 +76,9 @@ class _Matrix:
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         return np.repeat(np.arange(len(sets)), sizes), Distinct.among(flat, self.buckets)
 
-    def open(self, owner: np.ndarray, found: Distinct, sizes: np.ndarray, replies) -> np.ndarray:
+    def open(self, owner: np.ndarray, found: Distinct, sizes: np.ndarray, held: np.ndarray) -> np.ndarray:
         """Which members can still reach the threshold with any other class:
-        tokens that neither another chunk nor another member holds are lost."""
-        held = found.answered(replies) | (owner[found.first] != owner[found.last])
+        tokens that no other class holds are lost."""
         lost = np.bincount(owner[~held[found.of]], minlength=len(sizes))
         return lost <= sizes - self.need(sizes)
 
@@ -93,24 +92,33 @@ class _Matrix:
     def screen(self, key, table, replies):
         cids, sets = self.members(table)
         owner, found = self.union(self.sampled(sets))
-        keep = self.open(owner, found, np.array([len(s) for s in sets], np.int64), replies)
+        held = found.answered(replies) | (owner[found.first] != owner[found.last])
+        keep = self.open(owner, found, np.array([len(s) for s in sets], np.int64), held)
         kept = np.flatnonzero(keep)
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(kept), pa.int64()), "cid": pa.array(cids[kept], pa.int64()),
                          "tokens": pa.array([sets[i].tobytes() for i in kept], pa.binary())})
 
     def send_all(self, key, table):
         sets = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
-        return self.union(sets)[1].messages(key[0].as_py())
+        found = self.union(sets)[1]
+        return found.messages(key[0].as_py(), np.bincount(found.of, minlength=len(found.values)))
 
     def qualify(self, key, table, replies):
         """Whole sets against all groups; for those that stay, the prefix: the
-        smallest hashes, one of which is shared by any two linked sets."""
+        first tokens in one order for all sets (rarest first, then by hash), one
+        of which is shared by any two linked sets."""
         cids, blobs = table.column("cid").to_numpy(), table.column("tokens").to_pylist()
         sets = [np.frombuffer(b, np.uint64) for b in blobs]
         sizes = np.array([len(s) for s in sets], np.int64)
         owner, found = self.union(sets)
-        kept = np.flatnonzero(self.open(owner, found, sizes, replies))
-        prefix = [sets[i][:len(sets[i]) - self.need(len(sets[i])) + 1].view(np.int64) for i in kept]
+        grade = found.answered(replies, graded=True)
+        kept = np.flatnonzero(self.open(owner, found, sizes, grade > 0))
+        mine, starts = grade[found.of], np.cumsum(sizes) - sizes
+        prefix = []
+        for i in kept:
+            n = int(sizes[i])
+            rare = np.lexsort((sets[i], mine[starts[i]:starts[i] + n]))[:n - self.need(n) + 1]
+            prefix.append(sets[i][rare].view(np.int64))
         return pa.table({"cid": pa.array(cids[kept], pa.int64()), "n": pa.array(sizes[kept], pa.int64()),
                          "prefix": pa.array(prefix, pa.list_(pa.int64())), "tokens": pa.array([blobs[i] for i in kept], pa.binary())})
 
@@ -125,8 +133,8 @@ class _Matrix:
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     def block(self, table):
-        """Links between two blocks of a posting list (or within one), as a
-        spanning forest: as many edges as members at most.  A member is opened
+        """Links between two blocks of classes (or within one), as a spanning
+        forest: as many edges as members at most.  A member is opened
         against the other block only if the block's token union holds enough
         of its tokens, and pairs that are connected already are passed over."""
         cid, side = table.column("cid").to_numpy(), table.column("side").to_numpy()
@@ -194,20 +202,21 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
         F.monotonically_increasing_id().alias("cid"), "sig", "rep", "n",
         F.pmod(F.xxhash64("gid", part), F.lit(chunks)).alias("chunk")), "classes")
     texts = docs.select(key_of().alias("rep"), packed("text").alias("z"))
-    table = bucketed(texts.join(classes, "rep").select("chunk", F.col("cid").alias("key"), "sig", "z"), chunks)
+    table = texts.join(classes, "rep").select("chunk", F.col("cid").alias("key"), "sig", "z")
 
+    # asking and reading the answers is one plan: the exchange by chunk serves both passes
     run = _Matrix(width, num, den, max(1, chunks // 4))
-    sample = stored(seen_elsewhere(table.groupBy("chunk").applyInArrow(lambda k, t: run.send_sample(k, t), MESSAGE)), "screen")
+    sample = seen_elsewhere(table.groupBy("chunk").applyInArrow(lambda k, t: run.send_sample(k, t), MESSAGE))
     opened = stored(table.groupBy("chunk").cogroup(sample.groupBy("chunk"))
                     .applyInArrow(lambda k, t, r: run.screen(k, t, r), "chunk long, cid long, tokens binary"), "opened")
-    every = stored(seen_elsewhere(opened.groupBy("chunk").applyInArrow(lambda k, t: run.send_all(k, t), MESSAGE)), "whole")
+    every = seen_often(opened.groupBy("chunk").applyInArrow(lambda k, t: run.send_all(k, t), MESSAGE))
     sets = stored(opened.groupBy("chunk").cogroup(every.groupBy("chunk"))
                   .applyInArrow(lambda k, t, r: run.qualify(k, t, r), "cid long, n long, prefix array<long>, tokens binary"), "qualified")
 
     posts = sets.select("cid", "n", F.explode("prefix").alias("token"))
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     posts = stored(posts.join(lists, "token"), "posts")
-    few = posts.where(F.col("c") <= BLOCK)
+    few = posts.where(F.col("c") <= FEW)
     a, b = (few.select("token", F.col("cid").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     pairs = (a.join(b, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
              .select("a", "b").distinct())
@@ -215,13 +224,24 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     checked = (pairs.join(body.toDF("a", "ta"), "a").join(body.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
                .mapInArrow(run.verify, "a long, b long"))
 
-    blocks = F.ceil(F.col("c") / F.lit(4 * BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    many = posts.where(F.col("c") > BLOCK).withColumn("blocks", blocks).withColumn("own", own)
-    spread = many.select("token", "cid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    spread = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", side.cast("int").alias("side"))
-    forest = (spread.join(body, "cid").groupBy("token", "i", "j").applyInArrow(lambda t: run.block(t), "a long, b long"))
+    # many: groups of like size and first long list, in blocks; blocks that hold
+    # a token in common, by the matrix of these blocks, are opened to each other
+    many = posts.where(F.col("c") > FEW)
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).alias("band")
+    home = many.groupBy("cid", "n").agg(F.min("token").alias("first")).select("cid", "n", "first", band)
+    sizes = home.groupBy("first", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    home = stored(home.join(sizes, ["first", "band"]).select("cid", "n", F.xxhash64(
+        "first", "band", F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("block")), "blocks")
+    matrix = stored(many.select("token", "cid").join(home, "cid").groupBy("token", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
+    i, j = (matrix.select("token", F.col("block").alias(x), F.col("least").alias(f"l{x}"), F.col("most").alias(f"m{x}")) for x in "ij")
+    near = (i.join(j, "token").where((F.col("i") <= F.col("j")) & (F.col("li") * num <= F.col("mj") * den) & (F.col("lj") * num <= F.col("mi") * den))
+            .select("i", "j").distinct())
+    member = home.select("cid", "block").join(body, "cid")
+    side = F.when(F.col("i") == F.col("j"), 2)
+    spread = (member.join(near, F.col("block") == F.col("i")).withColumn("side", side.otherwise(0))
+              .unionByName(member.join(near.where("i < j"), F.col("block") == F.col("j")).withColumn("side", F.lit(1))))
+    forest = spread.select("i", "j", "cid", "side", "tokens").groupBy("i", "j").applyInArrow(lambda t: run.block(t), "a long, b long")
 
     roots = components(checked.unionByName(forest)).withColumnsRenamed({"node": "cid"})
     named = classes.join(roots, "cid", "left").select("sig", "rep", F.coalesce("root", "cid").alias("root"))
