@@ -39,8 +39,8 @@ def _c(col) -> Column:
 
 
 def strip_ws(col) -> Column:
-    """Trim every kind of ASCII blank at both ends (Python ``str.strip``)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Trim every kind of blank, Unicode ones too, at both ends (Python ``str.strip``)."""
+    return F.regexp_replace(_c(col), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def clean_text(col) -> Column:
@@ -151,11 +151,11 @@ def extract_rewrite(col) -> Column:
     lines = F.filter(F.transform(F.split(after, "\n"), strip_ws), lambda x: x != "")
     first = F.when(F.size(lines) > 0, F.element_at(lines, 1)).otherwise(F.lit(""))
     has_label = F.lower(first).startswith(REWRITE_LABEL) & (F.instr(first, ":") > 0)
-    unlabelled = F.when(has_label, strip_ws(F.regexp_extract(first, r"^[^:]*:(.*)$", 1))).otherwise(first)
+    unlabelled = F.when(has_label, strip_ws(F.regexp_extract(first, r"(?s)^[^:]*:(.*)$", 1))).otherwise(first)
     quoted = ((unlabelled.startswith('"') & unlabelled.endswith('"')) |
               (unlabelled.startswith("'") & unlabelled.endswith("'")))
     # python s[1:-1]: a lone quote character gives ''
-    return F.when(quoted, strip_ws(F.regexp_extract(unlabelled, r"^.(.*).$", 1))).otherwise(unlabelled)
+    return F.when(quoted, strip_ws(F.regexp_extract(unlabelled, r"(?s)^.(.*).$", 1))).otherwise(unlabelled)
 
 
 def needs_retry(col) -> Column:

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_ws
 from ..session import shared_dir
 from .retrieve import score_pairs
 from .runs import exclude_positives, keep_filtered, rank_slice
@@ -79,8 +80,9 @@ def choose_positives(qrels: DataFrame, samples: DataFrame, n: int, seed: int = 0
         .where(F.col("_r") <= F.lit(n) - F.col("_np")).select("qid", "did")
     pool = pos.unionByName(pad)
     wc = Window.partitionBy("qid").orderBy(_md5_key(seed, "qid", "did"), F.col("did"))
-    chosen = pool.withColumn("slot", F.row_number().over(wc) - 1).where(F.col("slot") < n)
-    return chosen.select("qid", F.col("slot").cast("int"), "did"), pool
+    # the filter is on the rank itself, which Spark turns into a group limit
+    chosen = pool.withColumn("_r", F.row_number().over(wc)).where(F.col("_r") <= n)
+    return chosen.select("qid", (F.col("_r") - 1).cast("int").alias("slot"), "did"), pool
 
 
 def sample_negatives(samples: DataFrame, pool: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -89,19 +91,16 @@ def sample_negatives(samples: DataFrame, pool: DataFrame, n: int, seed: int = 0)
     (slot i takes candidate ``md5(seed|qid|i) mod count`` in did order);
     none: no row.  Returns ``(qid, slot, did, score)``."""
     cand = exclude_positives(samples, pool)
-    cnt = cand.groupBy("qid").agg(F.count(F.lit(1)).alias("_c"))
-    c = cand.join(cnt, "qid")
+    # n + 1 per query tell whether there are more than n; both draws start from these
     wo = Window.partitionBy("qid").orderBy(_md5_key(seed, "qid", "did"), F.col("did"))
-    without = c.where(F.col("_c") > n).withColumn("slot", F.row_number().over(wo) - 1) \
-        .where(F.col("slot") < n).select("qid", "slot", "did", "score")
-    small = c.where(F.col("_c") <= n)
-    wd = Window.partitionBy("qid").orderBy("did")
-    indexed = small.withColumn("_i", F.row_number().over(wd) - 1)
-    slots = small.select("qid", "_c").distinct() \
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
-        .withColumn("_i", F.pmod(_md5_int(seed, "qid", F.col("slot")), F.col("_c")))
-    withr = slots.join(indexed.select("qid", "_i", "did", "score"), ["qid", "_i"]) \
-        .select("qid", "slot", "did", "score")
+    near = cand.withColumn("_r", F.row_number().over(wo)).where(F.col("_r") <= n + 1)
+    per = Window.partitionBy("qid")
+    near = near.withColumn("_c", F.count(F.lit(1)).over(per))
+    without = near.where((F.col("_c") > n) & (F.col("_r") <= n)).select("qid", (F.col("_r") - 1).alias("slot"), "did", "score")
+    few = near.where(F.col("_c") <= n).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("did", "score"))).alias("_all"))
+    withr = few.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
+        .withColumn("_pick", F.element_at("_all", (F.pmod(_md5_int(seed, "qid", F.col("slot")), F.size("_all")) + 1).cast("int"))) \
+        .select("qid", "slot", F.col("_pick.did").alias("did"), F.col("_pick.score").alias("score"))
     return without.unionByName(withr).withColumn("slot", F.col("slot").cast("int"))
 
 
@@ -110,15 +109,16 @@ def training_rows(chosen: DataFrame, negatives: DataFrame, samples: DataFrame,
     """L7 + J6: per query ``[q, pos.., neg..]`` texts and teacher scores
     ``[pos_score, neg scores..]``.  ``pos_score='max'`` is the reference's
     actual behaviour (the query's best sample score); ``'own'`` uses the
-    first positive's own score when it has one."""
-    dt = d_text.select("did", F.col("text").alias("_t"))
-    p = chosen.join(dt, "did").groupBy("qid").agg(
+    first positive's own score when it has one.  All texts are stripped; a
+    document without text keeps its place as a null."""
+    dt = d_text.select("did", strip_ws("text").alias("_t"))
+    p = chosen.join(dt, "did", "left").groupBy("qid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "_t", "did"))), lambda s: s["_t"]).alias("pos"),
         F.min(F.struct("slot", "did"))["did"].alias("_p0"))
-    ng = negatives.join(dt, "did").groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("slot", F.trim("_t").alias("t"), "score"))).alias("_n"))
+    ng = negatives.join(dt, "did", "left").groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("slot", F.col("_t").alias("t"), "score"))).alias("_n"))
     mx = samples.groupBy("qid").agg(F.max("score").alias("_max"))
-    r = q_text.select("qid", F.col("text").alias("query")).join(p, "qid").join(ng, "qid", "left").join(mx, "qid")
+    r = q_text.select("qid", strip_ws("text").alias("query")).join(p, "qid").join(ng, "qid", "left").join(mx, "qid")
     if pos_score == "own":
         own = samples.select("qid", F.col("did").alias("_p0"), F.col("score").alias("_own"))
         r = r.join(own, ["qid", "_p0"], "left").withColumn("_ps", F.coalesce("_own", "_max"))

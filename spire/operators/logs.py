@@ -7,8 +7,6 @@ run holding a third of all rows is spread over many range partitions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,30 +61,44 @@ def normalise_by_log(log: DataFrame, run: str, every: int, step: str = "step", v
 
 def moving_average(log: DataFrame, run: str, step: str = "step", value: str = "value",
                    decay: float = EMA_DECAY, chunk: int = EMA_CHUNK) -> DataFrame:
-    """``ema_t = decay * ema_{t-1} + (1 - decay) * x_t`` from 0, exact.
-
-    The recurrence is linear, so it is evaluated as a two-level scan:
-    inside a chunk of ``chunk`` steps a running sum of ``x_i * decay^-off_i``
-    (bounded exponent), and across chunks a Horner fold over the previous
-    chunks' end values.  Earlier chunks are multiplied by at least
-    ``decay^(chunk * K)``, which underflows to exactly 0.0 in double, so the
-    fold only needs the last K chunks: every array is bounded."""
+    """``ema_t = decay * ema_{t-1} + (1 - decay) * x_t`` from 0.
+
+    The recurrence is linear, so it is a two-level scan.  Inside a chunk the
+    recurrence is folded over the chunk's values themselves (a bounded array:
+    ``chunk`` steps at most), so any decay from 0 to 1 is stable.  Across
+    chunks, chunk ends combine as (factor, value) pairs in blocks of
+    ``chunk`` chunks, and blocks in turn, so no array grows with the run
+    beyond its length over ``chunk`` squared."""
     a = 1.0 - decay
-    ln_d = math.log(decay)
-    k_chunks = int(math.ceil(745.0 / (chunk * -ln_d))) + 1
-    t = log.withColumn("_c", F.floor(F.col(step) / chunk)).withColumn("_o", F.col(step) % chunk)
-    wc = Window.partitionBy(run, "_c").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_local", F.exp(F.col("_o") * ln_d)
-                     * F.sum(F.lit(a) * F.col(value) * F.exp(-F.col("_o") * ln_d)).over(wc))
-    ends = t.groupBy(run, "_c").agg(F.max(F.struct("_o", "_local"))["_local"].alias("_end"))
-    wk = Window.partitionBy(run).orderBy("_c").rowsBetween(-k_chunks, -1)
-    dc = math.exp(chunk * ln_d)
-    carry = ends.withColumn("_prev", F.collect_list(F.struct("_c", "_end")).over(wk)) \
-        .select(run, "_c", F.aggregate(F.array_sort("_prev"), F.lit(0.0),
-                                       lambda acc, e: acc * F.lit(dc) + e["_end"]).alias("_carry"))
-    out = t.join(carry, [run, "_c"]).withColumn(
-        "ema", F.col("_local") + F.col("_carry") * F.exp((F.col("_o") + 1) * ln_d))
-    return out.drop("_c", "_o", "_local", "_carry")
+
+    def folded(values, start):
+        return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(
+            F.element_at(acc, -1) * F.lit(decay) + F.lit(a) * x)))
+
+    def carried(ends, start):
+        return F.aggregate(ends, F.array(start), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) * e["f"] + e["v"])))
+
+    t = log.withColumn("_c", F.floor(F.col(step) / chunk))
+    rows = t.groupBy(run, "_c").agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("x")))).alias("_rows"))
+    xs = F.transform("_rows", lambda r: r["x"])
+    rows = rows.withColumn("_b", F.floor(F.col("_c") / chunk)).withColumn("_end", F.element_at(folded(xs, F.lit(0.0)), -1)) \
+        .withColumn("_f", F.pow(F.lit(float(decay)), F.size("_rows").cast("double")))
+    pair = F.struct(F.col("_c").alias("c"), F.col("_f").alias("f"), F.col("_end").alias("v"))
+    blocks = rows.groupBy(run, "_b").agg(F.array_sort(F.collect_list(pair)).alias("_ends"))
+    blocks = blocks.withColumn("_v", F.element_at(carried(F.col("_ends"), F.lit(0.0)), -1)) \
+        .withColumn("_f", F.aggregate("_ends", F.lit(1.0), lambda acc, e: acc * e["f"]))
+    whole = blocks.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("_b").alias("b"), F.col("_f").alias("f"), F.col("_v").alias("v")))).alias("_blocks"))
+    starts = whole.select(run, F.explode(F.arrays_zip(F.transform("_blocks", lambda x: x["b"]).alias("b"), F.slice(
+        carried(F.col("_blocks"), F.lit(0.0)), F.lit(1), F.size("_blocks")).alias("v"))).alias("z")) \
+        .select(run, F.col("z.b").alias("_b"), F.col("z.v").alias("_start"))
+    carry = blocks.join(starts, [run, "_b"]).select(run, F.explode(F.arrays_zip(
+        F.transform("_ends", lambda e: e["c"]).alias("c"), F.slice(carried(F.col("_ends"), F.col("_start")), F.lit(1), F.size("_ends")).alias("v"))).alias("z")) \
+        .select(run, F.col("z.c").alias("_c"), F.col("z.v").alias("_carry"))
+    done = rows.join(carry, [run, "_c"]).select(run, F.explode(F.arrays_zip(
+        F.transform("_rows", lambda r: r["s"]).alias("s"), F.slice(folded(xs, F.col("_carry")), F.lit(2), F.size("_rows")).alias("e"))).alias("z")) \
+        .select(run, F.col("z.s").alias(step), F.col("z.e").alias("ema"))
+    return log.join(done, [run, step])
 
 
 def early_stop(log: DataFrame, run: str, patience: int, mode: str = "metric", step: str = "step",

@@ -64,7 +64,7 @@ def query_blocks(q: DataFrame, qid: str, limit: int | None = None) -> list[tuple
     total, largest = per.agg(F.sum("_b"), F.max("_b")).first()
     if (total or 0) <= limit:
         return [(q, True)]
-    blocks = max(2, math.ceil(total / limit))
+    blocks = max(2, math.ceil(total / max(limit, largest)))
     while True:
         blk = F.pmod(F.xxhash64(F.col(qid)), F.lit(blocks))
         sizes = {r["_k"]: r["_s"] for r in per.groupBy(blk.alias("_k")).agg(F.sum("_b").alias("_s")).collect()}

@@ -8,9 +8,12 @@ driver-side peek is S16's first line (header detection).
 
 from __future__ import annotations
 
+import csv
+import json
 import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,16 +34,27 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def _natural(path: Column) -> Column:
+    """A path that orders by its numbers: part-2 before part-10."""
+    return F.regexp_replace(F.regexp_replace(path, r"(\d+)", "0000000000000000000$1"), r"0*(\d{20})", "$1")
+
+
+def _numbered(df: DataFrame, *cols: Column) -> DataFrame:
+    """``cols`` and ``row_id`` 0.. in reading order: files by name (numbers as
+    numbers), then place in the file.  ``df`` must be a file scan."""
+    seen = df.select(*cols, _natural(F.col("_metadata.file_path")).alias("_f"),
+                     F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_o"))
+    return assign_row_ids(seen, ["_f", "_b", "_o"]).drop("_f", "_b", "_o")
+
+
 def read_collection(spark: SparkSession, path: str, with_row_ids: bool = False) -> DataFrame:
     """``id \\t text`` lines; lines of at most one char or without a tab
     are dropped; tab/newline/CR in text -> space, trimmed."""
     t = _lines(spark, resolve_collection_path(path)).where(F.length("value") > 1)
-    parts = F.split("value", "\t", 2)
-    df = t.select(parts.alias("p")).where(F.size("p") == 2).select(
-        strip_ws(F.col("p")[0]).alias("id"), clean_text(F.col("p")[1]).alias("text"))
-    if with_row_ids:
-        df = assign_row_ids(df.withColumn("_o", F.monotonically_increasing_id()), ["_o"]).drop("_o")
-    return df
+    p = F.split("value", "\t", 2)
+    t = t.where(F.size(p) == 2)
+    cols = strip_ws(p[0]).alias("id"), clean_text(p[1]).alias("text")
+    return _numbered(t, *cols) if with_row_ids else t.select(*cols)
 
 
 def read_titled_collection(spark: SparkSession, path: str) -> DataFrame:
@@ -108,10 +122,10 @@ FLAT_TURN = T.StructType([
 
 def read_turns_flat(spark: SparkSession, path: str) -> DataFrame:
     """One record per turn with its ``[SEP]`` history and positives;
-    the first positive passage becomes the qrel."""
+    the first positive passage becomes the qrel (null if there is none)."""
     df = spark.read.schema(FLAT_TURN).option("multiLine", True).json(path)
     return df.select("conv_id", "turn_id", "question",
-                     F.col("positive_ctxs")[0]["passage_id"].alias("passage_id"))
+                     F.get("positive_ctxs", F.lit(0))["passage_id"].alias("passage_id"))
 
 
 CONTEXT_TURN = T.StructType([
@@ -145,9 +159,12 @@ def _nested_json(spark: SparkSession, path: str, mtype: T.MapType, value_name: s
     """One ``{qid: {did: value}}`` object per line (the reference writes
     its file as a single line; our writers write one object per query), or
     with ``whole_file=True`` one pretty-printed object per file (which
-    cannot be split: convert such a file to parquet once)."""
+    cannot be split: convert such a file to parquet once).  A line that is
+    not an object is an error."""
     src = spark.read.text(path, wholetext=True) if whole_file else spark.read.text(path)
-    m = src.where(F.length(strip_ws("value")) > 0).select(F.from_json("value", mtype).alias("m"))
+    lines = src.where(F.length(strip_ws("value")) > 0)
+    broken = F.raise_error(F.concat(F.lit("not one JSON object (a pretty-printed file needs whole_file=True): "), F.substring("value", 1, 80)))
+    m = lines.select(F.coalesce(F.from_json("value", mtype), broken).alias("m"))
     a = m.select(F.explode("m").alias("qid", "inner"))
     return a.select(F.col("qid").cast("string"), F.explode("inner").alias("did", value_name))
 
@@ -179,8 +196,8 @@ def read_triplets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rewrites(spark: SparkSession, path: str) -> DataFrame:
     """Parquet ``(id, text)`` with positional row ids."""
-    df = spark.read.parquet(path).withColumn("_o", F.monotonically_increasing_id())
-    return assign_row_ids(df, ["_o"]).drop("_o")
+    df = spark.read.parquet(path)
+    return _numbered(df, *df.columns)
 
 
 def _first_line(spark: SparkSession, path: str) -> str | None:
@@ -191,27 +208,44 @@ def _first_line(spark: SparkSession, path: str) -> str | None:
 def read_delimited_auto(spark: SparkSession, path: str) -> DataFrame:
     """Header present iff every field of the first line contains a
     letter; otherwise columns ``id, contents``.  Format by extension
-    (tab for .tsv, comma otherwise); malformed rows skipped."""
-    import re
+    (tab for .tsv, comma otherwise); quoted fields may hold the separator;
+    rows with too many or too few fields are skipped."""
     sep = "\t" if path.endswith(".tsv") else ","
     line = _first_line(spark, path) or ""
-    fields = line.split(sep)
+    fields = next(csv.reader([line], delimiter=sep), [])
     header = bool(fields) and all(re.search(r"[A-Za-z]", f) for f in fields)
     r = spark.read.option("sep", sep).option("header", header).option("mode", "DROPMALFORMED") \
-        .option("quote", "")
+        .option("quote", '"').option("escape", '"')
     if header:
         return r.schema(T.StructType([T.StructField(f.strip(), T.StringType()) for f in fields])).csv(path)
     names = ["id", "contents"] + [f"c{i}" for i in range(2, len(fields))]
     return r.schema(", ".join(f"{n} string" for n in names)).csv(path)
 
 
+def _first_record(spark: SparkSession, path: str, head: int = 1000) -> dict:
+    """The first JSON object of a file, from its first lines."""
+    text = "\n".join(r[0] for r in spark.read.text(path).limit(head).collect())
+    start = text.find("{")
+    return json.JSONDecoder().raw_decode(text[start:])[0] if start >= 0 else {}
+
+
+def _json_type(value) -> T.DataType:
+    kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType()}
+    return kinds.get(type(value), T.StringType())
+
+
 def read_json_qrels_auto(spark: SparkSession, path: str) -> DataFrame:
-    """JSON / JSON-lines records; with exactly three fields they are
-    renamed (in order) to ``query, doc, relevance``."""
-    df = spark.read.json(path, multiLine=path.endswith(".json") and not path.endswith(".jsonl"))
-    if len(df.columns) == 3:
-        return df.toDF("query", "doc", "relevance")
-    return df
+    """JSON / JSON-lines records.  Records named query, doc, relevance
+    are read by name; other records of three fields are renamed to these in
+    the order of the first record's keys; more or fewer fields keep their
+    names.  The schema follows the first record (nested values as JSON text)."""
+    first = _first_record(spark, path)
+    names = ["query", "doc", "relevance"]
+    schema = T.StructType([T.StructField(k, _json_type(v)) for k, v in first.items()])
+    df = spark.read.schema(schema).json(path, multiLine=path.endswith(".json") and not path.endswith(".jsonl"))
+    if set(first) == set(names):
+        return df.select(*names)
+    return df.toDF(*names) if len(first) == 3 else df
 
 
 def read_query_file(spark: SparkSession, path: str) -> DataFrame:
@@ -224,8 +258,7 @@ def read_query_file(spark: SparkSession, path: str) -> DataFrame:
         return _lines(spark, path).select(p.alias("p")).where(F.size("p") == 2) \
             .select(F.col("p")[0].cast("long").alias("row_id"), F.col("p")[1].alias("question"))
     if n == 1:
-        df = _lines(spark, path).select(F.col("value").alias("question"), F.monotonically_increasing_id().alias("_o"))
-        return assign_row_ids(df, ["_o"]).drop("_o").select("row_id", "question")
+        return _numbered(_lines(spark, path), F.col("value").alias("question")).select("row_id", "question")
     raise ValueError(f"unexpected number of columns in {path}: {n}")
 
 
@@ -240,11 +273,6 @@ def read_corpus_tables(docs: DataFrame, queries: DataFrame, qrels: DataFrame) ->
             qrels.select("query_id", "doc_id", "relevance"))
 
 
-def read_postings(spark: SparkSession, table: str) -> DataFrame:
-    """The bucketed postings table."""
-    return spark.table(table)
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -120,7 +120,7 @@ def test_query_blocks_never_shuffle_the_bucketed_index(spark):
     name = f"pb_{uuid.uuid4().hex[:10]}"
     ix.write_postings(fx.postings(spark, SF_SMALL), scratch_path(spark, name), name, 4)
     p = ix.read_postings(spark, name)
-    scores = R.score(docs_q, p, block_bytes=5_000)            # several blocks
+    scores = R.score(docs_q, p, block_bytes=60_000)            # several blocks
     nodes = _nodes(_plan(scores))
     aggs = [node for name_, node in nodes if name_ == "HashAggregate"]
     assert len(aggs) >= 3                                     # one final aggregate per block (and partials)
@@ -131,7 +131,7 @@ def test_query_blocks_never_shuffle_the_bucketed_index(spark):
 
 def test_no_pair_crosses_the_network_at_any_limit(spark):
     q, p = fx.query_terms(spark, SF_SMALL), fx.postings(spark, SF_SMALL)
-    for limit in (None, 5_000, 20_000):
-        run = R.retrieve(q, p, k=10, threshold=None, block_bytes=limit) if limit != 5_000 else R.score(q, p, block_bytes=limit)
+    for limit in (None, 60_000, 100_000):
+        run = R.retrieve(q, p, k=10, threshold=None, block_bytes=limit) if limit != 60_000 else R.score(q, p, block_bytes=limit)
         exchanges = [node.toString().split("\n")[0] for name, node in _nodes(_plan(run)) if name == "Exchange"]
         assert not any("qid" in e and "did" in e for e in exchanges), exchanges
