@@ -66,14 +66,27 @@ def rewrite_prompts(turns: DataFrame, budget: int = T.CONTEXT_BUDGET,
     kept blocks are a prefix and the filter equals the reference's early
     stop — then the template is filled with the current question."""
     qa = answers_by_turn(turns)
-    w = _frame("conv_id", "turn", -1, max_turns)
-    prior = F.collect_list(F.struct(F.col("question").alias("q"), F.col("answer").alias("a"))).over(w)
-    blocks = F.filter(
-        F.transform(F.reverse(prior),
-                    lambda p: F.when((p["q"] != "") & (p["a"] != ""), T.history_block(p["q"], p["a"]))),
-        lambda b: b.isNotNull())
-    kept = F.filter(blocks, lambda b, j: F.aggregate(F.slice(blocks, 1, j + 1), F.lit(0),
-                                                      lambda acc, x: acc + F.length(x)) + j <= budget)
+    usable = (F.col("question") != "") & (F.col("answer") != "")
+    # a block has a character on both sides at least, so only so many fit; the
+    # frame holds that many usable pairs, however many empty ones lie between
+    most = budget // (len(T.BLOCK_USER) + len(T.BLOCK_SYSTEM) + 2) + 1
+    ordered = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    qa = qa.withColumn("_k", F.coalesce(F.sum(usable.cast("int")).over(ordered), F.lit(0)))
+    near = Window.partitionBy("conv_id").orderBy("_k").rangeBetween(-most, 0)
+    if max_turns is not None:
+        near = _frame("conv_id", "turn", -1, max_turns)
+    pair = F.when(usable, F.struct(F.col("turn").alias("t"), F.col("question").alias("q"), F.col("answer").alias("a")))
+    qa = qa.withColumn("_pairs", F.sort_array(F.collect_list(pair).over(near), asc=False))
+    blocks = F.transform(F.filter("_pairs", lambda p: p["t"] < F.col("turn")), lambda p: T.history_block(p["q"], p["a"]))
+
+    def take(state, b):
+        room = state["used"] + F.length(b) + F.size(state["kept"])
+        return F.when(state["open"] & (room <= budget), F.struct(
+            (state["used"] + F.length(b)).alias("used"), F.concat(state["kept"], F.array(b)).alias("kept"), F.lit(True).alias("open"))
+        ).otherwise(F.struct(state["used"].alias("used"), state["kept"].alias("kept"), F.lit(False).alias("open")))
+
+    empty = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"), F.lit(True).alias("open"))
+    kept = F.aggregate(blocks, empty, take)["kept"]
     return qa.withColumn("blocks", kept).select(
         "conv_id", "turn", "question",
         F.size("blocks").alias("n_blocks"),

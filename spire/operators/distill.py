@@ -273,3 +273,15 @@ def teacher_vs_student_report(pairs: DataFrame) -> DataFrame:
                      F.avg(F.col("s_pos") - F.col("s_neg")).alias("student_margin"),
                      F.avg("t_pos").alias("teacher_pos"), F.avg("t_neg").alias("teacher_neg"),
                      F.avg(F.col("t_pos") - F.col("t_neg")).alias("teacher_margin"))
+
+
+#: losses by name, as a configuration names them
+LOSSES = {"pairwise_nll": pairwise_nll, "in_batch_nll": in_batch_nll, "bpr_bce": bpr_bce, "margin_mse": margin_mse,
+          "listwise_margin_mse": listwise_margin_mse, "kl_divergence": kl_divergence, "infonce": infonce}
+
+
+def loss(name: str):
+    """The loss of that name; an unknown name is an error that lists the known."""
+    if name not in LOSSES:
+        raise ValueError(f"unknown loss {name!r}; known: {', '.join(LOSSES)}")
+    return LOSSES[name]

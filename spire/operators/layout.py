@@ -1,12 +1,8 @@
-"""Physical layout helpers: clustering and input parallelism.
+"""Physical layout helper: clustering.
 
 * ``cluster(df, cols)`` hash-partitions ``df`` on ``cols`` unless its
   physical plan already is (a bucketed table scan reports its bucket
   partitioning, so a bucketed index is never reshuffled).
-* ``spread(df, cols)`` repartitions only when the input has fewer
-  partitions than the cluster has cores — a single large file read as one
-  split before a row-multiplying step (explode of tokens or dimensions).
-  On a cluster reading many files it is a no-op.
 """
 
 from __future__ import annotations
@@ -40,9 +36,3 @@ def cluster(df: DataFrame, cols: list[str], n: int | None = None) -> DataFrame:
     n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *cols)
 
-
-def spread(df: DataFrame, cols: list[str], min_partitions: int | None = None) -> DataFrame:
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *cols)

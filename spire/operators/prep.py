@@ -53,11 +53,12 @@ def filter_empty_relevance(turns: DataFrame, prov: str = "provenance") -> DataFr
 
 def map_qrels_to_rows(qrels: DataFrame, query_ids: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """External query and document ids -> row ids; unknown ids dropped.
-    ``query_ids``/``doc_ids`` are ``(row_id, id)`` maps."""
+    ``query_ids``/``doc_ids`` are ``(row_id, id)`` maps.  A ``line`` column
+    (place in the file) is kept."""
     q = query_ids.select(F.col("id").alias("qid"), F.col("row_id").alias("q_row"))
     d = doc_ids.select(F.col("id").alias("did"), F.col("row_id").alias("d_row"))
     return qrels.join(q, "qid").join(d, "did").select(
-        F.col("q_row").alias("qid"), F.col("d_row").alias("did"), "rel")
+        F.col("q_row").alias("qid"), F.col("d_row").alias("did"), "rel", *[c for c in qrels.columns if c == "line"])
 
 
 def lookup_answer(queries: DataFrame, docs: DataFrame, answer_id: str, id_col: str = "doc_id",

@@ -46,10 +46,13 @@ def qrecc(records: DataFrame) -> dict[str, DataFrame]:
     q = T.strip_ws(F.substring(F.regexp_replace(q, "\n", " "), 1, T.USER_CUT))
     ctx = F.reverse(T.truncate_by_role(F.coalesce(F.col("Context"), F.array().cast("array<string>"))))
     ctx_s = T.strip_ws(F.regexp_replace(F.array_join(ctx, T.SEP_JOIN), "\n", " "))
+    turn_id = F.concat_ws("_", "Conversation_no", "Turn_no")
     r = r.withColumn("_q", q).withColumn("_all", F.when(F.size(ctx) > 0, F.concat(F.col("_q"), F.lit(T.SEP_JOIN), ctx_s))
                                          .otherwise(F.col("_q")))
     return {
         "queries_all": r.select("row_id", F.col("_all").alias("text")),
+        "queries_by_turn": r.select(turn_id.alias("turn_id"), F.col("_all").alias("text")),
+        "qrels_by_turn": r.select(turn_id.alias("qid"), F.explode("passages").alias("did"), F.lit(1).alias("rel")).dropDuplicates(["qid", "did"]),
         "queries_last": r.select("row_id", F.col("_q").alias("text")),
         "rewrites": r.select("row_id", F.col("Truth_rewrite").alias("text")),
         "qrels": r.select(F.col("row_id").cast("string").alias("qid"), F.explode("passages").alias("did"),
@@ -74,12 +77,13 @@ def ikat(turns: DataFrame, docs: DataFrame, keep_skipped_turns: bool = True,
     prior = F.collect_list(F.struct(u.alias("u"), a.alias("a"))).over(w)
     items = F.filter(F.flatten(F.transform(prior, lambda p: F.array(p["u"], p["a"]))), lambda x: x.isNotNull())
     t = t.withColumn("_hist", F.concat(items, F.array(F.col("utterance"))))
-    kept = _rows(t.where(F.col("_kept")), ["conv", "turn"])
+    # conversations in file order where the reader gives one
+    kept = _rows(t.where(F.col("_kept")), ["conv_no", "turn"] if "conv_no" in turns.columns else ["conv", "turn"])
     return {
         "queries_all": kept.select("row_id", F.array_join(F.reverse("_hist"), T.SEP_JOIN).alias("text")),
         "queries_last": kept.select("row_id", F.col("utterance").alias("text")),
         "rewrites": kept.select("row_id", T.clean_text(F.coalesce("rewrite", F.lit(""))).alias("text")),
-        "qrels": kept.select(F.col("row_id").cast("string").alias("qid"), F.explode("_prov").alias("did"),
+        "qrels": kept.select(F.col("row_id").cast("string").alias("qid"), F.explode(F.array_distinct("_prov")).alias("did"),
                              F.lit(1).alias("rel")),
     }
 
@@ -103,12 +107,15 @@ def cast(docs: DataFrame, queries: DataFrame, qrels: DataFrame, consistent: bool
     qmap = q.select("row_id", F.col("query_id").alias("id"))
     dmap = passages.select("row_id", F.col("doc_id").alias("id"))
     mapped = map_qrels_to_rows(qrels.select(F.col("query_id").alias("qid"), F.col("doc_id").alias("did"),
-                                            F.col("relevance").alias("rel")), qmap, dmap)
-    best = max_relevance(mapped, "did")
+                                            F.col("relevance").alias("rel"),
+                                            *[c for c in qrels.columns if c == "line"]), qmap, dmap)
+    # of equal relevance the first line of the file wins, where it is known
+    best = max_relevance(mapped, "line" if "line" in mapped.columns else "did")
     return {
         "passages": passages.select("row_id", "text"),
         "queries_all": q.select("row_id", F.array_join(F.reverse("_hist"), T.SEP_JOIN).alias("text")),
         "queries_last": q.select("row_id", F.col("_u").alias("text")),
         "rewrites": q.select("row_id", F.col("manual_rewritten_utterance").alias("text")),
+        "automatic_rewrites": q.select("row_id", F.col("automatic_rewritten_utterance").alias("text")),
         "qrels": best.select(F.col("qid").cast("string"), F.col("did").cast("string"), "rel"),
     }

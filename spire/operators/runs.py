@@ -60,11 +60,6 @@ def rescale_to_student(teacher: DataFrame, student: DataFrame, keep: DataFrame |
     return j.select("qid", "did", minmax_rescale("score", "t_min", "t_max", "s_min", "s_max").alias("score"))
 
 
-def filter_score(run: DataFrame, threshold: float) -> DataFrame:
-    """Strict ``score > threshold``."""
-    return run.where(F.col("score") > F.lit(threshold))
-
-
 def filter_positive_qrels(qrels: DataFrame) -> DataFrame:
     """Rel >= 1."""
     return qrels.where(F.col("rel") >= 1)
@@ -82,7 +77,8 @@ def keep_filtered(samples: DataFrame, keep: DataFrame) -> DataFrame:
 
 def max_relevance(qrels: DataFrame, order: str) -> DataFrame:
     """One passage per query: the strictly greatest ``rel > 0``, the
-    earliest in ``order`` among equals, written with rel 1.  An aggregate
+    earliest in the numeric column ``order`` among equals, written with rel 1.
+    An aggregate
     (max of a struct), so it combines map-side."""
     best = qrels.where(F.col("rel") > 0).groupBy("qid").agg(
         F.max(F.struct(F.col("rel"), (-F.col(order)).alias("_o"), F.col("did"))).alias("_b"))

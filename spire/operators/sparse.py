@@ -199,3 +199,14 @@ def anti_zero(q_vec: DataFrame, d_vec: DataFrame) -> DataFrame:
     d = d_vec.agg(F.sum("weight").alias("sd"))
     return _one_row_join(q, d).select(
         (1 / (F.col("sq") * F.col("sq")) + 1 / (F.col("sd") * F.col("sd"))).alias("anti_zero"))
+
+
+#: regularizers by name, as a configuration names them
+REGULARIZERS = {"flops": flops_regularizer, "l0_l1": sparsity_stats, "anti_zero": anti_zero}
+
+
+def regularizer(name: str):
+    """The regularizer of that name; an unknown name is an error that lists the known."""
+    if name not in REGULARIZERS:
+        raise ValueError(f"unknown regularizer {name!r}; known: {', '.join(REGULARIZERS)}")
+    return REGULARIZERS[name]

@@ -167,13 +167,14 @@ def _generated(spark, sf):
     p = C.rewrite_prompts(fx.turns(spark, sf)).select("conv_id", "turn", "prompt")
     reply = raw.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                            F.col("text").alias("reply"))
-    return p.join(reply, ["conv_id", "turn"]).select("conv_id", "turn",
-                                                     F.concat("prompt", "reply").alias("generated"))
+    # a turn without a reply yields the echoed prompt alone
+    return p.join(reply, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.concat("prompt", F.coalesce("reply", F.lit(""))).alias("generated"))
 
 
 @register("extract_rewrite", _prompt_ctes() + f""",
-g AS (SELECT r.conv_id, r.turn, r.prompt || c.text AS generated FROM r
-      JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1 AND c.role = 'assistant'),
+g AS (SELECT r.conv_id, r.turn, r.prompt || coalesce(c.text, '') AS generated FROM r
+      LEFT JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1 AND c.role = 'assistant'),
 e AS (SELECT conv_id, turn, {_extract_sql('generated')} AS rewrite FROM g)
 SELECT conv_id, turn, rewrite,
        ({tw('rewrite')} = '' OR len(list_filter(regexp_split_to_array({tw('rewrite')}, '\\s+'), lambda z: z <> '')) < 3)

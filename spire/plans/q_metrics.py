@@ -45,9 +45,8 @@ pq AS (SELECT g.*, ideal.* EXCLUDE (qid) FROM g LEFT JOIN ideal ON g.qid = ideal
 {select}"""
 
 
-def _pq(spark, sf, cutoffs, run=None):
-    run = run if run is not None else fx.lineitem_run(spark, sf)
-    return M.per_query(run, fx.lineitem_qrels(spark, sf), cutoffs=cutoffs)
+def _pq(spark, sf, cutoffs, depth=None):
+    return M.per_query(fx.lineitem_run(spark, sf), fx.lineitem_qrels(spark, sf), cutoffs=cutoffs, depth=depth)
 
 
 def _round(df, cols, ints=()):
@@ -67,14 +66,14 @@ def mrr_at_10(spark, sf):
   round(CASE WHEN num_rel > 0 THEN hits_1000 / num_rel ELSE 0 END, 6) AS recall_1000 FROM pq"""))
 def recall_at_k(spark, sf):
     """M2: recall at 10, 100 and 1000 per query."""
-    return _round(_pq(spark, sf, [10, 100, 1000]), ["recall_10", "recall_100", "recall_1000"])
+    return _round(_pq(spark, sf, [10, 100, 1000], depth=1000), ["recall_10", "recall_100", "recall_1000"])
 
 
 @register("ndcg_at_3", _pq_sql([3], """SELECT qid,
   round(CASE WHEN idcg_3 > 0 THEN dcg_3 / idcg_3 ELSE 0 END, 6) AS ndcg_cut_3 FROM pq"""))
 def ndcg_at_3(spark, sf):
     """M3: nDCG@3 with linear gain on graded qrels."""
-    return _round(_pq(spark, sf, [3]), ["ndcg_cut_3"])
+    return _round(_pq(spark, sf, [3], depth=3), ["ndcg_cut_3"])
 
 
 @register("ndcg_full", _pq_sql([10], """SELECT qid,
@@ -89,7 +88,7 @@ def ndcg_full(spark, sf):
   CAST(judged_100 AS BIGINT) AS judged_100, round(judged_10 / 10.0, 6) AS judged_rate_10 FROM pq"""))
 def judged_at_10(spark, sf):
     """M5: number (and rate) of judged documents in the top 10 / 100."""
-    pq = _pq(spark, sf, [10, 100])
+    pq = _pq(spark, sf, [10, 100], depth=100)
     return pq.select("qid", F.col("judged_10").cast("long"), F.col("judged_100").cast("long"),
                      rounded("judged_rate_10").alias("judged_rate_10"))
 

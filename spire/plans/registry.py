@@ -41,8 +41,8 @@ RUN_CTE = """run AS (
 
 RUN2_CTE = """run2 AS (
   SELECT l_suppkey AS qid, l_orderkey AS did,
-         CAST(max(l_extendedprice * (1 - l_discount)) AS DOUBLE) AS score
-  FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2)"""
+         CAST(max(l_extendedprice * l_discount) AS DOUBLE) AS score
+  FROM lineitem GROUP BY 1, 2 HAVING max(l_extendedprice * l_discount) > 0)"""
 
 QRELS_CTE = """qrels AS (
   SELECT qid, did, rel FROM (

@@ -104,11 +104,12 @@ TOPIC = T.StructType([T.StructField("number", T.StringType()),
 
 def read_topics_nested(spark: SparkSession, path: str) -> DataFrame:
     """An array of conversations with nested turns -> one row per turn
-    ``(conv, turn, utterance, response, rewrite, provenance)``."""
+    ``(conv, conv_no, turn, utterance, response, rewrite, provenance)``;
+    ``conv_no`` orders conversations as the file does."""
     df = spark.read.schema(TOPIC).option("multiLine", True).json(path)
     df = df.withColumn("_conv", F.monotonically_increasing_id())
     e = df.select("_conv", "number", F.posexplode("turns").alias("turn", "t"))
-    return e.select(F.coalesce("number", F.col("_conv").cast("string")).alias("conv"), "turn",
+    return e.select(F.coalesce("number", F.col("_conv").cast("string")).alias("conv"), F.col("_conv").alias("conv_no"), "turn",
                     F.col("t.utterance").alias("utterance"), F.col("t.response").alias("response"),
                     F.col("t.resolved_utterance").alias("rewrite"),
                     F.coalesce(F.col("t.response_provenance"), F.array().cast("array<string>")).alias("provenance"))

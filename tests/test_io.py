@@ -4,6 +4,8 @@ import gzip
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from spire.session import scratch_path
@@ -147,3 +149,37 @@ def test_sharded_postings_layout(spark):
     assert sorted(os.path.basename(p) for p in os.listdir(f"{d}/s") if p.startswith("shard=")) == ["shard=0", "shard=1"]
     back = spark.read.parquet(f"{d}/s").where(F.col("shard") == 1)
     assert back.count() == 1
+
+
+def test_row_ids_follow_files_and_lines(spark):
+    d = _dir(spark, "io-order")
+    os.makedirs(f"{d}/c")
+    _write(f"{d}/c/part-2.tsv", "a\tfirst\n")
+    _write(f"{d}/c/part-10.tsv", "".join(f"b{i}\tline {i}\n" for i in range(500)))
+    rows = S.read_collection(spark, f"{d}/c/part-*.tsv", with_row_ids=True).orderBy("row_id").collect()
+    assert [r["id"] for r in rows] == ["a"] + [f"b{i}" for i in range(500)]
+
+
+def test_json_qrels_keep_their_meaning(spark):
+    d = _dir(spark, "io-json")
+    _write(f"{d}/a.jsonl", '{"qid": "Q1", "docid": "D1", "rel": 1}\n')
+    _write(f"{d}/b.jsonl", '{"relevance": 2, "doc": "D1", "query": "Q1"}\n')
+    _write(f"{d}/c.json", json.dumps([{"qid": "Q1", "docid": "D1", "rel": 1}], indent=1))
+    for name, rel in (("a.jsonl", 1), ("b.jsonl", 2), ("c.json", 1)):
+        df = S.read_json_qrels_auto(spark, f"{d}/{name}")
+        assert df.columns == ["query", "doc", "relevance"] and tuple(df.first()) == ("Q1", "D1", rel)
+
+
+def test_broken_nested_json_is_an_error(spark):
+    d = _dir(spark, "io-broken")
+    _write(f"{d}/pretty.json", json.dumps({"q1": {"d1": 1}}, indent=2))
+    with pytest.raises(Exception, match="whole_file"):
+        S.read_nested_qrels(spark, f"{d}/pretty.json").collect()
+
+
+def test_quoted_fields_and_empty_positives(spark):
+    d = _dir(spark, "io-quoted")
+    _write(f"{d}/q.csv", 'id,contents\n1,"a, b"\n2,c\n')
+    assert sorted(tuple(r) for r in S.read_delimited_auto(spark, f"{d}/q.csv").collect()) == [("1", "a, b"), ("2", "c")]
+    _write(f"{d}/flat.json", json.dumps([{"conv_id": 1, "turn_id": 1, "question": "a", "positive_ctxs": []}]))
+    assert S.read_turns_flat(spark, f"{d}/flat.json").first()["passage_id"] is None

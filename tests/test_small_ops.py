@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from spire.operators import distill as D
@@ -66,3 +67,43 @@ def test_id_map_stats_and_metric_log_sinks(spark):
     L.append_metrics(m, f"{base}/metrics")
     L.append_metrics(m.withColumn("run", F.lit("r2")), f"{base}/metrics")
     assert sorted(p for p in os.listdir(f"{base}/metrics") if p.startswith("run=")) == ["run=r1", "run=r2"]
+
+
+def test_registries_name_what_they_know():
+    from spire.operators import distill, sparse
+    assert distill.loss("margin_mse") is distill.margin_mse and sparse.regularizer("flops") is sparse.flops_regularizer
+    for find in (distill.loss, sparse.regularizer):
+        with pytest.raises(ValueError, match="known"):
+            find("nothing")
+
+
+def test_repeated_ids_are_an_error(spark):
+    from spire.operators import index as ix
+    ids = spark.createDataFrame([(1,), (1,), (2,)], "doc_id long")
+    vec = spark.createDataFrame([(1, 0, 1.0)], "doc_id long, dim int, weight double")
+    with pytest.raises(ValueError, match="repeated ids"):
+        ix.build_index(vec, ids, "doc_id")
+
+
+def test_documents_without_weight_and_token_dims(spark):
+    from spire.operators import index as ix
+    vec = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "doc_id long, dim string, weight double")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    got = {r.doc_id: r.shard for r in ix.shard_documents(vec, "doc_id", 4, ids=ids).collect()}
+    assert got[3] == 0 and set(got) == {1, 2, 3}
+    parts = spark.createDataFrame([(0, 0, 10, 1, 1.0), (1, 0, 20, 1, 1.0)], "shard int, local_id long, doc_id long, dim int, weight double")
+    maps = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "shard int, local_id long")
+    assert sorted(r.row_id for r in ix.merge_index(parts, "doc_id", maps).collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("decay", [0.0, 0.05, 0.5, 0.99, 1.0])
+def test_moving_average_for_any_decay(spark, decay):
+    from spire.operators.logs import moving_average
+    xs = [float((i * 37) % 101) for i in range(300)]
+    df = spark.createDataFrame([("r", i, x) for i, x in enumerate(xs)], "run string, step long, value double")
+    got = [r.ema for r in moving_average(df, "run", decay=decay, chunk=8).orderBy("step").collect()]
+    ema, want = 0.0, []
+    for x in xs:
+        ema = decay * ema + (1 - decay) * x
+        want.append(ema)
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
