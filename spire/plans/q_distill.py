@@ -33,12 +33,8 @@ def _ts(spark, sf):
     return ts.checkpoint(eager=True)
 
 
-def _samples(spark, sf):
-    return _ts(spark, sf).select("qid", "did", F.col("teacher").alias("score"))
-
-
-def _choice(spark, sf):
-    samples = _samples(spark, sf)
+def _choice(spark, sf, ts=None):
+    samples = (ts if ts is not None else _ts(spark, sf)).select("qid", "did", F.col("teacher").alias("score"))
     chosen, pool = D.choose_positives(fx.lineitem_qrels(spark, sf), samples, N_POS, SEED)
     negs = D.sample_negatives(samples, pool, N_NEG, SEED)
     return samples, chosen, pool, negs
@@ -155,13 +151,15 @@ SELECT round(avg(CASE WHEN ln_ IS NULL THEN 0.0 ELSE ln(1 + exp(-abs(ln_ - stude
 def pairwise_nll(spark, sf):
     """-log softmax of each positive over itself and the query's
     negatives (student scores of the common candidates)."""
-    r = D.pairwise_nll(_ts(spark, sf), D.samples_filtered(fx.lineitem_qrels(spark, sf), _ts(spark, sf)))
+    ts = _ts(spark, sf)
+    r = D.pairwise_nll(ts, D.samples_filtered(fx.lineitem_qrels(spark, sf), ts))
     return r.select(rounded("pairwise_nll").alias("pairwise_nll"), F.col("n_pos").cast("long"))
 
 
-def _pairs(spark, sf):
-    _, chosen, _, negs = _choice(spark, sf)
-    return D.aligned_pairs(chosen, negs, _ts(spark, sf))
+def _pairs(spark, sf, ts=None):
+    ts = ts if ts is not None else _ts(spark, sf)
+    _, chosen, _, negs = _choice(spark, sf, ts)
+    return D.aligned_pairs(chosen, negs, ts)
 
 
 @register("bpr_bce", f"""{_BASE}
@@ -330,8 +328,9 @@ def combined_loss(spark, sf):
     v = fx.vectors(spark, sf)
     ids = fx.vector_ids(spark, sf)
     c = infonce(spark, sf).select(F.col("infonce").alias("contrastive"))
-    k = D.kl_divergence(_ts(spark, sf)).select(F.col("kl_divergence").alias("kl"))
-    m = D.margin_mse(_pairs(spark, sf))
+    ts = _ts(spark, sf)  # stored once for both
+    k = D.kl_divergence(ts).select(F.col("kl_divergence").alias("kl"))
+    m = D.margin_mse(_pairs(spark, sf, ts))
     f = S.flops_regularizer(v, ids, "vec_id").select(F.col("flops").alias("flops_d"))
     lq = S.sparsity_stats(S.encode_topk(v, "vec_id", 8), ids, "vec_id").select(F.col("l1").alias("l1_q"))
     az = S.anti_zero(v, v)

@@ -8,10 +8,13 @@ only a local session without it gets a fresh folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -46,7 +49,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,8 +74,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared folder."""
+    """A fresh, unique path below the shared folder.  What is written there is
+    deleted when Python ends, if the session is still up."""
     base = shared_dir(spark)
     if base.startswith("file:"):
         base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    if not _SCRATCH:
+        atexit.register(_clean)
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def _clean() -> None:
+    context = SparkContext._active_spark_context
+    if context is None or context._jsc is None:
+        return
+    conf = context._jsc.hadoopConfiguration()
+    for path in _SCRATCH:
+        with contextlib.suppress(Exception):  # a folder that is gone, or a JVM that is
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
