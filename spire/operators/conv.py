@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: roles that speak; a system row sets the scene and is no part of a history
+SPEAKERS = ("user", "assistant")
+
+
+def utterances(turns: DataFrame) -> DataFrame:
+    """The turns that speak, with the scene their conversation was given
+    (the first system text, null without one) in ``scene``."""
+    scene = F.min(F.when(F.col("role") == "system", F.struct("turn", "text"))).over(Window.partitionBy("conv_id"))
+    return turns.withColumn("scene", scene["text"]).where(F.col("role").isin(*SPEAKERS))
+
+
 def _frame(conv: str, order: str, upto: int, max_turns: int | None):
     lo = Window.unboundedPreceding if max_turns is None else -max_turns
     return Window.partitionBy(conv).orderBy(order).rowsBetween(lo, upto)

@@ -11,7 +11,7 @@ expects (FIXTURES.md §2); none of them does an operator's work.
                        score = max extended price
   * graded qrels       rel = number of returned ('R') lines of the pair
   * second teacher     greatest discount of the pair, where positive
-  * conversation turns conversations without system rows, text cleaned
+  * conversation turns every conversation row, text cleaned
 """
 
 from __future__ import annotations
@@ -75,10 +75,8 @@ def lineitem_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(conv_id, turn, role, text)`` of user and assistant rows, text cleaned."""
-    c = table(spark, sf_dir, "conversations")
-    return c.where(F.col("role") != "system").select(
-        "conv_id", "turn", "role", clean_text("text").alias("text"))
+    """``(conv_id, turn, role, text)`` of every row, text cleaned."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", clean_text("text").alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ h AS (SELECT conv_id, turn, role, array_to_string(list_reverse(list(text) {_FRAM
 SELECT conv_id, turn, history FROM h WHERE role = 'user'""")
 def history_queries(spark, sf):
     """W4 + F2 (CAsT recipe): newest-first history of every user turn."""
-    return C.cast_history(fx.turns(spark, sf)).select("conv_id", "turn", "history")
+    return C.cast_history(C.utterances(fx.turns(spark, sf))).select("conv_id", "turn", "history")
 
 
 @register("last_utterance", f"""WITH {TURNS_CTE},
@@ -44,7 +44,7 @@ FROM h WHERE role = 'user'""")
 def last_utterance(spark, sf):
     """F4 + F5: from an oldest-first history, the current utterance (last
     segment) and the newest-first history with trimmed segments."""
-    h = C.history(fx.turns(spark, sf), newest_first=False).where(F.col("role") == "user")
+    h = C.history(C.utterances(fx.turns(spark, sf)), newest_first=False).where(F.col("role") == "user")
     return C.last_and_reversed(h).select("conv_id", "turn", "last", "reversed")
 
 
@@ -63,7 +63,7 @@ FROM d WHERE role = 'user'""")
 def truncate_by_role(spark, sf):
     """F3 + F6 (QReCC recipe): context turns cut at 320 (user positions)
     or 500 chars, newest first, behind the 320-char question."""
-    return C.qrecc_query(fx.turns(spark, sf))
+    return C.qrecc_query(C.utterances(fx.turns(spark, sf)))
 
 
 @register("conversation_length", f"""WITH {TURNS_CTE},
@@ -73,7 +73,7 @@ SELECT conv_id, turn, CAST(floor((len(string_split(history, '[SEP]')) - 1) / 2)
 FROM h WHERE role = 'user'""")
 def conversation_length(spark, sf):
     """number of previous (question, answer) pairs of every user turn."""
-    h = C.history(fx.turns(spark, sf)).where(F.col("role") == "user")
+    h = C.history(C.utterances(fx.turns(spark, sf))).where(F.col("role") == "user")
     return h.select("conv_id", "turn", T.conversation_length("history").alias("length"))
 
 
@@ -92,7 +92,7 @@ a AS (SELECT conv_id, turn, history,
 SELECT conv_id, turn, answer FROM a""")
 def mine_answers(spark, sf):
     """The answer of a turn mined from the next turn's history."""
-    h = C.history(fx.turns(spark, sf)).where(F.col("role") == "user")
+    h = C.history(C.utterances(fx.turns(spark, sf))).where(F.col("role") == "user")
     return C.mine_answers(h).select("conv_id", "turn", "answer")
 
 
@@ -105,7 +105,7 @@ FROM p""")
 def rewritten_history(spark, sf):
     """W5 after W6: each turn's current question, then earlier turns newest
     first as (answer if non-empty, question)."""
-    h = C.history(fx.turns(spark, sf)).where(F.col("role") == "user")
+    h = C.history(C.utterances(fx.turns(spark, sf))).where(F.col("role") == "user")
     a = C.mine_answers(h).withColumn("text", T.strip_ws(F.element_at(T.split_sep("history"), 1)))
     return C.rewritten_history(a).select("conv_id", "turn", "history")
 
@@ -136,14 +136,14 @@ r AS (SELECT conv_id, turn, question, CAST(len(kept) AS INTEGER) AS n_blocks,
 def rewrite_prompts(spark, sf):
     """F10 + W7: the rewriting prompt of every user turn, history blocks
     newest first within a 3000-character budget."""
-    return C.rewrite_prompts(fx.turns(spark, sf))
+    return C.rewrite_prompts(C.utterances(fx.turns(spark, sf)))
 
 
 @register("history_budget", _prompt_ctes() +
           "\nSELECT conv_id, turn, n_blocks, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM r")
 def history_budget(spark, sf):
     """How many history blocks fit the budget, and the prompt size."""
-    p = C.rewrite_prompts(fx.turns(spark, sf))
+    p = C.rewrite_prompts(C.utterances(fx.turns(spark, sf)))
     return p.select("conv_id", "turn", "n_blocks", F.length("prompt").alias("prompt_chars"))
 
 
@@ -164,7 +164,7 @@ def _generated(spark, sf):
     """Stand-in decoder output: the prompt echoed, then the assistant's
     raw reply (as a causal language model returns it)."""
     raw = fx.table(spark, sf, "conversations")
-    p = C.rewrite_prompts(fx.turns(spark, sf)).select("conv_id", "turn", "prompt")
+    p = C.rewrite_prompts(C.utterances(fx.turns(spark, sf))).select("conv_id", "turn", "prompt")
     reply = raw.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                            F.col("text").alias("reply"))
     # a turn without a reply yields the echoed prompt alone
@@ -245,7 +245,7 @@ def rewrite_queries(spark, sf):
     retry for empty/short rewrites, ids in conversation order."""
     from ..operators.rewrite import rewrite_queries as rq
     from ..operators.rowids import assign_row_ids
-    p = assign_row_ids(C.rewrite_prompts(fx.turns(spark, sf)), ["conv_id", "turn"])
+    p = assign_row_ids(C.rewrite_prompts(C.utterances(fx.turns(spark, sf))), ["conv_id", "turn"])
     return rq(p, echo_decoder(), echo_decoder(retry=True)).select("row_id", "rewrite", "retried")
 
 

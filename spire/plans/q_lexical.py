@@ -95,7 +95,7 @@ SELECT v.qid, v.dim, round(v.weight, 6) AS weight FROM v JOIN b ON v.qid = b.qid
 def mask_lexical(spark, sf):
     """The encoded newest-first history of every user turn, masked to
     the terms of the turn's own utterance."""
-    h = C.history(fx.turns(spark, sf)).where(F.col("role") == "user") \
+    h = C.history(C.utterances(fx.turns(spark, sf))).where(F.col("role") == "user") \
         .withColumn("qid", T.turn_id("conv_id", "turn"))
     vec = S.lexical_encode(h, "qid", "history")
     bow = S.lexical_encode(h, "qid", "text", kind="query")

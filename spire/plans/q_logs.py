@@ -103,7 +103,7 @@ SELECT run, length, round(avg(value), 6) AS mean_value, CAST(count(*) AS BIGINT)
 def metric_by_length(spark, sf):
     """A14 (+ F7): mean per-query measure (query word count of the history
     and of the last-utterance variants) by conversation length."""
-    h = C.history(fx.turns(spark, sf)).where(F.col("role") == "user")
+    h = C.history(C.utterances(fx.turns(spark, sf))).where(F.col("role") == "user")
     lengths = h.select("conv_id", "turn", T.conversation_length("history").alias("length"))
     per = h.select("conv_id", "turn", F.lit("history").alias("run"), T.word_count("history").alias("value")) \
         .unionByName(h.select("conv_id", "turn", F.lit("last").alias("run"), T.word_count("text").alias("value")))
