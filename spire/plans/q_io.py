@@ -63,3 +63,75 @@ def run_json_roundtrip(spark, sf):
     K.write_run(fused, path, fmt="json")
     r = S.read_nested_run(spark, path)
     return r.select("qid", "did", rounded("score").alias("score"))
+
+
+_QRELS_ROWS = f"""WITH {QRELS_CTE}
+SELECT CAST(qid AS VARCHAR) AS qid, CAST(did AS VARCHAR) AS did, rel FROM qrels"""
+
+
+def _text_file(df, line, name):
+    path = scratch_path(df.sparkSession, name)
+    df.select(line.alias("value")).write.text(path)
+    return path
+
+
+@register("trec_qrels_roundtrip", _QRELS_ROWS)
+def trec_qrels_roundtrip(spark, sf):
+    """Graded qrels as ``qid 0 did rel`` lines, read back."""
+    q = fx.lineitem_qrels(spark, sf)
+    return S.read_trec_qrels(spark, _text_file(q, F.concat_ws(" ", "qid", F.lit("0"), "did", "rel"), "qrels-trec"))
+
+
+@register("trec_run_roundtrip", f"""WITH {RUN_CTE}
+SELECT CAST(qid AS VARCHAR) AS qid, CAST(did AS VARCHAR) AS did, round(score, 6) AS score FROM run""")
+def trec_run_roundtrip(spark, sf):
+    """A ranked run as ``qid Q0 did rank score tag`` lines, read back."""
+    r = U.truncate_run(fx.lineitem_run(spark, sf), None)
+    line = F.concat_ws(" ", "qid", F.lit("Q0"), "did", "rank", F.col("score").cast("decimal(18,4)"), F.lit("run"))
+    return S.read_trec_run(spark, _text_file(r, line, "run-trec")).withColumn("score", rounded("score"))
+
+
+@register("json_qrels_roundtrip", f"""WITH {QRELS_CTE}
+SELECT qid AS query, did AS doc, CAST(rel AS BIGINT) AS relevance FROM qrels""")
+def json_qrels_roundtrip(spark, sf):
+    """Qrels as JSON records under other names, renamed by their order."""
+    path = scratch_path(spark, "qrels-records")
+    fx.lineitem_qrels(spark, sf).select("qid", F.col("did").alias("docid"), "rel").write.json(path)
+    return S.read_json_qrels_auto(spark, path)
+
+
+@register("titled_collection", f"""SELECT CAST(doc_id AS VARCHAR) AS id, source || '. ' || {_CLEAN} AS text FROM documents""")
+def titled_collection(spark, sf):
+    """Documents as ``id, text, title`` lines under a header, the source as title."""
+    path = scratch_path(spark, "collection-titled")
+    docs = fx.table(spark, sf, "documents")
+    docs.select(F.col("doc_id").alias("id"), clean_text("text").alias("text"), F.col("source").alias("title")) \
+        .write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    return S.read_titled_collection(spark, path)
+
+
+@register("quoted_collection", f"""SELECT CAST(doc_id AS VARCHAR) AS id, {_CLEAN} AS contents FROM documents""")
+def quoted_collection(spark, sf):
+    """Documents as CSV under a header, commas and quotes in quoted fields."""
+    path = scratch_path(spark, "collection-csv")
+    fx.documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), clean_text("text").alias("contents")) \
+        .write.option("header", True).option("escape", '"').csv(path)
+    return S.read_delimited_auto(spark, path)
+
+
+@register("rewrites_in_order", """SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id,
+  conv_id || '_' || turn AS id FROM conversations""")
+def rewrites_in_order(spark, sf):
+    """Texts in several parquet files get row ids in file order."""
+    path = scratch_path(spark, "rewrites")
+    fx.table(spark, sf, "conversations").orderBy("conv_id", "turn").select(
+        F.concat_ws("_", "conv_id", "turn").alias("id"), "text").write.parquet(path)
+    return S.read_rewrites(spark, path).select("row_id", "id")
+
+
+@register("query_file", f"""SELECT doc_id AS row_id, {_CLEAN} AS question FROM documents""")
+def query_file(spark, sf):
+    """A two-column query file."""
+    path = scratch_path(spark, "query-file")
+    K.write_queries_tsv(fx.documents(spark, sf).select(F.col("doc_id").alias("row_id"), clean_text("text").alias("text")), path)
+    return S.read_query_file(spark, path)
