@@ -23,11 +23,11 @@ N_FILES = 8
 @register("stream_index", f"""WITH {_DOC_TERMS}
 SELECT doc_id, dim, round(weight, 6) AS weight FROM dt""")
 def stream_index(spark, sf):
-    """Documents arrive as 8 files, one micro-batch each; postings are
-    appended per batch (idempotent) and equal the one-shot encoding."""
+    """Documents arrive as files, taken in micro-batches of 4 MB; postings
+    are appended per batch (idempotent) and equal the one-shot encoding."""
     docs = fx.documents(spark, sf)
     src = Z.split_into_files(docs, "doc_id", N_FILES, Z.fresh_dir(spark, "docs-stream"))
-    out = Z.stream_index(spark, src, docs.schema, Z.fresh_dir(spark, "postings-stream"))
+    out = Z.stream_index(spark, src, docs.schema, Z.fresh_dir(spark, "postings-stream"), batch_bytes=4 << 20)
     return out.select("doc_id", "dim", rounded("weight").alias("weight"))
 
 
@@ -37,7 +37,7 @@ s AS (SELECT q.vec_id AS qid, d.vec_id AS did, sum(q.weight * d.weight) AS score
       FROM vec q JOIN vf d ON q.dim = d.dim GROUP BY 1, 2)""", TOP_K))
 def stream_retrieve(spark, sf):
     """The documents are indexed once into a bucketed table (X5 + K4);
-    embedding queries then arrive as 8 files and each micro-batch is
+    embedding queries then arrive as files and each micro-batch of 1 MB is
     encoded and retrieved (top 10) against the bucketed index, which is
     never reshuffled per batch; row ids are mapped back (R9)."""
     emb = fx.table(spark, sf, "embeddings")
@@ -50,5 +50,6 @@ def stream_retrieve(spark, sf):
     def to_terms(batch):
         return S.dense_to_sparse(batch, "vec_id", "embedding", out_id="qid")
 
-    out = Z.stream_retrieve(spark, src, emb.schema, index, to_terms, Z.fresh_dir(spark, "run-stream"), k=TOP_K, digits=6)
+    out = Z.stream_retrieve(spark, src, emb.schema, index, to_terms, Z.fresh_dir(spark, "run-stream"), k=TOP_K, digits=6,
+                            batch_bytes=1 << 20)
     return R.translate_ids(out, id_map, "did").select("qid", "did", "score", F.col("rank").cast("int"))

@@ -32,6 +32,10 @@ from ..operators import sparse as S
 from ..session import scratch_path
 
 
+#: size of a micro-batch: enough files for every core
+BATCH_BYTES = 1 << 30
+
+
 def _idempotent_writer(out: str, transform: Callable[[DataFrame], DataFrame]):
     def write(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -39,8 +43,9 @@ def _idempotent_writer(out: str, transform: Callable[[DataFrame], DataFrame]):
 
 
 def _run(spark: SparkSession, source: str, schema: StructType, writer, out: str,
-         files_per_batch: int) -> None:
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+         batch_bytes: int) -> None:
+    # a batch takes files up to this size together, and one file at least
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(source)
     q = stream.writeStream.foreachBatch(writer) \
         .option("checkpointLocation", f"{out}/_checkpoint") \
         .trigger(availableNow=True).start()
@@ -50,27 +55,27 @@ def _run(spark: SparkSession, source: str, schema: StructType, writer, out: str,
 
 
 def stream_index(spark: SparkSession, source: str, schema: StructType, out: str,
-                 id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Append lexical postings of newly arrived documents; returns the
     postings written so far ``(doc_id, dim, weight, batch_id)``."""
     writer = _idempotent_writer(out, lambda b: S.lexical_encode(b, id_col, text_col))
-    _run(spark, source, schema, writer, out, files_per_batch)
+    _run(spark, source, schema, writer, out, batch_bytes)
     return spark.read.parquet(out)
 
 
 def stream_retrieve(spark: SparkSession, source: str, schema: StructType, postings: DataFrame,
                     to_terms: Callable[[DataFrame], DataFrame], out: str, k: int = 10,
-                    threshold: float | None = None, files_per_batch: int = 1, digits: int | None = None) -> DataFrame:
+                    threshold: float | None = None, batch_bytes: int = BATCH_BYTES, digits: int | None = None) -> DataFrame:
     """Each micro-batch of queries -> terms -> top-k against the static
     postings; returns the accumulated run ``(qid, did, score, rank, batch_id)``."""
     writer = _idempotent_writer(out, lambda b: R.retrieve(to_terms(b), postings, k=k, threshold=threshold, digits=digits))
-    _run(spark, source, schema, writer, out, files_per_batch)
+    _run(spark, source, schema, writer, out, batch_bytes)
     return spark.read.parquet(out)
 
 
 def split_into_files(df: DataFrame, key: str, n_files: int, path: str, mode: str = "overwrite") -> str:
-    """Lay a table out as ``n_files`` parquet files (rows by ``key mod n``)
-    so that a file-source stream sees several arrivals; ``mode='append'``
+    """Lay a table out as at most ``n_files`` parquet files (rows by ``key mod
+    n``, which is hashed to a file) so that a file-source stream sees several arrivals; ``mode='append'``
     adds files next to earlier arrivals."""
     df.repartition(n_files, F.pmod(F.col(key), F.lit(n_files))).write.mode(mode).parquet(path)
     return path

@@ -163,7 +163,7 @@ def test_stream_index_equals_batch(spark):
     from spire.streaming import stream as Z
     docs = fx.documents(spark, SF_SMALL)
     src = Z.split_into_files(docs, "doc_id", 4, Z.fresh_dir(spark, "t-docs"))
-    out = Z.stream_index(spark, src, docs.schema, Z.fresh_dir(spark, "t-post"))
+    out = Z.stream_index(spark, src, docs.schema, Z.fresh_dir(spark, "t-post"), batch_bytes=1024)
     assert out.select("batch_id").distinct().count() > 1
     batch = S.lexical_encode(docs, "doc_id", "text")
     assert _rows(out, ["doc_id", "dim", "weight"]) == _rows(batch, ["doc_id", "dim", "weight"])
