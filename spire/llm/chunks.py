@@ -56,7 +56,8 @@ def key_of(doc_id: str = "doc_id") -> Column:
 def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     """``docs(doc_id, text)`` as a stored (chunk, key, no_id, z), and the number of chunks."""
     n = chunk_count(docs)
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), key_of().alias("key"),
+    # by id and text, so that rows of one id, or of none, spread
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"), key_of().alias("key"),
                        F.col("doc_id").isNull().alias("no_id"), packed("text").alias("z"))
     return bucketed(rows, n), n
 
