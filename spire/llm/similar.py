@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import MESSAGE, NO_ID, Distinct, Words, chunk_count, key_of, seen_elsewhere, seen_often
-from .common import components, hash_words, packed, rolled, stored, unpacked
+from .common import components, packed, rolled, stored
 
 #: the screen looks at one of so many tokens first
 SAMPLE = 4
@@ -120,17 +120,7 @@ class _Matrix:
             rare = np.lexsort((sets[i], mine[starts[i]:starts[i] + n]))[:n - self.need(n) + 1]
             prefix.append(sets[i][rare].view(np.int64))
         return pa.table({"cid": pa.array(cids[kept], pa.int64()), "n": pa.array(sizes[kept], pa.int64()),
-                         "prefix": pa.array(prefix, pa.list_(pa.int64())), "tokens": pa.array([blobs[i] for i in kept], pa.binary())})
-
-    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return self.den * both >= self.num * (len(a) + len(b) - both)
-
-    def verify(self, batches):
-        for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("ta", "tb"))
-            hit = [self.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)]
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+                         "prefix": pa.array(prefix, pa.list_(pa.int64())), "tokens": pa.array([sets[i].view(np.int64) for i in kept], pa.list_(pa.int64()))})
 
     def block(self, table):
         """Links between two blocks of classes (or within one), as a spanning
@@ -138,7 +128,9 @@ class _Matrix:
         against the other block only if the block's token union holds enough
         of its tokens, and pairs that are connected already are passed over."""
         cid, side = table.column("cid").to_numpy(), table.column("side").to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
+        column = table.column("tokens").combine_chunks()
+        every, ends = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
+        sets = [every[a:b] for a, b in zip(ends[:-1], ends[1:])]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         union = np.unique(np.concatenate([sets[j] for j in right])) if len(right) else np.empty(0, np.uint64)
         root = list(range(len(sets)))
@@ -195,8 +187,9 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = stored(docs.mapInArrow(_describe(width), "doc_id long, n long, sig binary, gid long"), "shingles")
     classes = told.where("n > 0").groupBy("sig", "gid", "n").agg(F.min(key_of()).alias("rep"))
-    sizes = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("members"))
-    chunks = chunk_count(docs)
+    # small tables that meet a hot key are stored: Spark splits a join whose sides it has dealt itself
+    sizes = stored(classes.groupBy("gid").agg(F.count(F.lit(1)).alias("members")), "groups")
+    chunks = chunk_count(docs, 4 << 20)
     part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / F.lit(512)))
     classes = stored(classes.join(sizes, "gid").select(
         F.monotonically_increasing_id().alias("cid"), "sig", "rep", "n",
@@ -211,7 +204,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
                     .applyInArrow(lambda k, t, r: run.screen(k, t, r), "chunk long, cid long, tokens binary"), "opened")
     every = seen_often(opened.groupBy("chunk").applyInArrow(lambda k, t: run.send_all(k, t), MESSAGE))
     sets = stored(opened.groupBy("chunk").cogroup(every.groupBy("chunk"))
-                  .applyInArrow(lambda k, t, r: run.qualify(k, t, r), "cid long, n long, prefix array<long>, tokens binary"), "qualified")
+                  .applyInArrow(lambda k, t, r: run.qualify(k, t, r), "cid long, n long, prefix array<long>, tokens array<long>"), "qualified")
 
     posts = sets.select("cid", "n", F.explode("prefix").alias("token"))
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -221,8 +214,9 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     pairs = (a.join(b, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
              .select("a", "b").distinct())
     body = sets.select("cid", "tokens")
-    checked = (pairs.join(body.toDF("a", "ta"), "a").join(body.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-               .mapInArrow(run.verify, "a long, b long"))
+    both = F.size(F.array_intersect("ta", "tb"))
+    checked = (pairs.join(body.toDF("a", "ta"), "a").join(body.toDF("b", "tb"), "b")
+               .where(both * den >= (F.size("ta") + F.size("tb") - both) * num).select("a", "b"))
 
     # many: groups of like size and first long list, in blocks; blocks that hold
     # a token in common, by the matrix of these blocks, are opened to each other
@@ -246,6 +240,6 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     roots = components(checked.unionByName(forest)).withColumnsRenamed({"node": "cid"})
     named = classes.join(roots, "cid", "left").select("sig", "rep", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    named = named.join(least, "root").select("sig", F.when(F.col("least") < NO_ID, F.col("least")).alias("least"))
+    named = stored(named.join(least, "root").select("sig", F.when(F.col("least") < NO_ID, F.col("least")).alias("least")), "named")
     return told.join(named, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
