@@ -166,15 +166,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     if len(sizes) < 2:
         return flat
     root = sizes[1] / (sizes[0] + sizes[1])
-    units = counted.where("t0 + t1 > 0").collect()
+    got = counted.where("t0 + t1 > 0").toArrow()
+    unit = got.column("unit").to_pylist()
+    n0, n1, t0, t1 = (got.column(c).to_numpy() for c in ("n0", "n1", "t0", "t1"))
 
     def model_of(n, t):
-        odds = _log_odds({r.unit: (n(r), t(r)) for r in units if t(r)}, root, strength, least)
+        odds = _log_odds({u: (a, b) for u, a, b in zip(unit, n.tolist(), t.tolist()) if b}, root, strength, least)
         return ToxicityModel(odds, least, drift, 1.0, 0.0, np.zeros(4), np.ones(4), np.zeros(15), prior)
 
-    model = model_of(lambda r: r.n0 + r.n1, lambda r: r.t0 + r.t1)
+    model = model_of(n0 + n1, t0 + t1)
     # each half is measured with the counts of the other
-    crossed = [model_of(lambda r: r.n1, lambda r: r.t1), model_of(lambda r: r.n0, lambda r: r.t0)]
+    crossed = [model_of(n1, t1), model_of(n0, t0)]
 
     def measured(k, m):
         def run(batches):
