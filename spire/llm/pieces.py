@@ -17,9 +17,9 @@ from .chunks import chunk_count, key_of
 from .common import packed, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: a word of the lattice: blanks and what follows them, at most so many code points
-LONGEST = 48
-WORD = re.compile(rf" *[^ ]{{1,{LONGEST}}}| +")
+#: a word of the lattice: a run of letters or of signs with the blank before
+#: it, or one other character; runs are cut at a bounded length
+WORD = re.compile(r" ?[^\W\d_]{1,47}| ?[^\s\w]{1,16}|.", re.DOTALL)
 #: cost of a piece: PIECE + ln(rank + 2); of a byte of a character without a piece: BYTE
 PIECE, BYTE = 8.0, 20.0
 
@@ -51,7 +51,7 @@ def load_pieces(path: str = MODEL) -> tuple[list[tuple[str, int, float]], list[b
 
 def words_of(text: str) -> list[str]:
     """The text after the leading blank that the model adds, in lattice words."""
-    return [w[i:i + LONGEST] for w in WORD.findall(" " + text) for i in range(0, len(w), LONGEST)] if text else []
+    return WORD.findall(" " + text) if text else []
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: int) -> DataFrame:
@@ -60,45 +60,72 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: int) -
     Substrings of at most ``longest`` code points are exploded and joined to
     the piece table (broadcast: a vocabulary of fixed size); the edges that
     match are grouped by word, which needs no shuffle as the words are
-    distinct by word already; a fold over the end places keeps the least cost,
-    then the earliest start, then the least id; a second fold walks back.
+    clustered already; a fold over the edges in order of their ends keeps the
+    least cost to each place, then the earliest start, then the least id; a
+    second fold walks back.
     """
     size = F.length("word")
     starts = words.withColumn("start", F.explode(F.sequence(F.lit(0), size - 1)))
     spans = starts.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))))
     spans = spans.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("len")))
     joined = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or len = 1")
-    edge = F.struct((F.col("start") + F.col("len")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"),
-                    F.coalesce("cost", F.octet_length("piece") * F.lit(BYTE)).alias("cost"))
-    grouped = joined.groupBy("bucket", "word").agg(F.collect_list(edge).alias("edges"))
-
-    def reach(best, j):
-        ways = F.transform(F.filter("edges", lambda e: e["end"] == j), lambda e: F.struct(
-            (F.get(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start"), e["id"].alias("id")))
-        return F.concat(best, F.array(F.array_min(ways)))
-
-    origin = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(-1).alias("start"), F.lit(-1).alias("id")))
-    best = grouped.select("bucket", "word", F.aggregate(F.sequence(F.lit(1), size), origin, reach).alias("best"))
+    # an edge: its end, start and id (0: no piece) in one number, and its cost
+    at = F.shiftleft((F.col("start") + F.col("len")).cast("long"), 40) + F.shiftleft(F.col("start").cast("long"), 32) + F.coalesce(F.col("id") + 1, F.lit(0))
+    edge = F.struct(at.alias("at"), F.coalesce("cost", F.octet_length("piece") * F.lit(BYTE)).alias("cost"))
+    grouped = joined.groupBy("bucket", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    end_of = lambda at: F.shiftright(at, 40).cast("int")
+    start_of = lambda at: F.shiftright(at, 32).bitwiseAND(F.lit(255)).cast("int")
+
+    def reach(best, e):
+        """``best`` has a way to each place up to the end of the last edge."""
+        way = F.struct((F.get(best, start_of(e["at"]))["cost"] + e["cost"]).alias("cost"), e["at"].alias("at"))
+        return (F.when(F.size(best) == end_of(e["at"]), F.concat(best, F.array(way)))
+                .when(way < F.element_at(best, -1), F.concat(F.slice(best, F.lit(1), end_of(e["at"])), F.array(way))).otherwise(best))
+
+    origin = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("at")))
+    best = grouped.select("bucket", "word", F.aggregate("edges", origin, reach)["at"].alias("best"))
 
     def back(path, j):
-        step = F.get(F.col("best"), j)
-        taken = F.struct(F.concat(F.array(F.struct(step["start"].alias("start"), step["id"].alias("id"))), path["steps"]).alias("steps"), step["start"].alias("at"))
-        return F.when(path["at"] == j, taken).otherwise(path)
+        return F.when(start_of(F.element_at(path, 1)) == j, F.concat(F.array(F.get(F.col("best"), j)), path)).otherwise(path)
 
-    none = F.array().cast("array<struct<start:int,id:int>>")
-    walked = F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), F.struct(none.alias("steps"), size.alias("at")), back)["steps"]
+    last = F.array(F.element_at("best", -1))
+    walked = F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), last, back)
 
-    def spell(step):
-        raw = F.hex(F.encode(F.substr("word", step["start"] + 1, F.lit(1)), "UTF-8"))
+    def spell(at):
+        raw = F.hex(F.encode(F.substr("word", start_of(at) + 1, F.lit(1)), "UTF-8"))
         bytes_ = F.transform(F.sequence(F.lit(0), F.floor(F.length(raw) / 2).cast("int") - 1),
                              lambda k: F.conv(F.substr(raw, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + byte_zero)
-        return F.when(step["id"] >= 0, F.array(step["id"])).otherwise(bytes_)
+        piece = (at.bitwiseAND(F.lit((1 << 32) - 1)) - 1).cast("int")
+        return F.when(piece >= 0, F.array(piece)).otherwise(bytes_)
 
     return best.select("bucket", "word", F.flatten(F.transform(walked, spell)).alias("ids"))
 
 
-def _bucket(words: list[str], buckets: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+def _ordered(words: set[str], buckets: int) -> dict[int, list[str]]:
+    """Words by bucket, in an order that depends on the words alone."""
+    listed = list(words)
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in listed), np.uint64, len(listed))
+    if len(np.unique(hashed)) < len(listed):  # two words of one hash: settle the order first
+        listed.sort()
+        hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in listed), np.uint64, len(listed))
+    bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((hashed, bucket))
+    found, starts = np.unique(bucket[order], return_index=True)
+    return {int(b): [listed[i] for i in part] for b, part in zip(found, np.split(order, starts[1:]))}
+
+
+def _gather(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray, step: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``index`` of ``flat`` (run i has ``lengths[i]`` items) one after
+    another, and the places where they end, 0 first; in steps, to keep the
+    index arrays small."""
+    starts = np.cumsum(lengths) - lengths
+    end = np.concatenate(([0], np.cumsum(lengths[index], dtype=np.int64)))
+    out = np.empty(end[-1], flat.dtype)
+    for a in range(0, len(index), step):
+        w = index[a:a + step]
+        at = np.arange(end[a], end[a + len(w)])
+        out[end[a]:end[a + len(w)]] = flat[at - np.repeat(end[a:a + len(w)] - starts[w], lengths[w])]
+    return out, end
 
 
 class _Coder:
@@ -109,52 +136,59 @@ class _Coder:
         self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32  # of an id on the way
 
     def vocabulary(self, table):
-        """Texts of a chunk and their distinct words by bucket, in order."""
+        """Texts of a chunk as parts between blanks, the words of each distinct
+        part, and the distinct words by bucket.  No word reaches over a blank
+        but the one it starts with, so parts are cut one by one, once each."""
         raw = unpacked(table.column("z"))
-        texts = [words_of(b.decode("utf-8", "surrogatepass")) if b else [] for b in raw]
-        words = sorted({w for t in texts for w in t})
-        bucket = _bucket(words, self.buckets)
-        return texts, {int(b): [words[i] for i in np.flatnonzero(bucket == b)] for b in np.unique(bucket)}
+        texts = [b.decode("utf-8", "surrogatepass").split(" ") if b else [] for b in raw]
+        parts = {p: WORD.findall(" " + p) for p in set().union(*texts)}
+        return texts, parts, _ordered(set().union(*parts.values()), self.buckets)
 
     def send(self, key, table):
-        _, by = self.vocabulary(table)
+        by = self.vocabulary(table)[2]
         press = zstandard.ZstdCompressor(level=3)
         blobs = [press.compress(pack_words(w)) for w in by.values()]
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(by), pa.int64()), "bucket": pa.array(list(by), pa.int64()), "words": pa.array(blobs, pa.binary())})
 
-    def listed(self, batches):
+    def distinct(self, key, messages):
         tool = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
-                words = unpack_words(tool.decompress(blob))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), bucket, np.int64)), pa.array(words, pa.string())], ["bucket", "word"])
+        words = list(set().union(*(unpack_words(tool.decompress(b)) for b in messages.column("words").to_pylist())))
+        return pa.table({"bucket": pa.array(np.full(len(words), key[0].as_py())), "word": pa.array(words, pa.string())})
 
     def answer(self, messages, known):
         column = known.column("ids").combine_chunks()
         flat, ends = column.flatten().to_numpy().astype(self.kind), column.offsets.to_numpy()
+        starts, sizes = ends[:-1] - ends[0], np.diff(ends)
         at = {w: i for i, w in enumerate(known.column("word").to_pylist())}
         tool, press, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3), []
         for blob in messages.column("words").to_pylist():
-            rows = [at[w] for w in unpack_words(tool.decompress(blob))]
-            sizes = np.array([ends[i + 1] - ends[i] for i in rows], np.uint16)
-            ids = np.concatenate([flat[ends[i]:ends[i + 1]] for i in rows])
-            out.append(press.compress(np.uint32(len(rows)).tobytes() + sizes.tobytes() + ids.tobytes()))
+            rows = np.fromiter((at[w] for w in unpack_words(tool.decompress(blob))), np.int64)
+            long = sizes[rows]
+            end = np.cumsum(long)
+            ids = flat[np.arange(end[-1]) - np.repeat(end - long - starts[rows], long)]
+            out.append(press.compress(np.uint32(len(rows)).tobytes() + long.astype(np.uint16).tobytes() + ids.tobytes()))
         return pa.table({"chunk": messages.column("chunk"), "bucket": messages.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     def encode(self, key, table, replies):
-        texts, by = self.vocabulary(table)
-        tool, ids = zstandard.ZstdDecompressor(), {}
+        texts, parts, by = self.vocabulary(table)
+        tool, index, lengths, flats, at = zstandard.ZstdDecompressor(), {}, [], [], 0
         for bucket, blob in zip(replies.column("bucket").to_pylist(), replies.column("ids").to_pylist()):
             raw = tool.decompress(blob)
             n = int(np.frombuffer(raw, np.uint32, 1)[0])
-            sizes = np.frombuffer(raw, np.uint16, n, 4).astype(np.int64)
-            flat = np.frombuffer(raw[4 + 2 * n:], self.kind)
-            ids.update(zip(by[bucket], np.split(flat, np.cumsum(sizes)[:-1])))
-        rows = [np.concatenate([ids[w] for w in t]).astype(np.int32) if t else np.empty(0, np.int32) for t in texts]
+            lengths.append(np.frombuffer(raw, np.uint16, n, 4).astype(np.int64))
+            flats.append(np.frombuffer(raw[4 + 2 * n:], self.kind))
+            index.update(zip(by[bucket], range(at, at + n)))
+            at += n
+        lengths = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+        flat = np.concatenate(flats) if flats else np.empty(0, self.kind)
+        word = np.fromiter((index[w] for p in parts.values() for w in p), np.int64)
+        flat, end = _gather(flat, lengths, word)
+        lengths = np.diff(end[np.concatenate(([0], np.cumsum([len(p) for p in parts.values()], dtype=np.int64)))])
+        place = dict(zip(parts, range(len(parts))))
+        ids, end = _gather(flat, lengths, np.fromiter((place[p] for t in texts for p in t), np.int64))
+        offsets = end[np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))]
         keys = pa.array([None if none else k for k, none in zip(table.column("key").to_pylist(), table.column("no_id").to_pylist())], pa.int64())
-        offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        return pa.Table.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
+        return pa.Table.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
 
 def pack_words(words: list[str]) -> bytes:
@@ -177,8 +211,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     spelt in bytes.  The distinct words of all texts go through `lattice`
     once each; the chunks of texts ask for the words they hold and put the
     texts together.  Texts move once (compressed), words as lists a chunk.
-    A word longer than 48 code points is cut there, so a text without blanks
-    has bounded lattices.  Of the segmentations the one of least cost is taken
+    Words are bounded, so a text without blanks has bounded lattices.  Of the segmentations the one of least cost is taken
     (a Zipf cost by the rank of the pieces), not the one of the model's merges.
 
     Null and empty texts have no ids; null ids and repeated rows are ordinary
@@ -188,13 +221,15 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     table, raw, zero = load_pieces(model)
     schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("cost", T.DoubleType())])
     pieces = spark.createDataFrame(table, schema)
-    n = chunk_count(docs, 16 << 20)
-    run = _Coder(max(1, n // 2), len(raw))
-    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), key_of().alias("key"),
+    n = chunk_count(docs, 3 << 20)
+    parts = min(20_000, 2 * n)
+    run = _Coder(2 * parts, len(raw))
+    texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"), key_of().alias("key"),
                         F.col("doc_id").isNull().alias("no_id"), packed("text").alias("z"))
-    # one plan: the exchange of the texts serves both passes over them
-    asked = texts.groupBy("chunk").applyInArrow(lambda k, t: run.send(k, t), MESSAGE)
-    words = asked.mapInArrow(run.listed, "bucket long, word string").distinct()
+    # one plan: the exchange of the texts and that of the lists serve two passes
+    # each; many buckets, as a word grows into its lattice before it is folded
+    asked = texts.groupBy("chunk").applyInArrow(lambda k, t: run.send(k, t), MESSAGE).repartition(parts, "bucket")
+    words = asked.groupBy("bucket").applyInArrow(lambda k, t: run.distinct(k, t), "bucket long, word string").repartition(parts, "bucket")
     known = lattice(words, pieces, max(len(p) for p, _, _ in table), zero)
     told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, b: run.answer(a, b), REPLY)
     return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda k, t, r: run.encode(k, t, r), ENCODED)
@@ -206,9 +241,11 @@ def decoder(model: str = MODEL):
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
+        # row by row: a whole batch as Python numbers would be many times its size
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
         out = []
-        for row in ids.to_pylist():
-            text = None if row is None else b"".join([raw[i] for i in row]).decode("utf-8", "replace")
+        for a, b, ok in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist()):
+            text = b"".join([raw[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") if ok else None
             out.append(text[1:] if text and text[0] == " " else text)
         return pa.array(out, pa.string())
 

@@ -152,12 +152,11 @@ def test_segments_are_maximal():
 
 def brute_ids(text):
     """Least-cost segmentation by plain dynamic programming."""
-    from spire.llm.pieces import BYTE, RAW, load_pieces, words_of
+    from spire.llm.pieces import BYTE, load_pieces, words_of
     table, _, zero = load_pieces()
     known = {p: (i, c) for p, i, c in table}
     out = []
     for w in words_of(text or ""):
-        w = w[1:] if w[:1] == RAW else " " + w
         best = [(0.0, -1, -1)]
         for end in range(1, len(w) + 1):
             ways = []
