@@ -7,19 +7,30 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+LOCAL = r"(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 #: fixed values: what is detected, in this order of precedence.  Runs are
 #: bounded or possessive, so a long text without blanks costs linear time.
+#: ``card`` is a whole run of digits up to the next number of another kind;
+#: `_segments` finds the cards in it.
 PATTERNS = {
     "secret": r'(?<![\p{L}\d])(?i:password|passwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}["\']?[A-Za-z0-9_+/-]{8,128}',
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![ -]?\d)",
+    "ip": IP,
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|" + LOCAL,
+    "ssn": SSN,
+    "card": rf"(?<![\d-])\d(?:\d|[ -](?!{IP}|{LOCAL}|{SSN})\d){{12,}}+",
     "person": r"(?<!\p{L})(?:Mrs|Mr|Miss|Ms|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Госпожа|Господин)\.? \p{Lu}[\p{Ll}'-]{1,30}(?: \p{Lu}[\p{Ll}'-]{1,30})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: a match of this form is a run of digits, whatever followed it in the text
+RUN = r"^\d(?:[ -]?\d){12,}+$"
+#: fixed values: how cards are written (groups, pattern), the likeliest first; further groups may follow
+CARDS = [(4, r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}"), (3, r"\d{4}([ -])\d{6}\1\d{4,5}"), (1, r"\d{13,19}"), (5, r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}")]
+#: digits that may stand beside a card written in another way: expiry date and check number
+BESIDE = 7
 FEMALE = r"^(?:Mrs|Miss|Ms|Frau|Madame|Mme|Señora|Госпожа)"
 #: fixed values: what surrogate names are built from, by script
 SYLLABLES = {"lat": ("ba", "be", "da", "de", "fa", "ga", "ka", "ke", "la", "le", "ma", "me", "na", "ne", "ra", "re", "sa", "so", "ta", "vo"),
@@ -29,13 +40,10 @@ ENDS = {"given_f_lat": "lia", "given_m_lat": "ron", "given_f_cyr": "лия", "gi
 
 
 def _kind(m: Column) -> Column:
-    """The pattern that a match comes from; a number that only looks like a
-    card (its Luhn sum fails) is none."""
+    """The pattern that a match comes from."""
     out = None
     for name, pattern in PATTERNS.items():
-        is_it = m.rlike(f"^(?:{pattern})$")
-        if name == "card":
-            is_it = is_it & (_luhn(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0)
+        is_it = m.rlike(RUN if name == "card" else f"^(?:{pattern})$")
         out = F.when(is_it, F.lit(name)) if out is None else out.when(is_it, F.lit(name))
     return out
 
@@ -51,9 +59,74 @@ def _unit(kind: Column, canon: Column) -> Column:
     return F.struct(kind.alias("kind"), canon.alias("canon"))
 
 
+def _segment(m: Column, kind: str | None) -> Column:
+    return F.struct(m.alias("m"), F.lit(kind).cast("string").alias("kind"))
+
+
+def _joined(groups: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(groups, start + 1, n), "")
+
+
+def _right(m: Column) -> Column:
+    return _luhn(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0
+
+
+def _cut(groups: Column, picks: Column) -> Column:
+    """A run as segments: cards at ``picks(at, n)``, the first of those that
+    overlap, and what lies between them."""
+    none = F.array().cast("array<struct<m:string,kind:string>>")
+    return F.aggregate(picks, F.struct(F.lit(0).alias("done"), none.alias("out")), lambda a, p: F.when(p["at"] < a["done"], a).otherwise(F.struct(
+        (p["at"] + p["n"]).alias("done"),
+        F.concat(a["out"], F.array(_segment(_joined(groups, a["done"], p["at"] - a["done"]), None), _segment(_joined(groups, p["at"], p["n"]), "card"))).alias("out"))),
+        lambda a: F.concat(a["out"], F.array(_segment(_joined(groups, a["done"], F.size(groups) - a["done"]), None))))
+
+
+def _pick(at: Column, n: Column) -> Column:
+    return F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"))
+
+
+def _bound(value: Column, fn) -> Column:
+    """fn(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _grouped(run: Column) -> Column:
+    """The cards of a run that are written in one of the usual ways."""
+    def cut(groups):
+        def pick(at):
+            some = _joined(groups, at, F.lit(5))
+            n = F.coalesce(*[F.when(some.rlike(f"^[ -]?{p}(?!\\d)") & _right(_joined(groups, at, F.lit(k))), F.lit(k)) for k, p in CARDS])
+            return _pick(at, n)
+        picks = F.transform(groups, lambda _, at: pick(at))
+        return _cut(groups, F.filter(picks, lambda p: p["n"].isNotNull()))
+    return _bound(F.split(run, "(?=[ -])"), cut)
+
+
+def _ungrouped(run: Column) -> Column:
+    """The card of a short run that is grouped in any other way: the whole run
+    or else its longest head or tail with one kind of separator."""
+    def cut(groups):
+        size = F.size(groups)
+        ends = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda n: F.array(_pick(F.lit(0), n), _pick(size - n, n))))
+        told = F.transform(ends, lambda p: F.struct(p.alias("p"), F.regexp_replace(_joined(groups, p["at"], p["n"]), "^[ -]", "").alias("m")))
+        fits = F.filter(told, lambda x: F.length(F.regexp_replace(x["m"], "[ -]", "")).between(13, 19)
+                        & ((x["p"]["n"] == size) | x["m"].rlike(r"^\d+(?:([ -])\d+(?:\1\d+)*+)?$")) & _right(x["m"]))
+        best = F.array_max(F.transform(fits, lambda x: F.struct(F.length(F.regexp_replace(x["m"], "[ -]", "")).alias("digits"), (-x["p"]["at"]).alias("head"), x["p"].alias("p"))))
+        return _cut(groups, F.filter(F.array(best["p"]), lambda p: p.isNotNull()))
+    return _bound(F.split(run, "(?=[ -])"), cut)
+
+
+def _cards(run: Column) -> Column:
+    """array<struct<m, kind>> of a run of digits: the cards in it, with a right
+    Luhn sum, and what stands between them."""
+    short = lambda m: F.length(F.regexp_replace(m, "[ -]", "")).between(13, 19 + BESIDE)
+    return F.flatten(F.transform(_grouped(run), lambda x: F.when(x["kind"].isNull() & short(x["m"]), _ungrouped(x["m"])).otherwise(F.array(x))))
+
+
 def _matches(text: Column) -> Column:
-    """array<struct<m, kind>> of a text."""
-    return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+    """array<array<struct<m, kind>>> of a text: the segments of each match."""
+    told = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+    return F.transform(told, lambda x: F.when(x["kind"] == "card", _cards(x["m"])).otherwise(F.array(x)))
 
 
 def _units(m: Column, kind: Column) -> Column:
@@ -177,7 +250,8 @@ def replace_private(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
 
     Detected: passwords and tokens in assignments, e-mail addresses, access
     keys, IPv4 addresses, phone numbers, social security numbers, payment card
-    numbers with a right Luhn sum, and names after a title.  A surrogate is
+    numbers with a right Luhn sum, also beside other digits (`_cards`), and
+    names after a title.  A surrogate is
     keyed (``key``) and has the type and format of what it stands for: digits
     for digits, letters for letters, a right check digit, a name of the same
     gender and script.  The same unit has the same surrogate everywhere, two
@@ -193,7 +267,7 @@ def replace_private(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     text = F.col("text")
     hit = text.rlike(ANY)
     seen = (docs.select("text").where(hit).select(F.sha2(text, 256).alias("_th"), F.explode(F.flatten(F.transform(
-        _matches(text), lambda x: _units(x["m"], x["kind"])))).alias("u")).select("_th", "u.kind", "u.canon"))
+        F.flatten(_matches(text)), lambda x: _units(x["m"], x["kind"])))).alias("u")).select("_th", "u.kind", "u.canon"))
     seen = stored(seen.distinct(), "private")
     again = settle(seen.select("kind", "canon").distinct(), key).where("attempt > 0")
     tries = stored(seen.join(again, ["kind", "canon"]).groupBy("_th").agg(
@@ -201,9 +275,12 @@ def replace_private(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     none = F.array().cast("array<struct<kind:string,canon:string,attempt:int>>")
     marked = docs.withColumn("_th", F.when(hit, F.sha2(text, 256))).join(tries, "_th", "left")
     tries = F.coalesce("_tries", none)
-    read = F.transform(_matches(text), lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _units(x["m"], x["kind"]).alias("units")))
-    drawn = F.transform(read, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _surrogates(key, x["units"], tries).alias("surs")))
-    written = F.transform(drawn, lambda x: _write(x["m"], x["kind"], x["surs"]))
+
+    def rewritten(segments):
+        read = F.transform(segments, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _units(x["m"], x["kind"]).alias("units")))
+        drawn = F.transform(read, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _surrogates(key, x["units"], tries).alias("surs")))
+        return F.array_join(F.transform(drawn, lambda x: _write(x["m"], x["kind"], x["surs"])), "")
+    written = F.transform(_matches(text), rewritten)
     pieces = F.split(text, ANY, -1)
     whole = F.array_join(F.flatten(F.zip_with(pieces, written, lambda p, w: F.array(p, F.coalesce(w, F.lit(""))))), "")
     return marked.withColumn("text", F.when(F.col("_th").isNull(), text).otherwise(whole)).select(*docs.columns)

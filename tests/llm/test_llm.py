@@ -346,6 +346,23 @@ def test_surrogates(spark, odd, nothing):
     assert replace_private(nothing).count() == 0
 
 
+def test_cards_beside_other_digits(spark):
+    """Every card with a right Luhn sum goes, whatever digits stand next to it."""
+    a, b, c = "4111 1111 1111 1111", "7536784127813050", "5555-5555-5555-4444"
+    texts = ["7536784127813050 4845168114407329", f"{a} 12/27", f"{a} 123", f"{a} 1234 x", f"{a} {c} {b}", f"12 {a}", f"{b}-123", "3782 822463 10005 1234", "41111111 11111111 123",
+             f"{a} 123-45-6789", f"{a} 555-123-4567", f"{a} 10.20.30.40", f"card {b}", "1609459200000 1609459260000", "12345678901234567890123", "2024-01-01 2024-01-02 12", "1 " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.text for r in replace_private(docs).orderBy("doc_id").collect()]
+    for old, text in zip(texts[:13], new):
+        assert re.sub(r"\d", "0", text) == re.sub(r"\d", "0", old) or "10.20" in old
+        assert not any(x in text for x in (a, b, c, "4845168114407329", "3782 822463 10005", "41111111 11111111", "123-45-6789", "555-123-4567", "10.20.30.40"))
+    one = new[12][5:]  # the same card, the same surrogate
+    assert luhn(one) and new[0].startswith(one) and luhn(new[0][17:]) and new[6] == f"{one}-123" and new[4].endswith(one)
+    assert new[1][:19] == new[2][:19] == new[3][:19] == new[4][:19] == new[5][3:] == new[9][:19] and luhn(new[1][:19].replace(" ", ""))
+    assert new[1][19:] == " 12/27" and new[2][19:] == " 123" and new[3][19:] == " 1234 x" and new[7][17:] == " 1234" and new[8][17:] == " 123"
+    assert new[13:] == texts[13:]
+
+
 def test_surrogates_stay_distinct(spark):
     """More names than two keyed syllables could tell apart."""
     docs = spark.createDataFrame([(i, f"Mr N{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghi'[i // 1000]}") for i in range(5000)], "doc_id long, text string")
