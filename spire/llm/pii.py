@@ -10,23 +10,34 @@ from .common import stored
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 LOCAL = r"(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+#: the start of a card as it is usually written
+CARD = r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)"
+TITLED = r"(?<!\p{L})(?:Mrs|Mr|Miss|Ms|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Госпожа|Господин)\.? "
+ASSIGNED = r"(?<![\p{L}\d])(?i:password|passwd|secret|token|api[_-]?key)\s{0,2}[=:](?!=)\s{0,2}[\"']?"
+#: letters, digits and signs up to a blank, a quote or the next assignment; closing marks at the end are not part of it
+SECRET = r"(?:[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}0-9_+/=!#$%*@^|~?\\-]|&(?!\w+=)|[.,;:()\[\]{}](?![\s\"'.,;:()\[\]{}<>`]|\w+=|$)){8,}+"
+#: a name after a title: initials, particles and one word with any capitals; 's is not part of it
+NAME = (r"(?:(?:\p{Lu}\.){1,4}+ ?|\p{Lu} |(?:van|von|vom|der|den|de|del|della|di|da|dos|du|la|le|el|al|bin|ibn|ter|ten|zu|zur) |(?:[dl]['’]|al-|el-)){0,4}+"
+        r"\p{Lu}(?:(?!['’]s(?!\p{L}))['’-]?[\p{L}\p{M}])++")
 #: fixed values: what is detected, in this order of precedence.  Runs are
 #: bounded or possessive, so a long text without blanks costs linear time.
 #: ``card`` is a whole run of digits up to the next number of another kind;
-#: `_segments` finds the cards in it.
+#: `_cards` finds the cards in it.
 PATTERNS = {
-    "secret": r'(?<![\p{L}\d])(?i:password|passwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}["\']?[A-Za-z0-9_+/-]{8,128}',
+    "secret": ASSIGNED + SECRET,
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "ip": IP,
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|" + LOCAL,
+    "phone": (r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+              rf"|\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?(?!{IP}|{LOCAL}|{SSN}|{CARD})\d{{2,4}}){{1,3}}(?!\d)"
+              r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|" + LOCAL),
     "ssn": SSN,
     "card": rf"(?<![\d-])\d(?:\d|[ -](?!{IP}|{LOCAL}|{SSN})\d){{12,}}+",
-    "person": r"(?<!\p{L})(?:Mrs|Mr|Miss|Ms|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Госпожа|Господин)\.? \p{Lu}[\p{Ll}'-]{1,30}(?: \p{Lu}[\p{Ll}'-]{1,30})?",
+    "person": rf"{TITLED}{NAME}(?: {NAME})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: a match of this form is a run of digits, whatever followed it in the text
-RUN = r"^\d(?:[ -]?\d){12,}+$"
+#: the form of a match, for patterns that look at what follows it in the text
+FORMS = {"secret": f"^{ASSIGNED}", "phone": r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$", "card": r"^\d(?:[ -]?\d){12,}+$", "person": f"^{TITLED}"}
 #: fixed values: how cards are written (groups, pattern), the likeliest first; further groups may follow
 CARDS = [(4, r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}"), (3, r"\d{4}([ -])\d{6}\1\d{4,5}"), (1, r"\d{13,19}"), (5, r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}")]
 #: digits that may stand beside a card written in another way: expiry date and check number
@@ -43,7 +54,7 @@ def _kind(m: Column) -> Column:
     """The pattern that a match comes from."""
     out = None
     for name, pattern in PATTERNS.items():
-        is_it = m.rlike(RUN if name == "card" else f"^(?:{pattern})$")
+        is_it = m.rlike(FORMS.get(name, f"^(?:{pattern})$"))
         out = F.when(is_it, F.lit(name)) if out is None else out.when(is_it, F.lit(name))
     return out
 
@@ -130,18 +141,18 @@ def _matches(text: Column) -> Column:
 
 
 def _units(m: Column, kind: Column) -> Column:
-    """What a match refers to, in canonical form: one unit, or given name and
-    surname.  Two spellings of one number or address have one unit."""
+    """What a match refers to, in canonical form: one unit, or given names
+    and surname.  Two spellings of one number or address have one unit."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     name = F.regexp_replace(m, r"^\S+ ", "")
     script = F.when(name.rlike(r"^\p{IsCyrillic}"), F.lit("cyr")).otherwise(F.lit("lat"))
     sex = F.when(m.rlike(FEMALE), F.lit("f")).otherwise(F.lit("m"))
     part = lambda role, value: _unit(F.concat_ws("_", F.lit(role), sex, script), F.lower(value))
-    return (F.when(kind == "person", F.when(name.contains(" "), F.array(part("given", F.substring_index(name, " ", 1)), part("surname", F.substring_index(name, " ", -1))))
-                   .otherwise(F.array(part("surname", name))))
+    return (F.when(kind == "person", F.concat(F.transform(F.slice(F.split(name, " "), F.lit(1), F.size(F.split(name, " ")) - 1), lambda x: part("given", x)),
+                                                  F.array(part("surname", F.substring_index(name, " ", -1)))))
             .when(kind.isin("phone", "ssn", "card"), F.array(_unit(kind, digits)))
             .when(kind == "email", F.array(_unit(kind, F.lower(m))))
-            .when(kind == "secret", F.array(_unit(kind, F.regexp_extract(m, r"[A-Za-z0-9_+/-]+$", 0))))
+            .when(kind == "secret", F.array(_unit(kind, F.regexp_replace(m, f"^{ASSIGNED}", ""))))
             .when(kind.isNotNull(), F.array(_unit(kind, m)))
             .otherwise(F.array().cast("array<struct<kind:string,canon:string>>")))
 
@@ -165,7 +176,8 @@ def _like(stream: Column, value: Column) -> Column:
         return (F.when(hexes, F.substr(stream, (i % 128) + 1, F.lit(1)))
                 .when(c.rlike("[0-9]"), (n % 10).cast("string"))
                 .when(c.rlike("[a-z]"), F.char((n % 26 + 97).cast("long")))
-                .when(c.rlike("[A-Z]"), F.char((n % 26 + 65).cast("long"))).otherwise(c))
+                .when(c.rlike("[A-Z]"), F.char((n % 26 + 65).cast("long")))
+                .when(c.rlike(r"\p{L}"), F.char((n % 26 + 97).cast("long"))).otherwise(c))
     return F.array_join(F.transform(F.split(value, "(?<=.)(?=.)"), one), "")
 
 
@@ -240,7 +252,7 @@ def _write(m: Column, kind: Column, surs: Column) -> Column:
         (a["at"] + c.rlike("[0-9]").cast("int")).alias("at")))["out"]
     named = F.concat(F.regexp_extract(m, r"^\S+ ", 0), F.array_join(F.transform(surs, lambda s: F.concat(F.upper(F.substr(s, F.lit(1), F.lit(1))), F.substr(s, F.lit(2)))), " "))
     return (F.when(kind.isin("phone", "ssn", "card"), digits).when(kind == "person", named)
-            .when(kind == "secret", F.concat(F.regexp_replace(m, r"[A-Za-z0-9_+/-]+$", ""), first))
+            .when(kind == "secret", F.concat(F.regexp_extract(m, f"^{ASSIGNED}", 0), first))
             .when((kind == "email") & (m == F.upper(m)), F.upper(first))
             .when(kind.isNotNull(), first).otherwise(m))
 

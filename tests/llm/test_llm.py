@@ -363,6 +363,25 @@ def test_cards_beside_other_digits(spark):
     assert new[13:] == texts[13:]
 
 
+def test_private_to_its_real_end(spark):
+    """Numbers, secrets and names end where they end, not at what follows or at a fixed length."""
+    long = "Ab3" * 100
+    gone = {"Des +1 (826) 555-4081 190.137.223.204": ["555-4081", "190.137", "223.204"], "+1 (843) 555-7672 170.106.47.218": ["555-7672", "170.106", "47.218"],
+            "again +1 (826) 555-4081 end": ["555-4081"], "+49 170 5554 081 4111 1111 1111 1111": ["5554", "1111"], "+49 30 555-123-4567-89": ["555-123"],
+            f"token={long}": ["Ab3Ab3"], "password: p@ss.w0rd!x, then": ["p@ss", "w0rd!"], "password: ab.cdefgh12.你好": ["cdefgh"], "secret = 'Größe12345'": ["Größe"],
+            "Mr O'Brien left": ["O'", "Brien"], "Mr McDonald left": ["Mc", "Donald"], "Mr John Ronald Reuel Tolkien left": ["John", "Ronald", "Reuel", "Tolkien"],
+            "Mr J. R. McDonald's hat": ["J.", "Donald"], "Frau von der Leyen-O'Neill.": ["Leyen", "Neill"], "password=abcd1234&user=bob": ["abcd1234"]}
+    docs = spark.createDataFrame(list(enumerate(gone)), "doc_id long, text string")
+    new = [r.text for r in replace_private(docs).orderBy("doc_id").collect()]
+    for text, old in zip(new, gone):
+        assert not any(x in text for x in gone[old]), (old, text)
+    phone = re.fullmatch(r"again (\+1 \(\d{3}\) \d{3}-\d{4}) end", new[2])[1]
+    assert re.fullmatch(r"Des (.{17}) 2[45]\d\.\d+\.\d+\.\d+", new[0])[1] == phone
+    assert re.fullmatch(r"token=[A-Za-z0-9]{300}", new[5]) and new[6].endswith("!" + new[6][-7] + ", then") and new[14].endswith("&user=bob")
+    surname = re.fullmatch(r"Mr (\w+) left", new[10])[1]
+    assert re.fullmatch(r"Mr \w+ left", new[9]) and new[12].endswith(f"{surname}'s hat") and re.fullmatch(r"Frau \w+ \w+ \w+\.", new[13])
+
+
 def test_surrogates_stay_distinct(spark):
     """More names than two keyed syllables could tell apart."""
     docs = spark.createDataFrame([(i, f"Mr N{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghi'[i // 1000]}") for i in range(5000)], "doc_id long, text string")
