@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import hex_bucket, ranked, stored
 
 
+#: propagation goes on until a round moves less than this share of the linked rows
+SETTLED = 0.01
+#: and ends after so many times its least number of rounds in any case
+LONGEST = 4
+
+
 def _at(values: list, index) -> F.Column:
     """values[index] for a driver-side list of one value per shard."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -41,10 +47,11 @@ def propagate(members: DataFrame, n_shards: int, rows: int, rounds: int) -> Data
     a shard).  A shard admits callers only up to its quota, less who stays;
     who is admitted is drawn by a keyed hash, so no task orders a whole shard.
     Tallies are combined before the shuffle and a hub is at most n_shards
-    rows.
+    rows.  After ``rounds`` rounds it ends with the first that moves less than
+    `SETTLED` of the members.
     """
     quota = max(1, rows // n_shards)
-    for turn in range(rounds):
+    for turn in range(rounds * LONGEST):
         load = _per_shard(members, "shard", n_shards)
         full = [x >= quota for x in load]
         tally = members.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -65,11 +72,14 @@ def propagate(members: DataFrame, n_shards: int, rows: int, rounds: int) -> Data
             return asked.select("rid", "link", "shard")
         admit = _admission(flow, load, quota)
         draw = F.pmod(F.xxhash64("rid", F.lit(turn + 1000)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        moved = sum(flow[s][t] * admit[t] for s in range(n_shards) for t in range(n_shards))
         members = asked.select("rid", "link", F.when(draw < _at(admit, F.col("want")), F.col("want")).otherwise(F.col("shard")).alias("shard"))
+        if turn + 1 >= rounds and moved < SETTLED * sum(load):
+            break
     return stored(members, "settled")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 4, seed: int = 29) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 6, seed: int = 29) -> DataFrame:
     """Put ``docs(doc_id, text)`` into shards 0 to n_shards - 1 under the law
     ``rows``: counts per shard differ by at most one.
 
@@ -95,8 +105,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 4, seed:
     nodes = stored(ranked(dealt, [], "bucket", ["key", "doc_id"], "rid")
                    .withColumn("shard", F.pmod("rid", F.lit(n_shards)).cast("int"))
                    .select("rid", "doc_id", "size", "text_crc32", "link", "shard"), "dealt")
-    groups = nodes.where("link is not null").groupBy("link").count().where("count > 1").select("link")
-    linked = stored(nodes.join(groups, "link").select("rid", "link", "shard"), "linked")
+    # a link is named by its first row: a number is a quarter of its hash
+    groups = (nodes.where("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("hub"))
+              .where("n > 1").select("link", "hub"))
+    linked = stored(nodes.join(groups, "link").select("rid", F.col("hub").alias("link"), "shard"), "linked")
     settled = propagate(linked, n_shards, rows, rounds).select("rid", F.col("shard").alias("moved"))
 
     placed = stored(nodes.join(settled, "rid", "left").select(

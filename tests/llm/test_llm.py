@@ -101,6 +101,17 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(n for _, n in seen["hot"].most_common(4)) >= 0.8 * 300  # 300 rows need three shards; at random four hold half
 
 
+def test_sharding_goes_on_until_settled(spark, monkeypatch):
+    """Propagation ends when few rows move, not after four rounds."""
+    from spire.llm import sharding
+    turns = []
+    monkeypatch.setattr(sharding, "_admission", lambda flow, load, quota, was=sharding._admission: (turns.append((flow, sum(load))), was(flow, load, quota))[1])
+    docs = [(i, f"group {i % 120}" if i % 8 else f"own {i}") for i in range(1200)] + [(2000 + i, "hot") for i in range(600)]
+    check_shards(sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect(), 8)
+    asking = [sum(map(sum, flow)) / rows for flow, rows in turns]
+    assert len(turns) >= 6 or asking[-1] < 0.01
+
+
 # op2, op7 --------------------------------------------------------------------
 
 
