@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spire.llm.common import stored, table
+from spire.llm.common import WORD, stored, table
 from spire.llm.mixing import mix_sources
 from spire.llm.pieces import encode_documents
 from spire.llm.pii import replace_private
@@ -24,14 +24,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own; docs are read from files, so each reading gives the same."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of smallest doc_id; groups are
-    linked by a Jaccard similarity of 0.8 or more on sets of five-word
-    shingles.  Rows without words stay; of rows equal in id and text one does."""
-    named = similar_documents(docs, width=5, num=80, den=100)
-    first = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return (kept.withColumn("_h", F.sha2("text", 256)).dropDuplicates(["doc_id", "_h"]).select(*docs.columns))
+    """One document of each group stays, the one of smallest doc_id (a null id
+    comes last, of one id the first row stays); groups are linked by a Jaccard
+    similarity of 0.8 or more on sets of five-word shingles.  Rows without
+    words stay; of those equal in id and text one does."""
+    keyed = _keyed(docs)
+    named = similar_documents(keyed, width=5, num=80, den=100, row="_row")
+    first = (named.where("component is not null").groupBy("component")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row"))
+    blank = (keyed.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+             .groupBy("doc_id", F.sha2("text", 256)).agg(F.min("_row").alias("_row")).select("_row"))
+    return keyed.join(first.unionByName(blank), "_row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +51,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document appears as often as the mix takes it: its taken words over
     its size, rounded, so 0 to 2 times.  Documents without words are never
-    taken; rows that share an id appear as often as the most taken of them."""
-    taken = (mix_sources(docs).where("size > 0").groupBy(F.col("doc_id").alias("_id"))
-             .agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_n")).where("_n > 0"))
-    words = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    taken; rows that share an id are documents of their own."""
+    keyed = _keyed(docs)
+    taken = (mix_sources(keyed, row="_row").where("size > 0")
+             .select("_row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n")).where("_n > 0"))
+    words = keyed.join(taken, "_row")
     return words.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 

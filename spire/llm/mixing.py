@@ -70,7 +70,7 @@ def schedule(sources: DataFrame, n_slots: int, cells: int = 1024) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max_repeat: int = 2,
-                block: int = 4096, seed: int = 17) -> DataFrame:
+                block: int = 4096, seed: int = 17, row: str | None = None) -> DataFrame:
     """Mix ``docs(doc_id, text, source)`` to the target weights.
 
     The documents of a source are laid out in a keyed shuffled order on a token
@@ -85,10 +85,13 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max_rep
     enters the mix; null if never).  Null and empty texts have size 0 and are
     never taken; null ids and sources are ordinary values (the null source is
     ordered last); repeated rows are separate documents; an empty table gives
-    an empty result.  Other columns are ignored.  The order depends on seed,
-    doc_id and size only, so reruns agree.
+    an empty result.  Other columns are ignored, but with ``row``, the name
+    of a column that tells rows apart, that one comes after the others.  The
+    order depends on seed, doc_id and size (and then ``row``) only, so reruns
+    agree.
     """
-    base = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    extra = [row] if row else []
+    base = stored(docs.select(*extra, "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     stats = stored(sizes, "sources")
     total, rows = stats.agg(F.sum("source_size"), F.sum("rows")).first()
@@ -106,7 +109,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max_rep
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (filled.groupBy("sid", "bucket").agg(F.sum("size").alias("s"))
                .select("sid", "bucket", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before")))
-    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", *extra).rowsBetween(Window.unboundedPreceding, 0)
     placed = (filled.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["sid", "bucket"])
               .withColumn("lo", F.col("before") + F.col("upto") - F.col("size")))
     start = F.col("lo") + F.col("pass") * F.col("source_size")
@@ -116,10 +119,10 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max_rep
                 F.expr("start div step"), F.expr("(end - 1) div step"))))))
     share = F.least("end", (F.col("rank") + 1) * F.col("step")) - F.greatest("start", F.col("rank") * F.col("step"))
     taken = (used.join(slots, ["sid", "rank"], "left")
-             .groupBy("sid", "lo", "doc_id", "source", "size", "source_size", "target")
+             .groupBy("sid", "lo", "doc_id", "source", "size", "source_size", "target", *extra)
              .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), share)), F.lit(0)).cast("long").alias("taken"),
                   F.min("slot").alias("first_slot")))
-    cols = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot"]
+    cols = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot", *extra]
     return taken.select(*cols).unionByName(none.select(
         "doc_id", "source", "size", "source_size", "target",
-        F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot")))
+        F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), *extra))

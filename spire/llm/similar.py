@@ -37,7 +37,7 @@ def _sign(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _describe(width: int):
+def _describe(width: int, extra: list[str]):
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
@@ -47,8 +47,9 @@ def _describe(width: int):
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_sign(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], pa.int64())],
-                    ["doc_id", "n", "sig", "gid"])
+                    pa.array([int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], pa.int64()),
+                    *[batch.column(c) for c in extra]],
+                    ["doc_id", "n", "sig", "gid", *extra])
     return run
 
 
@@ -162,7 +163,7 @@ class _Matrix:
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, row: str | None = None) -> DataFrame:
     """Link documents of ``docs(doc_id, text)`` whose sets of ``width``-word
     shingles have Jaccard similarity num / den or more, and name components.
 
@@ -182,10 +183,13 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     (null, empty) have 0 shingles and link with nothing.  A null id orders
     after all others; rows with a repeated id are documents of their own;
     repeated rows are equal sets; an empty table gives an empty result.  Extra
-    columns are ignored.
+    columns are ignored, but with ``row``, the name of a long column, that one
+    and ``component`` (a number of its own for each component, null without
+    words) come after the others.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = stored(docs.mapInArrow(_describe(width), "doc_id long, n long, sig binary, gid long"), "shingles")
+    extra = [row] if row else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    told = stored(docs.mapInArrow(_describe(width, extra), "doc_id long, n long, sig binary, gid long" + "".join(f", `{c}` long" for c in extra)), "shingles")
     classes = told.where("n > 0").groupBy("sig", "gid", "n").agg(F.min(key_of()).alias("rep"))
     # small tables that meet a hot key are stored: Spark splits a join whose sides it has dealt itself
     sizes = stored(classes.groupBy("gid").agg(F.count(F.lit(1)).alias("members")), "groups")
@@ -240,6 +244,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     roots = components(checked.unionByName(forest)).withColumnsRenamed({"node": "cid"})
     named = classes.join(roots, "cid", "left").select("sig", "rep", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    named = stored(named.join(least, "root").select("sig", F.when(F.col("least") < NO_ID, F.col("least")).alias("least")), "named")
+    named = stored(named.join(least, "root").select("sig", "root", F.when(F.col("least") < NO_ID, F.col("least")).alias("least")), "named")
     return told.join(named, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        *extra, *[F.col("root").alias("component") for _ in extra])

@@ -519,6 +519,22 @@ def test_pipeline(spark):
     assert Counter((r.doc_id, r.t) for r in rows) == Counter((r.doc_id, r.text or "") for r in kept["mixing"])
 
 
+def test_stages_decide_by_row(spark):
+    """Rows without an id, or with one id for several texts, get their own decision."""
+    a, b, c, d = (words(60, 1000 * k) for k in range(1, 5))
+    rows = [(1, a), (None, a + " t1"), (None, a + " t2"), (None, b), (None, b + " t"), (7, c), (7, d), (8, d + " t"), (7, c), (None, None), (None, None), (9, ""), (9, " ")]
+    docs = stored(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3), "by-row")
+    kept = Counter((r.doc_id, (r.text or "none").split(" t")[0]) for r in corpus_pipeline.near_duplicates(spark, docs, SF_SMALL).collect())
+    assert kept == Counter([(1, a), (None, b), (7, c), (7, d), (None, "none"), (9, "none"), (9, " ")])
+    rows = [((None, 5, 6)[i % 3], words(10 + i, 1000 * i), "abc"[i // 40]) for i in range(120)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "by-row")
+    target = {r.source: r.target for r in mix_sources(docs).select("source", "target").distinct().collect()}
+    got = Counter()
+    for r in corpus_pipeline.mixing(spark, docs, SF_SMALL).collect():
+        got[r.source] += len(r.text.split())
+    assert set(got) == set(target) and all(abs(got[s] - target[s]) <= 130 for s in target)
+
+
 def test_whole_table(spark):
     """Nothing of the queries reads a subset: every document comes back."""
     n = pq.read_table(f"{SF_SMALL}/documents.parquet").num_rows
