@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import audit_documents
 from .common import table
 from .fingerprint import fingerprint_documents
 from .mixing import mix_sources
@@ -136,3 +137,38 @@ def op3_pieces(spark, sf_dir):
     """Ids of every text, and a digest of the text decoded from them."""
     out = encode_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(decoder()("ids"), 256).alias("decoded_sha256"))
+
+
+OP11_SQL = r"""
+WITH d0 AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+d1 AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, min(doc_id) OVER (PARTITION BY t) IS NOT NULL) AS e FROM d0),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, e,
+        coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d1 LEFT JOIN l ON l.doc_id = d1.doc_id),
+cl AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM f v, f w, f x, f y, f z
+      WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+r AS (SELECT cl.*, filter_order, least(CASE WHEN a THEN strpos(filter_order, 'A') ELSE 6 END, CASE WHEN b THEN strpos(filter_order, 'B') ELSE 6 END,
+        CASE WHEN c THEN strpos(filter_order, 'C') ELSE 6 END, CASE WHEN d THEN strpos(filter_order, 'D') ELSE 6 END,
+        CASE WHEN e THEN strpos(filter_order, 'E') ELSE 6 END) AS goes FROM cl, o),
+s AS (SELECT r.*, step, substr(filter_order, step, 1) AS filter FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+g AS (SELECT *, CASE filter WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails,
+        a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails FROM s),
+t AS (SELECT part, filter_order, step, filter,
+        coalesce(sum(n) FILTER (goes > step), 0) AS kept, coalesce(sum(n) FILTER (goes = step), 0) AS removed,
+        coalesce(sum(n) FILTER (fails AND goes < step), 0) AS redundant, coalesce(sum(n) FILTER (fails AND n_fails = 1), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (goes = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (goes = step), 0) AS toxic_lost
+      FROM g GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM t"""
+
+
+@register("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark, sf_dir):
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
