@@ -1 +1 @@
-"""Training-data operators: ten corpus operators and the queries over them."""
+"""Training-data operators: thirteen corpus operators and the queries over them."""

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from .audit import audit_documents
 from .common import table
 from .fingerprint import fingerprint_documents
+from .lines import drop_repeated_lines
 from .mixing import mix_sources
 from .pieces import decoder, encode_documents
 from .pii import replace_private
 from .quality import score_quality
+from .repair import damaged, repair_conversations
 from .sharding import shard_documents
 from .similar import similar_documents
 from .substrings import remove_repeats
@@ -172,3 +174,68 @@ FROM t"""
 @register("op11_filter_audit", OP11_SQL)
 def op11_filter_audit(spark, sf_dir):
     return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keeper FROM (SELECT DISTINCT rid, doc_id, key FROM k WHERE length(key) >= 40)
+      GROUP BY key HAVING count(*) >= 5),
+m AS (SELECT rid, k.doc_id, i, line, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.keeper AS gone FROM k LEFT JOIN c ON c.key = k.key)
+SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid"""
+
+
+@register("op12_line_dedup", OP12_SQL)
+def op12_line_dedup(spark, sf_dir):
+    out = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+# options of one more row in front of the rows from i on: x is the state, n the state that a kept row leads to
+_OP13_WAYS = """list_sort(list_filter([
+    {{'c': f[{x}].c + 2, 'a': 'D' || f[{x}].a, 'p': f[{x}].p}},
+    CASE WHEN fault NOT IN (1, 2) AND {keeps} THEN {{'c': f[{n}].c + stay, 'a': 'K' || f[{n}].a, 'p': role || ':' || text || coalesce(chr(10) || f[{n}].p, '')}} END,
+    CASE WHEN fault NOT IN (1, 2) THEN {{'c': f[{r}].c + stay + 1, 'a': 'R' || f[{r}].a, 'p': '{name}:' || text || coalesce(chr(10) || f[{r}].p, '')}} END],
+    lambda w: w IS NOT NULL))[1]"""
+_OP13_PUT = "{{'c': {x}.c + 5, 'a': 'I' || {x}.a, 'p': '{name}:' || coalesce(chr(10) || {x}.p, '')}}"
+_U, _A = "user", "assistant"
+OP13_SQL = r"""
+WITH RECURSIVE q AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS ch FROM conversations),
+b AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(ch,
+    lambda x: list_transform(range(8), lambda j: (ord(x)::BIGINT >> j) & 1)))),
+    lambda v, k: xor(v >> 1, CASE WHEN xor(v, k) & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)), 4294967295::BIGINT) % 20 AS hit FROM q),
+w AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS dup FROM w),
+t AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN dup THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+    left(role, 1) AS r, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS before FROM o),
+s AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id),
+z AS (SELECT conv_id, n AS i, [{'c': 0, 'a': '', 'p': NULL::VARCHAR}, {'c': 10, 'a': 'II', 'p': 'user:' || chr(10) || 'assistant:'},
+    {'c': 5, 'a': 'I', 'p': 'assistant:'}, {'c': 0, 'a': '', 'p': NULL::VARCHAR}] AS f FROM s
+  UNION ALL
+  SELECT conv_id, i - 1, [list_sort([g0, """ + _OP13_PUT.format(x="h2", name=_U) + """])[1], list_sort([g1, """ + _OP13_PUT.format(x="h2", name=_U) + """])[1], h2, h3]
+  FROM (SELECT *, list_sort([g2, """ + _OP13_PUT.format(x="g3", name=_A) + """])[1] AS h2, list_sort([g3, """ + _OP13_PUT.format(x="g2", name=_U) + r"""])[1] AS h3
+    FROM (SELECT conv_id, i, """ + ", ".join(f"{_OP13_WAYS.format(x=x, n=n, r=r, keeps=k, name=m)} AS g{x - 1}" for x, n, r, k, m in (
+        (1, "CASE r WHEN 's' THEN 2 ELSE 3 END", 3, "r IN ('s', 'u')", _U), (2, 3, 3, "r = 'u'", _U), (3, 4, 4, "r = 'a'", _A), (4, 3, 3, "r = 'u'", _U))) + r"""
+      FROM (SELECT z.conv_id, z.i, z.f, t.role, t.text, t.r, t.fault, CASE WHEN t.fault = 3 THEN 5 ELSE 0 END AS stay
+            FROM z JOIN t ON z.conv_id IS NOT DISTINCT FROM t.conv_id AND z.i = t.i)))),
+e AS (SELECT conv_id, f[1] AS f FROM z WHERE i = 0)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(e.f.c, 0) AS BIGINT) AS cost,
+  coalesce(e.f.a, '') AS audit, sha256(coalesce(e.f.p, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@register("op13_repair", OP13_SQL)
+def op13_repair(spark, sf_dir):
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations"))).report

@@ -488,7 +488,7 @@ def test_query_matches_sql(spark, name):
 
 def test_one_query_per_operator():
     found = E.queries()
-    for n in range(1, 12):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in found) == 1
     assert "pipeline" in found
 
