@@ -10,6 +10,8 @@ expects (FIXTURES.md §2); none of them does an operator's work.
   * large run          lineitem grouped by (supplier = qid, order = did),
                        score = max extended price
   * graded qrels       rel = number of returned ('R') lines of the pair
+  * judgements         the same with rel = 0 for pairs whose lines were only
+                       accepted ('A')
   * second teacher     greatest discount of the pair, where positive
   * conversation turns every conversation row, text cleaned
 """
@@ -74,6 +76,14 @@ def lineitem_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("rel") > 0)
 
 
+def lineitem_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(qid, did, rel)`` with judged non-relevant pairs: rel = returned
+    lines, 0 where lines were only accepted; pairs with neither are unjudged."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("R", "A"))
+    return li.groupBy(F.col("l_suppkey").alias("qid"), F.col("l_orderkey").alias("did")) \
+        .agg(F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("int").alias("rel"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(conv_id, turn, role, text)`` of every row, text cleaned."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", clean_text("text").alias("text"))

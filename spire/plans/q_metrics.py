@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded
 from ..operators import metrics as M
 from . import fixtures as fx
-from .registry import QRELS_CTE, RUN2_CTE, RUN_CTE, register
+from .registry import JUDGED_CTE, QRELS_CTE, RUN2_CTE, RUN_CTE, register
 
 
 def _pq_sql(cutoffs: list[int], select: str, run: str = "run", extra_ctes: str = "") -> str:
@@ -160,3 +160,43 @@ def map_distributed_ranking(spark, sf):
     pq = M.per_query(fx.lineitem_run(spark, sf), fx.lineitem_qrels(spark, sf), cutoffs=[10],
                      ranking="distributed")
     return _round(pq, ["map", "Rprec", "recip_rank"], ["num_ret"])
+
+
+_LEVELS = [M.level_column(x) for x in M.LEVELS]
+_SETS = ["set_P", "set_recall", "set_F", "set_map", "set_relative_P"]
+# per query: measures of the external evaluator besides the common ones
+_EXTERNAL_CTE = f"""WITH {RUN_CTE}, {JUDGED_CTE},
+n AS (SELECT qid, CAST(count(*) FILTER (rel >= 1) AS DOUBLE) AS r, CAST(count(*) FILTER (rel < 1) AS DOUBLE) AS o FROM judged GROUP BY qid),
+ranked AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did ASC) AS rank FROM run),
+j AS (SELECT k.qid, rel, rank, sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) OVER w AS upto, sum(CASE WHEN rel < 1 THEN 1 ELSE 0 END) OVER w AS bad
+      FROM ranked k JOIN judged d ON k.qid = d.qid AND k.did = d.did WINDOW w AS (PARTITION BY k.qid ORDER BY rank)),
+ret AS (SELECT qid, CAST(count(*) AS DOUBLE) AS num_ret FROM run GROUP BY qid),
+m AS (SELECT j.qid, count(*) FILTER (rel >= 1) AS hits, count(*) FILTER (rel < 1) AS misses,
+        coalesce(sum(upto / rank) FILTER (rel >= 1), 0) / any_value(r) AS ap, coalesce(sum(upto / rank) FILTER (rel >= 1 AND rank <= 100), 0) / any_value(r) AS ap_100,
+        coalesce(sum(1 - CASE WHEN bad > 0 THEN least(bad, r) / least(r, o) ELSE 0 END) FILTER (rel >= 1), 0) / any_value(r) AS bpref,
+        count(*) FILTER (rel >= 1 AND rank <= 100) AS top, any_value(r) AS r,
+        {", ".join(f"coalesce(max(upto / rank) FILTER (rel >= 1 AND upto >= floor({x}::DOUBLE * r + 0.9::DOUBLE)), 0) AS {c}" for x, c in zip(M.LEVELS, _LEVELS))}
+      FROM j JOIN n ON n.qid = j.qid GROUP BY j.qid),
+e AS (SELECT m.*, hits / num_ret AS set_P, hits / r AS set_recall, CASE WHEN hits > 0 THEN 2 * hits / (num_ret + r) ELSE 0 END AS set_F,
+        hits / num_ret * hits / r AS set_map, hits / least(num_ret, r) AS set_relative_P, ({" + ".join(_LEVELS)}) / 11 AS "11pt_avg",
+        ln(greatest(ap, 0.00001)) AS gm_map, ln(greatest(bpref, 0.00001)) AS gm_bpref, top / least(r, 100) AS relative_P_100 FROM m JOIN ret ON ret.qid = m.qid)
+"""
+_EXTERNAL = ["bpref", "gm_map", "gm_bpref", *_SETS, *_LEVELS, "11pt_avg", "relative_P_100"]
+
+
+@register("external_measures", _EXTERNAL_CTE + f"""SELECT qid, {", ".join(f'round("{c}", 6) AS "{c}"' for c in _EXTERNAL)},
+  round(ap_100, 6) AS map_cut_100, CAST(misses AS BIGINT) AS num_nonrel_judged_ret FROM e""")
+def external_measures(spark, sf):
+    """M6: bpref, interpolated precision at eleven recall levels, set and
+    geometric measures per query, on labels with judged non-relevant pairs."""
+    pq = M.per_query(fx.lineitem_run(spark, sf), fx.lineitem_judgements(spark, sf), cutoffs=[100])
+    return _round(pq, [*_EXTERNAL, "map_cut_100"], ["num_nonrel_judged_ret"])
+
+
+@register("external_summary", _EXTERNAL_CTE + """SELECT CAST(count(*) AS BIGINT) AS n_queries, round(exp(avg(gm_map)), 6) AS gm_map,
+  round(exp(avg(gm_bpref)), 6) AS gm_bpref, round(avg(bpref), 6) AS bpref, round(avg("11pt_avg"), 6) AS "11pt_avg" FROM e""")
+def external_summary(spark, sf):
+    """M6: geometric and arithmetic means over queries."""
+    pq = M.per_query(fx.lineitem_run(spark, sf), fx.lineitem_judgements(spark, sf), cutoffs=[10])
+    s = M.summarize(pq, ["gm_map", "gm_bpref", "bpref", "11pt_avg"])
+    return s.select(F.col("n_queries").cast("long"), *[rounded(c).alias(c) for c in ("gm_map", "gm_bpref", "bpref", "11pt_avg")])

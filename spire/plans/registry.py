@@ -50,6 +50,10 @@ QRELS_CTE = """qrels AS (
            CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS INTEGER) AS rel
     FROM lineitem GROUP BY 1, 2) WHERE rel > 0)"""
 
+JUDGED_CTE = """judged AS (
+  SELECT l_suppkey AS qid, l_orderkey AS did, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS INTEGER) AS rel
+  FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2)"""
+
 # python str.strip()/split on blanks ~ regexp on \\s in both engines
 TURNS_CTE = r"""turns AS (
   SELECT conv_id, turn, role,
