@@ -1,5 +1,6 @@
 """Inverted index: build, persist, shard, route, merge (X5, X6, X10, X11,
-A12, A13, A16, J12, W12, W13, K4, K5, K9, S18).
+A12, A13, A16, J12, W12, W13, K4, K5, K9, S18; `index_files` for an index
+that describes itself).
 
 The index *is* the long postings table ``(did, dim, weight)``.  On disk it
 is bucketed by document id and sorted by dim inside each bucket: a dot
@@ -124,6 +125,34 @@ def route(q_terms: DataFrame, shard_dims: DataFrame, m: int, qid: str = "qid") -
         .where(F.col("srank") <= m)
 
 
+def shard_dim_words(vec: DataFrame, shards: DataFrame, id_col: str, topk_dims: int = 100) -> DataFrame:
+    """A12 as bitmaps: ``(shard, word, bits)``, bit i of a word says that
+    dimension ``64 * word + i`` is among a member's top dims.  For integer
+    dimensions; combined map-side, a 64th of the rows of the sets, and no shard
+    comes as one array of its vocabulary."""
+    return _dim_words(prune_topk(vec, topk_dims, id_col).join(shards, id_col), "shard")
+
+
+def _dim_words(terms: DataFrame, key: str) -> DataFrame:
+    return terms.groupBy(key, F.shiftright("dim", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(dim & 63 AS int))")).alias("bits"))
+
+
+def route_words(q_terms: DataFrame, words: DataFrame, m: int, qid: str = "qid") -> DataFrame:
+    """J12 + U5 + T4 over `shard_dim_words`: the rows of `route`.  A query's
+    dims are words too; the overlap is the number of bits of the
+    intersections.  Queries go over the shards' words in measured blocks."""
+    q = _dim_words(q_terms, qid).withColumnRenamed("bits", "_q")
+    blocks = R.query_blocks(q, qid)
+    by_shard = R.clustered(words, "shard", len(blocks))
+    w = Window.partitionBy(qid).orderBy(F.col("overlap").desc(), F.col("shard").asc())
+    runs = []
+    for part, fits in blocks:
+        overlap = by_shard.join(F.broadcast(part) if fits else part, "word").groupBy(qid, "shard").agg(
+            F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("_q")))).cast("long").alias("overlap"))
+        runs.append(overlap.where("overlap > 0").withColumn("srank", F.row_number().over(w)).where(F.col("srank") <= m))
+    return R.united(runs)
+
+
 def shard_postings(postings: DataFrame, shards: DataFrame, did: str = "did") -> DataFrame:
     """K9 layout: postings tagged with their document's shard (written with
     ``partitionBy('shard')`` so routed retrieval prunes partitions)."""
@@ -146,6 +175,15 @@ def retrieve_sharded(q_terms: DataFrame, routed: DataFrame, tagged_postings: Dat
     return R.retrieve(qs, tagged_postings, k, threshold, qid, did, digits=digits, extra_keys=["shard"])
 
 
+def retrieve_shard_folders(spark: SparkSession, q_terms: DataFrame, routed: DataFrame, path: str, k: int = 1000, threshold: float | None = 0.0,
+                           qid: str = "qid", did: str = "did", digits: int | None = None) -> DataFrame:
+    """X11 over the folders of `write_sharded_postings`: the shards in the
+    broadcast query terms become a runtime filter of the scan (dynamic partition
+    pruning), so folders that no query is routed to are not opened."""
+    reached = routed.where(F.col("shard").isNotNull() & (F.col("srank") >= 1))
+    return retrieve_sharded(q_terms, reached, spark.read.parquet(path), k, threshold, qid, did, digits)
+
+
 def shard_offsets(sizes: DataFrame) -> DataFrame:
     """Exclusive running sum of shard sizes in numeric shard order
     (one row per shard, so a global window is fine)."""

@@ -1,22 +1,31 @@
-"""Physical layout helper: clustering.
+"""Physical layout helpers: clustering and stored results.
 
 * ``cluster(df, cols)`` hash-partitions ``df`` on ``cols`` unless its
   physical plan already is (a bucketed table scan reports its bucket
   partitioning, so a bucketed index is never reshuffled).
+* ``stored(df, name)`` writes a result once to the shared folder and reads it
+  back, so that several later plans share it and a lost executor does not
+  bring its lineage back.
 """
 
 from __future__ import annotations
 
 import re
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 
+from ..session import scratch_path
+
 _HASH = re.compile(r"hashpartitioning\((.*), \d+\)$")
 
 
 def partition_columns(df: DataFrame) -> set[str] | None:
     """Column names of the plan's hash partitioning, or None."""
-    part = df._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
+    try:
+        part = df._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
+    except IllegalArgumentException:  # a join whose sides are not aligned yet has no partitioning
+        return None
     m = _HASH.match(part)
     if not m:
         return None
@@ -36,3 +45,8 @@ def cluster(df: DataFrame, cols: list[str], n: int | None = None) -> DataFrame:
     n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *cols)
 
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"spire-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

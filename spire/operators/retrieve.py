@@ -144,13 +144,19 @@ def retrieve(q_terms: DataFrame, postings: DataFrame, k: int | None = 1000, thre
     ``PLAN_BLOCKS`` blocks are one plan; more run one after another, and only
     their top k rows are kept in scratch storage."""
     keys, blocks, p = _sides(q_terms, postings, qid, did, extra_keys, block_bytes)
-    runs = [topk(score_block(b, p, qid, did, keys, fits), k, qid, did, threshold, tie, digits=digits) for b, fits in blocks]
+    return united([topk(score_block(b, p, qid, did, keys, fits), k, qid, did, threshold, tie, digits=digits) for b, fits in blocks])
+
+
+def united(runs: list[DataFrame]) -> DataFrame:
+    """The runs of disjoint queries as one: a single plan, or stored one after
+    another if there are many."""
     if len(runs) <= PLAN_BLOCKS:
         return reduce(DataFrame.unionByName, runs)
-    path = scratch_path(q_terms.sparkSession, "blocks")
+    spark = runs[0].sparkSession
+    path = scratch_path(spark, "blocks")
     for i, run in enumerate(runs):
         run.write.parquet(f"{path}/block={i}")
-    return q_terms.sparkSession.read.parquet(path).select(*runs[0].columns)
+    return spark.read.schema(runs[0].schema).parquet(*[f"{path}/block={i}" for i in range(len(runs))])
 
 
 def cosine_retrieve(q_terms: DataFrame, postings: DataFrame, k: int = 1000, threshold: float | None = None,
@@ -159,17 +165,6 @@ def cosine_retrieve(q_terms: DataFrame, postings: DataFrame, k: int = 1000, thre
     return retrieve(l2_normalize(q_terms, qid), l2_normalize(postings, did), k, threshold, qid, did, **kw)
 
 
-def dense_retrieve(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", did: str = "did",
-                   vec_col: str = "embedding", **kw) -> DataFrame:
-    """Exact dot product of dense vectors: positions become dimensions,
-    then the sparse plan (every position is a "term")."""
-    # dense values may be negative or zero: every position is kept
-    digits = kw.pop("digits", None)
-    q = queries.select(F.col(qid), F.posexplode(vec_col).alias("dim", "weight"))
-    d = docs.select(F.col(did), F.posexplode(vec_col).alias("dim", "weight"))
-    return retrieve(q, d, k, None, qid, did, digits=digits, **kw)
-
-
 def retrieve_many(query_sets: DataFrame, postings: DataFrame, k: int = 1000,
                   threshold: float | None = 0.0, set_col: str = "query_set",
                   qid: str = "qid", did: str = "did", **kw) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import index as ix
+from ..operators import index_files as files
 from ..operators import prep as P
 from ..operators import retrieve as R
 from ..operators import sparse as S
@@ -225,3 +226,15 @@ def reload_index(spark, sf):
     index = ix.reload_postings(spark, path, f"{name}_again", 8)
     q = index.join(id_map.withColumnRenamed("row_id", "did"), "did").select(F.col("id").alias("qid"), "dim", "weight")
     return R.translate_ids(R.retrieve(q, index, k=TOP_K, threshold=None, digits=6), id_map, "did").select("qid", "did", "score", "rank")
+
+
+@register("open_written_index", ORACLE["index_and_retrieve"])
+def open_written_index(spark, sf):
+    """K4 + K5 + S18: an index written with its manifest; buckets, columns and
+    counts come from there, then every vector is retrieved against it."""
+    postings, id_map, _ = ix.build_index(fx.vectors(spark, sf), fx.vector_ids(spark, sf), "vec_id")
+    path = scratch_path(spark, "index")
+    files.write_index(postings, id_map, path, buckets=8)
+    index = files.open_index(spark, path)
+    q = index.postings.join(index.ids.withColumnRenamed("row_id", "did"), "did").select(F.col("id").alias("qid"), "dim", "weight")
+    return R.translate_ids(R.retrieve(q, index.postings, k=TOP_K, threshold=None, digits=6), index.ids, "did").select("qid", "did", "score", "rank")

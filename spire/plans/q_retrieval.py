@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
+from ..operators import dense as D
 from ..operators import index as ix
 from ..operators import metrics as M
+from ..operators import pruned as B
 from ..operators import retrieve as R
 from ..operators import sparse as S
 from . import fixtures as fx
-from .registry import VEC_CTE, register
+from ..session import scratch_path
+from .registry import ORACLE, VEC_CTE, register
 
 TOP_K = 10
 DEEP_K = 1000
@@ -68,6 +71,14 @@ def retrieve_topk(spark, sf):
     return R.retrieve(fx.query_terms(spark, sf), fx.postings(spark, sf), k=TOP_K, threshold=None, digits=6)
 
 
+@register("retrieve_pruned_blocks", ORACLE["retrieve_topk"])
+def retrieve_pruned_blocks(spark, sf):
+    """X7 over a block index: blocks of documents are opened only while their
+    bound reaches the query's tenth score."""
+    index = B.block_index(fx.postings(spark, sf))
+    return B.retrieve_pruned(fx.query_terms(spark, sf), index, k=TOP_K, threshold=None, digits=6).run
+
+
 @register("retrieve_threshold", _topk_sql(_SCORE_CTE, DEEP_K, f"WHERE score > {THRESHOLD}"))
 def retrieve_threshold(spark, sf):
     """R5 + W1: strict score threshold, then top 1000 per query."""
@@ -99,7 +110,7 @@ def dense_retrieve(spark, sf):
     e = fx.table(spark, sf, "embeddings")
     q = e.select(F.col("vec_id").alias("qid"), "embedding")
     d = e.select(F.col("vec_id").alias("did"), "embedding")
-    return R.dense_retrieve(q, d, TOP_K, digits=6)
+    return D.dense_retrieve(q, d, TOP_K, digits=6)
 
 
 @register("retrieve_pruned_queries", _topk_sql(f"""WITH {VEC_CTE},
@@ -253,6 +264,21 @@ def retrieve_sharded(spark, sf):
     return ix.retrieve_sharded(q, routed, post, k=TOP_K, threshold=None, digits=6)
 
 
+@register("retrieve_shard_folders", ORACLE["retrieve_sharded"])
+def retrieve_shard_folders(spark, sf):
+    """X11 + K9 + A12 + J12: postings written in a folder a shard, shard dims
+    as bitmaps, queries routed by the bits they share, and only the folders
+    read that some query is routed to."""
+    v = fx.vectors(spark, sf)
+    shards = ix.shard_documents(v, "vec_id", N_SHARDS, SHARD_TOP_DIMS)
+    path = scratch_path(spark, "shard-folders")
+    ix.write_sharded_postings(ix.shard_postings(fx.postings(spark, sf), shards.withColumnRenamed("vec_id", "did")), path)
+    q = fx.query_terms(spark, sf)
+    words = ix.shard_dim_words(v, shards, "vec_id", SHARD_TOP_DIMS)
+    routed = ix.route_words(S.encode_topk(q, "qid", QUERY_TOP_DIMS), words, ROUTE_M)
+    return ix.retrieve_shard_folders(spark, q, routed, path, k=TOP_K, threshold=None, digits=6)
+
+
 @register("merge_index", f"""{_SHARD_CTE},
 loc AS (SELECT vec_id, shard, row_number() OVER (PARTITION BY shard ORDER BY vec_id) - 1 AS local_id FROM shard),
 sizes AS (SELECT shard, count(*) AS n FROM shard GROUP BY shard),

@@ -11,6 +11,7 @@ from ..operators import index as ix
 from ..operators import retrieve as R
 from ..operators import sparse as S
 from ..session import scratch_path
+from ..streaming import growing as G
 from ..streaming import stream as Z
 from . import fixtures as fx
 from .q_lexical import BUCKETS, _DOC_TERMS
@@ -53,3 +54,37 @@ def stream_retrieve(spark, sf):
     out = Z.stream_retrieve(spark, src, emb.schema, index, to_terms, Z.fresh_dir(spark, "run-stream"), k=TOP_K, digits=6,
                             batch_bytes=1 << 20)
     return R.translate_ids(out, id_map, "did").select("qid", "did", "score", F.col("rank").cast("int"))
+
+
+_DOC_F32 = _DOC_TERMS.replace("ln(1 + count(*)) AS weight", "CAST(CAST(ln(1 + count(*)) AS FLOAT) AS DOUBLE) AS weight")
+
+
+def _grown(spark, sf, compact_first: bool = False):
+    docs = fx.documents(spark, sf)
+    out = Z.fresh_dir(spark, "growing")
+    src = Z.split_into_files(docs, "doc_id", N_FILES, Z.fresh_dir(spark, "growing-docs"))
+    now = G.stream_growing_index(spark, src, docs.schema, out, batch_bytes=4 << 20)
+    return G.compact(spark, out, BUCKETS) if compact_first else now
+
+
+@register("stream_index_stats", f"""WITH {_DOC_F32},
+per AS (SELECT d.doc_id, count(dt.dim) AS l0, coalesce(sum(dt.weight), 0) AS l1 FROM documents d LEFT JOIN dt ON dt.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT round(avg(l0), 6) AS l0, round(avg(l1), 4) AS l1, CAST(count(*) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT) AS row_ids,
+  CAST(0 AS BIGINT) AS first_row, CAST(count(*) - 1 AS BIGINT) AS last_row FROM per""")
+def stream_index_stats(spark, sf):
+    """Z1 + A6 + R1: statistics and dense row ids of an index that grew by
+    micro-batches, summed from its batches."""
+    now = _grown(spark, sf)
+    rows = now.ids.agg(F.countDistinct("row_id").alias("row_ids"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    return now.stats.select(rounded("l0").alias("l0"), rounded("l1", 4).alias("l1"), "n_docs").withColumn("_k", F.lit(1)).join(
+        rows.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@register("stream_index_compacted", f"""WITH {_DOC_F32}
+SELECT doc_id, dim, round(weight, 6) AS weight FROM dt""")
+def stream_index_compacted(spark, sf):
+    """Z1 + K4 + K5: the grown index compacted into buckets equals X5 over the
+    union of its batches."""
+    now = _grown(spark, sf, compact_first=True)
+    ids = now.ids.select(F.col("row_id").alias("did"), F.col("id").alias("doc_id"))
+    return now.postings.join(ids, "did").select("doc_id", "dim", rounded(F.col("weight").cast("double")).alias("weight"))
