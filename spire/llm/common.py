@@ -129,6 +129,14 @@ def sample_labels(labels: DataFrame, label: str, rows: int, seed: int) -> DataFr
     return picks[0].unionByName(picks[1])
 
 
+def sample_texts(docs: DataFrame, picked: DataFrame, name: str) -> DataFrame:
+    """The texts of ``picked(doc_id, y, h)``, stored: one row an id, so no more
+    than were picked.  Of several texts of an id the one of least hash."""
+    found = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(picked), "doc_id")
+    one = found.groupBy("doc_id", "y", "h").agg(F.min(F.struct(F.xxhash64("text").alias("k"), "text")).alias("t"))
+    return stored(one.select("doc_id", "y", "h", "t.text"), name)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
     """Ridge logistic regression by damped Newton steps; column 0 is the intercept."""
     w = np.zeros(x.shape[1])

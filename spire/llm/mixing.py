@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from .common import hex_bucket, ranked, stored, word_count
 
 #: fractional part of the golden ratio: slot i of the schedule sits at frac(i * GOLDEN)
 GOLDEN = 0.6180339887498949
+#: slots of a mix, each drawing one block of words
+SLOTS = 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max_repeat: int = 2) -> DataFrame:
@@ -40,10 +44,10 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max
     return s.select("sid", "source", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("words"))
 
 
-def schedule(sources: DataFrame, n_slots: int, cells: int = 1024) -> DataFrame:
+def schedule(sources: DataFrame, n_slots: int, golden: float = GOLDEN, cells: int = 1024) -> DataFrame:
     """The slots of the mix: (sid, rank, slot).
 
-    Slot i is the golden-ratio point frac(i * phi), mapped through the
+    Slot i is the golden-ratio point frac(i * golden), mapped through the
     cumulative target shares to a source; ``rank`` numbers the slots of a
     source.  Points meet the share intervals on a grid of ``cells``, an
     equi-join that holds for any number of sources, and ranks are two-level,
@@ -59,7 +63,7 @@ def schedule(sources: DataFrame, n_slots: int, cells: int = 1024) -> DataFrame:
     s = s.withColumn("hi", F.when(last, F.lit(2.0)).otherwise(F.col("hi")))
     grid = s.select("sid", "lo", "hi", F.explode(F.sequence(
         F.floor(F.col("lo") * cells), F.least(F.lit(cells - 1), F.floor(F.col("hi") * cells)))).alias("cell"))
-    x = F.col("id") * F.lit(GOLDEN)
+    x = F.col("id") * F.lit(golden)
     points = spark.range(n_slots).withColumn("u", x - F.floor(x)).withColumn("cell", F.floor(F.col("u") * cells))
     hits = (points.join(grid, "cell").where("u >= lo and u < hi")
             .select("sid", F.col("id").alias("slot"), F.shiftright("id", 14).alias("chunk")))
@@ -70,40 +74,48 @@ def schedule(sources: DataFrame, n_slots: int, cells: int = 1024) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max_repeat: int = 2,
-                block: int = 4096, seed: int = 17, row: str | None = None) -> DataFrame:
+                n_slots: int = SLOTS, seed: int = 17, row: str | None = None, golden: float = GOLDEN) -> DataFrame:
     """Mix ``docs(doc_id, text, source)`` to the target weights.
 
-    The documents of a source are laid out in a keyed shuffled order on a token
-    axis of ``max_repeat`` passes, cut into equal blocks (about ``block``
-    tokens; the target divided by the number of slots the schedule gave to the
-    source).  The r-th slot of a source takes its r-th block, so a source's
-    taken words are its rounded target and no document exceeds ``max_repeat``
-    times its size.
+    The mix is a row of about ``n_slots`` slots, each a block of the same number of
+    words: ``budget`` times all words, divided by the slots.  The schedule gives
+    each slot to a source.  The documents of a source are laid out in a keyed
+    shuffled order on a word axis of ``max_repeat`` passes, cut into blocks; the
+    r-th slot of a source draws its r-th block.  So the points decide what is
+    taken: a source's words are its slots times the block, within the
+    discrepancy of the points (about 3 of ``n_slots``) from its target, and no
+    document exceeds ``max_repeat`` times its size, as the axis ends there.  A
+    source too small for a point gets one slot of as many words as its target.
 
     Returns one row per input row: doc_id, source, size, source_size, target,
-    taken (words, repeats counted) and first_slot (where the document first
-    enters the mix; null if never).  Null and empty texts have size 0 and are
-    never taken; null ids and sources are ordinary values (the null source is
-    ordered last); repeated rows are separate documents; an empty table gives
-    an empty result.  Other columns are ignored, but with ``row``, the name
-    of a column that tells rows apart, that one comes after the others.  The
-    order depends on seed, doc_id and size (and then ``row``) only, so reruns
-    agree.
+    taken (words, repeats counted) and first_slot (the slot whose block the
+    document begins in; null if it is never drawn).  Null and empty texts have
+    size 0 and are never taken; null ids and sources are ordinary values (the
+    null source is ordered last); repeated rows are separate documents; an
+    empty table gives an empty result.  Other columns are ignored, but with
+    ``row``, the name of a column that tells rows apart, that one comes after
+    the others.  The order depends on seed, doc_id, size and text (and then
+    ``row``) only, so reruns agree, and rows without an id spread.
     """
     extra = [row] if row else []
-    base = stored(docs.select(*extra, "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    text = F.coalesce("text", F.lit(""))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
+    base = stored(docs.select(*extra, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     stats = stored(sizes, "sources")
     total, rows = stats.agg(F.sum("source_size"), F.sum("rows")).first()
+    block = max(1, math.ceil((total or 0) * budget / n_slots))
+    n_slots = math.ceil((total or 0) * budget / block)  # whole words a block, so there may be fewer slots
     sources = stored(source_targets(stats.drop("rows"), weights, budget, max_repeat), "targets")
-    slots = stored(schedule(sources, int(-(-(total or 0) * budget // block))), "schedule")
-    steps = slots.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    sources = (sources.join(steps, "sid", "left")
-               .withColumn("step", F.greatest(F.lit(1), F.ceil(F.col("words") / F.coalesce("n", F.lit(1))))).drop("n"))
+    slots = stored(schedule(sources, n_slots, golden), "schedule")
+    drawn = slots.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"))
+    small = F.coalesce(F.col("last") >= n_slots, F.lit(False))
+    words = F.when(small, F.col("words")).otherwise(F.coalesce("n", F.lit(0)) * block)
+    sources = (sources.join(drawn, "sid", "left").withColumn("step", F.when(small, F.greatest("words", F.lit(1))).otherwise(block).cast("long"))
+               .withColumn("words", F.least(words, F.col("source_size") * max_repeat)).drop("n", "last"))
 
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
     laid = (base.join(sources, base["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-            .withColumn("key", key).withColumn("bucket", hex_bucket(F.col("key"), rows or 0, 8192)))
+            .withColumn("bucket", hex_bucket(F.col("key"), rows or 0, 8192)))
     laid = stored(laid, "laid")
     filled, none = laid.where("size > 0"), laid.where("size = 0")
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

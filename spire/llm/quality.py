@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, id_crc, sample_labels, spread
+from .common import fit_logistic, id_crc, sample_labels, sample_texts, spread
 
 LEVEL = 3
 
@@ -80,6 +80,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", dict
     ``dictionary_docs`` a class give one piece of ``chunk`` bytes each to a
     dictionary; ``calibration_docs`` others a class give four numbers each to
     a logistic regression, weighted back to the class shares of the labels.
+    An id gives one text, also where it repeats.
     ``labels(doc_id, <label>)`` must hold only rows that may be learnt from.
     Without enough labelled texts of either class the model says the share of
     good labels (0.5 without any) for every text.
@@ -88,7 +89,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", dict
     picked = sample_labels(labels, label, dictionary_docs + calibration_docs, seed)
     kinds = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double")), F.count(F.lit(1))).first()
     prior = float(kinds[0]) if kinds[1] else 0.5
-    texts = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(picked), "doc_id")
+    texts = sample_texts(docs, picked, "quality-sample")
     half = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(dictionary_docs + calibration_docs)) < dictionary_docs
     pieces = F.floor((F.length("text") - 1) / chunk) + 1
     one = F.substring("text", F.pmod(F.col("h"), pieces).cast("int") * chunk + 1, F.lit(chunk))

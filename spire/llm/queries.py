@@ -47,7 +47,7 @@ def op1_sharding(spark, sf_dir):
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, text,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -59,18 +59,32 @@ s3 AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS want,
 s4 AS (SELECT *, capsum + CAST(cap AS DOUBLE) * rest / w <= want AS capped FROM s3),
 s5 AS (SELECT *, CAST(coalesce(sum(cap) FILTER (capped) OVER (), 0) AS DOUBLE) AS given, sum(w) FILTER (NOT capped) OVER () AS free_w FROM s4),
 s6 AS (SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE w * (want - given) / free_w END AS target FROM s5),
-l AS (SELECT d.doc_id, d.size, s6.source_size, s6.target, CAST(floor(s6.target + 0.5) AS BIGINT) AS words,
-         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || CAST(d.size AS VARCHAR)), d.doc_id
-                           ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS lo
-      FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source)
+b0 AS (SELECT sum(source_size) * 1.5::DOUBLE AS all_words, greatest(1, CAST(ceil(sum(source_size) * 1.5::DOUBLE / 65536) AS BIGINT)) AS block FROM s0),
+b AS (SELECT block, CAST(ceil(all_words / block) AS BIGINT) AS slots FROM b0),
+u AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid,
+        coalesce(sum(target) OVER (ORDER BY source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS hi, sum(target) OVER () AS total FROM s6),
+iv AS (SELECT sid, (hi - target) / total AS lo, CASE WHEN sid = max(sid) FILTER (target > 0) OVER () THEN 2.0::DOUBLE ELSE hi / total END AS hi FROM u WHERE target > 0),
+pt AS (SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS p FROM b, range(65536) r(i) WHERE i < slots),
+hit AS (SELECT sid, i AS slot, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rank FROM pt JOIN iv ON p >= lo AND p < hi),
+sl AS (SELECT sid, rank, slot FROM hit UNION ALL SELECT sid, 0, sid + slots FROM iv, b WHERE sid NOT IN (SELECT sid FROM hit)),
+n AS (SELECT sid, count(*) AS n, max(slot) >= any_value(slots) AS small FROM sl, b GROUP BY sid),
+g AS (SELECT u.sid, source, source_size, target, CASE WHEN small THEN greatest(1, CAST(floor(target + 0.5) AS BIGINT)) ELSE block END AS step,
+        least(CASE WHEN small THEN CAST(floor(target + 0.5) AS BIGINT) ELSE coalesce(n, 0) * block END, 2 * source_size) AS words
+      FROM u CROSS JOIN b LEFT JOIN n ON n.sid = u.sid),
+l AS (SELECT d.doc_id, d.size, g.*, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY
+          md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || md5(coalesce(d.text, ''))), d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS lo
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
-  greatest(0, least(lo + size, words) - lo) + greatest(0, least(lo + size + source_size, words) - lo - source_size) AS taken
-FROM l"""
+  CAST(greatest(0, least(lo + size, words) - lo) + greatest(0, least(lo + size + source_size, words) - lo - source_size) AS BIGINT) AS taken,
+  CAST(coalesce(slot, -1) AS BIGINT) AS first_slot
+FROM l LEFT JOIN sl ON sl.sid = l.sid AND sl.rank = lo // step AND size > 0 AND lo < words"""
 
 
 @register("op6_mixing", OP6_SQL)
 def op6_mixing(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix; first_slot is -1 for documents that no slot draws."""
+    out = mix_sources(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"))
 
 
 @register("op2_quality")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, id_crc, sample_labels, spread
+from .common import fit_logistic, id_crc, sample_labels, sample_texts, spread
 
 #: a token: a run of letters, in lower case
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -24,10 +24,10 @@ def _units(token: str) -> list[str]:
     return [token[:k] + "*" for k in STEMS] + [token]
 
 
-def _log_odds(unit_counts: dict[str, tuple[int, int]], root: float, strength: float, least: float) -> dict[str, float]:
-    """Log-odds against the overall toxic share, of every unit that is seen
-    more often with toxic texts.  The Dirichlet prior of a unit has
-    ``strength`` pseudo-counts and the share of its shorter prefix as mean."""
+def _log_odds(unit_counts: dict[str, tuple[int, int]], root: float, strength: float) -> dict[str, float]:
+    """Signed log-odds of every counted unit (texts, toxic texts) against the
+    overall toxic share.  The Dirichlet prior of a unit has ``strength``
+    pseudo-counts and the share of its shorter prefix as mean."""
     share: dict[str, float] = {}
 
     def of(unit: str, parent: float) -> float:
@@ -43,51 +43,66 @@ def _log_odds(unit_counts: dict[str, tuple[int, int]], root: float, strength: fl
         for u in chain:
             p = of(u, p)
         out[unit] = math.log(p / (1 - p)) - base
-    return {u: s for u, s in out.items() if s >= least or not u.endswith("*")}
-
-
-def _segments(tokens: list[str], odds: dict[str, float], least: float, drift: float) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, last token) in one pass.
-    A token under ``least`` counts -drift, another its log-odds; of a run of
-    one token only the first counts."""
-    out: list[tuple[float, int, int]] = []
-    run = best = 0.0
-    first = last = -1
-    at = -1
-    before = None
-    for i, tok in enumerate(tokens):
-        s = odds.get(tok)
-        if s is None:
-            s = odds.get(tok[:5] + "*")
-            if s is None:
-                s = odds.get(tok[:3] + "*", 0.0)
-        if s < least or tok == before:
-            before = tok
-            continue
-        before = tok
-        if at >= 0:
-            run -= drift * (i - at - 1)
-        at = i
-        if run <= 0:
-            if best > 0:
-                out.append((best, first, last))
-            run, best, first = 0.0, 0.0, i
-        run += s
-        if run > best:
-            best, last = run, i
-        elif run < best - 12:  # the best cannot be joined to what follows at a gain
-            out.append((best, first, last))
-            run, best, first = 0.0, 0.0, -1
-            at = -1
-    if best > 0:
-        out.append((best, first, last))
     return out
 
 
+class _Scores(dict):
+    """Scores of tokens: their log-odds, those of the longest counted prefix
+    where the token itself was seen too little to be counted, or none, less
+    the drift."""
+
+    def __init__(self, odds: dict[str, float], drift: float):
+        super().__init__()
+        self.odds, self.drift = odds, drift
+
+    def __missing__(self, token: str) -> float:
+        found = next((self.odds[u] for u in reversed(_units(token)) if u in self.odds), 0.0)
+        self[token] = found - self.drift
+        return self[token]
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """Of a token that repeats at once only the first counts; the others are drift."""
+        out = np.fromiter(map(self.__getitem__, tokens), float, len(tokens))
+        again = [i for i, (a, b) in enumerate(zip(tokens, tokens[1:]), 1) if a == b]
+        out[again] = -self.drift
+        return out
+
+
+def _segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments (score, first, last) in linear time.
+
+    Positive runs come from left to right.  A run looks for the nearest
+    segment on the stack that starts at a lower prefix sum; if that ends lower
+    than the run, both and all between become one segment, which looks again;
+    else the run is a segment of its own so far.  ``back`` remembers for each
+    segment where its own search ended, so no pair is looked at twice."""
+    up = np.concatenate(([False], scores > 0, [False]))
+    edge = np.flatnonzero(up[1:] != up[:-1])
+    if not len(edge):
+        return []
+    total = np.concatenate(([0.0], np.cumsum(scores)))
+    low, high, first, last, back = [], [], [], [], []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        lo, hi, start = total[a], total[b], a
+        j = len(low) - 1
+        while True:
+            while j >= 0 and low[j] >= lo:
+                j = back[j]
+            if j < 0 or high[j] >= hi:
+                break
+            lo, start, j, cut = low[j], first[j], back[j], j
+            del low[cut:], high[cut:], first[cut:], last[cut:], back[cut:]
+        low.append(lo)
+        high.append(hi)
+        first.append(start)
+        last.append(b - 1)
+        back.append(j)
+    return [(float(h - x), a, b) for x, h, a, b in zip(low, high, first, last)]
+
+
 @dataclass
 class ToxicityModel:
     odds: dict[str, float]
-    least: float
     drift: float
     rate: float          # lambda of the extreme-value law of the best score in clean texts
     offset: float        # its log K
@@ -100,17 +115,17 @@ class ToxicityModel:
         """Significant passages: (expected chance count, score, first, last token)."""
         tokens = TOKEN.findall((text or "").lower())
         room = math.log(len(tokens) + 1)
-        found = [(math.exp(min(50.0, self.offset + room - self.rate * s)), s, a, b) for s, a, b in _segments(tokens, self.odds, self.least, self.drift)]
+        found = [(math.exp(min(50.0, self.offset + room - self.rate * s)), s, a, b) for s, a, b in _segments(_Scores(self.odds, self.drift).of(tokens))]
         return [x for x in found if x[0] < 1.0]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: best score in extreme-value units, evidence of all
         significant passages, their number, log length."""
-        out = np.zeros((len(texts), 4))
+        out, scores = np.zeros((len(texts), 4)), _Scores(self.odds, self.drift)
         for i, t in enumerate(texts):
             tokens = TOKEN.findall((t or "").lower())
             room = math.log(len(tokens) + 1)
-            bits = [self.rate * s - room - self.offset for s, _, _ in _segments(tokens, self.odds, self.least, self.drift)]
+            bits = [self.rate * s - room - self.offset for s, _, _ in _segments(scores.of(tokens))]
             strong = [b for b in bits if b > 0]
             out[i] = max(bits, default=-room - self.offset), math.log1p(sum(strong)), math.log1p(len(strong)), room
         return out
@@ -129,23 +144,26 @@ class ToxicityModel:
         return score
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 12_000, strength: float = 2.0,
-                 least: float = 2.5, drift: float = 0.15, seed: int = 7) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 12_000, strength: float = 8.0,
+                 few: int = 3, drift: float = 1.0, seed: int = 7) -> ToxicityModel:
     """Learn log-odds and calibration from a bounded sample of labelled rows.
 
-    The first ``rows`` labelled ids a class in hash order; units are counted once
-    a text; each half of the texts calibrates with the counts of the other.  Spark counts; the units
-    of the sampled toxic texts come to the driver, a number bounded by the
-    sample.  The law of the best score in clean texts (Gumbel, by moments)
-    turns scores into expected chance counts; a logistic regression, weighted
-    to the class shares of all labels, turns these into a probability.
-    ``labels`` must hold only rows that may be learnt from.  Without texts of
-    both classes every text scores the share of toxic labels (0 without any).
+    The first ``rows`` labelled ids a class in hash order, one text each; units
+    are counted once a text, clean and toxic texts alike; each half of the
+    texts calibrates with the counts of the other.  Spark counts; units that
+    at least ``few`` texts of the sample have come to the driver, a number
+    bounded by the sample; tokens under that count score by their prefix.
+    ``drift`` is taken off every token, so that chance runs end.  The law of the
+    best score in clean texts (Gumbel, by moments) turns scores into expected
+    chance counts; a logistic regression, weighted to the class shares of all
+    labels, turns these into a probability.  ``labels`` must hold only rows that
+    may be learnt from.  Without texts of both classes every text scores the
+    share of toxic labels (0 without any).
     """
     picked = sample_labels(labels, label, rows, seed)
     kinds = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double")), F.count(F.lit(1))).first()
     prior = float(kinds[0]) if kinds[1] else 0.0
-    texts = (docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(picked), "doc_id")
+    texts = (sample_texts(docs, picked, "toxicity-sample")
              .withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)).cast("int")))
 
     def count(batches):
@@ -162,17 +180,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
                .agg(*[F.count(F.when(F.col("half") == k, 1)).alias(f"n{k}") for k in (0, 1)],
                     *[F.coalesce(F.sum(F.when(F.col("half") == k, F.col("y"))), F.lit(0)).alias(f"t{k}") for k in (0, 1)]))
     sizes = {r.y: r.n for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    flat = ToxicityModel({}, least, drift, 1.0, 0.0, np.zeros(4), np.ones(4), np.zeros(15), prior)
+    flat = ToxicityModel({}, drift, 1.0, 0.0, np.zeros(4), np.ones(4), np.zeros(15), prior)
     if len(sizes) < 2:
         return flat
     root = sizes[1] / (sizes[0] + sizes[1])
-    got = counted.where("t0 + t1 > 0").toArrow()
+    got = counted.where(F.col("n0") + F.col("n1") >= few).toArrow()
     unit = got.column("unit").to_pylist()
     n0, n1, t0, t1 = (got.column(c).to_numpy() for c in ("n0", "n1", "t0", "t1"))
 
     def model_of(n, t):
-        odds = _log_odds({u: (a, b) for u, a, b in zip(unit, n.tolist(), t.tolist()) if b}, root, strength, least)
-        return ToxicityModel(odds, least, drift, 1.0, 0.0, np.zeros(4), np.ones(4), np.zeros(15), prior)
+        odds = _log_odds({u: (a, b) for u, a, b in zip(unit, n.tolist(), t.tolist()) if a >= few}, root, strength)
+        return ToxicityModel(odds, drift, 1.0, 0.0, np.zeros(4), np.ones(4), np.zeros(15), prior)
 
     model = model_of(n0 + n1, t0 + t1)
     # each half is measured with the counts of the other

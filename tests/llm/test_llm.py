@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with every odd case."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,16 +15,16 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 import corpus_pipeline
 from spire.llm import queries as llm
-from spire.llm.common import components, stored
+from spire.llm.common import components, sample_texts, stored
 from spire.llm.fingerprint import fingerprint_documents
-from spire.llm.mixing import mix_sources, source_targets
+from spire.llm.mixing import GOLDEN, mix_sources, source_targets
 from spire.llm.pieces import decoder, encode_documents
 from spire.llm.pii import replace_private
 from spire.llm.quality import keep_good, score_quality
 from spire.llm.sharding import shard_documents
 from spire.llm.similar import similar_documents
 from spire.llm.substrings import COVERS, remove_repeats
-from spire.llm.toxicity import _segments, score_toxicity
+from spire.llm.toxicity import _log_odds, _Scores, _segments, score_toxicity
 from spire.llm.vectors import near_vectors
 from tests.conftest import SF_SMALL
 from tests.oracle import compare, duck
@@ -149,13 +150,45 @@ def test_keep_good_keeps_columns(odd, labels):
     assert keep_good(odd, labels).columns == odd.columns
 
 
+def all_maximal(scores, shift=0):
+    """The segment of greatest sum, then the same to its left and to its right."""
+    best = max(((sum(scores[a:b]), -(b - a), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    total, _, a, b = best
+    return [*all_maximal(scores[:a], shift), (total, a + shift, b - 1 + shift), *all_maximal(scores[b:], shift + b)]
+
+
 def test_segments_are_maximal():
-    odds = {"bad": 4.0, "worse": 6.0}
-    tokens = ["a", "bad", "b", "worse", *["c"] * 100, "bad", "bad"]
-    got = _segments(tokens, odds, 2.5, 0.15)
-    assert [(a, b) for _, a, b in got] == [(1, 3), (104, 104)]  # of a run of one token the first counts
-    assert got[0][0] == pytest.approx(10 - 0.15)
-    assert _segments([], odds, 2.5, 0.15) == []
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        scores = rng.normal(rng.choice([-1.0, -0.3, 0.0]), rng.choice([0.5, 2.0]), int(rng.integers(0, 24)))
+        got, expected = _segments(scores), all_maximal(scores.tolist())
+        assert [x[1:] for x in got] == [x[1:] for x in expected]
+        assert [x[0] for x in got] == pytest.approx([x[0] for x in expected])
+    mild = _segments(np.full(42, 1.0))
+    assert mild == [(pytest.approx(42.0), 0, 41)]
+
+
+def test_token_scores():
+    odds = {"bad": 4.0, "wor*": 1.0, "worse*": 2.0, "plain": -3.0}
+    s = _Scores(odds, 0.5)
+    assert s.of(["bad", "bad", "worsening", "word", "plain", "new", "bad"]).tolist() == [3.5, -0.5, 1.5, 0.5, -3.5, -0.5, 3.5]
+    counts = {"a" * 6: (10, 9), "aaa*": (20, 10), "aaaaa*": (12, 9), "b" * 6: (8, 0), "bbb*": (8, 0), "bbbbb*": (8, 0)}
+    got = _log_odds(counts, 0.5, 2.0)
+    p3 = (10 + 2 * 0.5) / 22
+    p5 = (9 + 2 * p3) / 14
+    p = (9 + 2 * p5) / 12
+    assert got["aaaaaa"] == pytest.approx(math.log(p / (1 - p))) and got["bbbbbb"] < got["bbb*"] < 0
+
+
+def test_learning_sample_is_bounded(spark):
+    """An id that repeats gives one text, whatever it holds of the table."""
+    rows = [(1, f"text {i} of the same id") for i in range(400)] + [(i, f"own text {i}") for i in range(2, 40)]
+    picked = spark.createDataFrame([(i, i % 2, i * 7) for i in range(1, 30)], "doc_id long, y int, h long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sample_texts(docs, picked, "test").collect()
+    assert len(got) == 29 and sorted(map(tuple, got)) == sorted(map(tuple, sample_texts(docs.repartition(3), picked, "test").collect()))
 
 
 # op3 -------------------------------------------------------------------------
@@ -288,22 +321,85 @@ def test_components(spark):
 # op6 -------------------------------------------------------------------------
 
 
-def test_mixing_odd(odd, nothing, spark):
-    rows = mix_sources(odd, block=16).collect()
-    assert len(rows) == len(odd_rows())
-    total = sum(len(split(t[1])) for t in odd_rows())
-    by = defaultdict(list)
-    for r in rows:
-        by[r.source].append(r)
-        assert 0 <= r.taken <= 2 * r["size"]
-    assert Counter((r.doc_id, r["size"]) for r in rows) == Counter((t[0], len(split(t[1]))) for t in odd_rows())
-    assert sum(v[0].target for v in by.values()) == pytest.approx(1.5 * total)
-    for v in by.values():
-        assert abs(sum(r.taken for r in v) - v[0].target) <= 1
-    assert Counter(map(tuple, mix_sources(odd, block=16).collect())) == Counter(map(tuple, rows))
+def brute_mix(rows, n_slots, golden=GOLDEN):
+    """rows: (doc_id, text, source) -> (doc_id, size, taken, first slot), slot by slot."""
+    total = sum(len(split(t)) for _, t, _ in rows)
+    block = max(1, math.ceil(1.5 * total / n_slots))
+    n_slots = math.ceil(1.5 * total / block)
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s))
+    own = {s: sorted((hashlib.md5(f"17|{'' if d is None else d}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), len(split(t)), d)
+                     for d, t, x in rows if x == s) for s in sources}
+    size = {s: sum(n for _, n, _ in own[s]) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    left, free, target = 1.5 * total, set(sources), {}
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] >= 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+            free.remove(s)
+    target |= share
+    order = [s for s in sources if target[s] > 0]
+    bounds = np.cumsum([target[s] for s in order]) / sum(target.values())
+    slots = defaultdict(list)
+    for i in range(n_slots):
+        u = i * golden % 1
+        slots[order[min(int(np.searchsorted(bounds, u, side="right")), len(order) - 1)]].append(i)
+    out = []
+    for s in sources:
+        axis = [i for i, (_, n, _) in enumerate(own[s]) for _ in range(n)] * 2  # the document of each word
+        taken, first = Counter(), {}
+        if target[s] and not slots[s]:
+            taken.update(axis[:math.floor(target[s] + 0.5)])
+            first = {i: sources.index(s) + 1 + n_slots for i in taken}
+        for r, slot in enumerate(slots[s]):
+            drawn = axis[r * block:(r + 1) * block]
+            taken.update(drawn)
+            for i in drawn:
+                first.setdefault(i, slot)
+        out += [(d, n, taken[i], first.get(i)) for i, (_, n, d) in enumerate(own[s])]
+    return Counter(out), target, size, block
+
+
+def mixed(df):
+    return Counter((r.doc_id, r["size"], r.taken, r.first_slot) for r in df.collect())
+
+
+@pytest.mark.parametrize("n_slots", [40, 3000])
+def test_mixing_odd(odd, nothing, spark, n_slots):
+    rows = [(t[0], t[1], t[3]) for t in odd_rows()]
+    got = mix_sources(odd, n_slots=n_slots)
+    expected, target, size, block = brute_mix(rows, n_slots)
+    assert mixed(got) == expected == mixed(mix_sources(odd.repartition(5), n_slots=n_slots))
+    by = defaultdict(int)
+    for r in got.collect():
+        by[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r["size"] and r.target == pytest.approx(target[r.source])
+    assert all(abs(by[s] - target[s]) <= 3 * block for s in target)
     assert mix_sources(nothing).count() == 0
 
 
+def test_points_decide_the_mix(spark):
+    """Other points, other documents; targets hold with the golden ratio only."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    runs = {g: brute_mix(rows, 500, g) for g in (GOLDEN, 0.0, 0.5)}
+    for g, (expected, *_) in runs.items():
+        assert mixed(mix_sources(docs, n_slots=500, golden=g)) == expected
+    assert runs[GOLDEN][0] != runs[0.0][0] != runs[0.5][0]
+    whole = mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 0.001 * sum(x.target for x in whole) for r in whole)
+
+
+def test_rows_without_an_id_spread_in_the_mix(spark):
+    rows = [(None, f"same size, other text {i}", "a") for i in range(600)] + [(i, f"{i} words", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixed(mix_sources(docs, n_slots=200)) == brute_mix(rows, 200)[0]
+
+
 def test_targets_fill_like_water(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, "d": 40, "e": 0, None: 700}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -535,6 +631,24 @@ def test_stages_decide_by_row(spark):
     assert set(got) == set(target) and all(abs(got[s] - target[s]) <= 130 for s in target)
 
 
+def test_stages_hold_when_cores_change(spark):
+    """Row numbers must not depend on the parallelism of the job that reads them."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").repartition(6)
+    docs = stored(docs, "many-files")
+    setting = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.mixing):
+            counts = []
+            for build, write in ((8, 8), (8, 1), (1, 8)):
+                spark.conf.set(setting, build)
+                out = stage(spark, docs, SF_SMALL)
+                spark.conf.set(setting, write)
+                counts.append(sorted(r.doc_id for r in stored(out, "stage").select("doc_id").collect()))
+            assert counts[0] and counts[0] == counts[1] == counts[2]
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_whole_table(spark):
     """Nothing of the queries reads a subset: every document comes back."""
     n = pq.read_table(f"{SF_SMALL}/documents.parquet").num_rows
