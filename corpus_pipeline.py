@@ -25,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own; docs are read from files, so each reading gives the same."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    """Rows with a number of their own, stored: numbers follow the splits of a
+    scan, and these follow the cores at hand, so two readings may differ."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
