@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 from .common import hash_words, mix, packed, stored, unpacked
 
 #: hex digits of one signature in the fingerprint string
-DIGITS = 8
+DIGITS = 3
+#: rates 1/2, 1/4, ... at which subsets of the lexicon are drawn, and subsets a rate
+RATES, SUBSETS = 11, 10
 
 
 def _terms(text: str) -> np.ndarray:
@@ -44,44 +46,60 @@ def lexicon(docs: DataFrame, low: float, high: float) -> np.ndarray:
     return np.sort(band.column("term").to_numpy().view(np.uint64))
 
 
-def signatures(texts: list[str], lex: np.ndarray, subsets: int) -> np.ndarray:
-    """One row of ``subsets`` 32-bit signatures per text.
-
-    Each of the ``subsets`` randomised families halves the lexicon again and
-    again: level l keeps the terms whose keyed hash starts with l zero bits.
-    A text is signed with the finest of these lexicons that still holds one of
-    its terms, by a hash of the set of its terms in there; so a signature
-    rests on one or two terms of a short text and of a long one.  A text
-    without a term in the lexicon uses all its terms; one without terms signs
-    0.  The sum of mixed term hashes stands for hashing the sorted terms.
-    """
-    out = np.zeros((len(texts), subsets), np.uint64)
-    kept = []
-    for t in texts:
-        terms = _terms(t)
+def _sequence(terms: np.ndarray, owner: np.ndarray, key: int, out: np.ndarray) -> None:
+    """Hash the terms of each owner, which come sorted, as one sequence into
+    ``out[owner]``; owners without terms keep their 0."""
+    if not len(terms):
+        return
+    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    place = np.arange(len(terms)) - np.repeat(starts, np.diff(np.append(starts, len(terms))))
+    with np.errstate(over="ignore"):
+        total = np.add.reduceat(mix(terms + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), starts)
+    bits = np.uint64((1 << 4 * DIGITS) - 1)
+    out[owner[starts]] = np.maximum(mix(total ^ np.uint64(key)) & bits, np.uint64(1))
+
+
+def signatures(texts: list[str], lex: np.ndarray, rates: int = RATES, subsets: int = SUBSETS) -> np.ndarray:
+    """I-Match: one row per text of 1 + ``rates`` * ``subsets`` signatures.
+
+    The first is the hash of all its distinct terms in the lexicon, sorted;
+    each other one that of those in a random subset of the lexicon.  Subsets
+    are the same for all texts: subset j at rate r keeps the terms whose hash
+    with key j starts with r zero bits, a 2^r-th of the lexicon, so that texts
+    of any length have subsets that hold a few of their terms.  A text without
+    a term in the lexicon uses all its terms; 0 stands for no term."""
+    kept, owner = [], []
+    for i, t in enumerate(texts):
+        terms = np.unique(_terms(t))
         at = np.searchsorted(lex, terms)
         known = terms[(at < len(lex)) & (lex[np.minimum(at, len(lex) - 1)] == terms)] if len(lex) else terms[:0]
         kept.append(known if len(known) else terms)
-    sizes = np.array([len(k) for k in kept], np.int64)
-    full = np.flatnonzero(sizes)
-    if not len(full):
+        owner.append(np.full(len(kept[-1]), i))
+    out = np.zeros((len(texts), 1 + rates * subsets), np.uint64)
+    if not texts:
         return out
-    flat, sizes = np.concatenate([kept[i] for i in full]), sizes[full]
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    flat, owner = np.concatenate(kept), np.concatenate(owner)
+    _sequence(flat, owner, 0, out[:, 0])
     for j in range(subsets):
         v = mix(flat ^ mix(np.array([j + 1], np.uint64) * np.uint64(0x632BE59BD9B4E019)))
-        least = np.minimum.reduceat(v, starts)
-        # the highest set bit of the least hash is the edge of the finest level
-        edge = least.copy()
-        for s in (1, 2, 4, 8, 16, 32):
-            edge |= edge >> np.uint64(s)
-        member = v <= np.repeat(edge, sizes)
-        with np.errstate(over="ignore"):
-            total = np.add.reduceat(np.where(member, mix(v ^ np.uint64(j)), np.uint64(0)), starts)
-        out[full, j] = (mix(total ^ edge) & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+        terms, whose = flat, owner
+        for r in range(1, rates + 1):
+            member = v < np.uint64(1 << (64 - r))
+            v, terms, whose = v[member], terms[member], whose[member]
+            _sequence(terms, whose, r * subsets + j, out[:, 1 + (r - 1) * subsets + j])
     return out
 
 
+def likeness(a: np.ndarray, b: np.ndarray, subsets: int = SUBSETS) -> np.ndarray:
+    """Of two rows of signatures: 1 if all terms are equal (or both have none);
+    else, of the rates at which at least half of the subsets hold a term of
+    either, the greatest share of equal signatures."""
+    some = ((a != 0) | (b != 0))[:, 1:].reshape(len(a), -1, subsets).sum(axis=2)
+    same = ((a == b) & (a != 0))[:, 1:].reshape(len(a), -1, subsets).sum(axis=2)
+    share = np.where(2 * some >= subsets, same / np.maximum(some, 1), 0.0)
+    return np.where(a[:, 0] == b[:, 0], 1.0, share.max(axis=1, initial=0.0))
+
+
 def _text(sig: np.ndarray) -> str:
     return "".join(f"{int(x):0{DIGITS}x}" for x in sig)
 
@@ -99,15 +117,15 @@ RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def _rows(ids: list, texts: list[str], sigs: np.ndarray, nexts: list[str], next_sigs: np.ndarray, lex: np.ndarray) -> dict[str, list]:
     """Result columns of texts whose following texts are known."""
     edited = [_edit(a, b) for a, b in zip(texts, nexts)]
-    esigs = signatures(edited, lex, sigs.shape[1])
+    esigs = signatures(edited, lex)
     return {
         "doc_id": ids, "n_chars": [len(t) for t in texts],
         "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
         "fingerprint": [_text(s) for s in sigs], "edited_fingerprint": [_text(s) for s in esigs],
-        "near_edited": (sigs == esigs).mean(1).tolist(), "near_next": (sigs == next_sigs).mean(1).tolist()}
+        "near_edited": likeness(sigs, esigs).tolist(), "near_next": likeness(sigs, next_sigs).tolist()}
 
 
-def fingerprint_documents(docs: DataFrame, low: float = 2e-4, high: float = 0.05, subsets: int = 32) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, low: float = 2e-4, high: float = 0.05) -> DataFrame:
     """I-Match fingerprints of ``docs(doc_id, text)`` and of the edited texts.
 
     The edited text has the last floor(n_chars / 4) code points replaced by
@@ -117,9 +135,9 @@ def fingerprint_documents(docs: DataFrame, low: float = 2e-4, high: float = 0.05
     first of the following one in a second step over two rows a partition.
 
     Returns one row per input row: doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited and near_next (share of equal
-    signatures: with the edited text, with the next document).  A null text
-    counts as empty; empty texts sign zeros and are like each other; null ids
+    fingerprint, edited_fingerprint (all signatures of `signatures`), near_edited
+    and near_next (`likeness`: with the edited text, with the next document).  A
+    null text counts as empty; empty texts sign zeros and are like each other; null ids
     come first and equal ids are ordered by a hash of the text; a single
     document is its own next; an empty table gives an empty result.  Extra
     columns are ignored.
@@ -143,7 +161,7 @@ def fingerprint_documents(docs: DataFrame, low: float = 2e-4, high: float = 0.05
                 z = batch.column("z")
                 texts = [b.decode("utf-8", "surrogatepass") for b in unpacked(z)]
                 ids, z = batch.column("doc_id").to_pylist(), z.to_pylist()
-                sigs = signatures(texts, lex, subsets)
+                sigs = signatures(texts, lex)
                 if held is None:
                     yield pa.RecordBatch.from_pylist([{"doc_id": ids[0], "kind": "head", "part": part, "z": z[0]}], wide)
                 else:
@@ -166,7 +184,7 @@ def fingerprint_documents(docs: DataFrame, low: float = 2e-4, high: float = 0.05
     def close(batches):
         for batch in batches:
             a, b = ([x.decode("utf-8", "surrogatepass") for x in unpacked(batch.column(c))] for c in ("z", "next_z"))
-            yield pa.RecordBatch.from_pydict(_rows(batch.column("doc_id").to_pylist(), a, signatures(a, lex, subsets), b, signatures(b, lex, subsets), lex),
+            yield pa.RecordBatch.from_pydict(_rows(batch.column("doc_id").to_pylist(), a, signatures(a, lex), b, signatures(b, lex), lex),
                                              pa.schema([wide.field(n) for n in names]))
 
     return walked.where("kind = 'done'").select(*names).unionByName(ends.mapInArrow(close, RESULT))

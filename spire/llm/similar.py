@@ -188,18 +188,21 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     words) come after the others.
     """
     extra = [row] if row else []
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
-    told = stored(docs.mapInArrow(_describe(width, extra), "doc_id long, n long, sig binary, gid long" + "".join(f", `{c}` long" for c in extra)), "shingles")
-    classes = told.where("n > 0").groupBy("sig", "gid", "n").agg(F.min(key_of()).alias("rep"))
+    passed = [*extra, "_h"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).withColumn("_h", F.xxhash64("text"))
+    told = stored(docs.mapInArrow(_describe(width, passed), "doc_id long, n long, sig binary, gid long" + "".join(f", `{c}` long" for c in passed)), "shingles")
+    # the text of a class is found by its id and hash: an id, or none, may have many texts
+    classes = (told.where("n > 0").groupBy("sig", "gid", "n").agg(F.min(F.struct(key_of().alias("rep"), "_h")).alias("first"))
+               .select("sig", "gid", "n", "first.rep", "first._h"))
     # small tables that meet a hot key are stored: Spark splits a join whose sides it has dealt itself
     sizes = stored(classes.groupBy("gid").agg(F.count(F.lit(1)).alias("members")), "groups")
     chunks = chunk_count(docs, 4 << 20)
     part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / F.lit(512)))
     classes = stored(classes.join(sizes, "gid").select(
-        F.monotonically_increasing_id().alias("cid"), "sig", "rep", "n",
+        F.monotonically_increasing_id().alias("cid"), "sig", "rep", "_h", "n",
         F.pmod(F.xxhash64("gid", part), F.lit(chunks)).alias("chunk")), "classes")
-    texts = docs.select(key_of().alias("rep"), packed("text").alias("z"))
-    table = texts.join(classes, "rep").select("chunk", F.col("cid").alias("key"), "sig", "z")
+    texts = docs.select(key_of().alias("rep"), "_h", packed("text").alias("z")).dropDuplicates(["rep", "_h"])
+    table = texts.join(classes, ["rep", "_h"]).select("chunk", F.col("cid").alias("key"), "sig", "z")
 
     # asking and reading the answers is one plan: the exchange by chunk serves both passes
     run = _Matrix(width, num, den, max(1, chunks // 4))

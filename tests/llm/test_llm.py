@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -231,23 +232,75 @@ def test_pieces(odd, nothing):
 # op4 -------------------------------------------------------------------------
 
 
+M64 = (1 << 64) - 1
+
+
+def mix64(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def brute_signatures(text, band, rates=11, subsets=10):
+    """I-Match in plain numbers: the sorted in-band terms, whole and in each subset of the lexicon."""
+    terms = {xxhash.xxh3_64_intdigest(w.encode()) for w in (text or "").lower().split()}
+    terms = sorted(terms & band or terms)
+
+    def hashed(found, key):
+        total = sum(mix64(t + (i + 1) * 0x9E3779B97F4A7C15 & M64) for i, t in enumerate(found)) & M64
+        return max(1, mix64(total ^ key) & 0xFFF) if found else 0
+
+    drawn = [[mix64(t ^ mix64((j + 1) * 0x632BE59BD9B4E019 & M64)) for t in terms] for j in range(subsets)]
+    return [hashed(terms, 0)] + [hashed([t for t, v in zip(terms, drawn[j]) if v >> 64 - r == 0], r * subsets + j)
+                                 for r in range(1, rates + 1) for j in range(subsets)]
+
+
+def brute_likeness(a, b, subsets=10):
+    best = 1.0 if a[0] == b[0] else 0.0
+    for r in range(1, len(a), subsets):
+        some = [(x, y) for x, y in zip(a[r:r + subsets], b[r:r + subsets]) if x or y]
+        if 2 * len(some) >= subsets:
+            best = max(best, sum(x == y for x, y in some) / len(some))
+    return best
+
+
+def check_fingerprints(rows, docs, low, high):
+    order = sorted(docs)
+    share = Counter(x for _, t in order for x in {xxhash.xxh3_64_intdigest(w.encode()) for w in (t or "").lower().split()})
+    band = {x for x, n in share.items() if low * len(order) <= n <= high * len(order)}
+    text = lambda sig: "".join(f"{x:03x}" for x in sig)
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        q = len(t) // 4
+        edited = t[:len(t) - q] + after[:q]
+        own, changed, following = (brute_signatures(x, band) for x in (t, edited, after))
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (text(own), text(changed))
+        assert (r.near_edited, r.near_next) == (pytest.approx(brute_likeness(own, changed)), pytest.approx(brute_likeness(own, following)))
+
+
 def test_fingerprints(odd, nothing, spark):
     rows = fingerprint_documents(odd).collect()
     assert len(rows) == len(odd_rows())
     assert fingerprint_documents(nothing).count() == 0
-    fixed = [(i, t) for i, t in [(3, "alpha beta gamma delta"), (1, words(50)), (2, None), (9, words(50)), (5, "x")]]
-    rows = {r.doc_id: r for r in fingerprint_documents(spark.createDataFrame(fixed, "doc_id long, text string")).collect()}
-    order = sorted(fixed)
-    for k, (i, t) in enumerate(order):
-        text, after = t or "", order[(k + 1) % len(order)][1] or ""
-        q = len(text) // 4
-        edited = text[:len(text) - q] + after[:q]
-        assert rows[i].n_chars == len(text)
-        assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        a, b, c = (rows[x].fingerprint for x in (i, order[(k + 1) % len(order)][0], i))
-        pairs = lambda x, y: np.mean([x[j:j + 8] == y[j:j + 8] for j in range(0, len(x), 8)])
-        assert rows[i].near_next == pytest.approx(pairs(a, b)) and rows[i].near_edited == pytest.approx(pairs(c, rows[i].edited_fingerprint))
-    assert rows[1].fingerprint == rows[9].fingerprint != rows[3].fingerprint
+    fixed = [(i, t) for i, t in [(3, "alpha beta gamma delta"), (1, words(50)), (2, None), (9, words(50)), (5, "x"), (6, ""), (7, "Beta GAMMA new old"), (8, words(800))]]
+    docs = spark.createDataFrame(fixed, "doc_id long, text string")
+    for low, high in ((2e-4, 0.05), (0.2, 0.3), (0.0, 1.0)):
+        rows = {r.doc_id: r for r in fingerprint_documents(docs, low, high).collect()}
+        check_fingerprints(rows, fixed, low, high)
+        assert rows[1].fingerprint == rows[9].fingerprint != rows[3].fingerprint
+
+
+def test_fingerprints_tell_edits_from_others(spark):
+    """On whole documents an edited text is nearer than the next one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = fingerprint_documents(docs).collect()
+    edited, other = np.array([r.near_edited for r in rows]), np.array([r.near_next for r in rows])
+    assert edited.mean() > 0.4 and np.mean(other > 0.2) < 0.05
+    assert np.mean((edited[:, None] > other[None, :]) + (edited[:, None] == other[None, :]) / 2) > 0.97
+    some = docs.where("doc_id < 60")
+    check_fingerprints({r.doc_id: r for r in fingerprint_documents(some, 0.05, 0.5).collect()}, [(r.doc_id, r.text) for r in some.collect()], 0.05, 0.5)
 
 
 # op5 -------------------------------------------------------------------------
@@ -306,6 +359,15 @@ def test_similar_large_group(spark):
     assert got == brute_components(rows, 3, 90, 100)
 
 
+def test_similar_hot_ids(spark):
+    """A third of all rows without an id, a third under one id, many equal in id and text."""
+    rows = [(None, words(30, 1000 * i)) for i in range(150)] + [(7, words(30, 1000 * i) + " end") for i in range(100)] + [(7, words(40, 5))] * 50
+    rows += [(1000 + i, words(30, 1000 * i) + " " + words(1, 10**7)) for i in range(0, 150, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r)[:3] for r in similar_documents(docs, 3, 80, 100).collect())
+    assert got == brute_components(rows, 3, 80, 100)
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [tuple(map(int, rng.integers(200, 400, 2))) for _ in range(120)]
