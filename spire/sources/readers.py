@@ -181,10 +181,13 @@ def read_nested_run(spark: SparkSession, path: str, whole_file: bool = False) ->
 
 
 def read_trec_run(spark: SparkSession, path: str) -> DataFrame:
-    """``qid Q0 did rank score tag`` (space separated)."""
-    schema = "qid string, q0 string, did string, rank int, score double, tag string"
-    df = spark.read.schema(schema).option("sep", " ").option("mode", "DROPMALFORMED").csv(path)
-    return df.select("qid", "did", "score").dropna()
+    """``qid Q0 did rank score tag``, separated by blanks or tabs; a line
+    of another number of fields, or whose score is no number, is an error."""
+    lines = _lines(spark, path).where(F.length(strip_ws("value")) > 0)
+    p = F.split(strip_ws(F.col("value")), r"\s+")
+    score = F.when(F.size("p") == 6, F.col("p")[4].try_cast("double"))
+    broken = F.raise_error(F.concat(F.lit("not a run line of six fields: "), F.substring("value", 1, 80))).cast("double")
+    return lines.select("value", p.alias("p")).select(F.col("p")[0].alias("qid"), F.get("p", F.lit(2)).alias("did"), F.coalesce(score, broken).alias("score"))
 
 
 def read_triplets(spark: SparkSession, path: str) -> DataFrame:
@@ -209,14 +212,17 @@ def _first_line(spark: SparkSession, path: str) -> str | None:
 def read_delimited_auto(spark: SparkSession, path: str) -> DataFrame:
     """Header present iff every field of the first line contains a
     letter; otherwise columns ``id, contents``.  Format by extension
-    (tab for .tsv, comma otherwise); quoted fields may hold the separator;
-    rows with too many or too few fields are skipped."""
+    (tab for .tsv, comma otherwise); quoted fields may hold the separator and
+    line breaks; rows with too many or too few fields are skipped.  Lines are
+    first looked at for an odd number of quotes: without one no field goes over
+    a line end, and the file is read in splits."""
     sep = "\t" if path.endswith(".tsv") else ","
     line = _first_line(spark, path) or ""
     fields = next(csv.reader([line], delimiter=sep), [])
     header = bool(fields) and all(re.search(r"[A-Za-z]", f) for f in fields)
+    broken = not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
     r = spark.read.option("sep", sep).option("header", header).option("mode", "DROPMALFORMED") \
-        .option("quote", '"').option("escape", '"')
+        .option("quote", '"').option("escape", '"').option("multiLine", broken)
     if header:
         return r.schema(T.StructType([T.StructField(f.strip(), T.StringType()) for f in fields])).csv(path)
     names = ["id", "contents"] + [f"c{i}" for i in range(2, len(fields))]
@@ -230,20 +236,31 @@ def _first_record(spark: SparkSession, path: str, head: int = 1000) -> dict:
     return json.JSONDecoder().raw_decode(text[start:])[0] if start >= 0 else {}
 
 
-def _json_type(value) -> T.DataType:
-    kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType()}
-    return kinds.get(type(value), T.StringType())
+def _fitting(df: DataFrame, first: dict) -> DataFrame:
+    """``df`` of strings with the types of the first record's values, widened
+    (integer, double, string) where a later value would not fit: one pass."""
+    ways = {bool: ["boolean"], int: ["long", "double"], float: ["double"]}
+    tries = {k: ways.get(type(v), []) for k, v in first.items()}
+    # an integer too large for a long would lose digits as a double
+    fits = {"boolean": lambda c: c.try_cast("boolean"), "long": lambda c: c.try_cast("long"),
+            "double": lambda c: F.when(c.try_cast("long").isNotNull() | c.rlike("[.eE]"), c.try_cast("double"))}
+    lost = [F.max(F.col(f"`{k}`").isNotNull() & fits[t](F.col(f"`{k}`")).isNull()).alias(f"{t} {k}") for k, ts in tries.items() for t in ts]
+    found = df.agg(*lost).first().asDict() if lost else {}
+    kind = {k: next((t for t in ts if not found[f"{t} {k}"]), "string") for k, ts in tries.items()}
+    return df.select(*[F.col(f"`{k}`").cast(kind[k]).alias(k) for k in first])
 
 
 def read_json_qrels_auto(spark: SparkSession, path: str) -> DataFrame:
     """JSON / JSON-lines records.  Records named query, doc, relevance
     are read by name; other records of three fields are renamed to these in
     the order of the first record's keys; more or fewer fields keep their
-    names.  The schema follows the first record (nested values as JSON text)."""
+    names.  Types follow the first record and widen until every value fits,
+    so no value is lost (nested values as JSON text)."""
     first = _first_record(spark, path)
     names = ["query", "doc", "relevance"]
-    schema = T.StructType([T.StructField(k, _json_type(v)) for k, v in first.items()])
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in first])
     df = spark.read.schema(schema).json(path, multiLine=path.endswith(".json") and not path.endswith(".jsonl"))
+    df = _fitting(df, first)
     if set(first) == set(names):
         return df.select(*names)
     return df.toDF(*names) if len(first) == 3 else df

@@ -183,3 +183,29 @@ def test_quoted_fields_and_empty_positives(spark):
     assert sorted(tuple(r) for r in S.read_delimited_auto(spark, f"{d}/q.csv").collect()) == [("1", "a, b"), ("2", "c")]
     _write(f"{d}/flat.json", json.dumps([{"conv_id": 1, "turn_id": 1, "question": "a", "positive_ctxs": []}]))
     assert S.read_turns_flat(spark, f"{d}/flat.json").first()["passage_id"] is None
+
+
+def test_trec_run_takes_blanks_and_tabs_and_fails_on_others(spark, tmp_path):
+    f = tmp_path / "run.trec"
+    f.write_text("q1 Q0 d1 1 0.5 tag\nq1\tQ0\td2\t2\t0.25\ttag\n\n  q2  Q0 d3 1 1e-7 tag\n")
+    assert sorted(map(tuple, S.read_trec_run(spark, str(f)).collect())) == [("q1", "d1", 0.5), ("q1", "d2", 0.25), ("q2", "d3", 1e-7)]
+    for line in ("q1 Q0 d1 1 0.5", "q1 Q0 d1 1 high tag"):
+        f.write_text(line + "\n")
+        with pytest.raises(Exception, match="six fields"):
+            S.read_trec_run(spark, str(f)).collect()
+
+
+def test_quoted_fields_over_lines(spark, tmp_path):
+    f = tmp_path / "c.csv"
+    f.write_text('id,contents\n1,"two\nlines, and ""quotes"""\n2,plain\n')
+    assert sorted(map(tuple, S.read_delimited_auto(spark, str(f)).collect())) == [("1", 'two\nlines, and "quotes"'), ("2", "plain")]
+
+
+def test_json_values_of_another_type_are_kept(spark, tmp_path):
+    f = tmp_path / "q.jsonl"
+    f.write_text('{"query": 1, "doc": 5, "relevance": 1}\n{"query": "a2", "doc": 9223372036854775808, "relevance": 0.5}\n{"query": null, "doc": 7, "relevance": 2}\n')
+    df = S.read_json_qrels_auto(spark, str(f))
+    assert [t for _, t in df.dtypes] == ["string", "string", "double"]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("1", "5", 1.0), ("a2", "9223372036854775808", 0.5), (None, "7", 2.0)], key=str)
+    f.write_text('{"query": 1, "doc": 5, "relevance": 1}\n{"query": 2, "doc": 6, "relevance": 0}\n')
+    assert [t for _, t in S.read_json_qrels_auto(spark, str(f)).dtypes] == ["bigint"] * 3
