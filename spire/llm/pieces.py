@@ -211,8 +211,12 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     spelt in bytes.  The distinct words of all texts go through `lattice`
     once each; the chunks of texts ask for the words they hold and put the
     texts together.  Texts move once (compressed), words as lists a chunk.
-    Words are bounded, so a text without blanks has bounded lattices.  Of the segmentations the one of least cost is taken
-    (a Zipf cost by the rank of the pieces), not the one of the model's merges.
+    Words are bounded, so a text without blanks has bounded lattices.  Of the
+    segmentations of each word the one of least cost is taken (a Zipf cost by
+    the rank of the pieces), not the one of the model's merges.  Pieces that go
+    over the end of a word (runs of blanks, signs with an underscore or a
+    carriage return) are never chosen, so over a whole text a cheaper
+    segmentation may exist.
 
     Null and empty texts have no ids; null ids and repeated rows are ordinary
     rows; an empty table gives an empty result.  Extra columns are ignored.
