@@ -13,12 +13,13 @@ import json
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text, strip_ws
 from ..operators.rowids import assign_row_ids
+from .json_elements import read_elements
 
 QRELS_JSON = T.MapType(T.StringType(), T.MapType(T.StringType(), T.IntegerType()))
 RUN_JSON = T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))
@@ -94,6 +95,21 @@ def read_passages_jsonl_folders(spark: SparkSession, folders: list[str]) -> Data
                      clean_text(F.coalesce("contents", F.lit(""))).alias("contents"))
 
 
+def _elements(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``(file, element, e)``: the objects of arrays of objects, in splits."""
+    found = read_elements(spark, path)
+    broken = F.when(F.col("json") != "", F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("json", 1, 80))))
+    return found.select("file", "element", F.coalesce(F.from_json("json", schema, {"mode": "FAILFAST"}), broken).alias("e"))
+
+
+def _numbered_elements(spark: SparkSession, path: str, schema: T.StructType, out: str) -> DataFrame:
+    """The fields of the objects, and ``out``: their number in reading order."""
+    e = _elements(spark, path, schema).withColumn("_f", _natural(F.col("file")))
+    files = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    first = e.groupBy("_f").agg(F.count(F.lit(1)).alias("_n")).select("_f", F.coalesce(F.sum("_n").over(files), F.lit(0)).alias("_first"))
+    return e.join(first, "_f").select((F.col("_first") + F.col("element")).alias(out), "e.*")
+
+
 TOPIC_TURN = T.StructType([
     T.StructField("utterance", T.StringType()), T.StructField("response", T.StringType()),
     T.StructField("resolved_utterance", T.StringType()),
@@ -106,8 +122,7 @@ def read_topics_nested(spark: SparkSession, path: str) -> DataFrame:
     """An array of conversations with nested turns -> one row per turn
     ``(conv, conv_no, turn, utterance, response, rewrite, provenance)``;
     ``conv_no`` orders conversations as the file does."""
-    df = spark.read.schema(TOPIC).option("multiLine", True).json(path)
-    df = df.withColumn("_conv", F.monotonically_increasing_id())
+    df = _numbered_elements(spark, path, TOPIC, "_conv")
     e = df.select("_conv", "number", F.posexplode("turns").alias("turn", "t"))
     return e.select(F.coalesce("number", F.col("_conv").cast("string")).alias("conv"), F.col("_conv").alias("conv_no"), "turn",
                     F.col("t.utterance").alias("utterance"), F.col("t.response").alias("response"),
@@ -124,7 +139,7 @@ FLAT_TURN = T.StructType([
 def read_turns_flat(spark: SparkSession, path: str) -> DataFrame:
     """One record per turn with its ``[SEP]`` history and positives;
     the first positive passage becomes the qrel (null if there is none)."""
-    df = spark.read.schema(FLAT_TURN).option("multiLine", True).json(path)
+    df = _elements(spark, path, FLAT_TURN).select("e.*")
     return df.select("conv_id", "turn_id", "question",
                      F.get("positive_ctxs", F.lit(0))["passage_id"].alias("passage_id"))
 
@@ -139,7 +154,7 @@ CONTEXT_TURN = T.StructType([
 def read_turns_context(spark: SparkSession, path: str) -> DataFrame:
     """Context records; ``Truth_passages`` may be a string, a list or
     empty — normalised to an array (read as raw JSON text first)."""
-    df = spark.read.schema(CONTEXT_TURN).option("multiLine", True).json(path)
+    df = _elements(spark, path, CONTEXT_TURN).select("e.*")
     tp = F.col("Truth_passages")
     as_list = F.from_json(tp, "array<string>")
     arr = F.when(tp.isNull() | (tp == "") | (tp == "[]"), F.array().cast("array<string>")) \
@@ -159,11 +174,11 @@ def _nested_json(spark: SparkSession, path: str, mtype: T.MapType, value_name: s
                  whole_file: bool = False) -> DataFrame:
     """One ``{qid: {did: value}}`` object per line (the reference writes
     its file as a single line; our writers write one object per query), or
-    with ``whole_file=True`` one pretty-printed object per file (which
-    cannot be split: convert such a file to parquet once).  A line that is
-    not an object is an error."""
-    src = spark.read.text(path, wholetext=True) if whole_file else spark.read.text(path)
-    lines = src.where(F.length(strip_ws("value")) > 0)
+    with ``whole_file=True`` one object per file, on any number of lines (read
+    in splits at its top-level keys).  A line that is not an object is an error."""
+    if whole_file:
+        pairs = read_elements(spark, path).select(F.concat(F.lit("{"), "json", F.lit("}")).alias("value"))
+    lines = (pairs if whole_file else spark.read.text(path)).where(F.length(strip_ws("value")) > 0)
     broken = F.raise_error(F.concat(F.lit("not one JSON object (a pretty-printed file needs whole_file=True): "), F.substring("value", 1, 80)))
     m = lines.select(F.coalesce(F.from_json("value", mtype), broken).alias("m"))
     a = m.select(F.explode("m").alias("qid", "inner"))

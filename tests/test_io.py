@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spire.session import scratch_path
 from spire.sources import readers as S
+from spire.sources.json_elements import read_elements
 from spire.sources import sinks as K
 
 
@@ -209,3 +210,38 @@ def test_json_values_of_another_type_are_kept(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=str) == sorted([("1", "5", 1.0), ("a2", "9223372036854775808", 0.5), (None, "7", 2.0)], key=str)
     f.write_text('{"query": 1, "doc": 5, "relevance": 1}\n{"query": 2, "doc": 6, "relevance": 0}\n')
     assert [t for _, t in S.read_json_qrels_auto(spark, str(f)).dtypes] == ["bigint"] * 3
+
+
+TRICKY = [{"a": 'brace } and { and [ ] in text', "n": [{"deep": "}"}, {}]}, {"a": 'quote \\" and \\\\', "n": []}, {"a": "lines\n\n}", "n": [{"deep": "\\u007d,{"}]},
+          {"a": "", "n": None}, {"a": "last ünï", "n": [{"deep": "x" * 300}]}]
+
+
+@pytest.mark.parametrize("size", ["997", "64m"])
+def test_json_elements_in_splits(spark, tmp_path, size):
+    """Elements are found wherever a split begins: inside strings, escapes, nested values."""
+    many = [dict(x, i=i) for i, x in enumerate(TRICKY * 9)]
+    (tmp_path / "one.json").write_text(json.dumps(many))
+    (tmp_path / "pretty.json").write_text(json.dumps(many, indent=2, ensure_ascii=False))
+    (tmp_path / "empty.json").write_text(" [ ]\n")
+    (tmp_path / "map.json").write_text(json.dumps({f"q{i} }}": {f"d{k}}}": k for k in range(i % 4)} for i in range(50)}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name in ("one", "pretty"):
+            rows = read_elements(spark, str(tmp_path / f"{name}.json")).orderBy("element").collect()
+            assert [r.element for r in rows] == list(range(len(many))) and [json.loads(r.json) for r in rows] == many
+        assert read_elements(spark, str(tmp_path / "empty.json")).count() == 0
+        got = {(r.qid, r.did): r.rel for r in S.read_nested_qrels(spark, str(tmp_path / "map.json"), whole_file=True).collect()}
+        assert got == {(f"q{i} }}", f"d{k}}}"): k for i in range(50) for k in range(i % 4)}
+        if size == "997":
+            assert spark.read.option("lineSep", "}").text(str(tmp_path / "one.json")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2', '[1, {"a": 2}]', '{"a": 1}'])
+def test_json_elements_fail_on_others(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception, match="not an array of objects"):
+        read_elements(spark, str(tmp_path / "x.json")).collect()
