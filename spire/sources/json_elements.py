@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.layout import stored
 
 _ESCAPE = r"\\."
-_STRING = r'"(?:[^"\\]|\\.)*(?:"|$)'
+_STRING = r'"[^"]*+(?:"|$)'  # once escapes are gone
 
 
 def _before(df: DataFrame, value: Column, out: str) -> DataFrame:
@@ -47,10 +47,11 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "}").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
     rows = stored(raw, "json-records")  # places must not change between the passes
-    quotes = F.length(F.regexp_replace(F.regexp_replace("value", _ESCAPE, ""), r'[^"]', ""))
+    bare = F.regexp_replace("value", _ESCAPE, "")
+    quotes = F.length(F.regexp_replace(bare, r'[^"]', ""))
     rows = _before(rows, quotes, "quotes")
     held = F.col("quotes") % 2 == 1
-    plain = F.regexp_replace(F.when(held, F.concat(F.lit('"'), "value")).otherwise(F.col("value")), _STRING, "")
+    plain = F.regexp_replace(F.when(held, F.concat(F.lit('"'), bare)).otherwise(bare), _STRING, "")
     ends_held = (F.col("quotes") + quotes) % 2 == 1
     rows = rows.withColumn("_plain", plain).withColumn("closes", ~ends_held)
     opened = F.length(F.regexp_replace("_plain", r"[^\[{]", ""))
@@ -68,7 +69,7 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     element = F.regexp_replace(first, r"^\s+", "")
     rest = F.regexp_replace(text, r"[\s\]}]+", "")
     wrong = F.raise_error(F.concat(F.lit("not an array of objects or an object of objects near: "), F.substring(text, 1, 80)))
-    fine = F.when(F.col("whole") & ~F.col("open") & element.rlike(r'^(?:\{|"(?:[^"\\]|\\.)*"\s*:\s*\{)'), element)
+    fine = F.when(F.col("whole") & ~F.col("open") & element.rlike(r'^(?:\{|"(?:[^"\\]|\\.)*+"\s*:\s*\{)'), element)
     # an empty document is one record without an element
     return (joined.withColumn("json", F.coalesce(fine, F.when(~F.col("open") & rest.isin("", "[", "{"), F.lit("")), wrong)).where("json <> ''")
             .select("file", "element", "json"))
