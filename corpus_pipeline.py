@@ -26,8 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with a number of their own, stored: numbers follow the splits of a
-    scan, and these follow the cores at hand, so two readings may differ."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    scan, and these follow the cores at hand, so two readings may differ.
+    Whole texts lie here until the run ends, so they are packed tightly."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", "zstd")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
