@@ -2,11 +2,10 @@
 
 Vectors are packed, some hundred a row, as the bytes of one matrix.  Each block
 of documents meets each block of queries, one matrix product gives all their
-scores, and only the best ``k`` documents of a query in a block leave the task;
-the usual top-k merges them.  Queries come in blocks whose size is measured and
+scores, and a task holds the best ``k`` documents of each query in what it has
+read; they leave it at its end, or when it holds many.  The usual top-k merges them.  Queries come in blocks whose size is measured and
 stays under the broadcast limit, so documents are read once per such block and
-never shuffled; what is shuffled is at most ``k`` rows per query and block of
-documents.  Exact: every query is scored against every document.
+never shuffled; what is shuffled is at most ``k`` rows per query and task.  Exact: every query is scored against every document.
 """
 
 from __future__ import annotations
@@ -21,9 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import retrieve as R
+from .products import Best
 
-#: bytes of one matrix
+#: bytes of one matrix, and documents held for the queries of a task before they leave it
 BLOCK_BYTES = 512 << 10
+MOST_HELD = 2_000_000
 
 
 def _matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,26 +63,34 @@ def vector_blocks(df: DataFrame, id_col: str, vec_col: str, side: str, block_byt
     return df.select(id_col, F.col(vec_col).cast(f"array<{number}>")).mapInArrow(pack, schema)
 
 
-def _best(k: int, slack: float, kinds: tuple[str, str]):
+def _best(k: int, digits: int | None, tie: str, kinds: tuple[str, str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def matrix(batch, side, i):
             width = batch.column(f"{side}_width")[i].as_py()
             return np.frombuffer(batch.column(f"{side}_data")[i].as_buffer(), kinds[side == "d"]).reshape(-1, width).astype(np.float64, copy=False)
 
+        held: dict[int, tuple[Best, pa.Array]] = {}  # by block of queries
         for batch in batches:
+            numbers = batch.column("q_no").to_pylist()
             for i in range(batch.num_rows):
                 q, d = matrix(batch, "q", i), matrix(batch, "d", i)
+                if numbers[i] not in held:
+                    held[numbers[i]] = Best(len(q), k, digits, tie), pa.concat_arrays([batch.column("q_ids")[i].values])
+                best = held[numbers[i]][0]
                 width = min(q.shape[1], d.shape[1])
                 with np.errstate(invalid="ignore", over="ignore"):
                     scores = q[:, :width] @ d[:, :width].T
                 order = np.where(np.isnan(scores), np.inf, scores)
-                if len(d) > k:
+                floor = best.cut - best.slack(best.cut)
+                if len(d) > k and not np.isfinite(floor).all():
                     kth = np.partition(order, len(d) - k, axis=1)[:, len(d) - k]
-                    at, of = np.nonzero(order >= (kth - slack)[:, None])
-                else:
-                    at, of = np.divmod(np.arange(scores.size), len(d))
-                yield pa.RecordBatch.from_arrays([batch.column("q_ids")[i].values.take(pa.array(at)), batch.column("d_ids")[i].values.take(pa.array(of)),
-                                                  pa.array(scores[at, of])], names=["q", "d", "score"])
+                    floor = np.fmax(floor, kth - best.slack(kth))
+                at, of = np.nonzero((order >= floor[:, None]) | np.isinf(scores))
+                best.add(at, scores[at, of], batch.column("d_ids")[i].values.take(pa.array(of)))
+            if sum(b.held for b, _ in held.values()) > MOST_HELD:
+                yield from (b.batch(ids) for b, ids in held.values() if b.held)
+                held.clear()
+        yield from (b.batch(ids) for b, ids in held.values() if b.held)
     return run
 
 
@@ -92,16 +101,15 @@ def dense_retrieve(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid"
 
     A null component counts as zero, and so do positions that only one of two
     vectors has; null and empty vectors take no part.  ``digits`` rounds the
-    scores before they are compared, as in `retrieve.topk`: a block then keeps
-    all scores that rounding could make equal to its k-th."""
+    scores before they are compared, as in `retrieve.topk`."""
     blocks = R.query_blocks(queries.select(qid, vec_col), qid, query_bytes)
     d = vector_blocks(docs, did, vec_col, "d", block_bytes)
     number = tuple("float32" if isinstance(x.schema[vec_col].dataType.elementType, T.FloatType) else "float64" for x in (queries, docs))
     schema = T.StructType([T.StructField("q", queries.schema[qid].dataType), T.StructField("d", docs.schema[did].dataType), T.StructField("score", T.DoubleType())])
-    find = _best(k, 0.0 if digits is None else 10.0 ** -digits, number)
+    find = _best(k, digits, tie, number)
     runs = []
     for part, fits in blocks:
-        q = vector_blocks(part, qid, vec_col, "q", block_bytes)
+        q = vector_blocks(part, qid, vec_col, "q", block_bytes).withColumn("q_no", F.monotonically_increasing_id())
         # every query with every document, by blocks
         scores = d.crossJoin(F.broadcast(q) if fits else q).mapInArrow(find, schema).toDF(qid, did, "score")
         runs.append(R.topk(scores, k, qid, did, tie=tie, digits=digits))

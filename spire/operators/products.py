@@ -97,7 +97,9 @@ class Best:
             spare = np.bincount(rows[tied], minlength=self.n) <= room
             keep[tied[spare[rows[tied]]]] = True
             tied = tied[~spare[rows[tied]]]
-            if len(tied):  # by id, as many as there is room for
+            if pa.types.is_nested(ids.type):  # no order here
+                keep[tied] = True
+            elif len(tied):  # by id, as many as there is room for
                 sort = tied[np.lexsort((codes(ids.take(pa.array(tied)), self.tie), rows[tied]))]
                 first = np.r_[True, rows[sort][1:] != rows[sort][:-1]]
                 place = np.arange(len(sort)) - np.maximum.accumulate(np.where(first, np.arange(len(sort)), 0))
