@@ -12,12 +12,15 @@ from ..operators import conv as C
 from ..operators import index as ix
 from ..operators import retrieve as R
 from ..operators import sparse as S
+from ..operators.layout import parts_for
 from ..session import scratch_path
 from . import fixtures as fx
 from .registry import TURNS_CTE, register
 
 TOP_K = 10
 BUCKETS = 8
+# bytes of text whose postings go into one bucket
+BUCKET_TEXT = 16 << 20
 
 SPLIT = r"[^\p{L}\p{N}]+"
 _DOC_TERMS = f"""dt AS (SELECT doc_id, token AS dim, ln(1 + count(*)) AS weight
@@ -74,7 +77,7 @@ def index_retrieve(spark, sf):
     vec = S.lexical_encode(docs, "doc_id", "text")
     postings, id_map, _ = ix.build_index(vec, docs.select("doc_id"), "doc_id")
     name = f"postings_{uuid.uuid4().hex[:10]}"
-    ix.write_postings(postings, scratch_path(spark, name), name, BUCKETS)
+    ix.write_postings(postings, scratch_path(spark, name), name, parts_for(docs, BUCKETS, BUCKET_TEXT))
     q = S.lexical_encode(fx.benchmark(spark, sf), "item_id", "text", kind="query") \
         .withColumnRenamed("item_id", "qid")
     run = R.retrieve(q, ix.read_postings(spark, name), k=TOP_K, threshold=0.0, digits=6)
