@@ -22,7 +22,7 @@ from .sparse import posting_lengths
 
 FORMAT = 1
 #: bytes of a bucket and of a posting before compression; Spark allows 100,000 buckets
-BUCKET_BYTES, POSTING_BYTES, MOST_BUCKETS = 256 << 20, 24, 100_000
+BUCKET_BYTES, POSTING_BYTES, MOST_BUCKETS = 32 << 20, 24, 100_000
 
 
 @dataclass

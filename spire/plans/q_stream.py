@@ -24,11 +24,12 @@ N_FILES = 8
 @register("stream_index", f"""WITH {_DOC_TERMS}
 SELECT doc_id, dim, round(weight, 6) AS weight FROM dt""")
 def stream_index(spark, sf):
-    """Documents arrive as files, taken in micro-batches of 4 MB; postings
+    """Documents arrive as files, taken in micro-batches of 4 MB, or of an
+    eighth of the files if that is more; postings
     are appended per batch (idempotent) and equal the one-shot encoding."""
     docs = fx.documents(spark, sf)
     src = Z.split_into_files(docs, "doc_id", N_FILES, Z.fresh_dir(spark, "docs-stream"))
-    out = Z.stream_index(spark, src, docs.schema, Z.fresh_dir(spark, "postings-stream"), batch_bytes=4 << 20)
+    out = Z.stream_index(spark, src, docs.schema, Z.fresh_dir(spark, "postings-stream"), batch_bytes=Z.batch_bytes_for(spark, src, 4 << 20, N_FILES))
     return out.select("doc_id", "dim", rounded("weight").alias("weight"))
 
 
@@ -63,7 +64,7 @@ def _grown(spark, sf, compact_first: bool = False):
     docs = fx.documents(spark, sf)
     out = Z.fresh_dir(spark, "growing")
     src = Z.split_into_files(docs, "doc_id", N_FILES, Z.fresh_dir(spark, "growing-docs"))
-    now = G.stream_growing_index(spark, src, docs.schema, out, batch_bytes=4 << 20)
+    now = G.stream_growing_index(spark, src, docs.schema, out, batch_bytes=Z.batch_bytes_for(spark, src, 4 << 20, N_FILES))
     return G.compact(spark, out, BUCKETS) if compact_first else now
 
 

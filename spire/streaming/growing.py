@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from ..operators import retrieve as R
 from ..operators import sparse as S
 from ..operators.index import check_unique
-from ..operators.index_files import exists, open_index, write_index
+from ..operators.index_files import buckets_for, exists, open_index, write_index
 from ..operators.rowids import assign_row_ids
 from .stream import BATCH_BYTES, _run
 
@@ -123,15 +123,15 @@ def snapshot(spark: SparkSession, out: str, upto: int | None = None) -> Snapshot
 
 
 def compact(spark: SparkSession, out: str, buckets: int | None = None) -> Snapshot:
-    """Write the index up to the newest batch as one bucketed index; row ids
-    stay.  Ids that came in two batches are an error.  If a compaction is cut
+    """Write the index up to the newest batch as one bucketed index, in at
+    least ``buckets`` buckets and as many as its postings ask for; row ids stay.  Ids that came in two batches are an error.  If a compaction is cut
     off, its base has no manifest and no row in ``bases``, and the loose
     batches go on being read; the next one starts over."""
     now = snapshot(spark, out)
     if _numbers(spark, f"{out}/bases", "upto", now.number - 1, now.number):
         return now  # done before; what it reads is not written over
     check_unique(now.ids, "id")
-    write_index(now.postings, now.ids, f"{out}/base/{now.number}", buckets, {"l1_sum": now.l1_sum})
+    write_index(now.postings, now.ids, f"{out}/base/{now.number}", max(buckets or 1, buckets_for(now.nnz)), {"l1_sum": now.l1_sum})
     spark.createDataFrame([(now.number,)], "base long").coalesce(1).write.mode("overwrite").parquet(f"{out}/bases/upto={now.number}")
     return snapshot(spark, out)
 

@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import index_files as files
 from ..operators import retrieve as R
 from ..operators import sparse as S
+from ..operators.layout import parts_for
 from ..session import scratch_path
 
 
@@ -76,10 +78,20 @@ def stream_retrieve(spark: SparkSession, source: str, schema: StructType, postin
 def split_into_files(df: DataFrame, key: str, n_files: int, path: str, mode: str = "overwrite") -> str:
     """Lay a table out as at most ``n_files`` parquet files (rows by ``key mod
     n``, which is hashed to a file) so that a file-source stream sees several arrivals; ``mode='append'``
-    adds files next to earlier arrivals."""
-    df.repartition(n_files, F.pmod(F.col(key), F.lit(n_files))).write.mode(mode).parquet(path)
+    adds files next to earlier arrivals.  A table too large for that many
+    tasks goes by a hash of the key into more files, which follow its size."""
+    n = parts_for(df, n_files)
+    dealt = df.repartition(n_files, F.pmod(F.col(key), F.lit(n_files))) if n == n_files else df.repartition(n, key)
+    dealt.write.mode(mode).parquet(path)
     return path
 
 
+def batch_bytes_for(spark: SparkSession, source: str, least: int, batches: int) -> int:
+    """Size of a micro-batch: ``least``, or so much that what lies at
+    ``source`` comes in about ``batches`` of them."""
+    p, fs = files._path(spark, source)
+    return max(least, -(-fs.getContentSummary(p).getLength() // batches))
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
