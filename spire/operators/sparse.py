@@ -26,6 +26,8 @@ from .layout import cluster
 DEFAULT_DIM_VOC = 30522
 # tokeniser used by the built-in lexical encoder: lower case, split on any
 # run of characters that are neither letters nor digits
+# texts and characters that a model callable gets at once
+ENCODE_ROWS, ENCODE_CHARS = 512, 1 << 20
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -105,13 +107,32 @@ def lexical_encode(df: DataFrame, id_col: str, text_col: str, kind: str = "doc")
         F.log1p(F.count(F.lit(1)).cast("double")).alias("weight"))
 
 
+def _few_texts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of a batch in parts of few texts, a long text on its own."""
+    start = chars = 0
+    for i, text in enumerate(pdf.iloc[:, 1]):
+        size = len(text or "")
+        if i > start and (i - start >= ENCODE_ROWS or chars + size > ENCODE_CHARS):
+            yield pdf.iloc[start:i]
+            start, chars = i, 0
+        chars += size
+    if len(pdf):
+        yield pdf.iloc[start:]
+
+
 def encode(df: DataFrame, encoder: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
            id_col: str = "id", text_col: str = "text",
            schema: str | None = None) -> DataFrame:
     """X1 with a model callable: Arrow batches of ``(id, text)`` in, rows of
-    ``(id, dim, weight)`` out, via ``mapInPandas``; zero weights dropped."""
+    ``(id, dim, weight)`` out, via ``mapInPandas``; zero weights dropped.  The
+    model gets at most ``ENCODE_ROWS`` texts and about ``ENCODE_CHARS``
+    characters at once, so what it returns for them stays small."""
     schema = schema or f"{id_col} bigint, dim int, weight double"
-    return df.select(id_col, text_col).mapInPandas(encoder, schema).where(F.col("weight") > 0)
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return encoder(part for pdf in batches for part in _few_texts(pdf))
+
+    return df.select(id_col, text_col).mapInPandas(bounded, schema).where(F.col("weight") > 0)
 
 
 def mask_lexical(vec: DataFrame, tokens_bow: DataFrame, id_col: str) -> DataFrame:
