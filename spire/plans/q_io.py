@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded
 from ..functions.text import clean_text
 from ..operators import runs as U
+from ..operators.layout import parts_for
 from ..session import scratch_path
 from ..sources import readers as S
 from ..sources import sinks as K
@@ -36,8 +37,9 @@ def passages_jsonl(spark, sf):
     """Documents stored as ``{id, contents}`` JSON lines over
     several shards (and one missing shard) read back."""
     path = scratch_path(spark, "passages-jsonl")
-    fx.documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("contents")) \
-        .repartition(4).write.mode("overwrite").json(path)
+    docs = fx.documents(spark, sf)
+    docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("contents")) \
+        .repartition(parts_for(docs, 4)).write.mode("overwrite").json(path)
     return S.read_passages_jsonl(spark, [path, path + "-missing-shard"])
 
 
