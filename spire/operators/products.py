@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,26 +168,43 @@ def columns(q: DataFrame, p: DataFrame, qid: str, did: str, keys: list[str]) ->
 def packed(df: DataFrame, cols: list[tuple], id_col: str, keys: list[str], weight: str, side: str) -> DataFrame:
     """``df(id, *keys, weight)`` as rows of many vectors: ids and the bytes of
     their matrix; ``df`` is clustered by id, repeated entries add up."""
-    width = len(cols)
-    numbered = df.sparkSession.createDataFrame([(*c, i) for i, c in enumerate(cols)], T.StructType([*(df.schema[c] for c in keys), T.StructField("_col", T.IntegerType())]))
-    rows = df.join(F.broadcast(numbered), keys).groupBy(id_col).agg(F.collect_list(F.struct("_col", weight)).alias("v"))
-    schema = T.StructType([T.StructField(f"{side}_ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField(f"{side}_data", T.BinaryType())])
+    rows, schema, width = _vectors(df, cols, [id_col], keys, weight), _schema(df.schema[id_col], side), len(cols)
     step = max(1, BLOCK_BYTES // (8 * width))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, entries = batch.column(0), batch.column(1).flatten()
-            ends = np.r_[0, np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))]
-            at, w = (x.to_numpy(zero_copy_only=False) for x in entries.flatten())
+            ids, matrix = batch.column(0), _matrices(batch.column(1), width)
             for a in range(0, len(ids), step):
                 part = ids.slice(a, step)
-                here = slice(ends[a], ends[a + len(part)])
-                row = np.repeat(np.arange(len(part)), np.diff(ends[a:a + len(part) + 1]))
-                matrix = np.bincount(row * width + at[here], weights=w[here], minlength=len(part) * width)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.array([matrix.tobytes()], pa.binary())],
-                                                 names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([_one(part), matrix(a, a + len(part))], names=schema.fieldNames())
+
+    return rows.mapInArrow(pack, schema)
+
+
+def _schema(id_field: T.StructField, side: str, *more: T.StructField) -> T.StructType:
+    return T.StructType([T.StructField(f"{side}_ids", T.ArrayType(id_field.dataType)), T.StructField(f"{side}_data", T.BinaryType()), *more])
+
+
+def _vectors(df: DataFrame, cols: list[tuple], ids: list[str], keys: list[str], weight: str) -> DataFrame:
+    """``(*ids, v)``: the entries of a vector as a list of column and weight."""
+    numbered = df.sparkSession.createDataFrame([(*c, i) for i, c in enumerate(cols)], T.StructType([*(df.schema[c] for c in keys), T.StructField("_col", T.IntegerType())]))
+    return df.join(F.broadcast(numbered), keys).groupBy(*ids).agg(F.collect_list(F.struct("_col", weight)).alias("v"))
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-    return rows.select(id_col, "v").mapInArrow(pack, schema)
+
+def _matrices(lists: pa.ListArray, width: int):
+    """Gives the matrix of rows a to b of a list of columns and weights, as one binary value."""
+    ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+    at, w = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+
+    def matrix(a: int, b: int) -> pa.Array:
+        row, here = np.repeat(np.arange(b - a), np.diff(ends[a:b + 1])), slice(ends[a], ends[b])
+        return pa.array([np.bincount(row * width + at[here], weights=w[here], minlength=(b - a) * width).tobytes()], pa.binary())
+
+    return matrix
 
 
 def _dots(q: np.ndarray, d: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -197,57 +215,129 @@ def _dots(q: np.ndarray, d: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.nd
     return out
 
 
-def _find(k: int, threshold: float | None, digits: int | None, tie: str, width: int):
-    def matrix(batch, side, i):
-        return np.frombuffer(batch.column(f"{side}_data")[i].as_buffer(), np.float64).reshape(-1, width)
+def _matrix(batch: pa.RecordBatch, side: str, i: int, width: int) -> np.ndarray:
+    return np.frombuffer(batch.column(f"{side}_data")[i].as_buffer(), np.float64).reshape(-1, width)
+
+
+def _meet(best: Best, q: np.ndarray, d: np.ndarray, ids: pa.Array, threshold: float | None, rows: np.ndarray | None = None) -> None:
+    """A block of documents for (some ``rows`` of) a block of queries."""
+    cut, k = best.cut, best.k
+    if rows is not None:
+        q, cut = q[rows], cut[rows]
+    scores = q @ d.T
+    floor = cut - best.slack(cut)
+    if len(d) > k and not np.isfinite(floor).all():
+        kth = np.partition(scores, len(d) - k, axis=1)[:, len(d) - k]
+        floor = np.maximum(floor, kth - best.slack(kth))
+    at, of, exact = _above(scores, floor, q, d, threshold)
+    best.add(at if rows is None else rows[at], exact, ids.take(pa.array(of)))
+
+
+def _above(scores, floor, q, d, threshold):
+    """Pairs whose score can reach ``floor`` and exceeds ``threshold``."""
+    # no shared dimension: no pair
+    floor = np.maximum(floor, LEAST * LEAST * 0.5 if threshold is None else max(LEAST * LEAST * 0.5, threshold * (1 - 1e-9)))
+    at, of = np.nonzero(scores >= floor[:, None])
+    exact = _dots(q, d, at, of)
+    if threshold is not None:
+        over = exact > threshold
+        at, of, exact = at[over], of[over], exact[over]
+    return at, of, exact
+
+
+def _find(k: int | None, threshold: float | None, digits: int | None, tie: str, width: int):
+    """Without ``k`` every pair leaves at once.  Where documents come with their
+    ``block``, a query meets the blocks it opens (``q_open`` of ``q_row``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = number = q = queries = None
         for batch in batches:
             numbers = batch.column("q_no").to_pylist()
+            blocks = batch.column("block").to_pylist() if "block" in batch.schema.names else None
             for i in range(batch.num_rows):
                 if numbers[i] != number:
                     if best is not None and (found := best.batch(queries)) is not None:
                         yield found
-                    number, q, queries = numbers[i], matrix(batch, "q", i).copy(), batch.column("q_ids")[i].values
-                    best = Best(len(q), k, digits, tie)
-                d = matrix(batch, "d", i)
-                scores = q @ d.T
-                floor = best.cut - best.slack(best.cut)
-                if len(d) > k and not np.isfinite(floor).all():
-                    kth = np.partition(scores, len(d) - k, axis=1)[:, len(d) - k]
-                    floor = np.maximum(floor, kth - best.slack(kth))
-                # no shared dimension: no pair
-                floor = np.maximum(floor, LEAST * LEAST * 0.5 if threshold is None else max(LEAST * LEAST * 0.5, threshold * (1 - 1e-9)))
-                at, of = np.nonzero(scores >= floor[:, None])
-                exact = _dots(q, d, at, of)
-                if threshold is not None:
-                    over = exact > threshold
-                    at, of, exact = at[over], of[over], exact[over]
-                best.add(at, exact, batch.column("d_ids")[i].values.take(pa.array(of)))
+                    number, q, queries = numbers[i], _matrix(batch, "q", i, width).copy(), batch.column("q_ids")[i].values
+                    best = None if k is None else Best(len(q), k, digits, tie)
+                    if blocks:
+                        opened, of_row = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("q_open", "q_row"))
+                        sort = np.argsort(opened, kind="stable")
+                        opened, of_row = opened[sort], of_row[sort]
+                d, ids = _matrix(batch, "d", i, width), batch.column("d_ids")[i].values
+                if k is None:
+                    at, of, exact = _above(q @ d.T, np.zeros(len(q)), q, d, threshold)
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(at)), ids.take(pa.array(of)), pa.array(exact)], names=["q", "d", "score"])
+                elif not blocks:
+                    _meet(best, q, d, ids, threshold)
+                elif len(rows := of_row[slice(*np.searchsorted(opened, [blocks[i], blocks[i] + 1]))]):
+                    _meet(best, q, d, ids, threshold, rows)
         if best is not None and (found := best.batch(queries)) is not None:
             yield found
     return run
 
 
-def retrieve(blocks: list[DataFrame], p: DataFrame, cols: list[tuple], qid: str, did: str, keys: list[str], k: int, threshold: float | None,
+def retrieve(blocks: list[DataFrame], p: DataFrame, cols: list[tuple], qid: str, did: str, keys: list[str], k: int | None, threshold: float | None,
              tie: str, digits: int | None) -> list[DataFrame]:
     """Scores ``(qid, did, score)`` of each block of queries with all
-    documents, at least the ``k`` best of a query in each chunk of documents."""
+    documents, at least the ``k`` best of a query in each chunk of documents;
+    all of them without ``k``."""
     n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = _reached(p, cols, keys)
     docs = stored(packed(p, cols, did, keys, "_dw", "d").withColumn("d_no", F.monotonically_increasing_id()), "documents")
+    find = _find(k, threshold, digits, tie, len(cols))
+    # always dealt anew: partitions of another exchange may be made fewer, down to one task
+    return [_past(packed(b.repartition(n, qid), cols, qid, keys, "_qw", "q"), docs, find, qid, did, b.schema[qid].dataType, p.schema[did].dataType) for b in blocks]
+
+
+def _past(q: DataFrame, docs: DataFrame, find, qid: str, did: str, qid_type: T.DataType, did_type: T.DataType) -> DataFrame:
+    """Packed queries stream past the packed, stored documents, broadcast in chunks."""
+    schema = T.StructType([T.StructField("q", qid_type), T.StructField("d", did_type), T.StructField("score", T.DoubleType())])
     size = docs.agg(F.sum(F.octet_length("d_data"))).first()[0] or 0
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
-    schema = T.StructType([T.StructField("q", blocks[0].schema[qid].dataType), T.StructField("d", p.schema[did].dataType), T.StructField("score", T.DoubleType())])
-    find, out = _find(k, threshold, digits, tie, len(cols)), []
-    for block in blocks:
-        # always dealt anew: partitions of another exchange may be made fewer, down to one task
-        q = packed(block.repartition(n, qid), cols, qid, keys, "_qw", "q").withColumn("q_no", F.monotonically_increasing_id())
-        runs = [q.crossJoin(F.broadcast(docs.where(F.pmod(F.xxhash64("d_no"), F.lit(chunks)) == i).drop("d_no"))).mapInArrow(find, schema).toDF(qid, did, "score")
-                for i in range(chunks)]
-        scores = runs[0]
-        for more in runs[1:]:
-            scores = scores.unionByName(more)
-        out.append(scores)
-    return out
+    q = q.withColumn("q_no", F.monotonically_increasing_id())
+    runs = [q.crossJoin(F.broadcast(docs.where(F.pmod(F.xxhash64("d_no"), F.lit(chunks)) == i).drop("d_no"))).mapInArrow(find, schema).toDF(qid, did, "score")
+            for i in range(chunks)]
+    return reduce(DataFrame.unionByName, runs)
+
+
+def packed_blocks(p: DataFrame, cols: list[tuple], did: str) -> DataFrame:
+    """Postings ``(block, did, dim, _dw)``, clustered by block, as stored
+    matrices of documents of one block each."""
+    schema = _schema(p.schema[did], "d", p.schema["block"])
+    rows, width = _vectors(p, cols, ["block", did], ["dim"], "_dw"), len(cols)
+    step = max(1, BLOCK_BYTES // (8 * width))
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, ids, matrix = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), _matrices(batch.column(2), width)
+            turns = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)]
+            for first, end in zip(turns[:-1], turns[1:], strict=True):
+                for a in range(first, end, step):
+                    b = min(a + step, end)
+                    yield pa.RecordBatch.from_arrays([_one(ids.slice(a, b - a)), matrix(a, b), pa.array(block[a:a + 1])], names=schema.fieldNames())
+
+    return stored(rows.sortWithinPartitions("block").mapInArrow(pack, schema).withColumn("d_no", F.monotonically_increasing_id()), "block-matrices")
+
+
+def open_blocks(q: DataFrame, pairs: DataFrame, docs: DataFrame, cols: list[tuple], qid: str, did: str, did_type: T.DataType, k: int,
+                threshold: float | None, tie: str, digits: int | None) -> DataFrame:
+    """Scores ``(qid, did, score)`` of queries with the documents of the blocks
+    they open, ``pairs(qid, block)``: at least the ``k`` best of a query."""
+    more = [T.StructField("q_open", T.ArrayType(pairs.schema["block"].dataType)), T.StructField("q_row", T.ArrayType(T.LongType()))]
+    schema, width = _schema(q.schema[qid], "q", *more), len(cols)
+    step = max(1, BLOCK_BYTES // (8 * width))
+    n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = _vectors(q, cols, [qid], ["dim"], "_qw")
+    opened = pairs.groupBy(qid).agg(F.collect_list("block").alias("_open"))
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, matrix = batch.column(0), _matrices(batch.column(1), width)
+            for a in range(0, len(ids), step):
+                part, some = ids.slice(a, step), batch.column(2).slice(a, step)
+                row = np.repeat(np.arange(len(part)), pc.list_value_length(some).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([_one(part), matrix(a, a + len(part)), _one(some.flatten()), _one(pa.array(row))], names=schema.fieldNames())
+
+    packed_q = vectors.join(opened, qid).select(qid, "v", "_open").repartition(n, qid).mapInArrow(pack, schema)
+    return _past(packed_q, docs, _find(k, threshold, digits, tie, width), qid, did, q.schema[qid].dataType, did_type)

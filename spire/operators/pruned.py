@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from . import products
 from . import retrieve as R
 from .layout import stored
 from .rowids import assign_row_ids
@@ -81,13 +82,24 @@ def _bounds(q: DataFrame, index: BlockIndex, qid: str) -> DataFrame:
     return index.bounds.join(F.broadcast(q), "dim").groupBy(qid, "block").agg(F.sum(term).alias("bound"))
 
 
+def _bounds_by_products(q: DataFrame, index: BlockIndex, cols: list[tuple], qid: str, most: int | None) -> DataFrame:
+    """The rows of `_bounds`, with ``most`` those of the greatest bounds of a
+    query.  All weights are above zero here, so the least ones bound nothing."""
+    tops = index.bounds.select("block", "dim", F.col("most").alias("_dw"))
+    scores = products.retrieve([q], tops, cols, qid, "block", ["dim"], most, None, "asc", None)[0]
+    return scores.withColumnRenamed("score", "bound")
+
+
+def _only(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of the blocks that are opened, if these are few enough for a filter."""
+    few = pairs.select("block").distinct().limit(FILTER_BLOCKS + 1).collect()
+    return rows.where(F.col("block").isin([r[0] for r in few])) if len(few) <= FILTER_BLOCKS else rows
+
+
 def _open(q: DataFrame, pairs: DataFrame, index: BlockIndex, qid: str, k: int, threshold, tie: str, digits, limit) -> DataFrame:
     """Top k of the opened blocks: ``pairs(qid, block)``."""
     terms = q.join(pairs, qid)
-    postings = index.postings
-    few = pairs.select("block").distinct().limit(FILTER_BLOCKS + 1).collect()
-    if len(few) <= FILTER_BLOCKS:
-        postings = postings.where(F.col("block").isin([r[0] for r in few]))
+    postings = _only(index.postings, pairs)
     runs = []
     for part, fits in R.query_blocks(terms, qid, limit):
         scores = postings.join(F.broadcast(part) if fits else part, ["block", "dim"]).groupBy(qid, "block", index.did).agg(
@@ -113,14 +125,19 @@ def retrieve_pruned(q_terms: DataFrame, index: BlockIndex, k: int = 1000, thresh
     bound reaches its k-th score so far and exceeds ``threshold``.  Bounds are
     compared with a margin for the order of additions and for ``digits``, by
     which scores are rounded before they are compared.  Each round's rows are
-    stored; a round is a job over the opened blocks only."""
+    stored; a round is a job over the opened blocks only.
+
+    Where joins would make very many products, bounds and scores are matrix
+    products (`products`): the same rounds, all queries at once."""
     q_all = q_terms.select(qid, "dim", F.col("weight").cast("double").alias("_qw"))
     margin = 0.0 if digits is None else 10.0 ** -digits
     runs, opens = [], []
-    for q, fits in R.query_blocks(q_all, qid, block_bytes):
+    cols = products.columns(q_all, index.postings.withColumnRenamed("weight", "_dw"), qid, index.did, ["dim"])
+    docs = None if cols is None else products.packed_blocks(index.postings.withColumnRenamed("weight", "_dw"), cols, index.did)
+    for q, _ in R.query_blocks(q_all, qid, block_bytes) if cols is None or block_bytes else [(q_all, True)]:
         best = opened = None
         for turn, most in enumerate([*seeds, None]):
-            bounds = _bounds(q, index, qid)
+            bounds = _bounds(q, index, qid) if cols is None else _bounds_by_products(q, index, cols, qid, None if most is None else sum(seeds[:turn + 1]))
             reach: Column = F.col("bound") + F.abs("bound") * 1e-9 + margin
             if threshold is not None:
                 bounds = bounds.where(reach > threshold)
@@ -132,7 +149,11 @@ def retrieve_pruned(q_terms: DataFrame, index: BlockIndex, k: int = 1000, thresh
                 bounds = bounds.withColumn("_r", F.row_number().over(Window.partitionBy(qid).orderBy(F.col("bound").desc(), "block"))).where(F.col("_r") <= most)
             pairs = stored(bounds.select(qid, "block", F.lit(turn).alias("round")), "opened")
             opened = pairs if opened is None else opened.unionByName(pairs)
-            found = _open(q, pairs.select(qid, "block"), index, qid, k, threshold, tie, digits, block_bytes)
+            if cols is None:
+                found = _open(q, pairs.select(qid, "block"), index, qid, k, threshold, tie, digits, block_bytes)
+            else:
+                scores = products.open_blocks(q, pairs.select(qid, "block"), _only(docs, pairs), cols, qid, index.did, index.postings.schema[index.did].dataType, k, threshold, tie, digits)
+                found = R.topk(scores, k, qid, index.did, threshold, tie, digits=digits)
             if best is not None:
                 found = R.topk(best.drop("rank").unionByName(found.drop("rank")), k, qid, index.did, tie=tie)
             best = stored(found, "best")

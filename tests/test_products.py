@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 
 from spire.operators import products as X
+from spire.operators import pruned as B
 from spire.operators import retrieve as R
+from tests.test_blocks import skewed
 from tests.test_plans import _nodes, _plan
 
 
@@ -107,3 +109,20 @@ def test_best_holds_k_of_a_query():
     rows, scores, found = best.trim()
     got = sorted((r, -round(s, 6), i) for r, s, i in zip(rows.tolist(), scores.tolist(), found.to_pylist()))
     assert got == [x for r in range(3) for x in sorted(e for e in every if e[0] == r)[:10]]
+
+
+@pytest.mark.parametrize("tie, seeds, block_bytes", [("asc", (1, 2), None), ("desc", (), 2500)])
+def test_pruned_retrieval_by_products(spark, forms, monkeypatch, tie, seeds, block_bytes):
+    q, p = skewed(spark, 1500)
+    index = B.block_index(p, block_docs=32)
+    expected = sorted((r["qid"], r["rank"], r["did"], round(r["score"], 9)) for r in R.retrieve(q, p, 5, 0.1, tie=tie).collect())
+    calls, real = [], X.open_blocks
+    monkeypatch.setattr(X, "open_blocks", lambda *a: calls.append(1) or real(*a))
+    found = []
+    for few in ("1000000000000000", "0"):
+        spark.conf.set("spark.spire.fewProducts", few)
+        pruned = B.retrieve_pruned(q, index, 5, 0.1, tie=tie, seeds=seeds, block_bytes=block_bytes)
+        assert sorted((r["qid"], r["rank"], r["did"], round(r["score"], 9)) for r in pruned.run.collect()) == expected
+        found.append(sorted(tuple(r) for r in pruned.opened.select("qid", "block", "round").collect()))
+    assert calls and found[0] == found[1]
+    assert len(found[0]) < 25 * index.bounds.select("block").distinct().count() / 2
