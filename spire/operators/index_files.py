@@ -22,7 +22,7 @@ from .sparse import posting_lengths
 
 FORMAT = 1
 #: bytes of a bucket and of a posting before compression; Spark allows 100,000 buckets
-BUCKET_BYTES, POSTING_BYTES, MOST_BUCKETS = 32 << 20, 24, 100_000
+BUCKET_BYTES, POSTING_BYTES, MOST_BUCKETS = 256 << 20, 24, 100_000
 
 
 @dataclass
@@ -47,8 +47,8 @@ def _table_of(path: str) -> str:
     return "spire_index_" + hashlib.md5(path.rstrip("/").encode()).hexdigest()[:20]
 
 
-def buckets_for(rows: int) -> int:
-    return min(MOST_BUCKETS, max(1, math.ceil(rows * POSTING_BYTES / BUCKET_BYTES)))
+def buckets_for(rows: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    return min(MOST_BUCKETS, max(1, math.ceil(rows * POSTING_BYTES / bucket_bytes)))
 
 
 def write_index(postings: DataFrame, id_map: DataFrame, path: str, buckets: int | None = None, more: dict | None = None) -> dict:

@@ -32,6 +32,8 @@ from ..operators.rowids import assign_row_ids
 from .stream import BATCH_BYTES, _run
 
 NOTHING = -1
+#: bytes of postings that a compaction puts into one bucket, and so into one task
+COMPACT_BYTES = 32 << 20
 
 
 @dataclass
@@ -131,7 +133,7 @@ def compact(spark: SparkSession, out: str, buckets: int | None = None) -> Snapsh
     if _numbers(spark, f"{out}/bases", "upto", now.number - 1, now.number):
         return now  # done before; what it reads is not written over
     check_unique(now.ids, "id")
-    write_index(now.postings, now.ids, f"{out}/base/{now.number}", max(buckets or 1, buckets_for(now.nnz)), {"l1_sum": now.l1_sum})
+    write_index(now.postings, now.ids, f"{out}/base/{now.number}", max(buckets or 1, buckets_for(now.nnz, COMPACT_BYTES)), {"l1_sum": now.l1_sum})
     spark.createDataFrame([(now.number,)], "base long").coalesce(1).write.mode("overwrite").parquet(f"{out}/bases/upto={now.number}")
     return snapshot(spark, out)
 

@@ -11,6 +11,7 @@ from spire.operators import layout
 from spire.operators import rewrite as W
 from spire.operators import sparse as S
 from spire.session import scratch_path
+from spire.streaming import growing as G
 from spire.streaming import stream as Z
 
 
@@ -34,8 +35,8 @@ def _files(path):
 
 
 def test_buckets_follow_the_postings():
-    assert files.buckets_for(10) == 1
-    assert files.buckets_for(60_000_000) > 40
+    assert files.buckets_for(10, G.COMPACT_BYTES) == 1
+    assert files.buckets_for(60_000_000, G.COMPACT_BYTES) > 40
 
 
 def test_a_model_gets_few_texts_at_once(spark):
