@@ -87,7 +87,7 @@ def _bounds_by_products(q: DataFrame, index: BlockIndex, cols: list[tuple], qid:
     query.  All weights are above zero here, so the least ones bound nothing."""
     tops = index.bounds.select("block", "dim", F.col("most").alias("_dw"))
     scores = products.retrieve([q], tops, cols, qid, "block", ["dim"], most, None, "asc", None)[0]
-    return scores.withColumnRenamed("score", "bound")
+    return scores.select(qid, "block", F.col("score").alias("bound"))
 
 
 def _only(rows: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -126,3 +126,43 @@ def test_pruned_retrieval_by_products(spark, forms, monkeypatch, tie, seeds, blo
         found.append(sorted(tuple(r) for r in pruned.opened.select("qid", "block", "round").collect()))
     assert calls and found[0] == found[1]
     assert len(found[0]) < 25 * index.bounds.select("block").distinct().count() / 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-60])
+@pytest.mark.parametrize("k, threshold", [(5, None), (5, 3.0), (60, None), (60, 3.0)])
+def test_the_screen_loses_no_near_tie(monkeypatch, k, threshold, scale):
+    """Scores that single precision cannot tell apart, or hold, are ranked as the exact ones are."""
+    monkeypatch.setattr(X, "BLOCK_BYTES", 64 * 8 * 8)
+    rng = np.random.default_rng(3)
+    q, d = rng.random((150, 8)) + 0.5, np.repeat(rng.random((40, 8)) + 0.5, 10, axis=0) * (1 + rng.random((400, 1)) * 1e-8)
+    q, ids, threshold = q * scale, pa.array(rng.permutation(400)), threshold and threshold * scale
+    batches = [pa.RecordBatch.from_arrays([pa.array([0]), X._one(pa.array(range(150))), pa.array([q.tobytes()]), X._one(ids.slice(a, 100)), pa.array([d[a:a + 100].tobytes()])],
+                                          names=["q_no", "q_ids", "q_data", "d_ids", "d_data"]) for a in range(0, 400, 100)]
+    found = pa.Table.from_batches(X._find(k, threshold, None, "asc", 8, ranked=True)(iter(batches)))
+    got = list(zip(*(found.column(c).to_pylist() for c in ("q", "rank", "d", "score"))))
+    expected = []
+    for i in range(150):
+        scores = X._dots(q, d, np.full(400, i), np.arange(400)).tolist()
+        best = sorted((-s, e) for s, e in zip(scores, ids.to_pylist()) if threshold is None or s > threshold)[:k]
+        expected += [(i, r, e, -s) for r, (s, e) in enumerate(best, 1)]
+    assert sorted(got) == expected
+
+
+def test_postings_are_packed_once_and_runs_are_stored(spark, monkeypatch):
+    """Micro-batches over the same postings, with other dimensions each, share the packed documents."""
+    packs, real = [], X.packed
+    monkeypatch.setattr(X, "packed", lambda *a: packs.append(a[5]) or real(*a))
+    q, p = copies(spark)
+    p = p.fillna({"did": 5000})
+    parts = [q.where("dim < 12"), q.where("dim >= 8")]
+    spark.conf.set("spark.spire.fewProducts", "1000000000000000")
+    expected = [sorted(map(tuple, R.retrieve(b, p, 4, None).select("qid", "rank", "did", "score").fillna({"qid": "null"}).collect())) for b in parts]
+    spark.conf.set("spark.spire.fewProducts", "0")
+    try:
+        once: dict = {}
+        runs = [R.retrieve(b, p, 4, None, once=once) for b in parts]
+    finally:
+        spark.conf.unset("spark.spire.fewProducts")
+    assert packs.count("d") == 1 and packs.count("q") == 2
+    assert [sorted(map(tuple, r.select("qid", "rank", "did", "score").fillna({"qid": "null"}).collect())) for r in runs] == expected
+    assert "MapInArrow" not in [n for n, _ in _nodes(_plan(runs[0]))]
