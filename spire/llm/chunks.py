@@ -121,12 +121,15 @@ class Distinct:
         ends = np.append(starts[1:], len(h)) - 1
         return Distinct(h[starts], bucket[order][starts].astype(np.int64), order[starts], order[ends], of)
 
-    def messages(self, chunk: int, keys: np.ndarray | None = None) -> pa.Table:
-        """One row per bucket that has hashes here; ``keys`` go with the hashes."""
+    def messages(self, chunk: int, keys: np.ndarray | None = None, kind: type = np.int64, short: bool = False) -> pa.Table:
+        """One row per bucket that has hashes here; ``keys`` of a ``kind`` go
+        with the hashes.  ``short`` sends the upper halves, where an answer may
+        take two hashes of a bucket for one."""
         buckets, starts = np.unique(self.bucket, return_index=True)
         ends = np.append(starts[1:], len(self.bucket))
-        blobs = [self.values[a:b].tobytes() for a, b in zip(starts, ends)]
-        more = [None if keys is None else keys[a:b].astype(np.int64).tobytes() for a, b in zip(starts, ends)]
+        sent = (self.values >> np.uint64(32)).astype(np.uint32) if short else self.values
+        blobs = [sent[a:b].tobytes() for a, b in zip(starts, ends)]
+        more = [None if keys is None else keys[a:b].astype(kind).tobytes() for a, b in zip(starts, ends)]
         return pa.Table.from_arrays([pa.array(np.full(len(buckets), chunk, np.int64)), pa.array(buckets), pa.array(blobs, pa.binary()),
                                      pa.array(more, pa.binary())], schema=_MESSAGE)
 
@@ -143,9 +146,9 @@ class Distinct:
         return out
 
 
-def _answer(table: pa.Table, judge) -> pa.Table:
+def _answer(table: pa.Table, judge, kind: type = np.uint64) -> pa.Table:
     """``judge(hashes, keys)`` says one bit for each hash sent to a bucket."""
-    blobs = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
+    blobs = [np.frombuffer(b, kind) for b in table.column("hashes").to_pylist()]
     sizes = [len(b) for b in blobs]
     keys = table.column("keys").to_pylist()
     flat = np.concatenate([np.frombuffer(k, np.int64) for k in keys]) if keys[0] is not None else None
@@ -156,10 +159,10 @@ def _answer(table: pa.Table, judge) -> pa.Table:
 
 
 def _grade(table):
-    """How often each hash occurs in all chunks, one byte a hash: 0 for once,
-    else a step of the logarithm; ``keys`` are the counts of the chunks."""
-    blobs = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
-    flat, n = np.concatenate(blobs), np.concatenate([np.frombuffer(k, np.int64) for k in table.column("keys").to_pylist()])
+    """How often each (short) hash occurs in all chunks, one byte a hash: 0 for
+    once, else a step of the logarithm; ``keys`` are the counts of the chunks."""
+    blobs = [np.frombuffer(b, np.uint32) for b in table.column("hashes").to_pylist()]
+    flat, n = np.concatenate(blobs), np.concatenate([np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()])
     _, of = np.unique(flat, return_inverse=True)
     total = np.bincount(of, weights=n)[of]
     grade = np.where(total < 2, 0, np.minimum(255, 1 + 4 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
@@ -190,9 +193,10 @@ def _smaller(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def seen_elsewhere(messages: DataFrame) -> DataFrame:
-    """Which of the hashes another chunk has sent too."""
-    return messages.groupBy("bucket").applyInArrow(lambda t: _answer(t, _elsewhere), REPLY)
+def seen_elsewhere(messages: DataFrame, short: bool = False) -> DataFrame:
+    """Which of the hashes another chunk has sent too; of ``short`` ones a few more."""
+    kind = np.uint32 if short else np.uint64
+    return messages.groupBy("bucket").applyInArrow(lambda t: _answer(t, _elsewhere, kind), REPLY)
 
 
 def seen_smaller(messages: DataFrame) -> DataFrame:
@@ -201,5 +205,5 @@ def seen_smaller(messages: DataFrame) -> DataFrame:
 
 
 def seen_often(messages: DataFrame) -> DataFrame:
-    """How often each of the hashes occurs, by the counts sent as keys."""
+    """How often each of the short hashes occurs, by the counts sent as keys."""
     return messages.groupBy("bucket").applyInArrow(_grade, REPLY)

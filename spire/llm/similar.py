@@ -88,7 +88,7 @@ class _Matrix:
 
     def send_sample(self, key, table):
         _, sets = self.members(table)
-        return self.union(self.sampled(sets))[1].messages(key[0].as_py())
+        return self.union(self.sampled(sets))[1].messages(key[0].as_py(), short=True)
 
     def screen(self, key, table, replies):
         cids, sets = self.members(table)
@@ -102,7 +102,7 @@ class _Matrix:
     def send_all(self, key, table):
         sets = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
         found = self.union(sets)[1]
-        return found.messages(key[0].as_py(), np.bincount(found.of, minlength=len(found.values)))
+        return found.messages(key[0].as_py(), np.bincount(found.of, minlength=len(found.values)), np.uint32, short=True)
 
     def qualify(self, key, table, replies):
         """Whole sets against all groups; for those that stay, the prefix: the
@@ -171,7 +171,8 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     group (large groups are split); a chunk holds some groups and its union of
     tokens is a column of the token-group matrix.  A class is opened only if
     enough of its tokens occur in the union of any group, bounded first on a
-    quarter of the tokens and then, among those that stay, on all.  Opened
+    quarter of the tokens and then, among those that stay, on all.  Half a hash
+    is sent for that: two tokens taken for one open a class too many.  Opened
     classes meet on the tokens of their prefixes: in pairs where few share a
     token, in blocks with unions of their own where many do; every pair is
     decided by its exact intersection.  Connected pairs in a block give a
@@ -206,7 +207,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
 
     # asking and reading the answers is one plan: the exchange by chunk serves both passes
     run = _Matrix(width, num, den, max(1, chunks // 4))
-    sample = seen_elsewhere(table.groupBy("chunk").applyInArrow(lambda k, t: run.send_sample(k, t), MESSAGE))
+    sample = seen_elsewhere(table.groupBy("chunk").applyInArrow(lambda k, t: run.send_sample(k, t), MESSAGE), short=True)
     opened = stored(table.groupBy("chunk").cogroup(sample.groupBy("chunk"))
                     .applyInArrow(lambda k, t, r: run.screen(k, t, r), "chunk long, cid long, tokens binary"), "opened")
     every = seen_often(opened.groupBy("chunk").applyInArrow(lambda k, t: run.send_all(k, t), MESSAGE))
