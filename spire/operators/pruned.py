@@ -86,7 +86,7 @@ def _bounds_by_products(q: DataFrame, index: BlockIndex, cols: list[tuple], qid:
     """The rows of `_bounds`, with ``most`` those of the greatest bounds of a
     query.  All weights are above zero here, so the least ones bound nothing."""
     tops = index.bounds.select("block", "dim", F.col("most").alias("_dw"))
-    scores = products.retrieve([q], tops, cols, qid, "block", ["dim"], most, None, "asc", None)[0]
+    scores = products.retrieve(q, tops, cols, qid, "block", ["dim"], most, None, "asc", None)
     return scores.select(qid, "block", F.col("score").alias("bound"))
 
 

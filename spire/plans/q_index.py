@@ -190,7 +190,7 @@ def map_qrels_to_rows(spark, sf):
 def retrieve_blocks(spark, sf):
     """J1 + X7 in many query blocks: the block limit is a twelfth of the
     queries' size, so the blocks go one after another over postings written
-    bucketed once."""
+    bucketed once, or past packed documents as rows of queries."""
     q = fx.query_terms(spark, sf)
     size = q.agg(F.sum(R.row_bytes(q.select("qid", "dim", F.col("weight").cast("double").alias("_qw"))
                                    .toDF("qid", "dim", "weight")))).first()[0]

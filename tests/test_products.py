@@ -166,3 +166,54 @@ def test_postings_are_packed_once_and_runs_are_stored(spark, monkeypatch):
     assert packs.count("d") == 1 and packs.count("q") == 2
     assert [sorted(map(tuple, r.select("qid", "rank", "did", "score").fillna({"qid": "null"}).collect())) for r in runs] == expected
     assert "MapInArrow" not in [n for n, _ in _nodes(_plan(runs[0]))]
+
+
+def test_query_blocks_of_products_are_one_job(spark, monkeypatch):
+    """Blocks are rows of packed queries of at most ``block_bytes``, not runs one after another."""
+    q, p = copies(spark)
+    names, rows, real, past = [], [], R.stored, X._past
+    monkeypatch.setattr(R, "stored", lambda df, name: names.append(name) or real(df, name))
+    monkeypatch.setattr(X, "_past", lambda packed, *a: rows.extend(packed.collect()) or past(packed, *a))
+    spark.conf.set("spark.spire.fewProducts", "0")
+    try:
+        assert len(R.query_blocks(q.select("qid", "dim", "weight"), "qid", 1000)) > 1
+        R.retrieve(q, p, 5, None, block_bytes=1000)
+    finally:
+        spark.conf.unset("spark.spire.fewProducts")
+    assert names == ["run"]
+    assert len(rows) > 1 and all(len(r["q_data"]) <= 1000 for r in rows)
+
+
+def test_evaluation_at_ten_joins_ten_ranks(spark):
+    """Of a run of 1000 a query only the ranks that are measured meet the qrels."""
+    from spire.plans import QUERIES, load_all
+    from tests.conftest import SF_SMALL
+    load_all()
+    plan = QUERIES["evaluate_retrieval"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= 10)" in plan
+
+
+def test_best_cuts_early():
+    """The cut follows the documents, so that few pairs are summed a second time."""
+    best = X.Best(100, 10, 6, "asc")
+    rng = np.random.default_rng(3)
+    q, d = X._Block(rng.random((100, 8))), rng.random((20_000, 8))
+    offered, add = [], best.add
+    best.add = lambda rows, scores, ids: offered.append(len(rows)) or add(rows, scores, ids)
+    for a in range(0, len(d), 500):
+        X._meet(best, q, X._Block(d[a:a + 500]), pa.array(np.arange(a, a + 500)), None)
+    assert sum(offered) < 100 * 10 * 20
+    rows, scores, ids = best.trim()
+    exact = q.values @ d.T
+    assert [sorted(ids.to_numpy()[rows == i].tolist()) for i in range(100)] == np.sort(np.argsort(-exact, axis=1)[:, :10], axis=1).tolist()
+
+
+@pytest.mark.parametrize("values, single", [([0.0, 1.0], True), ([0.0, 0.0], True), ([1e-15, 1e15], True), ([0.0, 1e-16], False), ([1.0, 1e16], False), ([1.0, 1e-60], False), ([1.0, 1e60], False)])
+def test_single_precision_only_where_it_holds(values, single):
+    assert (X._Block(np.array([values])).single is not None) == single
+
+
+@pytest.mark.parametrize("rows, share", [(3, 0.0), (7, 0.01), (5, 0.5), (1, 1.0)])
+def test_places_of_a_mask(rows, share):
+    mask = np.random.default_rng(rows).random((rows, 37)) < share
+    assert X._places(mask).tolist() == np.flatnonzero(mask).tolist()
