@@ -396,7 +396,7 @@ def retrieve(q: DataFrame, p: DataFrame, cols: list[tuple], qid: str, did: str,
     held = {} if once is None else once
     if held.get("cols") != cols:
         rows = packed(_reached(p, cols, keys), cols, did, keys, "_dw", "d", DOC_BLOCKS * step)
-        held["docs"], held["cols"] = stored(rows.withColumn("d_no", F.monotonically_increasing_id()), "documents"), cols
+        held["docs"], held["cols"] = stored(rows.withColumn("d_no", F.monotonically_increasing_id()), "documents", compression="zstd"), cols
         held["chunks"] = _chunks(held["docs"])
     most = step * (1 if k is None else QUERY_BLOCKS)
     if block_bytes:

@@ -71,7 +71,7 @@ def stream_retrieve(spark: SparkSession, source: str, schema: StructType, postin
     """Each micro-batch of queries -> terms -> top-k against the static
     postings; returns the accumulated run ``(qid, did, score, rank, batch_id)``."""
     once: dict = {}  # the postings do not change: packed for the first batch only
-    writer = _idempotent_writer(out, lambda b: R.retrieve(to_terms(b), postings, k=k, threshold=threshold, digits=digits, once=once))
+    writer = _idempotent_writer(out, lambda b: R.retrieve(to_terms(b), postings, k=k, threshold=threshold, digits=digits, once=once, keep=False))
     _run(spark, source, schema, writer, out, batch_bytes)
     return spark.read.parquet(out)
 

@@ -217,3 +217,21 @@ def test_single_precision_only_where_it_holds(values, single):
 def test_places_of_a_mask(rows, share):
     mask = np.random.default_rng(rows).random((rows, 37)) < share
     assert X._places(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+def test_a_stream_writes_its_run_once(spark, tmp_path, monkeypatch):
+    """A micro-batch goes straight to the sink: no second copy in scratch storage."""
+    from spire.streaming import stream as Z
+    names, real = [], R.stored
+    monkeypatch.setattr(R, "stored", lambda df, name: names.append(name) or real(df, name))
+    rng = random.Random(6)
+    rows = [(i, dim, rng.randrange(1, 9) / 8) for i in range(40) for dim in rng.sample(range(12), 4)]
+    q, p = spark.createDataFrame(rows, "qid long, dim int, weight double"), spark.createDataFrame(rows, "did long, dim int, weight double")
+    expected = sorted(map(tuple, R.retrieve(q, p, 3, None).select("qid", "did", "score", "rank").collect()))
+    q.repartition(2, "qid").write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.spire.fewProducts", "0")
+    try:
+        run = Z.stream_retrieve(spark, f"{tmp_path}/in", q.schema, p, lambda b: b, f"{tmp_path}/out", k=3)
+    finally:
+        spark.conf.unset("spark.spire.fewProducts")
+    assert names == [] and sorted(map(tuple, run.select("qid", "did", "score", "rank").collect())) == expected
