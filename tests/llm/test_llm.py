@@ -3,11 +3,14 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
+from spire.llm import pieces
 from spire.llm import queries as llm
 from spire.llm.common import components, sample_texts, stored
 from spire.llm.fingerprint import fingerprint_documents
@@ -229,6 +233,48 @@ def test_pieces(odd, nothing):
     assert encode_documents(nothing).count() == 0
 
 
+def test_pieces_move_as_numbers_in_bounded_memory(odd):
+    # texts are cut once, edges are not gathered row by row
+    plan = encode_documents(odd)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "ObjectHashAggregate" not in plan
+
+    table, raw, zero = pieces.load_pieces()
+    cost, known = np.full(len(raw), np.inf), {p: i for p, i, _ in table}
+    for _, i, c in table:
+        cost[i] = c
+    run = pieces._Coder(3, 1 << 20, cost, zero)
+    rng = np.random.default_rng(3)
+    many = ["".join(rng.choice(list("etaoinsrhld\u00e9\u4e00"), rng.integers(1, 9))) for _ in range(8000)]
+    texts = [" ".join(rng.choice(many, 900)) for _ in range(560)] + [None, "", "  a  \U0001f600"]
+    keys = np.arange(len(texts))
+    rows = pa.table({"key": pa.array(keys, pa.int64()), "no_id": pa.array(keys == 5), "text": pa.array(texts, pa.string())})
+    tables = list(pieces._groups(rows.to_batches(), 1 << 20))
+    assert 1 < len(tables) < 5 and pa.concat_tables(tables).equals(rows)
+    sent = pa.concat_tables([run.chunk(0, k, t) for k, t in enumerate(tables)])
+    assert sent.nbytes < sum(len((t or "").encode()) for t in texts) / 1.8
+    replies = []
+    for b in range(3):
+        mine = sent.filter(pc.equal(sent["place"], b))
+        spans = [(w << 16 | s << 8 | e, known[word[s:e]]) for w, word in enumerate(run.distinct((pa.scalar(b),), mine)["word"].to_pylist())
+                 for s in range(len(word)) for e in range(s + 1, min(len(word), s + 16) + 1) if word[s:e] in known]
+        rng.shuffle(spans)
+        edges = pa.table({"edge": pa.array([x for x, _ in spans], pa.int64()), "id": pa.array([i for _, i in spans], pa.int32())})
+        replies.append(run.answer((pa.scalar(b),), mine, edges))
+    replies, got = pa.concat_tables(replies), {}
+    for place in sorted(p for p in sent["place"].to_pylist() if p < 0):
+        mine, told = sent.filter(pc.equal(sent["place"], place)), replies.filter(pc.equal(replies["place"], place))
+        tracemalloc.start()
+        out = run.encode((pa.scalar(place),), mine, told)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+        tracemalloc.stop()
+        got |= {k: ids for k, ids in zip(out["doc_id"].to_pylist(), out["ids"].to_pylist())}
+        with pytest.raises(ValueError, match="words of a chunk"):
+            run.encode((pa.scalar(place),), mine, told.slice(1))
+    assert set(got) == {None if k == 5 else k for k in range(len(texts))}
+    for k in (0, 5, 299, 559, 560, 561, 562):
+        assert got[None if k == 5 else k] == brute_ids(texts[k])
+
+
 # op4 -------------------------------------------------------------------------
 
 
