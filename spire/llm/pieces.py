@@ -199,6 +199,13 @@ def _groups(batches, limit: int):
         yield pa.Table.from_batches(held)
 
 
+def _release() -> None:
+    """Memory that a pass has freed goes back to the system: workers stay for
+    later passes, and what they keep counts beside those at work."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # and numpy's
+
+
 class _Coder:
     """The passes over a chunk of texts and over a bucket of words."""
 
@@ -210,6 +217,7 @@ class _Coder:
         task = TaskContext.get().partitionId()
         for number, rows in enumerate(_groups(batches, self.chunk_bytes)):
             yield from self.chunk(task, number, rows).to_batches()
+            _release()
 
     def chunk(self, task: int, number: int, rows: pa.Table) -> pa.Table:
         """The distinct words of a chunk by bucket, and its texts as their
@@ -260,6 +268,7 @@ class _Coder:
         if key[0].as_py() < 0:
             return _WORDS.empty_table()
         words = self.asked(sent)[0]
+        _release()
         return pa.Table.from_arrays([pa.array(np.full(len(words), key[0].as_py())), pa.array(np.arange(len(words))), words], schema=_WORDS)
 
     def answer(self, key, sent, edges):
@@ -274,6 +283,7 @@ class _Coder:
             ids, many = best_paths(words.slice(a, step), edge[x:y] - (a << 16), piece[x:y], self.cost, self.zero)
             flats.append(ids.astype(self.kind))
             sizes.append(many)
+            _release()
         sizes = np.concatenate(sizes)
         flat, ends = _gather(np.concatenate(flats), sizes, number)
         long = sizes[number].astype(np.uint8)
@@ -299,6 +309,8 @@ class _Coder:
         lengths = np.diff(end[np.cumsum(np.append(0, sizes), dtype=np.int64)])
         ids, end = _gather(flat, lengths, part)
         offsets = end[np.cumsum(np.append(0, counts), dtype=np.int64)]
+        del body, flat, end, word, part, lengths, flats
+        _release()
         doc = pa.array(keys.view(np.int64), pa.int64(), mask=none.astype(bool))
         return pa.Table.from_arrays([doc, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], schema=_ENCODED)
 
@@ -357,6 +369,7 @@ def decoder(model: str = MODEL):
             for x, y, ok in zip(to[:-1], to[1:], valid[a:a + step]):
                 one = text[x:y].decode("utf-8", "replace") if ok else None
                 out.append(one[1:] if one and one[0] == " " else one)
+        _release()
         return pa.array(out, pa.string())
 
     return decode
