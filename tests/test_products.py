@@ -235,3 +235,47 @@ def test_a_stream_writes_its_run_once(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.spire.fewProducts")
     assert names == [] and sorted(map(tuple, run.select("qid", "did", "score", "rank").collect())) == expected
+
+
+def test_opened_blocks_are_bits_and_rows_hold_many_blocks(spark, monkeypatch):
+    """A row of queries moves with every row of documents, so what it opens is a bit for each query and block."""
+    q, p = skewed(spark, 1500)
+    index = B.block_index(p, block_docs=32)
+    postings = index.postings.withColumnRenamed("weight", "_dw")
+    asked = q.select("qid", "dim", q["weight"].alias("_qw"))
+    cols = sorted({(r["dim"],) for r in p.select("dim").distinct().collect()})
+    docs, blocks = X.packed_blocks(postings, cols, "did"), index.bounds.select("block").distinct()
+    pairs, rows, past = asked.select("qid").distinct().crossJoin(blocks), [], X._past
+    monkeypatch.setattr(X, "_past", lambda packed, *a, **b: rows.extend(packed.collect()) or past(packed, *a, **b))
+    found = X.open_blocks(asked, pairs, docs, cols, "qid", "did", postings.schema["did"].dataType, 5, None, "asc", None)
+    n = blocks.count()
+    assert n > 40 and rows
+    for r in rows:
+        moved = sum(8 * len(v) if isinstance(v, list) else len(v) for v in r.asDict().values() if not isinstance(v, int))
+        assert moved <= len(r["q_data"]) + 8 * len(r["q_ids"]) + n * (8 + (len(r["q_ids"]) + 7) // 8)
+    larger = X._gathered(docs.drop("d_no").coalesce(1), len(cols)).select("d_ids", "block").collect()
+    assert len(larger) < n / 2 and all(len(r["d_ids"]) == len(r["block"]) for r in larger)
+    assert sorted((d, b) for r in larger for d, b in zip(r["d_ids"], r["block"])) == sorted((r["did"], r["block"]) for r in postings.select("did", "block").distinct().collect())
+    got = sorted((r["qid"], r["rank"], r["did"], round(r["score"], 9)) for r in R.topk(found, 5).collect())
+    assert got == sorted((r["qid"], r["rank"], r["did"], round(r["score"], 9)) for r in R.retrieve(q, p, 5, None).collect())
+
+
+@pytest.mark.parametrize("threshold", [None, 3.0])
+def test_documents_are_held_in_parts(monkeypatch, threshold):
+    """For a large k a task holds some documents, and the best of a query over all of them."""
+    monkeypatch.setattr(X, "BLOCK_BYTES", 64 * 8 * 8)
+    monkeypatch.setattr(X, "HELD_BYTES", 150 * 8 * 8)
+    monkeypatch.setattr(X, "SCORE_BYTES", 8 * 2000)
+    rng, met, real = np.random.default_rng(5), [], X._meet
+    q, d, ids = rng.random((150, 8)), np.repeat(rng.random((450, 8)), 2, axis=0), pa.array(rng.permutation(900))
+    batches = [pa.RecordBatch.from_arrays([pa.array([0]), X._one(pa.array(range(150))), pa.array([q.tobytes()]), X._one(ids.slice(a, 100)), pa.array([d[a:a + 100].tobytes()])],
+                                          names=["q_no", "q_ids", "q_data", "d_ids", "d_data"]) for a in range(0, 900, 100)]
+    monkeypatch.setattr(X, "_meet", lambda best, part, d, *a: met.append(len(d)) or real(best, part, d, *a))
+    found = pa.Table.from_batches(X._find(60, threshold, None, "asc", 8, ranked=True)(iter(batches)))
+    got = sorted(zip(*(found.column(c).to_pylist() for c in ("q", "rank", "d"))))
+    assert max(met) == 200
+    expected = []
+    for i in range(150):
+        scores = X._dots(q, d, np.full(900, i), np.arange(900)).tolist()
+        expected += [(i, r, e) for r, (_, e) in enumerate(sorted((-s, e) for s, e in zip(scores, ids.to_pylist()) if threshold is None or s > threshold)[:60], 1)]
+    assert got == sorted(expected)
