@@ -279,3 +279,40 @@ def test_documents_are_held_in_parts(monkeypatch, threshold):
         scores = X._dots(q, d, np.full(900, i), np.arange(900)).tolist()
         expected += [(i, r, e) for r, (_, e) in enumerate(sorted((-s, e) for s, e in zip(scores, ids.to_pylist()) if threshold is None or s > threshold)[:60], 1)]
     assert got == sorted(expected)
+
+
+def test_a_deep_run_is_neither_exchanged_nor_kept_whole(spark, monkeypatch):
+    """Documents of some chunks of 64 MB are one broadcast, ranked in the task; of a run of which ten ranks are read ten are stored."""
+    q, p = copies(spark)
+    p, kept, past = p.fillna({"did": 5000}), [], X._past
+    monkeypatch.setattr(R, "stored", lambda df, name: kept.append(df) or df)
+    monkeypatch.setattr(X, "_past", lambda q, docs, chunks, *a: past(q, docs, kept.append(chunks) or chunks, *a))
+    assert X.CHUNK_BYTES >= 6 * 102_564 * 64 * 8 and X.BEST_BYTES // (X.PAIR_BYTES * 1000) >= 500
+    expected = sorted((str(r["qid"]), r["rank"], r["did"]) for r in R.retrieve(q, p, 1000, None).collect() if r["rank"] <= 10)
+    spark.conf.set("spark.spire.fewProducts", "0")
+    try:
+        run, lazy = R.retrieve(q, p, 1000, None, keep=10), R.retrieve(q, p, 1000, None, keep=False)
+    finally:
+        spark.conf.unset("spark.spire.fewProducts")
+    assert [x for x in kept if isinstance(x, int)] == [1, 1] and len(kept) == 3
+    assert sorted((str(r["qid"]), r["rank"], r["did"]) for r in run.collect()) == expected
+    nodes = [(n, node.toString().split("\n")[0]) for n, node in _nodes(_plan(lazy))]
+    assert all("REPARTITION_BY_NUM" in text for n, text in nodes if n == "Exchange") and "Window" not in dict(nodes)
+    assert lazy.where("rank > 10").count() > 0
+
+
+def test_rows_of_queries_are_small_for_a_large_k(spark, monkeypatch):
+    """What a task holds of the best does not grow with the queries."""
+    q, p = copies(spark)
+    rows, past = [], X._past
+    monkeypatch.setattr(X, "BLOCK_BYTES", 16 * 8 * 31)
+    monkeypatch.setattr(X, "BEST_BYTES", 2 * X.PAIR_BYTES * 300)
+    monkeypatch.setattr(X, "_past", lambda packed, *a: rows.extend(packed.collect()) or past(packed, *a))
+    expected = order([tuple(r) for r in R.retrieve(q, p, 300, None).select("qid", "rank", "did", "score").collect()])
+    spark.conf.set("spark.spire.fewProducts", "0")
+    try:
+        run = R.retrieve(q, p, 300, None)
+    finally:
+        spark.conf.unset("spark.spire.fewProducts")
+    assert rows and max(len(r["q_ids"]) for r in rows) <= 2
+    assert order([tuple(r) for r in run.select("qid", "rank", "did", "score").collect()]) == expected
