@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
 from ..session import shared_dir
+from .layout import stored
 from .retrieve import score_pairs
 from .runs import exclude_positives, keep_filtered, rank_slice
 
@@ -91,11 +92,14 @@ def sample_negatives(samples: DataFrame, pool: DataFrame, n: int, seed: int = 0)
     (slot i takes candidate ``md5(seed|qid|i) mod count`` in did order);
     none: no row.  Returns ``(qid, slot, did, score)``."""
     cand = exclude_positives(samples, pool)
-    # n + 1 per query tell whether there are more than n; both draws start from these
+    # n + 1 per query tell whether there are more than n; both draws start from these, so they are stored.
+    # A number of the first 60 bits, half as long as the key, goes to the exchange; ties of it stay
+    head = Window.partitionBy("qid").orderBy(F.conv(F.substring(_md5_key(seed, "qid", "did"), 1, 15), 16, 10).cast("long"))
+    cand = cand.withColumn("_h", F.rank().over(head)).where(F.col("_h") <= n + 1).drop("_h")
     wo = Window.partitionBy("qid").orderBy(_md5_key(seed, "qid", "did"), F.col("did"))
     near = cand.withColumn("_r", F.row_number().over(wo)).where(F.col("_r") <= n + 1)
     per = Window.partitionBy("qid")
-    near = near.withColumn("_c", F.count(F.lit(1)).over(per))
+    near = stored(near.withColumn("_c", F.count(F.lit(1)).over(per)), "near")
     without = near.where((F.col("_c") > n) & (F.col("_r") <= n)).select("qid", (F.col("_r") - 1).alias("slot"), "did", "score")
     few = near.where(F.col("_c") <= n).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("did", "score"))).alias("_all"))
     withr = few.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
@@ -192,13 +196,15 @@ def listwise_margin_mse(ts: DataFrame) -> DataFrame:
 
 def kl_divergence(ts: DataFrame) -> DataFrame:
     """Per query ``sum p_t (log p_t - log p_s)`` with softmax over the
-    query's candidates, then the mean over queries."""
-    lt = _lse(ts, ["qid"], "teacher", "_lt")
-    ls = _lse(ts, ["qid"], "student", "_ls")
-    j = ts.join(lt, "qid").join(ls, "qid")
-    lpt = F.col("teacher") - F.col("_lt")
-    lps = F.col("student") - F.col("_ls")
-    per = j.groupBy("qid").agg(F.sum(F.exp(lpt) * (lpt - lps)).alias("_kl"))
+    query's candidates, then the mean over queries.  One join with the greatest
+    scores of a query; with t and s less these, the sum is that of
+    ``exp(t) (t - s - log sum exp(t) + log sum exp(s))`` over ``sum exp(t)``."""
+    tops = ts.groupBy("qid").agg(F.max("teacher").alias("_mt"), F.max("student").alias("_ms"))
+    t, s = F.col("teacher") - F.col("_mt"), F.col("student") - F.col("_ms")
+    sums = ts.select("qid", "teacher", "student").join(tops, "qid").groupBy("qid").agg(
+        F.sum(F.exp(t)).alias("_t"), F.sum(F.exp(s)).alias("_s"), F.sum(F.exp(t) * (t - s)).alias("_d"),
+        F.sum(F.when((t - s).isNotNull(), F.exp(t))).alias("_both"))
+    per = sums.select(((F.col("_d") - (F.log("_t") - F.log("_s")) * F.col("_both")) / F.col("_t")).alias("_kl"))
     return per.agg(F.avg("_kl").alias("kl_divergence"), F.count(F.lit(1)).alias("n_queries"))
 
 
@@ -220,10 +226,10 @@ def batch_rows(rows: DataFrame) -> DataFrame:
 def _batch_lse_loss(allrows: DataFrame, q_vec: DataFrame, d_vec: DataFrame, scale: float) -> DataFrame:
     """Per query ``logsumexp(z) - z_pos`` over its candidate instances
     (duplicates count), ``z = score * scale``.  Scores are computed once
-    for the distinct pairs (J14); groups are bounded by the batch, so the
-    max is a window over the query's instances."""
-    sc = score_pairs(allrows.select("qid", "did").distinct(), q_vec, d_vec)
-    z = allrows.join(sc, ["qid", "did"]).withColumn("z", F.col("score") * F.lit(scale))
+    for the distinct pairs of a batch (J14), whose vectors meet there; groups
+    are bounded by the batch, so the max is a window over the query's instances."""
+    sc = score_pairs(allrows, q_vec, d_vec, by="batch")
+    z = allrows.join(sc, ["batch", "qid", "did"]).withColumn("z", F.col("score") * F.lit(scale))
     z = z.withColumn("_m", F.max("z").over(Window.partitionBy("qid")))
     return z.groupBy("qid").agg(
         (F.first("_m") + F.log(F.sum(F.exp(F.col("z") - F.col("_m"))))
@@ -239,8 +245,8 @@ def infonce(rows: DataFrame, q_vec: DataFrame, d_vec: DataFrame,
     r = batch_rows(rows)
     qs = r.where(F.col("slot") == 0).select("batch", "qid", F.col("did").alias("_pos"))
     cands = r.where(F.col("slot") > 0).select("batch", "did")
-    inst = qs.join(cands, "batch").select("qid", "did", F.lit(False).alias("is_pos"))
-    pos = qs.select("qid", F.col("_pos").alias("did"), F.lit(True).alias("is_pos"))
+    inst = qs.join(cands, "batch").select("batch", "qid", "did", F.lit(False).alias("is_pos"))
+    pos = qs.select("batch", "qid", F.col("_pos").alias("did"), F.lit(True).alias("is_pos"))
     per = _batch_lse_loss(inst.unionByName(pos), q_vec, d_vec, 1.0 / temperature)
     return per.agg(F.avg("loss").alias("infonce"), F.count(F.lit(1)).alias("n_queries"))
 
@@ -251,8 +257,8 @@ def in_batch_nll(rows: DataFrame, q_vec: DataFrame, d_vec: DataFrame) -> DataFra
     r = batch_rows(rows)
     qs = r.where(F.col("slot") == 0).select("batch", "qid", F.col("did").alias("_pos"))
     bpos = qs.select("batch", F.col("_pos").alias("did"))
-    inst = qs.join(bpos, "batch").select("qid", "did", (F.col("did") == F.col("_pos")).alias("is_pos"))
-    own_neg = r.where(F.col("slot") > 0).select("qid", "did", F.lit(False).alias("is_pos"))
+    inst = qs.join(bpos, "batch").select("batch", "qid", "did", (F.col("did") == F.col("_pos")).alias("is_pos"))
+    own_neg = r.where(F.col("slot") > 0).select("batch", "qid", "did", F.lit(False).alias("is_pos"))
     per = _batch_lse_loss(inst.unionByName(own_neg), q_vec, d_vec, 1.0)
     return per.agg(F.avg("loss").alias("in_batch_nll"), F.count(F.lit(1)).alias("n_queries"))
 

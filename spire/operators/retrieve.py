@@ -30,8 +30,12 @@ import math
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import rounded
 from ..session import scratch_path
@@ -206,11 +210,16 @@ def retrieve_many(query_sets: DataFrame, postings: DataFrame, k: int = 1000,
 
 
 def score_pairs(pairs: DataFrame, q_vec: DataFrame, d_vec: DataFrame,
-                qid: str = "qid", did: str = "did") -> DataFrame:
+                qid: str = "qid", did: str = "did", by: str | None = None) -> DataFrame:
     """J14 (pair / list modes): dot product for given (qid, did) pairs only.
 
     The pair list is joined with the query terms, then with the document
-    terms on ``(did, dim)``; pairs without a shared dimension score 0."""
+    terms on ``(did, dim)``; pairs without a shared dimension score 0.  ``by``
+    names a column of the pairs, small groups of queries that share their
+    documents (a batch): then a vector moves once for each group, not its terms
+    for each pair, and ``(by, qid, did, score)`` is returned for distinct pairs."""
+    if by is not None:
+        return _score_groups(pairs.select(by, qid, did).distinct(), q_vec, d_vec, qid, did, by)
     qp = pairs.select(qid, did).join(q_vec.select(qid, "dim", F.col("weight").alias("_qw")), qid)
     s = qp.join(d_vec.select(did, "dim", F.col("weight").alias("_dw")), [did, "dim"]) \
         .groupBy(qid, did).agg(F.sum(F.col("_qw") * F.col("_dw")).alias("score"))
@@ -218,6 +227,40 @@ def score_pairs(pairs: DataFrame, q_vec: DataFrame, d_vec: DataFrame,
         .select(qid, did, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _score_groups(pairs: DataFrame, q_vec: DataFrame, d_vec: DataFrame, qid: str, did: str, by: str) -> DataFrame:
+    def vectors(terms: DataFrame, key: str) -> DataFrame:
+        lists = terms.where("dim is not null and weight is not null").groupBy(key).agg(F.collect_list(F.struct("dim", "weight")).alias("_v"))
+        vecs = pairs.select(by, key).distinct().join(lists, key)
+        return vecs.select(F.col(by).alias(f"_by_{key}"), F.col(key).alias(f"_of_{key}"), F.col("_v.dim").alias("_dim"), F.col("_v.weight").cast("array<double>").alias("_w"))
+
+    schema = T.StructType([pairs.schema[by], pairs.schema[qid], pairs.schema[did], T.StructField("score", T.DoubleType())])
+
+    def matrix(vecs: pa.Table, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(vecs)), pc.list_value_length(vecs.column("_dim").combine_chunks()).to_numpy(zero_copy_only=False))
+        cells = row * width + at
+        size = len(vecs) * width
+        weights = vecs.column("_w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return np.bincount(cells, weights=weights, minlength=size).reshape(-1, width), np.bincount(cells, minlength=size).reshape(-1, width) > 0
+
+    def score(q: pa.Table, d: pa.Table) -> pa.Table:
+        if not len(q) or not len(d):
+            none = pa.array([], pa.int64())
+            return pa.table({by: q.column(0).take(none), qid: q.column(1).take(none), did: d.column(1).take(none), "score": pa.array([], pa.float64())})
+        dims = [t.column("_dim").combine_chunks().flatten().to_numpy(zero_copy_only=False) for t in (q, d)]
+        found, at = np.unique(np.concatenate(dims), return_inverse=True)
+        (a, in_a), (b, in_b) = matrix(q, at[:len(dims[0])], len(found)), matrix(d, at[len(dims[0]):], len(found))
+        if np.isfinite(a).all() and np.isfinite(b).all():
+            scores = a @ b.T
+        else:  # a dimension that one side lacks adds nothing, whatever the other holds
+            with np.errstate(invalid="ignore"):
+                scores = np.stack([np.where(m & in_b, x * b, 0.0).sum(axis=1) for x, m in zip(a, in_a, strict=True)])
+        of_q, of_d = np.divmod(np.arange(scores.size), len(d))
+        return pa.table({by: q.column(0).take(pa.array(of_q)), qid: q.column(1).take(pa.array(of_q)), did: d.column(1).take(pa.array(of_d)), "score": scores.ravel()})
+
+    scores = vectors(q_vec, qid).groupBy(f"_by_{qid}").cogroup(vectors(d_vec, did).groupBy(f"_by_{did}")).applyInArrow(score, schema)
+    return pairs.join(scores, [by, qid, did], "left").select(by, qid, did, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def translate_ids(run: DataFrame, id_map: DataFrame, col: str, internal: str = "row_id",
                   external: str = "id") -> DataFrame:
     """Internal ids -> external ids.  The map has the collection's size,

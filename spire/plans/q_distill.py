@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded
 from ..operators import distill as D
 from ..operators import retrieve as R
+from ..operators.layout import bucketed
 from ..operators.rowids import assign_row_ids
-from ..session import shared_dir
 from . import fixtures as fx
 from .registry import QRELS_CTE, RUN2_CTE, RUN_CTE, VEC_CTE, register
 
@@ -27,10 +27,8 @@ def _ts(spark, sf):
     """Teacher = lineitem run one, student = run two (scores scaled by 2^-10),
     common candidates.  Stored once (like the reference's teacher-run files)
     in the shared folder, since every distillation plan reads it from
-    several branches."""
-    shared_dir(spark)
-    ts = D.teacher_student(_scaled(fx.lineitem_run(spark, sf)), _scaled(fx.lineitem_run2(spark, sf)))
-    return ts.checkpoint(eager=True)
+    several branches, in buckets of its pairs, which joins on these read as they are."""
+    return bucketed(D.teacher_student(_scaled(fx.lineitem_run(spark, sf)), _scaled(fx.lineitem_run2(spark, sf))), ["qid", "did"], "teacher-student")
 
 
 def _choice(spark, sf, ts=None):

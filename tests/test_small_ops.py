@@ -107,3 +107,37 @@ def test_moving_average_for_any_decay(spark, decay):
         ema = decay * ema + (1 - decay) * x
         want.append(ema)
     assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def test_pairs_of_a_group_are_scored_where_its_vectors_meet(spark):
+    """``by`` gives the scores of the join by terms, and moves a vector once for each group, not for each pair."""
+    from pyspark.sql import functions as F
+
+    from spire.operators import retrieve as R
+    inf = float("inf")
+    terms = [(v, d, (v * 7 + d * 3) % 5 / 4 - 0.5) for v in range(30) for d in range(v % 3, 12, 3)] + [(3, 0, 0.25), (4, 1, None), (5, None, 1.0), (6, 1, inf), (None, 2, 1.0)]
+    q, d = (spark.createDataFrame(terms, f"{c} long, dim int, weight double") for c in ("qid", "did"))
+    pairs = spark.createDataFrame([(i // 8, i, j) for i in range(32) for j in range(i // 8, 32, 3)] + [(0, None, 3), (1, 3, None), (7, 77, 78)], "batch long, qid long, did long")
+    expected = {(r["qid"], r["did"]): r["score"] for r in R.score_pairs(pairs.select("qid", "did"), q, d).collect()}
+    found = R.score_pairs(pairs.unionByName(pairs), q, d, by="batch")
+    rows = found.collect()
+    assert len(rows) == len(expected) == pairs.count()
+    assert all(str(r["score"]) == str(expected[r["qid"], r["did"]]) or abs(r["score"] - expected[r["qid"], r["did"]]) < 1e-12 for r in rows)
+    assert inf in expected.values() and found.agg(F.countDistinct("batch")).first()[0] == 5
+
+
+def test_divergence_reads_the_scores_twice(spark):
+    """One look for the greatest scores, one joined with them; a query with a null score counts as before."""
+    from spire.operators import distill as D
+    ts = spark.createDataFrame([(q, d, (q * d) % 7 * 30.0, None if (q, d) == (2, 3) else (q + d) % 5 * 20.0) for q in range(5) for d in range(9)], "qid long, did long, teacher double, student double")
+    out = D.kl_divergence(ts)
+    import math
+    kls = []
+    for q in range(5):
+        rows = [(r["teacher"], r["student"]) for r in ts.where(ts.qid == q).collect()]
+        lt = math.log(sum(math.exp(t) for t, _ in rows))
+        ls = math.log(sum(math.exp(s) for _, s in rows if s is not None))
+        kls.append(sum(math.exp(t - lt) * ((t - lt) - (s - ls)) for t, s in rows if s is not None))
+    got = out.first()
+    assert abs(got["kl_divergence"] - sum(kls) / 5) < 1e-9 and got["n_queries"] == 5
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
